@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import bpe as op5
 from . import decontaminate as op7
+from . import near_dup as op10
+from . import pii as op4
+from . import quality as op9
 from . import url_filter as op1
 from .sql import ORACLE
 
@@ -27,12 +33,36 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finds personal data in every document."""
+    return op4.summary(op4.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes every document and decodes the ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return op5.encode(docs, path, public_tokenizers.PATTERN, ids=False, digests=True, keep=["doc_id"])
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks the benchmark passages in every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return op7.summary(op7.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep_text=False))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every document's quality."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = op9.score_quality(docs, op9.train(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return scored.select("doc_id", op9.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finds the near-duplicate component of every document."""
+    return op10.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and "_" in k}
 

@@ -64,6 +64,7 @@ class Words:
     first: int
     n_docs: int
     data: np.ndarray  # the batch's bytes
+    offs: np.ndarray  # where each document starts in ``data``, and the end
     doc: np.ndarray  # document of each word, counted from ``first``; ascending
     start: np.ndarray  # byte positions in ``data``
     end: np.ndarray
@@ -134,7 +135,7 @@ def groups(column: pa.Array, table: np.ndarray, which: int = 0) -> Iterator[Word
     at, n = 0, len(offs) - 1
     while at < n:
         upto = max(at + 1, int(np.searchsorted(offs, offs[at] + GROUP_BYTES, "right")) - 1)
-        yield Words(at, upto - at, data, *scan(data, offs[at : upto + 1], table, which))
+        yield Words(at, upto - at, data, offs[at : upto + 1], *scan(data, offs[at : upto + 1], table, which))
         at = upto
 
 
