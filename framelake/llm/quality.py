@@ -101,7 +101,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _descend(gradient, width: int, steps: int, rate: float = 0.02) -> np.ndarray:
+def _descend(gradient, width: int, steps: int, rate: float) -> np.ndarray:
     """Adam on a parameter vector whose last entry is the bias."""
     w, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, steps + 1):
@@ -124,7 +124,7 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, delta: float = 0.1, gamma: floa
     def gradient(w):
         return _mean_gradient(p1, -_sigmoid(-(p1 @ w[:-1] + w[-1]))) + _mean_gradient(u1, _sigmoid(u1 @ w[:-1] + w[-1])) + 1e-3 * np.append(w[:-1], 0)
 
-    w = _descend(gradient, p.shape[1], 150)
+    w = _descend(gradient, p.shape[1], 150, 0.02)
     sp, su = np.sort(p2 @ w[:-1]), np.sort(u2 @ w[:-1])
     cuts = np.unique(sp)
     qp = 1 - np.searchsorted(sp, cuts) / len(sp)
@@ -135,7 +135,7 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, delta: float = 0.1, gamma: floa
     return float(np.clip(qu[best] / qp[best], 0.05, 0.98))
 
 
-def fit(positives: np.ndarray, unlabelled: np.ndarray, *, prior: float | None = None, steps: int = 400, decay: float = 1e-4) -> Model:
+def fit(positives: np.ndarray, unlabelled: np.ndarray, *, prior: float | None = None, steps: int = 800, rate: float = 0.1, decay: float = 1e-5) -> Model:
     """Minimises the non-negative risk; ``prior`` is estimated if not given."""
     width = WIDTH
     if not len(positives) or not len(unlabelled):
@@ -152,7 +152,7 @@ def fit(positives: np.ndarray, unlabelled: np.ndarray, *, prior: float | None =
         down = _mean_gradient(u, _sigmoid(fu)) - pi * _mean_gradient(p, _sigmoid(fp))
         return (up + down if negative >= 0 else -down) + decay * np.append(w[:-1], 0)
 
-    w = _descend(gradient, width, steps)
+    w = _descend(gradient, width, steps, rate)
     return Model(mean, scale, w[:-1], float(w[-1]), pi)
 
 
