@@ -187,7 +187,7 @@ def _deal(clusters: DataFrame, seed: int) -> DataFrame:
     return clusters.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(seed)), F.col("blocks")))
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     seen = settle(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"))
@@ -202,11 +202,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     sets = settle(docs.join(clusters, "doc_id").select("doc_id", "cluster", "text").mapInArrow(_sets, "rep long, cluster long, n long, hashes binary"))
     sizes = settle(sets.groupBy("cluster").agg(F.sum("n").alias("total")))
     total = sizes.agg(F.sum("total")).first()[0] or 0
-    bins = max(1, -(-total // BLOCK_SHINGLES))
-    dealt = sets.join(sizes.withColumn("blocks", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("long")), "cluster")
+    bins = max(1, -(-total // block_shingles))
+    dealt = sets.join(sizes.withColumn("blocks", F.ceil(F.col("total") / block_shingles).cast("long")), "cluster")
     small = dealt.filter("blocks = 1").withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(bins)))
     links = small.groupBy("bin").applyInPandas(_within, "u long, v long")
-    if sizes.filter(F.col("total") > BLOCK_SHINGLES).take(1):
+    if sizes.filter(F.col("total") > block_shingles).take(1):
         large = dealt.filter("blocks > 1")
         rounds = [_deal(large, seed).groupBy("cluster", "block").applyInPandas(_within, "u long, v long") for seed in (1, 2)]
         known = settle(rounds[0].union(rounds[1]))
@@ -215,7 +215,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         main = parted.groupBy("cluster", "part").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max_by("part", F.struct("c", "part")).alias("main"))
         asked = parted.join(main, "cluster").filter("part <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         fields = ["cluster", "block", "rep", "part", "hashes"]
-        more = asked.select(fields).groupBy("cluster", "block").cogroup(parted.select(fields).groupBy("cluster", "block")).applyInPandas(_across, "u long, v long")
+        asked = asked.select(fields).toDF(*fields)
+        more = asked.groupBy("cluster", "block").cogroup(parted.select(fields).groupBy("cluster", "block")).applyInPandas(_across, "u long, v long")
         links = links.union(known).union(more)
     found = components(links)
     resolved = classes.join(found, classes.rep == found.node, "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("c"))

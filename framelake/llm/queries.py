@@ -11,6 +11,7 @@ from . import decontaminate as op7
 from . import near_dup as op10
 from . import pii as op4
 from . import quality as op9
+from . import substring_dedup as op8
 from . import url_filter as op1
 from .sql import ORACLE
 
@@ -51,6 +52,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7.summary(op7.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep_text=False))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes passages that an earlier document holds."""
+    kept = op8.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores every document's quality."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

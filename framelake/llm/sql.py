@@ -41,7 +41,8 @@ FROM d LEFT JOIN words_hit USING (doc_id) LEFT JOIN listed USING (doc_id)
 
 OP10 = rf"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {AZ}), '[^ 	-]+') AS w FROM documents),
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {AZ}), '[^ 	-
+]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + least(len(w), 5) - 1], ' ') AS g
       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
@@ -52,4 +53,16 @@ SELECT d.doc_id, coalesce(n.c, 0) AS n_shingles, m.component_id, d.doc_id = m.co
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) m USING (doc_id)
 """
 
-ORACLE = {"op1_url_filter": OP1, "op7_decontaminate": OP7, "op10_near_dup": OP10}
+OP8 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
+first AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, q FROM (SELECT doc_id, unnest(range(p, p + 13)) AS q FROM win JOIN first USING (s) WHERE m < doc_id)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS q FROM d),
+kept AS (SELECT doc_id, count(gone.q) AS n_removed, string_agg(word, ' ' ORDER BY words.q) FILTER (gone.q IS NULL) AS t
+         FROM words LEFT JOIN gone USING (doc_id, q) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE = {"op8_substring_dedup": OP8, "op1_url_filter": OP1, "op7_decontaminate": OP7, "op10_near_dup": OP10}
