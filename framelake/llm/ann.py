@@ -3,9 +3,8 @@
 Every vector is projected on PROJECTIONS random directions; each projection of a block of vectors is one sorted array.
 A query opens a window around its own projection in every array, of half-width W at radius 1, and widens all windows
 from radius to radius (virtual rehashing: no bucket borders, nothing is rebuilt). A vector that falls into at least
-COLLISIONS of the windows is a candidate and verified by its true distance. A query stops in a block when its k-th
-distance is within the radius's reach or when enough candidates have been verified; if the windows cover the block, all
-of it has been.
+COLLISIONS of the windows is a candidate and verified by its true distance. A query stops in a block when enough
+candidates have been verified; if its windows cover the block, all of it has been.
 
 Vectors are dealt to blocks by a hash of vec_id, sized by the number of rows; the stated queries meet every block, and a
 block's k nearest are merged by query. Equal vectors are reduced to the k + 1 smallest ids before anything is dealt,
@@ -22,9 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-K, PROJECTIONS, COLLISIONS = 10, 48, 22
+K, PROJECTIONS, COLLISIONS = 10, 128, 100
 #: Growth of the radius; share of a block that is verified at most before a query stops (and ENOUGH rows at least).
-GROWTH, SHARE, ENOUGH = 1.25, 0.06, 400
+GROWTH, SHARE, ENOUGH = 1.1, 0.05, 400
 BLOCK_ROWS, LEAST_ROWS, BLOCKS_AT_LEAST = 100_000, 5_000, 12
 _RESULT = "query_id long, vec_id long, score double"
 
@@ -43,49 +42,47 @@ def _directions(width: int, seed: int) -> np.ndarray:
     return a / np.linalg.norm(a, axis=0)
 
 
-def _verify(x: np.ndarray, ids: np.ndarray, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
-    return np.sqrt(((x[rows] - q) ** 2).sum(axis=1))
+def _spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges [first, last)."""
+    size = last - first
+    return np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
 
 
 def search_block(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, *, k: int = K, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query the (ids, distances) of its k nearest found in the block, in order."""
     a = _directions(x.shape[1], seed)
-    projected = x @ a
-    order = np.argsort(projected, axis=0, kind="stable")
-    arrays = np.take_along_axis(projected, order, axis=0)
-    n, out = len(x), []
-    spread = arrays[-1] - arrays[0]
-    # Radius 1: the typical gap in which a projection holds a thousandth of the block.
-    unit = max(float(np.median(spread)) / 1000, 1e-12)
-    limit = max(ENOUGH, int(SHARE * n))
+    projected = (x @ a).T
+    n, out = x.shape[0], []
+    order = np.argsort(projected, axis=1, kind="stable")
+    # All sorted arrays in one, each shifted clear of the last, so that one search finds every window's border.
     centre = queries @ a
-    for q, c, own in zip(queries, centre, query_ids):
-        count = np.zeros(n, np.int16)
+    shift = np.arange(PROJECTIONS) * (2.0 * max(np.abs(projected).max(), np.abs(centre).max(), 1e-12) + 1.0) * 4
+    arrays = (np.take_along_axis(projected, order, axis=1) + shift[:, None]).ravel()
+    order = order.ravel()
+    begin = np.arange(PROJECTIONS) * n
+    limit = min(max(ENOUGH, int(SHARE * n)), n - 1)
+    for q, c, own in zip(queries, centre + shift, query_ids):
+        count = np.zeros(n, np.int64)
         seen = np.zeros(n, bool)
-        found_rows, found = np.zeros(0, np.int64), np.zeros(0)
-        low = high = np.array([np.searchsorted(arrays[:, j], c[j]) for j in range(PROJECTIONS)])
-        radius = unit
+        rows, found = np.zeros(0, np.int64), np.zeros(0)
+        low = high = np.searchsorted(arrays, c).clip(begin, begin + n)
+        # Radius 1: half of the windows hold a tenth of the block on one side.
+        radius = max(float(np.median(np.abs(arrays[np.minimum(low + n // 10, begin + n - 1)] - c))), 1e-12)
         while True:
-            new_low = np.array([np.searchsorted(arrays[:, j], c[j] - radius, "left") for j in range(PROJECTIONS)])
-            new_high = np.array([np.searchsorted(arrays[:, j], c[j] + radius, "right") for j in range(PROJECTIONS)])
-            new_low, new_high = np.minimum(new_low, low), np.maximum(new_high, high)
-            met = [order[new_low[j] : low[j], j] for j in range(PROJECTIONS)] + [order[high[j] : new_high[j], j] for j in range(PROJECTIONS)]
-            met = np.concatenate(met)
-            if len(met):
-                count += np.bincount(met, minlength=n).astype(np.int16)
+            new_low = np.minimum(low, np.searchsorted(arrays, c - radius, "left").clip(begin, begin + n))
+            new_high = np.maximum(high, np.searchsorted(arrays, c + radius, "right").clip(begin, begin + n))
+            count += np.bincount(order[_spread(np.concatenate((new_low, high)), np.concatenate((low, new_high)))], minlength=n)
             low, high = new_low, new_high
-            fresh = np.flatnonzero((count >= COLLISIONS) & ~seen)
-            if len(fresh):
-                seen[fresh] = True
-                fresh = fresh[ids[fresh] != own]
-                found_rows = np.concatenate((found_rows, fresh))
-                found = np.concatenate((found, _verify(x, ids, fresh, q)))
-            whole = bool(((low == 0) & (high == n)).all())
-            if whole or (len(found) >= min(limit, n - 1) and len(found) >= k):
+            whole = bool(((low == begin) & (high == begin + n)).all())
+            fresh = np.flatnonzero(((count >= COLLISIONS) | whole) & ~seen)
+            seen[fresh] = True
+            fresh = fresh[ids[fresh] != own]
+            rows, found = np.concatenate((rows, fresh)), np.concatenate((found, np.sqrt(((x[fresh] - q) ** 2).sum(axis=1))))
+            if whole or len(found) >= limit and len(found) >= k:
                 break
             radius *= GROWTH
-        best = np.lexsort((ids[found_rows], found))[:k]
-        out.append((ids[found_rows[best]], found[best]))
+        best = np.lexsort((ids[rows], found))[:k]
+        out.append((ids[rows[best]], found[best]))
     return out
 
 

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ann as op6
 from . import bpe as op5
 from . import decontaminate as op7
 from . import near_dup as op10
@@ -46,6 +47,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5.encode(docs, path, public_tokenizers.PATTERN, ids=False, digests=True, keep=["doc_id"])
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest found of every vector whose id is divisible by 100."""
+    return op6.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks the benchmark passages in every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
