@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann as op6
+from . import attribution as op3
 from . import bpe as op5
 from . import decontaminate as op7
 from . import near_dup as op10
 from . import pii as op4
 from . import quality as op9
+from . import revisits as op2
 from . import substring_dedup as op8
 from . import url_filter as op1
 from .sql import ORACLE
@@ -35,6 +37,28 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolves the revisits in the capture stream of all pages."""
+    records = op2.records_of_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return op2.resolve_revisits(records).select(
+        "record_id",
+        "page_id",
+        "canonical",
+        "ts",
+        "status",
+        "refers_to",
+        *(F.col("merged")[h].alias(h.replace("-", "_")) for h in ("etag", "last-modified", "content-length", "cache-control", "date")),
+    )
+
+
+def op3_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document, border tokens by their first character."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    counted = op3.attribute_tokens(docs, path, public_tokenizers.PATTERN, keep=["doc_id"])
+    return counted.withColumn("n_tokens", F.col("n_tokens").cast("long"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finds personal data in every document."""
     return op4.summary(op4.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]))

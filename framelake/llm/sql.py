@@ -65,4 +65,32 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE = {"op8_substring_dedup": OP8, "op1_url_filter": OP1, "op7_decontaminate": OP7, "op10_near_dup": OP10}
+OP2 = rf"""
+WITH raw AS (
+  SELECT page_id, page_id * 10 + k AS record_id, page_id * 10 + k AS ts, k = 0 AS is_full,
+         CASE WHEN k = 3 THEN url || '#again' ELSE url END AS url,
+         CASE k WHEN 0 THEN substr(md5(html), 1, 16) WHEN 3 THEN CASE WHEN page_id % 4 = 0 THEN 'stale' ELSE substr(md5(html), 1, 16) END END AS tag,
+         CASE WHEN k <> 3 THEN 'day ' || (page_id % 7) END AS modified, CASE WHEN k = 0 THEN strlen(html) ELSE 0 END AS size,
+         CASE k WHEN 0 THEN 'max-age=60' WHEN 3 THEN 'max-age=90' END AS cache
+  FROM pages, (VALUES (0), (3), (6)) AS v(k)),
+parts AS (
+  SELECT *, regexp_replace(regexp_replace(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), {AZ}), ':[0-9]*$', ''), '^www\.', '') AS host,
+         regexp_replace(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
+         array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), '&'),
+           lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|gclid|fbclid)(=|$)'))), '&') AS query
+  FROM raw),
+r AS (SELECT *, CASE WHEN host <> '' THEN host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS canonical FROM parts),
+f AS (SELECT canonical, ts, record_id, tag, modified, size, cache FROM r WHERE is_full),
+j AS (SELECT r.*, f.record_id AS f_id, f.tag AS f_tag, f.modified AS f_modified, f.size AS f_size, f.cache AS f_cache
+      FROM r ASOF LEFT JOIN f ON r.canonical = f.canonical AND r.ts > f.ts),
+s AS (SELECT *, CASE WHEN is_full THEN 'full' WHEN f_id IS NULL THEN 'orphan'
+                     WHEN CASE WHEN tag IS NOT NULL THEN tag = f_tag ELSE coalesce(modified = f_modified, false) END THEN 'resolved' ELSE 'mismatch' END AS status FROM j)
+SELECT record_id, page_id, canonical, ts, status, CASE WHEN status = 'resolved' THEN f_id END AS refers_to,
+       CASE WHEN status = 'full' THEN 'W/' || tag WHEN status = 'resolved' AND tag IS NULL THEN 'W/' || f_tag ELSE tag END AS etag,
+       CASE WHEN status = 'resolved' THEN f_modified ELSE modified END AS last_modified,
+       CAST(CASE WHEN status = 'resolved' THEN f_size ELSE size END AS VARCHAR) AS content_length,
+       CASE WHEN status = 'resolved' THEN coalesce(cache, f_cache) ELSE cache END AS cache_control, CAST(ts AS VARCHAR) AS date
+FROM s
+"""
+
+ORACLE = {"op2_revisits": OP2, "op8_substring_dedup": OP8, "op1_url_filter": OP1, "op7_decontaminate": OP7, "op10_near_dup": OP10}
