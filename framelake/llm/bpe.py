@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -55,7 +56,8 @@ class Codec:
         self.leaf = max(leaf, 2)
         self.pattern = regex.compile(pattern)
         self.mask = dict.fromkeys(map(ord, masked), _MASK)
-        self.has_masked = regex.compile("[" + regex.escape(masked) + "]") if masked else None
+        self.masked = frozenset(masked)
+        self.may_mask = re.compile(f"[{re.escape(min(masked))}-\U0010ffff]") if masked else None
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
@@ -92,7 +94,9 @@ class Codec:
 
     def pieces(self, text: str) -> Iterator[list[str]]:
         """The pattern's matches, in runs."""
-        masked = None if text.isascii() or not self.has_masked or not self.has_masked.search(text) else text.translate(self.mask)
+        masked = None
+        if self.may_mask and not text.isascii() and self.may_mask.search(text) and not self.masked.isdisjoint(text):
+            masked = text.translate(self.mask)
         if masked is None and len(text) <= LONG_TEXT:
             yield self.pattern.findall(text)
             return
