@@ -6,7 +6,7 @@ and the headers that a 304 may update replace the stored ones; all others, the b
 
 Statuses: full; resolved; mismatch (there is an earlier response but no validator confirms it); orphan (none, or a null
 URL or time). Of full responses of one URL and time the smallest record id counts. Header names are case-folded; of
-names that then clash the last in the map counts. Rows are never dropped, repeated rows are resolved alike, and extra
+names that then clash the one that sorts last counts. Rows are never dropped, repeated rows are resolved alike, and extra
 columns are kept.
 
 The as-of join is two-level, so that no URL's records meet in one task: equal (url, time) pairs are merged first, times
@@ -38,10 +38,10 @@ def canonical_url(url: Column) -> Column:
 
 
 def folded(headers: Column) -> Column:
-    """Headers with lower-case names; the last of equal names stays."""
-    entries = F.transform(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["key"] == e["key"]))
-    return F.map_from_entries(last)
+    """Headers with lower-case names; of names that clash the one that sorts last stays, whatever the map's order."""
+    entries = F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>")))
+    last = F.filter(entries, lambda e: ~F.exists(entries, lambda o: (F.lower(o["key"]) == F.lower(e["key"])) & (o["key"] > e["key"])))
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
 
 
 def merged(stored: Column, update: Column) -> Column:
