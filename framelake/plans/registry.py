@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from . import audio, levels, pictures
+
 FLAGSHIP = "waveform_gap_filled"
-MODULES: tuple = ()
+MODULES = (levels, audio, pictures)
 
 
 def queries() -> dict:
