@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import audio, levels, pictures
+from . import audio, levels, pictures, timelines
 
 FLAGSHIP = "waveform_gap_filled"
-MODULES = (levels, audio, pictures)
+MODULES = (levels, audio, pictures, timelines)
 
 
 def queries() -> dict:
