@@ -28,24 +28,29 @@ def _summed(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, most: int = 60, per_task: int = 500_000) -> DataFrame:
     """(node, component) of an undirected graph given as edges (u, v) of longs; component is the least node reached.
 
-    Alternates large-star and small-star steps (each node's neighbours are linked to the least of them); a step is an
-    aggregation and a join on the node, so a hub's neighbours are never gathered. Rounds grow with the logarithm of the
-    node count. Raises if ``most`` rounds don't suffice.
+    Alternates large-star and small-star steps (each node's neighbours are linked to the least of them). The large star
+    aggregates before it joins, so a hub's neighbours are never gathered; the small star groups by the larger end, which
+    has few smaller neighbours. Tasks are as many as the edges need, about ``per_task`` each, however many partitions
+    the session shuffles into. Rounds grow with the logarithm of the node count; raises if ``most`` don't suffice.
     """
+    least_tasks = edges.sparkSession.sparkContext.defaultParallelism
     edges = settle(edges.filter("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct())
     before = _summed(edges)
     if not before[0]:
         return edges.selectExpr("u AS node", "v AS component")
     for _ in range(most):
-        both = edges.union(edges.selectExpr("v AS u", "u AS v"))
+        tasks = max(least_tasks, -(-before[0] // per_task))
+        edges = edges.coalesce(tasks)
+        both = edges.union(edges.selectExpr("v AS u", "u AS v")).coalesce(tasks)
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").selectExpr("v AS u", "m AS v").filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))  # here u > v throughout
+        large = both.join(least, "u").filter("v > u").selectExpr("v AS u", "m AS v").filter("u <> v").coalesce(tasks)
+        large = large.repartition("u").dropDuplicates(["u", "v"])  # here u > v throughout; what follows keeps this partitioning
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").selectExpr("v AS u", "m AS v").union(least.selectExpr("u", "m AS v"))
-        edges = settle(small.distinct())
+        edges = settle(small.coalesce(tasks).distinct().coalesce(tasks))
         now = _summed(edges)
         if now == before:
             own = edges.select(F.col("v").alias("u"), "v").distinct()
