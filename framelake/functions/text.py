@@ -19,8 +19,9 @@ def clock_to_ns(text: Column) -> Column:
     """Nanoseconds of [HH:]MM:SS with , or . and a fraction of up to nine digits; null if it doesn't parse."""
     pattern = r"^\s*(?:(\d+):)?(\d{1,2}):(\d{1,2})(?:[.,](\d{1,9}))?\s*$"
     part = lambda i: F.regexp_extract(text, pattern, i)
-    whole = (F.coalesce(part(1).cast("long"), F.lit(0)) * 60 + part(2).cast("long")) * 60 + part(3).cast("long")
-    return F.when(text.rlike(pattern), whole * 1_000_000_000 + F.rpad(part(4), 9, "0").cast("long"))
+    number = lambda i: part(i).try_cast("long")
+    whole = (F.coalesce(number(1), F.lit(0)) * 60 + number(2)) * 60 + number(3)
+    return F.when(text.rlike(pattern), whole * 1_000_000_000 + F.rpad(part(4), 9, "0").try_cast("long"))
 
 
 def ns_to_clock(ns: Column, comma: bool = True) -> Column:

@@ -54,7 +54,7 @@ def clamp_transitions(clips: DataFrame, source_len: str = "source_ns") -> DataFr
     timeline time. Generated sources have no end; without an out-point the handle is empty; a first clip has none."""
     w = Window.partitionBy("track_id").orderBy("pos", "clip_id")
     handle = F.when(F.col("source_kind") != "file", F.lit((1 << 62))).when(F.col("out_ns").isNull(), 0).otherwise(F.greatest(F.lit(0), F.floor((F.col(source_len) - F.col("out_ns")) / F.greatest(F.col("speed"), F.lit(0.01)))))
-    return clips.withColumn("_h", handle.cast("long")).withColumn("transition_ns", F.coalesce(F.least(F.col("transition_ns"), F.lag("_h").over(w)), F.lit(0))).drop("_h")
+    return clips.withColumn("_h", handle.cast("long")).withColumn("transition_ns", F.coalesce(F.least(F.col("transition_ns"), F.coalesce(F.lag("_h").over(w), F.lit(0).cast("long"))), F.lit(0))).drop("_h")
 
 
 def active_clip(times: DataFrame, clips: DataFrame, width: int = 60 * NS) -> DataFrame:

@@ -117,7 +117,7 @@ def validate_report(spark, d):
 @plans.query(
     "transition_clamp",
     f"""WITH {CLIPS}, h AS (SELECT *, CASE WHEN source_kind <> 'file' THEN 4611686018427387904 WHEN out_ns IS NULL THEN 0 ELSE greatest(0, CAST(floor((source_ns - out_ns) / greatest(speed, 0.01)) AS BIGINT)) END AS handle FROM clips)
-SELECT clip_id, coalesce(CASE WHEN lag(handle) OVER w IS NOT NULL THEN least(transition_ns, lag(handle) OVER w) ELSE CASE WHEN lag(clip_id) OVER w IS NULL THEN transition_ns END END, 0) AS transition_ns FROM h WINDOW w AS (PARTITION BY track_id ORDER BY pos, clip_id)""",
+SELECT clip_id, CASE WHEN lag(clip_id) OVER w IS NULL THEN 0 ELSE least(transition_ns, lag(handle) OVER w) END AS transition_ns FROM h WINDOW w AS (PARTITION BY track_id ORDER BY pos, clip_id)""",
 )
 def transition_clamp(spark, d):
     return tl.clamp_transitions(media.clips(spark, d)).select("clip_id", "transition_ns")

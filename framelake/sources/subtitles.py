@@ -16,7 +16,7 @@ def parse_blocks(files: DataFrame, content: str = "content") -> DataFrame:
     blocks = F.split(F.regexp_replace(F.regexp_replace(content, "\r\n?", "\n"), "^﻿", ""), r"\n[ \t]*\n+")
     lines = files.select("path", F.posexplode(blocks).alias("block", "b")).withColumn("lines", F.split(F.btrim("b", F.lit(" \t\n")), "\n"))
     at = F.array_position(F.transform("lines", lambda x: x.rlike(ARROW)), True)
-    timed = lines.withColumn("at", at).filter("at > 0").withColumn("time", F.element_at("lines", F.col("at").cast("int")))
+    timed = lines.withColumn("at", at).filter("at > 0").withColumn("time", F.get("lines", F.col("at").cast("int") - 1))
     out = timed.select(
         "path",
         "block",
