@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import blend as B
-from ..functions.colour import luma709
+from ..functions.colour import hsl_to_rgb, luma709, rgb_to_hsl
 
 KEY = ["frame_no", "x", "y"]
 RGB = ["r", "g", "b"]
@@ -98,7 +98,13 @@ def paired(base: DataFrame, over: DataFrame, how: str = "left", x0: int = 0, y0:
 def blend(base: DataFrame, over: DataFrame, mode: str, opacity: float = 1.0) -> DataFrame:
     """Blended and composed over the base, as bytes r, g, b, a; base pixels without an overlay stay."""
     p = paired(base, over)
-    out = B.blend_over(mode, [F.col(c) for c in RGB], [F.col(f"_{c}") for c in RGB], F.col("a"), F.col("_a"), opacity)
+    if mode in B.HSL_MODES:  # through columns, so that no expression repeats the conversion
+        halves = {k: v for side in ("", "_") for k, v in zip((f"{side}h", f"{side}s", f"{side}l"), rgb_to_hsl(*(F.col(f"{side}{c}") for c in RGB)))}
+        take = dict(zip("hsl", B.HSL_MODES[mode]))
+        p = p.withColumns(halves).withColumns({f"m{c}": F.col(f"_{c}" if take[c] else c) for c in "hsl"})
+        blended = hsl_to_rgb(F.col("mh"), F.col("ms"), F.col("ml"))
+        p = p.withColumns({f"_{c}": v for c, v in zip(RGB, blended)})
+    out = B.blend_over("normal" if mode in B.HSL_MODES else mode, [F.col(c) for c in RGB], [F.col(f"_{c}") for c in RGB], F.col("a"), F.col("_a"), opacity)
     return p.select(*KEY, *(F.when(F.col("_a").isNull(), B.to_byte(F.col(c))).otherwise(v).alias(c) for c, v in zip("rgba", out)))
 
 
