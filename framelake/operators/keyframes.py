@@ -32,3 +32,12 @@ def value_at(times: DataFrame, keyframes: DataFrame) -> DataFrame:
     u = ease(F.col("easing"), (F.col("ts_ns") - F.col("t0")) / (F.col("t1") - F.col("t0")), *(F.col(c) for c in ("x1", "y1", "x2", "y2")))
     value = F.when(F.col("t0").isNull(), F.col("first_value")).when(F.col("t1").isNull(), F.col("v0")).otherwise(F.col("v0") + (F.col("v1") - F.col("v0")) * u)
     return found.withColumn("value", value).drop(*fields, "first_value")
+
+
+def animate(frames: DataFrame, keyframes: DataFrame, props: list[str], frame: str = "frame_no") -> DataFrame:
+    """``frames`` with a column for each property: its track's value at the frame's number (owner 0). Tracks are looked
+    up once a frame, not once a pixel."""
+    numbers = frames.select(frame).distinct()
+    times = numbers.select(F.lit(0).cast("long").alias("owner_id"), F.explode(F.array(*map(F.lit, props))).alias("prop"), F.col(frame).cast("long").alias("ts_ns"))
+    values = value_at(times, keyframes).groupBy("ts_ns").agg(*(F.max(F.when(F.col("prop") == p, F.col("value"))).alias(p) for p in props))
+    return frames.join(values.withColumnRenamed("ts_ns", frame), frame, "left")

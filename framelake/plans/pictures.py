@@ -275,8 +275,8 @@ _VD = "(2 * sqrt(((x + 0.5) / 8.0::DOUBLE - 0.5) * ((x + 0.5) / 8.0::DOUBLE - 0.
 _alpha("vignette_mask", byte(f"1 - {_SMOOTH.format(p=_VD, lo='0.5::DOUBLE', w='(0.5 + 0.4::DOUBLE - 0.5)')} * 0.8::DOUBLE"), lambda p: fb.to_byte(fc.vignette(F.col("x"), F.col("y"), 8, 8, 0.5, 0.4, 0.8)))
 _H0 = "((x * 374761393::BIGINT + y * 668265263::BIGINT + frame_no * 2147483647::BIGINT + 0) & 4294967295)"
 _H1 = f"((xor({_H0}, {_H0} >> 13) * 1274126177::BIGINT) & 4294967295)"
-_H2 = f"xor({_H1}, {_H1} >> 16)"
-_alpha("film_grain_hash", f"CAST(floor(({_H2} / (4294967295 / 2.0::DOUBLE) - 1) * 1000) AS BIGINT)", lambda p: F.floor(fc.grain(F.col("x"), F.col("y"), F.col("frame_no")) * 1000))
+GRAIN_HASH = f"xor({_H1}, {_H1} >> 16)"
+_alpha("film_grain_hash", f"CAST(floor(({GRAIN_HASH} / (4294967295 / 2.0::DOUBLE) - 1) * 1000) AS BIGINT)", lambda p: F.floor(fc.grain(F.col("x"), F.col("y"), F.col("frame_no")) * 1000))
 
 
 # ---- geometry and neighbourhoods -------------------------------------------------------------------------------------

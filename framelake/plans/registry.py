@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import audio, levels, pictures, timelines
+from . import audio, extras, levels, pictures, timelines
 
 FLAGSHIP = "waveform_gap_filled"
-MODULES = (levels, audio, pictures, timelines)
+MODULES = (levels, audio, pictures, timelines, extras)
 
 
 def queries() -> dict:
