@@ -27,17 +27,17 @@ def running_offset(parts: DataFrame, by: list[str], order: list, length: str) ->
     return parts.withColumn("start", F.coalesce(F.sum(length).over(w), F.lit(0)))
 
 
-def overlaps(clips: DataFrame) -> DataFrame:
+def overlaps(clips: DataFrame, width: int = 60 * NS) -> DataFrame:
     """(track_id, first, second): pairs of clips of one track whose half-open footprints meet; clips of unknown or
-    empty footprint take no part. A running maximum finds the clips that can overlap anything before the pairs are
-    joined, so tracks without overlaps cost one sort."""
+    empty footprint take no part. A running maximum finds the clips that can overlap anything, so tracks without
+    overlaps cost one sort; the rest meet by (track, time bucket), the later clip's start in the earlier one's span."""
     known = with_footprint(clips).filter("footprint_ns > 0").select("track_id", "clip_id", "pos", F.col("offset_ns").alias("s"), F.col("end_ns").alias("e"))
     before = Window.partitionBy("track_id").orderBy("s", "pos", "clip_id").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("track_id").orderBy("s", "pos", "clip_id")
     marked = known.withColumns({"_reach": F.max("e").over(before), "_next": F.lead("s").over(after)})
     late, early = marked.filter("_reach > s"), marked.filter("_next < e")
-    a = early.select("track_id", *(F.col(c).alias(f"a_{c}") for c in ("clip_id", "pos", "s", "e")))
-    pair = a.join(late, "track_id").filter("s < a_e AND (a_s < s OR (a_s = s AND (a_pos < pos OR (a_pos = pos AND a_clip_id < clip_id))))")
+    a = early.select("track_id", *(F.col(c).alias(f"a_{c}") for c in ("clip_id", "pos", "s", "e")), F.explode(F.sequence(F.floor(F.col("s") / width), F.floor((F.col("e") - 1) / width))).alias("bucket"))
+    pair = a.join(late.withColumn("bucket", F.floor(F.col("s") / width)), ["track_id", "bucket"]).filter("s < a_e AND (a_s < s OR (a_s = s AND (a_pos < pos OR (a_pos = pos AND a_clip_id < clip_id))))")
     return pair.select("track_id", F.col("a_clip_id").alias("first"), F.col("clip_id").alias("second"))
 
 
