@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import small_batches
+
 LEAF = 64
 CACHED = 200_000
 LONG_TEXT = 1 << 20
@@ -147,6 +149,7 @@ def codec(data: bytes, pattern: str, masked: str) -> Codec:
 
 
 def _shared(df: DataFrame, ranks_path: str, pattern: str):
+    small_batches(df)
     with open(ranks_path, "rb") as f:  # the vocabulary, about 1 MB, goes to the tasks from here
         return df.sparkSession.sparkContext.broadcast((f.read(), pattern, unknown_letters()))
 

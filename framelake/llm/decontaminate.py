@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import small_batches
 from .words import byte_table, covered, grams, groups, whole, winnow
 
 WINDOW, K = 10, 5
@@ -179,7 +180,7 @@ def decontaminate(
 ) -> DataFrame:
     """``docs`` with n_words, hit_spans (array of struct(start, end), in words), hit_items (sorted ids as strings)
     and contaminated. keep_text=False leaves the text out of the result, so that it never comes back from Python."""
-    docs = docs.drop(*RESULTS)
+    docs = small_batches(docs.drop(*RESULTS))
     kept = [f for f in docs.schema.fields if keep_text or f.name != text]
     added = T.StructType(
         [

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import small_batches
 from .words import byte_table, groups
 
 MAX_POSITIVES, MAX_UNLABELLED = 3000, 6000
@@ -33,7 +34,7 @@ FOLDS = 5
 CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", ".", ",;:", "!", "?", "'\"`", "|", "#*$%&@^~=+", "()[]{}<>", "-_/\\"]
 N_CLASSES = len(CLASSES) + 2
 WIDTH = N_CLASSES + N_CLASSES**2 + 8
-_CLASS = np.full(256, len(CLASSES) + 1, np.int64)
+_CLASS = np.full(256, len(CLASSES) + 1, np.int32)
 _CLASS[128:] = len(CLASSES)
 for _i, _c in enumerate(CLASSES):
     _CLASS[list(_c.encode())] = _i
@@ -50,7 +51,7 @@ def features(a) -> np.ndarray:
     lo, hi = int(a.offs[0]), int(a.offs[-1])
     size = np.diff(a.offs)
     kind = _CLASS[a.data[lo:hi]]
-    doc = np.repeat(np.arange(n), size)
+    doc = np.repeat(np.arange(n, dtype=np.int32), size)
     out = np.zeros((n, WIDTH))
     one = np.bincount(doc * N_CLASSES + kind, minlength=n * N_CLASSES).reshape(n, -1)
     same = doc[1:] == doc[:-1]
@@ -164,7 +165,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _matrix(texts: DataFrame) -> np.ndarray:
-    rows = texts.mapInArrow(_feature_rows, "x binary").collect()  # bounded by the sample sizes
+    rows = small_batches(texts).mapInArrow(_feature_rows, "x binary").collect()  # bounded by the sample sizes
     return np.array([np.frombuffer(r[0], np.float32) for r in rows], np.float64).reshape(-1, WIDTH)
 
 
@@ -181,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_positives: int = MAX_POSITI
 
 def score_quality(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with score: how likely label 1 is."""
-    docs = docs.drop("score")
+    docs = small_batches(docs.drop("score"))
     fields = [f for f in docs.schema.fields if keep is None or f.name in keep]
     names = [f.name for f in fields]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # WIDTH weights

@@ -18,6 +18,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Rows that go to a Python kernel at once, instead of Spark's default of 10,000: texts are long.
+BATCH_KEY, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; lowers the session's rows per Arrow batch if it is the default, which bounds what a task holds of long
+    texts in the JVM and in Python. A value that the user has set stays."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_KEY) == BATCH_DEFAULT:
+        conf.set(BATCH_KEY, BATCH_ROWS)
+    return df
+
+
 def settle(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder, which survives lost executors, and cut from its lineage."""
     checkpoint_dir(df.sparkSession)

@@ -6,7 +6,7 @@ with a smaller doc_id. Three steps:
 1. Index. Documents come in batches of ascending doc_id. The fingerprints of a batch (winnowed K-gram hashes: every
    window holds one) are dealt to buckets by their leading bits, sorted, and merge-joined by bucket with the sorted
    immutable runs of earlier batches; what is new becomes the next run, and runs are compacted when FANOUT of them
-   have gathered. A run keeps each hash once, with its least doc_id and whether two documents share it.
+   have gathered. A run keeps each hash once, with whether two documents share it.
 2. Verify. Shared fingerprints set bits of a bitmap of bounded size (it only prunes: a full one lets every window
    through). Windows that hold a marked fingerprint are compared by 96-bit digests of their words: the least doc_id of
    each digest is found by bucket, after each task has settled what it can among its own documents.
@@ -30,17 +30,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import checkpoint_dir
+from .shared import checkpoint_dir, small_batches
 from .words import byte_table, covered, grams, groups, whole, winnow
 
 WINDOW, K = 13, 6
-BATCHES, FANOUT = 3, 2
+BATCHES, FANOUT = 2, 4
 #: Fingerprints in a bucket, about; bits of the bitmap of shared fingerprints at most; bits of that of documents.
 BUCKET, SHARED_BITS, DOC_BITS = 1 << 20, 1 << 28, 1 << 25
 _TABLE = byte_table(words="nonspace", lower=False)
 _LAST = (1 << 63) - 1
 _U = np.uint64
-_RUN = "bucket int, hashes binary, ids binary, multi binary"
+_PRINTS = "bucket int, hashes binary, ids binary, multi binary"
+_RUN = "bucket int, hashes binary, multi binary"
+#: Windows that a task compares at once before it sends them on, and the documents they come from, about.
+CHUNK_WINDOWS, CHUNK_DOCS = 500_000, 60_000
 
 
 def _least(h: np.ndarray, ids: np.ndarray, multi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,57 +64,66 @@ def _by_bucket(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prints(bits: int):
+    """Rows (bucket, hashes, ids, multi): each fingerprint once a chunk."""
+
+    def chunk(found: list, owner: list) -> pa.RecordBatch:
+        h = np.concatenate(found)
+        h, least, multi = _least(h, np.concatenate(owner).astype(np.int64), np.zeros(len(h), bool))
+        have, at = _by_bucket(h, bits)
+        cut = [slice(at[i], at[i + 1]) for i in range(len(have))]
+        return pa.RecordBatch.from_arrays([pa.array(have, pa.int32()), *(pa.array([x[c].tobytes() for c in cut], pa.binary()) for x in (h, least, multi))], names=["bucket", "hashes", "ids", "multi"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, owner, held = [], [], 0
         for batch in batches:
-            ids, found, owner = batch.column(0).to_numpy(zero_copy_only=False), [], []
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a in groups(batch.column(1), _TABLE):
                 g = grams(a.hash, K)
                 at = winnow(g, a.doc, K, WINDOW - K + 1)
                 found.append(g[at])
                 owner.append(ids[a.first + a.doc[at]])
-            if not found or not sum(map(len, found)):
-                continue
-            h, least, multi = _least(np.concatenate(found), np.concatenate(owner).astype(np.int64), np.zeros(sum(map(len, found)), bool))
-            have, at = _by_bucket(h, bits)
-            cut = [slice(at[i], at[i + 1]) for i in range(len(have))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(have, pa.int32()), *(pa.array([x[c].tobytes() for c in cut], pa.binary()) for x in (h, least, multi))], names=["bucket", "hashes", "ids", "multi"]
-            )
+                held += len(at)
+            if held >= CHUNK_WINDOWS:
+                yield chunk(found, owner)
+                found, owner, held = [], [], 0
+        if held:
+            yield chunk(found, owner)
 
     return run
 
 
-def _arrays(row: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return tuple(np.frombuffer(b"".join(row[c]), kind) for c, kind in (("hashes", _U), ("ids", np.int64), ("multi", bool)))
+def _joined_blobs(rows: pd.DataFrame, **kinds) -> tuple[np.ndarray, ...]:
+    return tuple(np.frombuffer(b"".join(rows[c]), kind) for c, kind in kinds.items())
 
 
 def _merge(bits: int, shared_bits: int):
     """Merge-joins a bucket's new fingerprints with its runs; gives the new run and the bucket's part of the bitmap."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        new = _least(*_arrays(pdf[pdf["run"] < 0]))
-        known = np.zeros(len(new[0]), bool)
-        fresh = new[2].copy()
+        hashes, ids, multi = _joined_blobs(pdf[pdf["run"] < 0], hashes=_U, ids=np.int64, multi=bool)
+        new, _, shared = _least(hashes, ids, multi)
+        known = np.zeros(len(new), bool)
         bucket = int(pdf["bucket"].iloc[0])
         for _, old in pdf[pdf["run"] >= 0].groupby("run"):
-            h, ids, multi = _arrays(old)
-            at = np.minimum(np.searchsorted(h, new[0]), max(0, len(h) - 1))
-            hit = h[at] == new[0] if len(h) else np.zeros(len(new[0]), bool)
-            fresh |= hit & (ids[at] != new[1]) if len(h) else False
-            known |= hit & multi[at] if len(h) else False
+            h, marked = _joined_blobs(old, hashes=_U, multi=bool)
+            if len(h) and len(new):
+                at = np.minimum(np.searchsorted(h, new), len(h) - 1)
+                hit = h[at] == new
+                shared = shared | hit  # earlier batches hold smaller ids only
+                known |= hit & marked[at]
         keep = ~known  # a hash already marked as shared needs no new entry
         width = shared_bits >> bits
         marks = np.zeros(width, np.uint8)
-        place = (new[0][fresh | known] >> _U(64 - shared_bits.bit_length() + 1)).astype(np.int64) - bucket * width
-        marks[place] = 1
-        return pd.DataFrame({"bucket": [bucket], "hashes": [new[0][keep].tobytes()], "ids": [new[1][keep].tobytes()], "multi": [fresh[keep].tobytes()], "marks": [np.packbits(marks).tobytes()]})
+        marks[(new[shared] >> _U(64 - shared_bits.bit_length() + 1)).astype(np.int64) - bucket * width] = 1
+        return pd.DataFrame({"bucket": [bucket], "hashes": [new[keep].tobytes()], "multi": [shared[keep].tobytes()], "marks": [np.packbits(marks).tobytes()]})
 
     return run
 
 
 def _compact(pdf: pd.DataFrame) -> pd.DataFrame:
-    h, ids, multi = _least(*_arrays(pdf))
-    return pd.DataFrame({"bucket": [int(pdf["bucket"].iloc[0])], "hashes": [h.tobytes()], "ids": [ids.tobytes()], "multi": [multi.tobytes()]})
+    h, multi = _joined_blobs(pdf, hashes=_U, multi=bool)
+    h, _, multi = _least(h, np.zeros(len(h), np.int64), multi)
+    return pd.DataFrame({"bucket": [int(pdf["bucket"].iloc[0])], "hashes": [h.tobytes()], "multi": [multi.tobytes()]})
 
 
 class FingerprintIndex:
@@ -125,9 +137,11 @@ class FingerprintIndex:
 
     def add(self, docs: DataFrame) -> None:
         """Merges a batch (columns id, text), whose ids must all be larger than those added before."""
-        new = docs.mapInArrow(_prints(self.bits), _RUN).withColumn("run", F.lit(-1))
+        if len(self.runs) >= FANOUT:
+            self.compact()
+        new = docs.mapInArrow(_prints(self.bits), _PRINTS).withColumn("run", F.lit(-1))
         for i, path in enumerate(self.runs):
-            new = new.union(self.spark.read.parquet(path).select("bucket", "hashes", "ids", "multi", F.lit(i).alias("run")))
+            new = new.union(self.spark.read.parquet(path).select("bucket", "hashes", F.lit(None).cast("binary").alias("ids"), "multi", F.lit(i).alias("run")))
         path = f"{self.folder}/run-{self.made}"
         new.groupBy("bucket").applyInPandas(_merge(self.bits, self.shared_bits), f"{_RUN}, marks binary").write.parquet(path)
         width = self.shared_bits // 8 >> self.bits
@@ -135,12 +149,10 @@ class FingerprintIndex:
             self.marks[bucket * width : (bucket + 1) * width] |= np.frombuffer(marks, np.uint8)
         self.runs.append(path)
         self.made += 1
-        if len(self.runs) > FANOUT:
-            self.compact()
 
     def compact(self) -> None:
         path = f"{self.folder}/run-{self.made}"
-        self.spark.read.parquet(*self.runs).select("bucket", "hashes", "ids", "multi").groupBy("bucket").applyInPandas(_compact, _RUN).write.parquet(path)
+        self.spark.read.parquet(*self.runs).select("bucket", "hashes", "multi").groupBy("bucket").applyInPandas(_compact, _RUN).write.parquet(path)
         for old in self.runs:
             drop(self.spark, old)
         self.runs = [path]
@@ -152,22 +164,37 @@ def drop(spark, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def _digests(a, b) -> tuple[np.ndarray, np.ndarray]:
-    """96 bits for each window of a group, scanned with two bases."""
-    return grams(a.hash, WINDOW), (grams(b.hash, WINDOW) >> _U(32)).astype(np.uint32)
+_ASKED = "bucket int, id long, one binary, two binary, ids binary, who binary"
+_GONE = "id long, one binary"
 
 
 def _ask(bits: int, shared_bits: int, marks):
-    """Windows that hold a marked fingerprint, as (bucket, digests, ids), each digest once a task with its least id;
-    and (id, digests) rows of what is larger than that least id."""
+    """Windows that hold a marked fingerprint, as rows (bucket, digests, documents), each digest once a chunk with its
+    least id; and rows (id, digests) of what has a larger id than that, dealt to buckets below 0."""
     shift = _U(64 - shared_bits.bit_length() + 1)
     span = WINDOW - K + 1
 
+    def chunk(one: list, two: list, owner: list) -> Iterator[pa.RecordBatch]:
+        x, y, who = (np.concatenate(v) for v in (one, two, owner))
+        order = np.lexsort((who, y, x))
+        x, y, who = x[order], y[order], who[order]
+        head = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+        least = who[head][np.cumsum(head) - 1]
+        ids, blobs = _by_id(x[who > least], who[who > least])
+        if len(ids):
+            none = [None] * len(ids)
+            yield _rows(-1 - (ids % (1 << bits)), ids, blobs, none, none, none)
+        x, y, who = x[head], y[head], who[head]
+        have, at = _by_bucket(x, bits)
+        cut = [slice(at[i], at[i + 1]) for i in range(len(have))]
+        named = [np.unique(who[c], return_inverse=True) for c in cut]
+        yield _rows(have, [None] * len(have), [x[c].tobytes() for c in cut], [y[c].tobytes() for c in cut], [n.tobytes() for n, _ in named], [i.astype(np.uint16 if len(n) <= 1 << 16 else np.uint32).tobytes() for n, i in named])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = marks.value
+        one, two, owner, docs = [], [], [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            one, two, owner = [], [], []
             for a, b in zip(groups(batch.column(1), _TABLE), groups(batch.column(1), _TABLE, 1)):
                 g = grams(a.hash, K)
                 at = winnow(g, a.doc, K, span)
@@ -177,77 +204,69 @@ def _ask(bits: int, shared_bits: int, marks):
                 for j in range(span):
                     start = at - j
                     some[start[(start >= 0) & (start < len(some))]] = True
-                some &= whole(a.doc, WINDOW)
-                at = np.flatnonzero(some)
-                x, y = _digests(a, b)
-                one.append(x[at])
-                two.append(y[at])
+                at = np.flatnonzero(some & whole(a.doc, WINDOW))
+                if not len(at):
+                    continue
+                if docs + a.n_docs > CHUNK_DOCS or sum(map(len, one)) + len(at) > CHUNK_WINDOWS:
+                    if one:
+                        yield from chunk(one, two, owner)
+                    one, two, owner, docs = [], [], [], 0
+                one.append(grams(a.hash, WINDOW)[at])
+                two.append((grams(b.hash, WINDOW)[at] >> _U(32)).astype(np.uint32))
                 owner.append(ids[a.first + a.doc[at]])
-            if not one or not sum(map(len, one)):
-                continue
-            x, y, who = (np.concatenate(v) for v in (one, two, owner))
-            order = np.lexsort((who, y, x))
-            x, y, who = x[order], y[order], who[order]
-            head = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
-            least = who[head][np.cumsum(head) - 1]
-            yield _removed(x[who > least], y[who > least], who[who > least])
-            x, y, who = x[head], y[head], who[head]
-            have, at = _by_bucket(x, bits)
-            cut = [slice(at[i], at[i + 1]) for i in range(len(have))]
-            yield _rows(have, [None] * len(have), [x[c] for c in cut], [y[c] for c in cut], [who[c] for c in cut])
+                docs += a.n_docs
+        if one:
+            yield from chunk(one, two, owner)
 
     return run
 
 
-_ASKED = "bucket int, id long, one binary, two binary, ids binary"
-
-
-def _rows(buckets, ids, one, two, who) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(buckets, pa.int32()), pa.array(ids, pa.int64()), *(pa.array([v.tobytes() for v in x], pa.binary()) for x in (one, two)), pa.array([v.tobytes() if v is not None else None for v in who], pa.binary())],
-        names=["bucket", "id", "one", "two", "ids"],
-    )
+def _rows(buckets, ids, one, two, names, who) -> pa.RecordBatch:
+    blobs = [pa.array(x, pa.binary()) for x in (one, two, names, who)]
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(ids, pa.int64()), *blobs], names=["bucket", "id", "one", "two", "ids", "who"])
 
 
-def _removed(x: np.ndarray, y: np.ndarray, who: np.ndarray) -> pa.RecordBatch:
+def _by_id(x: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     order = np.argsort(who, kind="stable")
-    x, y, who = x[order], y[order], who[order]
-    each, at = np.unique(who, return_index=True)
+    x, who = x[order], who[order]
+    ids, at = np.unique(who, return_index=True)
     at = np.append(at, len(who))
-    cut = [slice(at[i], at[i + 1]) for i in range(len(each))]
-    return _rows([None] * len(each), each, [x[c] for c in cut], [y[c] for c in cut], [None] * len(each))
+    return ids, [x[at[i] : at[i + 1]].tobytes() for i in range(len(ids))]
 
 
 def _settle_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    x, y, who = (np.frombuffer(b"".join(pdf[c]), kind) for c, kind in (("one", _U), ("two", np.uint32), ("ids", np.int64)))
+    """(id, digests) of a bucket's windows that a smaller id has too; what is settled already passes through."""
+    if pdf["bucket"].iloc[0] < 0:
+        return pdf[["id", "one"]]
+    x, y = _joined_blobs(pdf, one=_U, two=np.uint32)
+    who = np.concatenate([np.frombuffer(n, np.int64)[np.frombuffer(i, np.uint16 if len(n) <= 8 << 16 else np.uint32)] for n, i in zip(pdf["ids"], pdf["who"])])
     order = np.lexsort((who, y, x))
     x, y, who = x[order], y[order], who[order]
     head = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
     least = who[head][np.cumsum(head) - 1]
-    return _removed(x[who > least], y[who > least], who[who > least]).to_pandas()[["id", "one", "two"]]
+    ids, blobs = _by_id(x[who > least], who[who > least])
+    return pd.DataFrame({"id": ids, "one": blobs})
 
 
-def _strip(text: str, names: list[str]):
-    """Drops the words that the row's digests cover."""
+def _strip(text: str, names: list[str], bitmap=None):
+    """Drops the words that the row's digests cover (64 bits of each: they are only looked up in their own document).
+    With a bitmap: keeps only the documents that lose nothing, which have no digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            ones, twos = (batch.column(batch.schema.get_field_index(c)) for c in ("_one", "_two"))
+            if bitmap:
+                batch = batch.filter(pa.array(~_marked(bitmap, batch)))
+            lists = None if bitmap else batch.column(batch.schema.get_field_index("_one"))
             n_words, n_removed, kept = [], [], []
-            second = groups(column, _TABLE, 1) if ones.null_count < len(ones) else None
-            for a in groups(column, _TABLE):
-                b = next(second) if second else None
+            for a in groups(batch.column(batch.schema.get_field_index(text)), _TABLE):
                 bounds = a.bounds()
                 gone = np.zeros(len(a.hash), bool)
-                for d in range(a.n_docs):
-                    blobs = ones[a.first + d].as_py()
-                    if not blobs:
-                        continue
-                    lo, hi = bounds[d], bounds[d + 1]
-                    bad = _pairs(np.frombuffer(b"".join(blobs), _U), np.frombuffer(b"".join(twos[a.first + d].as_py()), np.uint32))
-                    own = _pairs(grams(a.hash[lo:hi], WINDOW), (grams(b.hash[lo:hi], WINDOW) >> _U(32)).astype(np.uint32))
-                    gone[lo:hi] = covered(int(hi - lo), np.flatnonzero(_among(own, bad)), WINDOW)
+                for d in range(a.n_docs if lists is not None else 0):
+                    blobs = lists[a.first + d].as_py()
+                    if blobs:
+                        own = grams(a.hash[bounds[d] : bounds[d + 1]], WINDOW)
+                        at = np.flatnonzero(np.isin(own, np.frombuffer(b"".join(blobs), _U)))
+                        gone[bounds[d] : bounds[d + 1]] = covered(int(bounds[d + 1] - bounds[d]), at, WINDOW)
                 n = np.diff(bounds)
                 n_words.append(n)
                 n_removed.append(n - np.bincount(a.doc[~gone], minlength=a.n_docs))
@@ -260,23 +279,6 @@ def _strip(text: str, names: list[str]):
     return run
 
 
-def _pairs(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Both parts of digests in one comparable value each."""
-    out = np.zeros(len(one), [("one", _U), ("two", np.uint32)])
-    out["one"], out["two"] = one, two
-    return out
-
-
-def _among(own: np.ndarray, bad: np.ndarray) -> np.ndarray:
-    bad = bad[np.lexsort((bad["two"], bad["one"]))]
-    hit = np.zeros(len(own), bool)
-    low, high = np.searchsorted(bad["one"], own["one"], "left"), np.searchsorted(bad["one"], own["one"], "right")
-    for j in range(int((high - low).max(initial=0))):  # digests that agree in the first part: one, as a rule
-        more = low + j < high
-        hit[more] |= bad["two"][low[more] + j] == own["two"][more]
-    return hit
-
-
 def _joined(a, keep: np.ndarray) -> list[bytes]:
     """Each document's kept words, joined by one space."""
     lo, hi = int(a.offs[0]), int(a.offs[-1])
@@ -302,7 +304,7 @@ def _power_of_two(n: float, least: int, most: int) -> int:
 def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with n_words, n_removed and kept_text (the kept words joined by one space)."""
     spark = docs.sparkSession
-    docs = docs.drop("n_words", "n_removed", "kept_text", "_id", "_one", "_two")
+    docs = small_batches(docs).drop("n_words", "n_removed", "kept_text", "_id", "_one")
     named = docs.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)))
     slim = named.select(F.col("_id").alias("id"), F.col(text).alias("text"))
     share = [F.percentile_approx("id", [(i + 1) / batches for i in range(batches - 1)], 1000)] if batches > 1 else []
@@ -315,11 +317,8 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
         part = slim if low is None else slim.filter(F.col("id") > low)
         index.add(part if high is None else part.filter(F.col("id") <= high))
     marks = spark.sparkContext.broadcast(index.marks)  # at most SHARED_BITS / 8 bytes
-    asked_at = f"{folder}/asked"
-    slim.mapInArrow(_ask(index.bits, index.shared_bits, marks), _ASKED).write.parquet(asked_at)
-    asked = spark.read.parquet(asked_at)
-    found = asked.filter("bucket IS NOT NULL").groupBy("bucket").applyInPandas(_settle_bucket, "id long, one binary, two binary")
-    found.union(asked.filter("bucket IS NULL").select("id", "one", "two")).write.parquet(f"{folder}/gone")
+    asked = slim.mapInArrow(_ask(index.bits, index.shared_bits, marks), _ASKED)
+    asked.groupBy("bucket").applyInPandas(_settle_bucket, _GONE).write.parquet(f"{folder}/gone")
     gone = spark.read.parquet(f"{folder}/gone")
     place = F.pmod(F.xxhash64("id"), F.lit(DOC_BITS))
     words = gone.select("id").distinct().groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {DOC_BITS}) % 64 AS int))")).alias("b"))
@@ -330,20 +329,22 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     fields = [f for f in docs.schema.fields if keep is None or f.name in keep]
     names = [f.name for f in fields]
     lean = named.select(*names, *([] if text in names else [text]), "_id").withColumn("_place", F.pmod(F.xxhash64("_id"), F.lit(DOC_BITS)))
-    picked = [lean.mapInArrow(_pick(bitmap, loses), lean.schema).drop("_place") for loses in (True, False)]
-    lists = gone.groupBy(F.col("id").alias("_id")).agg(F.collect_list("one").alias("_one"), F.collect_list("two").alias("_two"))
-    none = F.lit(None).cast("array<binary>")
-    both = picked[0].join(lists, "_id", "left"), picked[1].withColumns({"_one": none, "_two": none})
+    losing_docs = lean.mapInArrow(_pick(bitmap), lean.schema).drop("_place")
+    lists = gone.groupBy(F.col("id").alias("_id")).agg(F.collect_list("one").alias("_one"))
     out = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return both[0].select(*both[1].columns).mapInArrow(_strip(text, names), out).union(both[1].mapInArrow(_strip(text, names), out))
+    changed = losing_docs.join(lists, "_id", "left").mapInArrow(_strip(text, names), out)
+    return changed.union(lean.mapInArrow(_strip(text, names, bitmap), out))
+
+
+def _marked(bitmap, batch: pa.RecordBatch) -> np.ndarray:
+    at = batch.column(batch.schema.get_field_index("_place")).to_numpy(zero_copy_only=False)
+    return (bitmap.value[at >> 6] >> (at & 63)) & 1 == 1
 
 
-def _pick(bitmap, loses: bool):
+def _pick(bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(batch.schema.get_field_index("_place")).to_numpy(zero_copy_only=False)
-            hit = (bitmap.value[at >> 6] >> (at & 63)) & 1 == 1
-            yield batch.filter(pa.array(hit if loses else ~hit))
+            yield batch.filter(pa.array(_marked(bitmap, batch)))
 
     return run
 

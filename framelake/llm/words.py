@@ -13,8 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
-GROUP_BYTES = 4 << 20
+SLICE_BYTES = 1 << 18
+GROUP_BYTES = 1 << 20
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd: invertible modulo 2**64
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -137,6 +137,7 @@ def groups(column: pa.Array, table: np.ndarray, which: int = 0) -> Iterator[Word
         upto = max(at + 1, int(np.searchsorted(offs, offs[at] + GROUP_BYTES, "right")) - 1)
         yield Words(at, upto - at, data, offs[at : upto + 1], *scan(data, offs[at : upto + 1], table, which))
         at = upto
+    pa.default_memory_pool().release_unused()  # what the last batches left, before the next is read
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
