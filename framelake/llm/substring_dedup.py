@@ -8,8 +8,9 @@ with a smaller doc_id. Three steps:
    immutable runs of earlier batches; what is new becomes the next run, and runs are compacted when FANOUT of them
    have gathered. A run keeps each hash once, with whether two documents share it.
 2. Verify. Shared fingerprints set bits of a bitmap of bounded size (it only prunes: a full one lets every window
-   through). Windows that hold a marked fingerprint are compared by 96-bit digests of their words: the least doc_id of
-   each digest is found by bucket, after each task has settled what it can among its own documents.
+   through). Windows whose fingerprint is marked are compared by 96-bit digests of their words: the least doc_id of each
+   digest is found by bucket, after each task has settled what it can among its own documents. What a bucket settles
+   leaves it as one row a window, so the rows grow with the windows removed and not with documents times buckets.
 3. Remove. Only documents that lose words (a second bounded bitmap) are shuffled to meet their digests.
 
 No group gathers documents: a fingerprint or window that a third of all documents share leaves each task once.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import checkpoint_dir, small_batches
-from .words import byte_table, covered, grams, groups, whole, winnow
+from .words import byte_table, covered, grams, groups, sliding_least, whole, winnow
 
 WINDOW, K = 13, 6
 BATCHES, FANOUT = 2, 4
@@ -165,14 +166,13 @@ def drop(spark, path: str) -> None:
 
 
 _ASKED = "bucket int, id long, one binary, two binary, ids binary, who binary"
-_GONE = "id long, one binary"
+_GONE = "id long, one long, many binary"
 
 
 def _ask(bits: int, shared_bits: int, marks):
-    """Windows that hold a marked fingerprint, as rows (bucket, digests, documents), each digest once a chunk with its
+    """Windows whose fingerprint, the least of their K-grams, is marked, as rows (bucket, digests, documents), each digest once a chunk with its
     least id; and rows (id, digests) of what has a larger id than that, dealt to buckets below 0."""
     shift = _U(64 - shared_bits.bit_length() + 1)
-    span = WINDOW - K + 1
 
     def chunk(one: list, two: list, owner: list) -> Iterator[pa.RecordBatch]:
         x, y, who = (np.concatenate(v) for v in (one, two, owner))
@@ -196,15 +196,8 @@ def _ask(bits: int, shared_bits: int, marks):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for a, b in zip(groups(batch.column(1), _TABLE), groups(batch.column(1), _TABLE, 1)):
-                g = grams(a.hash, K)
-                at = winnow(g, a.doc, K, span)
-                place = (g[at] >> shift).astype(np.int64)
-                at = at[bitmap[place >> 3] >> (7 - (place & 7)) & 1 == 1]
-                some = np.zeros(max(0, len(a.hash) - WINDOW + 1), bool)
-                for j in range(span):
-                    start = at - j
-                    some[start[(start >= 0) & (start < len(some))]] = True
-                at = np.flatnonzero(some & whole(a.doc, WINDOW))
+                place = (sliding_least(grams(a.hash, K), WINDOW - K + 1) >> shift).astype(np.int64)
+                at = np.flatnonzero((bitmap[place >> 3] >> (7 - (place & 7)) & 1 == 1) & whole(a.doc, WINDOW))
                 if not len(at):
                     continue
                 if docs + a.n_docs > CHUNK_DOCS or sum(map(len, one)) + len(at) > CHUNK_WINDOWS:
@@ -235,17 +228,19 @@ def _by_id(x: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
 
 
 def _settle_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(id, digests) of a bucket's windows that a smaller id has too; what is settled already passes through."""
+    """(id, digest) of each of a bucket's windows that a smaller id has too; what is settled already, many digests a
+    row, passes through."""
     if pdf["bucket"].iloc[0] < 0:
-        return pdf[["id", "one"]]
+        return pd.DataFrame({"id": pdf["id"], "one": None, "many": pdf["one"]})
     x, y = _joined_blobs(pdf, one=_U, two=np.uint32)
     who = np.concatenate([np.frombuffer(n, np.int64)[np.frombuffer(i, np.uint16 if len(n) <= 8 << 16 else np.uint32)] for n, i in zip(pdf["ids"], pdf["who"])])
     order = np.lexsort((who, y, x))
     x, y, who = x[order], y[order], who[order]
     head = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
     least = who[head][np.cumsum(head) - 1]
-    ids, blobs = _by_id(x[who > least], who[who > least])
-    return pd.DataFrame({"id": ids, "one": blobs})
+    gone = np.flatnonzero(who > least)
+    gone = gone[np.argsort(who[gone], kind="stable")]
+    return pd.DataFrame({"id": who[gone], "one": x[gone].view(np.int64), "many": None})
 
 
 def _strip(text: str, names: list[str], bitmap=None):
@@ -256,16 +251,17 @@ def _strip(text: str, names: list[str], bitmap=None):
         for batch in batches:
             if bitmap:
                 batch = batch.filter(pa.array(~_marked(bitmap, batch)))
-            lists = None if bitmap else batch.column(batch.schema.get_field_index("_one"))
+            lists = None if bitmap else [batch.column(batch.schema.get_field_index(c)) for c in ("_one", "_many")]
             n_words, n_removed, kept = [], [], []
             for a in groups(batch.column(batch.schema.get_field_index(text)), _TABLE):
                 bounds = a.bounds()
                 gone = np.zeros(len(a.hash), bool)
                 for d in range(a.n_docs if lists is not None else 0):
-                    blobs = lists[a.first + d].as_py()
-                    if blobs:
+                    one, many = (x[a.first + d] for x in lists)
+                    if one.is_valid:  # both are lists, or both null
                         own = grams(a.hash[bounds[d] : bounds[d + 1]], WINDOW)
-                        at = np.flatnonzero(np.isin(own, np.frombuffer(b"".join(blobs), _U)))
+                        digests = np.concatenate((one.values.to_numpy().view(_U), np.frombuffer(b"".join(many.as_py()), _U)))
+                        at = np.flatnonzero(np.isin(own, digests))
                         gone[bounds[d] : bounds[d + 1]] = covered(int(bounds[d + 1] - bounds[d]), at, WINDOW)
                 n = np.diff(bounds)
                 n_words.append(n)
@@ -304,7 +300,7 @@ def _power_of_two(n: float, least: int, most: int) -> int:
 def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with n_words, n_removed and kept_text (the kept words joined by one space)."""
     spark = docs.sparkSession
-    docs = small_batches(docs).drop("n_words", "n_removed", "kept_text", "_id", "_one")
+    docs = small_batches(docs).drop("n_words", "n_removed", "kept_text", "_id", "_one", "_many", "_place")
     named = docs.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)))
     slim = named.select(F.col("_id").alias("id"), F.col(text).alias("text"))
     share = [F.percentile_approx("id", [(i + 1) / batches for i in range(batches - 1)], 1000)] if batches > 1 else []
@@ -330,7 +326,7 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     names = [f.name for f in fields]
     lean = named.select(*names, *([] if text in names else [text]), "_id").withColumn("_place", F.pmod(F.xxhash64("_id"), F.lit(DOC_BITS)))
     losing_docs = lean.mapInArrow(_pick(bitmap), lean.schema).drop("_place")
-    lists = gone.groupBy(F.col("id").alias("_id")).agg(F.collect_list("one").alias("_one"))
+    lists = gone.groupBy(F.col("id").alias("_id")).agg(F.collect_list("one").alias("_one"), F.collect_list("many").alias("_many"))
     out = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     changed = losing_docs.join(lists, "_id", "left").mapInArrow(_strip(text, names), out)
     return changed.union(lean.mapInArrow(_strip(text, names, bitmap), out))

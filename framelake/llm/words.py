@@ -158,14 +158,23 @@ def whole(doc: np.ndarray, k: int) -> np.ndarray:
     return doc[:n] == doc[k - 1 :] if n > 0 else np.zeros(0, bool)
 
 
-def winnow(g: np.ndarray, doc: np.ndarray, k: int, w: int) -> np.ndarray:
-    """Positions of the k-grams that are the least of some w consecutive k-grams of one document, all ties included."""
+def sliding_least(g: np.ndarray, w: int) -> np.ndarray:
+    """The least of each w consecutive values."""
     n = len(g) - w + 1
     if n <= 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, g.dtype)
     least = g[:n].copy()
     for j in range(1, w):
         np.minimum(least, g[j : j + n], out=least)
+    return least
+
+
+def winnow(g: np.ndarray, doc: np.ndarray, k: int, w: int) -> np.ndarray:
+    """Positions of the k-grams that are the least of some w consecutive k-grams of one document, all ties included."""
+    least = sliding_least(g, w)
+    n = len(least)
+    if not n:
+        return np.zeros(0, np.int64)
     ok = whole(doc, k + w - 1)
     chosen = np.zeros(len(g), bool)
     for j in range(w):
