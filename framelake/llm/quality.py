@@ -16,6 +16,7 @@ rows score alike. Null doc_ids are scored too but never sampled. A ``score`` col
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -166,7 +167,8 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _matrix(texts: DataFrame) -> np.ndarray:
     rows = small_batches(texts).mapInArrow(_feature_rows, "x binary").collect()  # bounded by the sample sizes
-    return np.array([np.frombuffer(r[0], np.float32) for r in rows], np.float64).reshape(-1, WIDTH)
+    # In a hashed order of their own, so that a fit doesn't depend on how the rows were dealt.
+    return np.array([np.frombuffer(x, np.float32) for x in sorted((bytes(r[0]) for r in rows), key=lambda x: hashlib.sha256(x).digest())], np.float64).reshape(-1, WIDTH)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED) -> Model:
@@ -176,8 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, *, max_positives: int = MAX_POSITI
     positives = docs.join(F.broadcast(good), "doc_id").select("text")  # at most max_positives ids
     pool = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     share = 1.2 * max_unlabelled / max(1, docs.count()) * FOLDS / (FOLDS - 1)
-    picked = pool.filter(F.pmod(F.xxhash64(F.lit("unlabelled"), "doc_id"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
-    return fit(_matrix(positives.limit(2 * max_positives)), _matrix(picked.select("text").limit(max_unlabelled)))
+    place = F.pmod(F.xxhash64(F.lit("unlabelled"), "doc_id"), F.lit(1 << 30))
+    picked = pool.filter(place < int(min(1.0, share) * (1 << 30))).orderBy(place, "doc_id", F.xxhash64("text")).limit(max_unlabelled)
+    return fit(_matrix(positives.limit(2 * max_positives)), _matrix(picked.select("text")))
 
 
 def score_quality(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:

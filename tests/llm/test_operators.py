@@ -362,3 +362,9 @@ def test_word_scan_slices():
     one = next(groups(pa.array(["aé b"]), table)).hash
     assert (got[0] == np.tile(one, 300_000)).all()
     assert len(got[1]) == 1 and len(got[2]) == 0 and len(got[3]) == 2
+
+
+def test_quality_fit_is_the_same_however_rows_are_dealt(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    a, b = (quality.train(x, labels, max_positives=40, max_unlabelled=60) for x in (docs, docs.repartition(3, "n_chars")))
+    assert (a.weight == b.weight).all() and (a.bias, a.prior) == (b.bias, b.prior)
