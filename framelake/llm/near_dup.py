@@ -10,8 +10,9 @@ into bands of ROWS coordinates; a pair at the threshold 0.85 misses all BANDS ba
 Documents of equal sets form a class (one representative goes on). Classes that share a band are linked to the band's
 least member only; the connected parts of that graph are candidate clusters, supersets of the true components. Within
 clusters every link is decided on the full sets: small clusters whole, in one task; large ones in blocks, twice under
-different deals, after which whoever is not in a cluster's largest part meets all blocks of the cluster. So no bucket
-is expanded into pairs in Spark, none is capped, and no link between different texts is lost.
+different deals, after which whoever is not in a cluster's largest part meets all members of like size, both sides in
+blocks of bounded size. So no bucket is expanded into pairs in Spark, none is capped, no link between different texts is
+lost, and no task holds more than two blocks; copies and comparisons grow with the square of those left over.
 
 Null, empty and all-space texts have empty sets and are linked with nothing. Rows with a null doc_id take no part in
 links and stay. Repeated rows are equal sets. Rows that share a doc_id but not a text may join one component.
@@ -35,6 +36,8 @@ ROWS, BANDS = 5, 32
 BINS = ROWS * BANDS
 #: Shingles that one task compares at once; clusters beyond are dealt in blocks of about this size.
 BLOCK_SHINGLES = 200_000
+#: Blocks of a cluster's left-overs, and of those that they meet, are so many times as large: it saves copies.
+ACROSS = 5
 _TABLE = byte_table(words="nonspace", lower=True)
 _U = np.uint64
 _NONE = _U(0xFFFFFFFFFFFFFFFF)
@@ -187,6 +190,32 @@ def _deal(clusters: DataFrame, seed: int) -> DataFrame:
     return clusters.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(seed)), F.col("blocks")))
 
 
+def _meetings(parted: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The (asked, base) rows of each pair of blocks that has to be compared: each side in blocks of about ``most`` shingles.
+
+    Linked sets differ in size by less than a size class, so a class's asked blocks meet the base blocks of its own
+    class and of the two beside it. Every asked member meets every base member of these classes once.
+    """
+    parted = parted.withColumn("size", F.floor(F.log("n") / float(np.log(100 / (PERCENT - 1)))).cast("int")).withColumn("out", F.col("part") != F.col("main"))
+    cuts = parted.groupBy("cluster", "size").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("out"), F.col("n"))).alias("left"))
+    cuts = settle(cuts.select("cluster", "size", F.ceil(F.col("all") / most).cast("int").alias("bases"), F.coalesce(F.ceil(F.col("left") / most), F.lit(0)).cast("int").alias("askeds")))
+    beside = cuts.withColumn("near", F.explode(F.array(*[F.col("size") + i for i in (-1, 0, 1)])))
+
+    def block(size, many):
+        return F.struct(F.col(size).alias("size"), F.pmod(F.xxhash64("rep", F.lit(3)), F.col(many)).alias("no"))
+
+    def met(rows, mine, theirs, own, other):
+        """The rows once for each block of the other side: ``beside`` turned to the other side's classes."""
+        numbers = beside.filter(f"{theirs} > 0").select("cluster", F.col("near").alias("size"), F.col("size").alias("other"), F.col(theirs).alias("many"))
+        rows = rows.join(cuts.select("cluster", "size", mine), ["cluster", "size"]).withColumn(own, block("size", mine)).join(numbers, ["cluster", "size"])
+        rows = rows.withColumn("no", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+        other_block = F.struct(F.col("other").alias("size"), F.col("no").cast("long").alias("no")).alias(other)
+        fields = ["cluster", "asked_block", "base_block", "rep", "part", "hashes"]
+        return rows.select("cluster", own, other_block, "rep", "part", "hashes").select(fields).toDF(*fields)
+
+    return met(parted.filter("out"), "askeds", "bases", "asked_block", "base_block"), met(parted, "bases", "askeds", "base_block", "asked_block")
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept."""
     docs = small_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
@@ -208,15 +237,15 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     links = small.groupBy("bin").applyInPandas(_within, "u long, v long")
     if sizes.filter(F.col("total") > block_shingles).take(1):
         large = dealt.filter("blocks > 1")
-        rounds = [_deal(large, seed).groupBy("cluster", "block").applyInPandas(_within, "u long, v long") for seed in (1, 2)]
+        # Dealt anew by both keys: a large cluster's blocks would else stay in the one task that its join put it in.
+        rounds = [_deal(large, seed).repartition("cluster", "block").groupBy("cluster", "block").applyInPandas(_within, "u long, v long") for seed in (1, 2)]
         known = settle(rounds[0].union(rounds[1]))
         part = components(known).selectExpr("node AS rep", "component AS part")
-        parted = settle(_deal(large.join(part, "rep", "left").withColumn("part", F.coalesce("part", "rep")), 1))
+        parted = settle(large.join(part, "rep", "left").withColumn("part", F.coalesce("part", "rep")))
         main = parted.groupBy("cluster", "part").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max_by("part", F.struct("c", "part")).alias("main"))
-        asked = parted.join(main, "cluster").filter("part <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        fields = ["cluster", "block", "rep", "part", "hashes"]
-        asked = asked.select(fields).toDF(*fields)
-        more = asked.groupBy("cluster", "block").cogroup(parted.select(fields).groupBy("cluster", "block")).applyInPandas(_across, "u long, v long")
+        asked, base = _meetings(parted.join(main, "cluster"), block_shingles * ACROSS)
+        meeting = ["cluster", "asked_block", "base_block"]
+        more = asked.groupBy(*meeting).cogroup(base.groupBy(*meeting)).applyInPandas(_across, "u long, v long")
         links = links.union(known).union(more)
     found = components(links)
     resolved = classes.join(found, classes.rep == found.node, "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("c"))

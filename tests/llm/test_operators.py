@@ -322,6 +322,39 @@ def test_chain_of_near_copies(spark):
     assert rows_of(near_dup.near_duplicates(df, block_shingles=3000)) == want
 
 
+def test_template_pages_meet_in_bounded_blocks(spark, monkeypatch):
+    """A cluster of pages alike by their template, with few true links: no task gets all that are left over."""
+    rng = random.Random(5)
+    frame = [f"t{i}" for i in range(64)]
+    rows = [(i, " ".join(frame + [f"w{rng.randrange(10**9)}" for _ in range(20)])) for i in range(150)]
+    rows += [(200 + i, rows[i][1] + f" end{i}" * (1 + i % 9)) for i in range(40)]
+    most = 400 * near_dup.ACROSS
+    across = near_dup._across
+
+    def bounded(asked, base):
+        for side in (asked, base):
+            assert sum(len(b) // 8 for b in side["hashes"]) <= 2 * most
+        return across(asked, base)
+
+    monkeypatch.setattr(near_dup, "_across", bounded)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dup.near_duplicates(df, block_shingles=400)
+    assert rows_of(got) == sorted(near_dup.brute_force(rows), key=repr)
+
+
+def test_left_overs_meet_all_of_like_size_once(spark):
+    rng = random.Random(6)
+    sizes = {i: rng.choice([17, 20, 100, 117, 118, 119, 400]) for i in range(120)}
+    parted = spark.createDataFrame([(1, i, n, i % 100, 0, b"") for i, n in sizes.items()], "cluster long, rep long, n long, part long, main long, hashes binary")
+    asked, base = near_dup._meetings(parted, 1000)
+    keys = ["cluster", "asked_block", "base_block"]
+    met = asked.join(base.withColumnRenamed("rep", "other"), keys).select("rep", "other").collect()
+    assert len(met) == len(set(met))
+    like = {(a, b) for a in sizes for b in sizes if a % 100 and 100 * min(sizes[a], sizes[b]) >= near_dup.PERCENT * max(sizes[a], sizes[b])}
+    assert like <= {tuple(r) for r in met}
+    assert len(met) < 120 * 120 / 2  # sizes that can't be linked don't meet
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     scored = {r.doc_id: r for r in registered.op9_quality(spark, sf).collect()}
