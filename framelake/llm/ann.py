@@ -6,8 +6,8 @@ from radius to radius (virtual rehashing: no bucket borders, nothing is rebuilt)
 COLLISIONS of the windows is a candidate and verified by its true distance. A query stops in a block when enough
 candidates have been verified; if its windows cover the block, all of it has been.
 
-Vectors are dealt to blocks by a hash of vec_id, sized by the number of rows; the stated queries meet every block, and a
-block's k nearest are merged by query. Equal vectors are reduced to the k + 1 smallest ids before anything is dealt,
+Vectors are dealt to blocks by a hash of vec_id, sized by the number of rows, and the stated queries to blocks of their
+own; every block of queries meets every block of vectors, and a block's k nearest are merged by query. Equal vectors are reduced to the k + 1 smallest ids before anything is dealt,
 which changes no result: ties go to the smaller id, so no further copy can be among k neighbours.
 
 Vectors that are null, zero, empty, or hold null or non-finite components take no part; vectors of different lengths
@@ -25,6 +25,8 @@ K, PROJECTIONS, COLLISIONS = 10, 128, 100
 #: Growth of the radius; share of a block that is verified at most before a query stops (and ENOUGH rows at least).
 GROWTH, SHARE, ENOUGH = 1.1, 0.05, 400
 BLOCK_ROWS, LEAST_ROWS, BLOCKS_AT_LEAST = 100_000, 5_000, 12
+#: Queries that one task holds beside a block; more are dealt into several blocks, and each meets a copy of the vectors.
+QUERY_ROWS = 25_000
 _RESULT = "query_id long, vec_id long, score double"
 
 
@@ -95,20 +97,31 @@ def _block(base: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.DataFrame({"query_id": np.repeat(asked["vec_id"].to_numpy(), sizes), "vec_id": np.concatenate([i for i, _ in got]), "score": np.concatenate([d for _, d in got])})
 
 
-def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", every: int = 100, k: int = K) -> DataFrame:
+def _meetings(base: DataFrame, asked: DataFrame, blocks: int, query_blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with their width, once for each (block, query_block) that they belong to."""
+
+    def own(name, many):
+        return {name: F.pmod(F.xxhash64("vec_id"), F.lit(many)).cast("int")}
+
+    def every(name, many):
+        return {name: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))}
+
+    base = base.withColumns({"width": F.size("v")} | own("block", blocks)).withColumns(every("query_block", query_blocks))
+    return base, asked.withColumns({"width": F.size("v")} | own("query_block", query_blocks)).withColumns(every("block", blocks))
+
+
+def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", every: int = 100, k: int = K, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     every_row = clean(vectors, vec_id, embedding)
-    n = vectors.count()
+    n, n_asked = vectors.agg(F.count("*"), F.count_if(F.col(vec_id).cast("long") % every == 0)).first()
     wanted = max(spark.sparkContext.defaultParallelism, BLOCKS_AT_LEAST)
     blocks = max(1, -(-n // max(LEAST_ROWS, min(BLOCK_ROWS, -(-n // wanted)))))
     # The k + 1 smallest ids of each vector; the limit is applied before the shuffle too.
     ranked = every_row.dropDuplicates(["vec_id", "v"]).withColumn("_n", F.expr("row_number() OVER (PARTITION BY v ORDER BY vec_id)")).filter(F.col("_n") <= k + 1).drop("_n")
-    base = ranked.withColumns({"width": F.size("v"), "block": F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")})
     asked = every_row.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
-    asked = asked.withColumns({"width": F.size("v"), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
-    found = (
-        base.groupBy("width", "block").cogroup(asked.groupBy("width", "block")).applyInPandas(lambda b, a: _block(b, a, k), _RESULT)
-    )
+    base, asked = _meetings(ranked, asked, blocks, max(1, -(-n_asked // query_rows)))
+    meeting = ["width", "block", "query_block"]
+    found = base.groupBy(*meeting).cogroup(asked.groupBy(*meeting)).applyInPandas(lambda b, a: _block(b, a, k), _RESULT)
     rank = F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)")
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

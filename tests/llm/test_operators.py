@@ -264,6 +264,20 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_deals_queries_too(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.standard_normal(6)]) for i in range(600)], "vec_id long, embedding array<double>")
+    want = rows_of(ann.nearest(df, every=3))  # 200 queries in one block
+    block = ann._block
+
+    def bounded(base, asked, k):
+        assert len(asked) <= 80
+        return block(base, asked, k)
+
+    monkeypatch.setattr(ann, "_block", bounded)
+    assert rows_of(ann.nearest(df, every=3, query_rows=40)) == want and len(want) == 2000
+
+
 def test_decontaminate(spark, docs):
     rows = corpus()
     long = rows[2][1].split()
