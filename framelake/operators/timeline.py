@@ -141,18 +141,23 @@ def move_clip_to_beat(clips: DataFrame, clip_id: int, beat: tuple[int, int], bpm
 
 
 def trim_clip(clips: DataFrame, clip_id: int, in_ns: int, out_ns: int) -> DataFrame:
-    """Members' points move by the same timeline time at their own speed, and never cross."""
+    """Members' points move by the same timeline time at their own speed, not before 0. A point that the trim doesn't move
+    stays as it is, an unset out-point stays unset, and an in-point beyond the out-point is pulled back to it."""
     if out_ns <= in_ns:
         raise EditError("out before in")
     row = _one(clips, clip_id)
     speed = max(row.speed, 0.01)
-    din, dout = ((in_ns - row.in_ns) / speed, (out_ns - row.out_ns) / speed)
-    own = F.col("clip_id") == clip_id
-    new_in = F.greatest(F.lit(0), (F.col("in_ns") + F.round(din * F.col("speed"))).cast("long"))
-    new_out = (F.col("out_ns") + F.round(dout * F.col("speed"))).cast("long")
-    member = _members(row)
-    in_col = F.when(own, in_ns).when(member, F.least(new_in, F.col("out_ns") - 1)).otherwise(F.col("in_ns")).cast("long")
-    out_col = F.when(own, out_ns).when(member, F.greatest(new_out, F.least(new_in, F.col("out_ns") - 1) + 1)).otherwise(F.col("out_ns")).cast("long")
+    din, dout = (in_ns - (row.in_ns or 0)) / speed, 0 if row.out_ns is None else (out_ns - row.out_ns) / speed
+    own, member, rate = F.col("clip_id") == clip_id, _members(row), F.greatest(F.col("speed"), F.lit(0.01))
+
+    def moved(edge, by):
+        return F.when(edge.isNotNull(), F.greatest(F.lit(0), edge + F.round(by * rate)).cast("long"))
+
+    new_in = moved(F.coalesce("in_ns", F.lit(0)), din) if din else F.col("in_ns")
+    new_out = moved(F.col("out_ns"), dout) if dout else F.col("out_ns")
+    new_in = F.when(new_in > new_out, new_out).otherwise(new_in)
+    in_col = F.when(own, in_ns).when(member, new_in).otherwise(F.col("in_ns")).cast("long")
+    out_col = F.when(own, out_ns).when(member, new_out).otherwise(F.col("out_ns")).cast("long")
     return clips.withColumns({"in_ns": in_col, "out_ns": out_col})
 
 

@@ -216,7 +216,7 @@ trimmed AS (SELECT clip_id, track_id, group_id, member, speed, offset_ns, in_ns
 
 
 def _trim(c, r):
-    # A member without an out-point keeps none.
+    # The SQL of this query leaves clips without an out-point out; trim_clip_whole gives the whole table.
     return tl.trim_clip(c.filter("out_ns IS NOT NULL"), r.clip_id, r.in_ns + 500_000_000, r.out_ns - 250_000_000)
 
 
@@ -247,6 +247,19 @@ SELECT clip_id, track_id, group_id, in_ns, out_ns, greatest(0, offset_ns + coale
     lambda c, r: tl.ripple_trim(c.filter("out_ns IS NOT NULL"), r.clip_id, r.in_ns + 500_000_000, r.out_ns - 250_000_000),
 )
 ORACLE["ripple_trim"] = ORACLE["ripple_trim"].replace(f"{_PICK} , t AS", f"{_PICK}, t AS")
+_WHOLE_TRIM = f"""d AS (SELECT c.*, o.clip_id AS oid, {_MEMBER} AS member, o.in_ns + 500000000 AS ti, o.out_ns - 250000000 AS tq, 500000000 / greatest(o.speed, 0.01) AS di, -250000000 / greatest(o.speed, 0.01) AS dq FROM clips c, one o),
+e AS (SELECT *, greatest(0, in_ns + CAST(round(di * greatest(speed, 0.01)) AS BIGINT)) AS mi, CASE WHEN out_ns IS NOT NULL THEN greatest(0, out_ns + CAST(round(dq * greatest(speed, 0.01)) AS BIGINT)) END AS mq FROM d),
+whole AS (SELECT clip_id, track_id, group_id, member, speed, offset_ns, in_ns AS old_in, out_ns AS old_out, CASE WHEN clip_id = oid THEN ti WHEN NOT member THEN in_ns WHEN mi > mq THEN mq ELSE mi END AS in_ns,
+  CASE WHEN clip_id = oid THEN tq WHEN member THEN mq ELSE out_ns END AS out_ns FROM e)"""
+_edit("trim_clip_whole", f", {_WHOLE_TRIM} SELECT {_COLS} FROM whole", lambda c, r: tl.trim_clip(c, r.clip_id, r.in_ns + 500_000_000, r.out_ns - 250_000_000))
+_edit(
+    "ripple_trim_whole",
+    f""", {_WHOLE_TRIM}, ch AS (SELECT track_id, offset_ns AS go, CAST(floor((out_ns - in_ns) / greatest(speed, 0.01)) AS BIGINT) - CAST(floor((old_out - old_in) / greatest(speed, 0.01)) AS BIGINT) AS gf FROM whole WHERE member)
+SELECT clip_id, track_id, group_id, in_ns, out_ns, greatest(0, offset_ns + coalesce((SELECT sum(gf) FROM ch WHERE ch.track_id = whole.track_id AND whole.offset_ns > go), 0))::BIGINT AS offset_ns FROM whole""",
+    lambda c, r: tl.ripple_trim(c, r.clip_id, r.in_ns + 500_000_000, r.out_ns - 250_000_000),
+)
+for _name in ("trim_clip_whole", "ripple_trim_whole"):
+    ORACLE[_name] = ORACLE[_name].replace(f"{_PICK} , d AS", f"{_PICK}, d AS")
 _edit(
     "edit_batch",
     "SELECT clip_id, track_id, CASE WHEN group_id = (SELECT group_id FROM one) THEN NULL ELSE group_id END AS group_id, in_ns, out_ns, offset_ns FROM clips WHERE clip_id <> (SELECT min(clip_id) FROM clips)",

@@ -176,6 +176,16 @@ def by_id(df, *columns):
     return {r.clip_id: tuple(r[c] for c in columns) for r in df.collect()}
 
 
+def test_trim_leaves_an_unset_out_point_unset(spark):
+    rows = [(1, 1, 0, 7, "file", 0, 100, 0, 1.0, 0, 0, 0, 110), (2, 2, 0, 7, "file", 5, None, 0, 2.0, 0, 0, 0, None), (2, 3, 1, None, "file", 0, 9, 50, 1.0, 0, 0, 0, 9), (3, 4, 0, 7, "file", 0, 15, 0, 1.0, 0, 0, 0, 15)]
+    clips = spark.createDataFrame(rows, CLIPS)
+    # 2 has no out-point: its in-point follows, nothing else; 4 is shorter than the trim: its in-point goes back to its out-point.
+    want = {1: (10, 90), 2: (25, None), 3: (0, 9), 4: (5, 5)}
+    assert by_id(timeline.trim_clip(clips, 1, 10, 90), "in_ns", "out_ns") == want
+    assert by_id(timeline.ripple_trim(clips, 1, 10, 90), "in_ns", "out_ns", "offset_ns")[3] == (0, 9, 50)
+    assert by_id(timeline.trim_clip(clips, 2, 25, 60), "in_ns", "out_ns") == {1: (10, 100), 2: (25, 60), 3: (0, 9), 4: (10, 15)}
+
+
 def test_edits(spark, clips):
     assert by_id(timeline.move_clip(clips, 1, 30), "offset_ns") == {1: (30,), 2: (100,), 3: (30,), 4: (120,)}
     got = by_id(timeline.split_clip(clips, 1, 40), "in_ns", "out_ns", "offset_ns", "group_id", "fade_in_ns", "fade_out_ns")
