@@ -316,12 +316,31 @@ def subtitle_round_trip(spark, d):
 ORACLE["subtitle_round_trip"] = ORACLE["subtitle_round_trip"].replace("{}", "")
 
 
+def _on_screen(spark, d):
+    return media.table(spark, d, "conversations").filter(F.trim(F.regexp_replace("text", "[\n\r]", " ")) != "").select(F.col("conv_id").alias("track_id"), F.col("turn").alias("clip_id"), F.col("turn").alias("pos"), F.lit(0).cast("long").alias("in_ns"), F.lit(1_500_000_000).alias("out_ns"), (F.col("turn") * 2 * NS).alias("offset_ns"), F.lit(1.0).alias("speed"))
+
+
+def _frames_met(e, grid):
+    """The events on screen at each second from 0 to the conversation's ``last``."""
+    times = grid.select("track_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last").cast("long"))).alias("t")).withColumn("t", F.col("t") * NS)
+    return tl.active_clip(times, e).select(F.col("track_id").alias("conv_id"), "t", F.col("clip_id").alias("turn"))
+
+
 @plans.query("subtitle_interval_join", f"WITH {_TURNS}, t AS (SELECT DISTINCT conv_id, unnest(range(0, 12)) * 1000000000::BIGINT AS t FROM turns) SELECT t.conv_id, t.t, turn FROM t JOIN turns ON turns.conv_id = t.conv_id AND t.t >= turn * 2000000000 AND t.t < turn * 2000000000 + 1500000000")
 def subtitle_interval_join(spark, d):
-    """Frames (one a second) with the events on screen."""
-    e = media.table(spark, d, "conversations").filter(F.trim(F.regexp_replace("text", "[\n\r]", " ")) != "").select(F.col("conv_id").alias("track_id"), F.col("turn").alias("clip_id"), F.col("turn").alias("pos"), F.lit(0).cast("long").alias("in_ns"), F.lit(1_500_000_000).alias("out_ns"), (F.col("turn") * 2 * NS).alias("offset_ns"), F.lit(1.0).alias("speed"))
-    times = e.select("track_id").distinct().select("track_id", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("t")).withColumn("t", F.col("t").cast("long") * NS)
-    return tl.active_clip(times, e).select(F.col("track_id").alias("conv_id"), "t", F.col("clip_id").alias("turn"))
+    """Frames (one a second) with the events on screen: the first 12 frames, as its SQL has them."""
+    e = _on_screen(spark, d)
+    return _frames_met(e, e.select("track_id").distinct().withColumn("last", F.lit(11)))
+
+
+@plans.query(
+    "subtitle_interval_join_whole",
+    f"WITH {_TURNS}, t AS (SELECT conv_id, unnest(range(0, max(turn) * 2 + 2)) * 1000000000::BIGINT AS t FROM turns GROUP BY conv_id) SELECT DISTINCT t.conv_id, t.t, turn FROM t JOIN turns ON turns.conv_id = t.conv_id AND t.t >= turn * 2000000000 AND t.t < turn * 2000000000 + 1500000000",
+)
+def subtitle_interval_join_whole(spark, d):
+    """The same for every frame from 0 to the end of the conversation's last event."""
+    e = _on_screen(spark, d)
+    return _frames_met(e, e.groupBy("track_id").agg(F.floor((F.max(F.col("offset_ns") + F.col("out_ns")) - 1) / NS).alias("last")))
 
 
 @plans.query("file_extension", "SELECT page_id, CASE WHEN regexp_matches(regexp_extract(url, '([^/\\\\]*)$', 1), '[^.]\\.[^.]+$') THEN lower(regexp_extract(regexp_extract(url, '([^/\\\\]*)$', 1), '[^.]\\.([^.]+)$', 1)) END AS ext FROM pages")

@@ -40,6 +40,13 @@ def test_runs(spark, name):
     assert df.columns and df.count() >= 0
 
 
+def test_every_turn_is_on_screen(spark):
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").selectExpr("conv_id", "turn", "trim(regexp_replace(text, '[\n\r]', ' ')) AS text").filter("text <> ''").select("conv_id", "turn").distinct()
+    assert turns.filter("turn > 5").count() > 0
+    assert QUERIES["subtitle_interval_join_whole"](spark, SF).select("conv_id", "turn").distinct().exceptAll(turns).count() == 0
+    assert turns.exceptAll(QUERIES["subtitle_interval_join_whole"](spark, SF).select("conv_id", "turn").distinct()).count() == 0
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
