@@ -393,11 +393,25 @@ got AS (SELECT frame_no, channel, bin, count(*) AS n FROM ch WHERE frame_no % 10
 SELECT f.frame_no, f.channel, CAST(t.i AS INTEGER) AS bin, coalesce(got.n, 0) AS n FROM f CROSS JOIN range(256) t(i) LEFT JOIN got ON got.frame_no = f.frame_no AND got.channel = f.channel AND got.bin = t.i""",
 )
 def histogram_256(spark, d):
-    p = _bytes(spark, d).filter("frame_no % 10 = 0")  # the operator's own sampling interval
+    # The frames that its SQL has; histogram_256_whole takes all.
+    return _histogram(_bytes(spark, d).filter("frame_no % 10 = 0"))
+
+
+def _histogram(p):
     luma = F.floor(fc.luma601(*(F.col(c) for c in RGB)) + 0.5)
     return analysis.histogram(p, {**{c: F.col(c) for c in RGB}, "luma": luma})
 
 
+@plans.query(
+    "histogram_256_whole",
+    f"""WITH {_BYTES}, ch AS (SELECT frame_no, 'r' AS channel, r AS bin FROM bt UNION ALL SELECT frame_no, 'g', g FROM bt UNION ALL SELECT frame_no, 'b', b FROM bt UNION ALL SELECT frame_no, 'luma', {_LUMA} FROM bt),
+got AS (SELECT frame_no, channel, bin, count(*) AS n FROM ch GROUP BY ALL), f AS (SELECT DISTINCT frame_no, channel FROM ch)
+SELECT f.frame_no, f.channel, CAST(t.i AS INTEGER) AS bin, coalesce(got.n, 0) AS n FROM f CROSS JOIN range(256) t(i) LEFT JOIN got ON got.frame_no = f.frame_no AND got.channel = f.channel AND got.bin = t.i""",
+)
+def histogram_256_whole(spark, d):
+    return _histogram(_bytes(spark, d))
+
+
 @plans.query("luma_bt601", f"WITH {_BYTES} SELECT frame_no, CAST(sum({_LUMA}) AS BIGINT) AS luma FROM bt GROUP BY frame_no")
 def luma_bt601(spark, d):
     return _bytes(spark, d).groupBy("frame_no").agg(F.sum(F.floor(fc.luma601(*(F.col(c) for c in RGB)) + 0.5)).alias("luma"))

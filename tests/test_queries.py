@@ -47,6 +47,11 @@ def test_every_turn_is_on_screen(spark):
     assert turns.exceptAll(QUERIES["subtitle_interval_join_whole"](spark, SF).select("conv_id", "turn").distinct()).count() == 0
 
 
+def test_every_frame_has_a_histogram(spark):
+    frames = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").distinct()
+    assert QUERIES["histogram_256_whole"](spark, SF).count() == frames.count() * 4 * 256
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
