@@ -8,18 +8,26 @@ into bands of ROWS coordinates; a pair at the threshold 0.85 misses all BANDS ba
 (1 - 0.85^5)^32 < 1e-8.
 
 Documents of equal sets form a class (one representative goes on). Classes that share a band are linked to the band's
-least member only; the connected parts of that graph are candidate clusters, supersets of the true components. Within
-clusters every link is decided on the full sets: small clusters whole, in one task; large ones in blocks, twice under
-different deals, after which whoever is not in a cluster's largest part meets all members of like size, both sides in
-blocks of bounded size. So no bucket is expanded into pairs in Spark, none is capped, no link between different texts is
-lost, and no task holds more than two blocks; copies and comparisons grow with the square of those left over.
+least member only; the connected parts of that graph are candidate clusters, supersets of the true components. Clusters
+too large for one task are cut once more by prefix filtering: of two linked sets of n shingles the rarest
+n - ceil(0.85 n) + 1 of each, in any order that all sets share, have one in common, so members that share none of these
+are parted (pages alike by their template only fall apart here). The order is by counts in a table of CELLS cells,
+which covers all members and only decides how well the filter cuts.
+
+Within clusters every link is decided on the full sets (64-bit shingle hashes): small clusters whole, in one task;
+large ones in blocks, twice under different deals, after which whoever is not in a cluster's largest part meets all
+members of like size, both sides in blocks of bounded size. So no bucket is expanded into pairs in Spark, none is
+capped, no link between different texts is lost, and no task holds more than two blocks. What a row carries while it is
+dealt to clusters is its id; texts follow when their tasks are known.
 
 Null, empty and all-space texts have empty sets and are linked with nothing. Rows with a null doc_id take no part in
-links and stay. Repeated rows are equal sets. Rows that share a doc_id but not a text may join one component.
+links and stay. Repeated rows are equal sets. Rows that share a doc_id but not a text may join one component. Very long
+texts are read in slices and never cut off. An empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, settle, small_batches
+from .shared import components, join_back, settle, small_batches
 from .words import byte_table, grams, groups, large_list, mix, whole
 
 SHINGLE, PERCENT = 5, 85
@@ -38,6 +46,8 @@ BINS = ROWS * BANDS
 BLOCK_SHINGLES = 200_000
 #: Blocks of a cluster's left-overs, and of those that they meet, are so many times as large: it saves copies.
 ACROSS = 5
+#: Cells of the table of shingle counts, and the slices in which tasks' tables are added up.
+CELLS, SLICES = 1 << 22, 64
 _TABLE = byte_table(words="nonspace", lower=True)
 _U = np.uint64
 _NONE = _U(0xFFFFFFFFFFFFFFFF)
@@ -113,12 +123,47 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in groups(batch.column(2), _TABLE):
-            _, h, n = shingle_sets(a)
-            cut = np.concatenate(([0], np.cumsum(n)))
-            blobs = [h[cut[i] : cut[i + 1]].tobytes() for i in range(a.n_docs)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a.first, a.n_docs), batch.column(1).slice(a.first, a.n_docs), pa.array(n.astype(np.int64)), pa.array(blobs, pa.binary())], names=["rep", "cluster", "n", "hashes"]
-            )
+            own = [batch.column(i).slice(a.first, a.n_docs) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([x.tobytes() for x in _each_set(a)], pa.binary())], names=["rep", "cluster", "hashes"])
+
+
+def _each_set(a) -> list[np.ndarray]:
+    _, h, n = shingle_sets(a)
+    return np.split(h, np.cumsum(n)[:-1])
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The task's count of shingles in each cell, one row a slice of the cells."""
+    counts = np.zeros(CELLS, np.uint32)
+    for batch in batches:
+        for blob in batch.column(0):
+            cells = (np.frombuffer(blob.as_buffer(), _U) % _U(CELLS)).astype(np.int64)
+            np.add.at(counts, cells, 1)
+    parts = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, SLICES)]
+    yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
+
+
+def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A slice's sums, as orders of magnitude (a byte each: they only rank shingles)."""
+    total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64) for x in pdf["counts"])
+    return pd.DataFrame({"slice": [int(pdf["slice"].iloc[0])], "counts": [np.minimum(np.log2(total + 1.0) * 6, 255).astype(np.uint8).tobytes()]})
+
+
+def _prefixes(shared):
+    """Rows (rep, cluster, shingle): the rarest of each set that one of any linked set must be among."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            picked = [np.zeros(0, _U)]
+            for blob in batch.column(2):
+                h = np.frombuffer(blob.as_buffer(), _U)
+                most = len(h) - -(-PERCENT * len(h) // 100) + 1
+                picked.append(h[np.lexsort((h, rank[(h % _U(CELLS)).astype(np.int64)]))[:most]])
+            rows = pa.array(np.repeat(np.arange(len(picked) - 1), [len(x) for x in picked[1:]]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(picked).view(np.int64))], names=["rep", "cluster", "shingle"])
+
+    return run
 
 
 class _Union:
@@ -138,8 +183,7 @@ class _Union:
 class _Postings:
     """Sets by member and members by hash, to intersect one set with all others at once."""
 
-    def __init__(self, blobs: list[bytes]):
-        sets = [np.frombuffer(b, _U) for b in blobs]
+    def __init__(self, sets: list[np.ndarray]):
         self.n = np.array([len(s) for s in sets])
         owner = np.repeat(np.arange(len(sets)), self.n)
         flat = np.concatenate(sets) if sets else np.zeros(0, _U)
@@ -159,26 +203,38 @@ class _Postings:
         return np.flatnonzero((both > 0) & (100 * both >= PERCENT * (len(own) + self.n - both)))
 
 
-def _within(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All links inside each cluster of the group, as edges from a member to the least of its part."""
+def _links(reps: np.ndarray, clusters: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """All links inside each cluster, as edges (member, least of its part)."""
     out = []
-    for _, g in pdf.groupby("cluster"):
-        g = g.sort_values("rep")
-        reps, blobs = g["rep"].to_numpy(), list(g["hashes"])
-        index, union = _Postings(blobs), _Union(len(g))
-        for i, b in enumerate(blobs):
-            for j in index.linked(np.frombuffer(b, _U)):
+    order = np.lexsort((reps, clusters))
+    for mine in np.split(order, np.flatnonzero(np.diff(clusters[order])) + 1) if len(order) else ():
+        own = [sets[i] for i in mine]
+        index, union = _Postings(own), _Union(len(own))
+        for i, x in enumerate(own):
+            for j in index.linked(x):
                 if j > i:
                     union.join(i, int(j))
-        out += [(int(reps[i]), int(reps[union.find(i)])) for i in range(len(g)) if union.find(i) != i]
-    return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+        out += [(reps[i], reps[mine[union.find(k)]]) for k, i in enumerate(mine) if union.find(k) != k]
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _within_texts(table: pa.Table) -> pa.Table:
+    """Links of the clusters of a bin (columns rep, cluster, text)."""
+    sets = [x for a in groups(table["text"], _TABLE) for x in _each_set(a)]
+    edges = _links(table["rep"].to_numpy(), table["cluster"].to_numpy(), sets)
+    return pa.table({"u": edges[:, 0], "v": edges[:, 1]})
+
+
+def _within_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links inside a block of a large cluster (columns rep, cluster, hashes)."""
+    return pd.DataFrame(_links(pdf["rep"].to_numpy(), pdf["cluster"].to_numpy(), [np.frombuffer(x, _U) for x in pdf["hashes"]]), columns=["u", "v"])
 
 
 def _across(asked: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
     """Links of the asked members with a block of their cluster: one edge for each of the other's parts."""
     out = []
     parts, reps = base["part"].to_numpy(), base["rep"].to_numpy()
-    index = _Postings(list(base["hashes"]))
+    index = _Postings([np.frombuffer(x, _U) for x in base["hashes"]])
     for rep, part, b in zip(asked["rep"], asked["part"], asked["hashes"]):
         found = index.linked(np.frombuffer(b, _U))
         _, first = np.unique(parts[found], return_index=True)
@@ -186,10 +242,6 @@ def _across(asked: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
 
-def _deal(clusters: DataFrame, seed: int) -> DataFrame:
-    return clusters.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(seed)), F.col("blocks")))
-
-
 def _meetings(parted: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """The (asked, base) rows of each pair of blocks that has to be compared: each side in blocks of about ``most`` shingles.
 
@@ -216,45 +268,75 @@ def _meetings(parted: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     return met(parted.filter("out"), "askeds", "bases", "asked_block", "base_block"), met(parted, "bases", "askeds", "base_block", "asked_block")
 
 
+def _star(rows: DataFrame, *key: str) -> DataFrame:
+    """Edges from each rep to the least rep of its key."""
+    least = rows.groupBy(*key).agg(F.min("rep").alias("v"), F.max("rep").alias("top")).filter("v < top").select(*key, "v")
+    return rows.join(least, [*key]).filter("rep <> v").selectExpr("rep AS u", "v")
+
+
+def _sized(members: DataFrame, block_shingles: int) -> DataFrame:
+    """``members`` (rep, n, cluster) with the number of blocks that their cluster fills; rows carry no sets here."""
+    sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") / block_shingles).cast("long").alias("blocks"))
+    large = sizes.filter("blocks > 1")  # fewer rows than there are blocks
+    return settle(members.join(large, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))))
+
+
+def _parted(sets: DataFrame) -> DataFrame:
+    """(node, component) of the large clusters' members (rep, cluster, hashes) that share a rarest shingle in one."""
+    spark = sets.sparkSession
+    slices = sets.select("hashes").mapInArrow(_tally, "slice int, counts binary").groupBy("slice").applyInPandas(_add_up, "slice int, counts binary")
+    ranks = spark.sparkContext.broadcast(b"".join(r.counts for r in sorted(slices.collect())))  # CELLS bytes
+    return components(_star(sets.mapInArrow(_prefixes(ranks), "rep long, cluster long, shingle long"), "cluster", "shingle"))
+
+
+def _large_links(sets: DataFrame, block_shingles: int) -> DataFrame:
+    """The links of clusters of more than one block; ``sets`` has rep, n, cluster, blocks and hashes."""
+    dealt = [sets.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(seed)), "blocks")).withColumn("round", F.lit(seed)) for seed in (1, 2)]
+    known = settle(dealt[0].union(dealt[1]).groupBy("cluster", "round", "block").applyInPandas(_within_block, "u long, v long"))
+    part = components(known).selectExpr("node AS rep", "component AS part")
+    slim = settle(sets.select("rep", "cluster").join(part, "rep", "left").withColumn("part", F.coalesce("part", "rep")))
+    main = slim.groupBy("cluster", "part").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max_by("part", F.struct("c", "part")).alias("main"))
+    parted = settle(sets.join(slim.join(F.broadcast(main), "cluster").select("rep", "part", "main"), "rep"))  # main: fewer rows than blocks
+    asked, base = _meetings(parted, block_shingles * ACROSS)
+    meeting = ["cluster", "asked_block", "base_block"]
+    return known.union(asked.groupBy(*meeting).cogroup(base.groupBy(*meeting)).applyInPandas(_across, "u long, v long"))
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept."""
     docs = small_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
     seen = settle(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"))
     real = seen.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = settle(real.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")))
-    # One row of bands for each class: its representative's.
-    own = real.join(classes, (real.doc_id == classes.rep) & (real.d1 == classes.d1) & (real.d2 == classes.d2)).select("rep", "bands").dropDuplicates(["rep"])
-    keys = own.select("rep", F.explode("bands").alias("band"))
-    least = keys.groupBy("band").agg(F.min("rep").alias("v"), F.max("rep").alias("top")).filter("v < top").select("band", "v")
-    star = keys.join(least, "band").filter("rep <> v").selectExpr("rep AS u", "v")
-    clusters = components(star).selectExpr("node AS doc_id", "component AS cluster")
-    sets = settle(docs.join(clusters, "doc_id").select("doc_id", "cluster", "text").mapInArrow(_sets, "rep long, cluster long, n long, hashes binary"))
-    sizes = settle(sets.groupBy("cluster").agg(F.sum("n").alias("total")))
-    total = sizes.agg(F.sum("total")).first()[0] or 0
-    bins = max(1, -(-total // block_shingles))
-    dealt = sets.join(sizes.withColumn("blocks", F.ceil(F.col("total") / block_shingles).cast("long")), "cluster")
-    small = dealt.filter("blocks = 1").withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(bins)))
-    links = small.groupBy("bin").applyInPandas(_within, "u long, v long")
-    if sizes.filter(F.col("total") > block_shingles).take(1):
-        large = dealt.filter("blocks > 1")
-        # Dealt anew by both keys: a large cluster's blocks would else stay in the one task that its join put it in.
-        rounds = [_deal(large, seed).repartition("cluster", "block").groupBy("cluster", "block").applyInPandas(_within, "u long, v long") for seed in (1, 2)]
-        known = settle(rounds[0].union(rounds[1]))
-        part = components(known).selectExpr("node AS rep", "component AS part")
-        parted = settle(large.join(part, "rep", "left").withColumn("part", F.coalesce("part", "rep")))
-        main = parted.groupBy("cluster", "part").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max_by("part", F.struct("c", "part")).alias("main"))
-        asked, base = _meetings(parted.join(main, "cluster"), block_shingles * ACROSS)
-        meeting = ["cluster", "asked_block", "base_block"]
-        more = asked.groupBy(*meeting).cogroup(base.groupBy(*meeting)).applyInPandas(_across, "u long, v long")
-        links = links.union(known).union(more)
-    found = components(links)
-    resolved = classes.join(found, classes.rep == found.node, "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("c"))
-    return (
-        seen.drop("bands")
-        .join(resolved, ["n_shingles", "d1", "d2"], "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
+    # Equal sets have equal bands.
+    classes = settle(real.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
+    nodes = components(_star(classes.select("rep", F.explode("bands").alias("band")), "band"))
+    n_of = classes.groupBy("rep").agg(F.max("n_shingles").alias("n"))
+    members = _sized(nodes.selectExpr("node AS rep", "component AS cluster").join(n_of, "rep"), block_shingles)
+
+    def with_texts(some: DataFrame) -> DataFrame:
+        return docs.join(some, docs.doc_id == some.rep).drop("doc_id")
+
+    def with_sets(some: DataFrame) -> DataFrame:
+        return settle(with_texts(some).select("rep", "cluster", "text").mapInArrow(_sets, "rep long, cluster long, hashes binary"))
+
+    small, links = members.filter("blocks = 1"), []
+    if members.filter("blocks > 1").take(1):
+        sets = with_sets(members.filter("blocks > 1"))
+        finer = _parted(sets).selectExpr("node AS rep", "component AS cluster")
+        finer = _sized(finer.join(n_of, "rep"), block_shingles)
+        small = small.unionByName(finer.filter("blocks = 1"))
+        large = finer.filter("blocks > 1")
+        if large.take(1):
+            links.append(_large_links(settle(sets.drop("cluster").join(large, "rep")), block_shingles))
+    bins = max(1, -(-(small.agg(F.sum("n")).first()[0] or 0) // block_shingles))
+    small = with_texts(small).withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(bins))).select("bin", "rep", "cluster", "text")
+    links.append(small.groupBy("bin").applyInArrow(_within_texts, "u long, v long"))
+    found = components(links[0].union(links[1]) if len(links) > 1 else links[0])
+    resolved = classes.join(found, classes.rep == found.node, "left").select("n_shingles", "d1", "d2", "copies", F.coalesce("component", "rep").alias("c"))
+    # Empty sets and null ids have no class; they don't go through the join.
+    alone = seen.filter("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "n_shingles", F.col("doc_id").alias("c"))
+    linked = join_back(real.drop("bands"), settle(resolved), ["n_shingles", "d1", "d2"], "copies").select("doc_id", "n_shingles", "c")
+    return linked.union(alone).select("doc_id", "n_shingles", F.col("c").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("c")).alias("kept"))
 
 
 def brute_force(docs: list[tuple]) -> list[tuple]:

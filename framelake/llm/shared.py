@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one only where none is set (local tests)."""
+    """The shared folder that the session names. Raises where none is set: a folder of the driver's own is out of the
+    executors' reach."""
     sc = spark.sparkContext
     now = sc._jsc.sc().getCheckpointDir()
     if now.isDefined():
         return now.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framelake-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -37,8 +39,20 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def join_back(rows: DataFrame, found: DataFrame, keys: list[str], copies: str, most: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``found`` (settled; one row a key, with how many ``copies`` of it ``rows`` has), but
+    ``copies``. Keys that hold over 1/most of all copies are at most ``most``: they are broadcast, so that none gathers
+    in a task; the others are joined by shuffle. Keys are not null."""
+    total = found.agg(F.sum(copies)).first()[0] or 0
+    is_hot = F.col(copies) * most > total
+    hot = F.broadcast(found.filter(is_hot).drop(copies))  # fewer than ``most`` rows
+    cold = rows.join(hot, keys, "left_anti").join(found.filter(~is_hot).drop(copies), keys, "left")
+    return rows.join(hot, keys).unionByName(cold)
+
+
 def _summed(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())
+    """How many edges, and 128 bits of their sum and parity: equal if no edge has changed."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first())
 
 
 def components(edges: DataFrame, most: int = 60, per_task: int = 500_000) -> DataFrame:

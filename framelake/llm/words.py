@@ -1,12 +1,18 @@
 """Word scanning on Arrow text columns, as numpy array work.
 
 A word is a maximal run of kept bytes; all the word rules used here are byte rules (every byte of a multi-byte
-character counts alike), so a text never has to be decoded. A word's hash is a polynomial modulo 2**64 over its bytes,
-read off prefix sums; memory is bounded by slicing texts at non-word bytes.
+character counts alike), so a text never has to be decoded. A word's hash is SipHash-1-3 of its bytes as they are read
+(a keyed pseudo-random function, computed for all words at once), or a keyed BLAKE2b of a word of LONG_WORD bytes or
+more. Two keys give two independent hashes. Memory is bounded by slicing texts at non-word bytes.
+
+Runs of words are hashed by sums of word hashes times odd random factors, one for each place. Two different runs get
+equal 64-bit hashes with a probability of about 2**-60, and nothing about the words (their length, letters or order)
+raises it: the keys and factors are random bits, fixed only so that every task and every later run agrees.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,9 +21,11 @@ import pyarrow as pa
 
 SLICE_BYTES = 1 << 18
 GROUP_BYTES = 1 << 20
+LONG_WORD = 64
 _U = np.uint64
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd: invertible modulo 2**64
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_KEYS = [hashlib.sha256(b"word hash %d" % i).digest() for i in range(2)]
+_TAILS = np.array([(1 << 8 * n) - 1 for n in range(8)], _U)
+_factors = np.random.default_rng(20240229).integers(0, 1 << 63, 64, np.uint64) << _U(1) | _U(1)
 
 
 def byte_table(*, words: str, lower: bool) -> np.ndarray:
@@ -46,15 +54,49 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
-def _power_tables(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get(which)
-    if have is None or len(have[0]) < n:
-        size = max(n, SLICE_BYTES + 4096)
-        base = _BASES[which]
-        up, down = np.full(size, base, _U), np.full(size, pow(base, -1, 1 << 64), _U)
-        up[0] = down[0] = 1
-        have = _powers[which] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return have
+def _round(v: list[np.ndarray]) -> None:
+    """One SipRound, in place."""
+
+    def turn(i: int, n: int) -> None:
+        v[i] = v[i] << _U(n) | v[i] >> _U(64 - n)
+
+    for a, b, n, m, half in ((0, 1, 13, 32, True), (2, 3, 16, 0, False), (0, 3, 21, 0, False), (2, 1, 17, 32, True)):
+        v[a] += v[b]
+        turn(b, n)
+        v[b] ^= v[a]
+        if half:
+            turn(a, m)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray, which: int = 0) -> np.ndarray:
+    """SipHash-1-3 of the words of ``data`` (as they are read) at ``start``; a keyed BLAKE2b of long ones."""
+    key = _KEYS[which]
+    out = np.empty(len(start), _U)
+    for i in np.flatnonzero(size >= LONG_WORD):
+        word = data[start[i] : start[i] + size[i]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=key).digest(), "little")
+    # Eight bytes from any place on, read as a number.
+    lanes = np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    k0, k1 = np.frombuffer(key[:16], "<u8")
+    rows = np.flatnonzero(size < LONG_WORD)
+    at, left = start[rows], size[rows]
+    ends = left.astype(_U) << _U(56)
+    v = [np.full(len(rows), x ^ _U(c)) for x, c in ((k0, 0x736F6D6570736575), (k1, 0x646F72616E646F6D), (k0, 0x6C7967656E657261), (k1, 0x7465646279746573))]
+    while len(rows):
+        last = left < 8
+        lane = lanes[at]
+        lane = np.where(last, lane & _TAILS[np.minimum(left, 7)] | ends, lane)
+        v[3] ^= lane
+        _round(v)
+        v[0] ^= lane
+        done = [x[last] for x in v]
+        done[2] ^= _U(0xFF)
+        for _ in range(3):
+            _round(done)
+        out[rows[last]] = done[0] ^ done[1] ^ done[2] ^ done[3]
+        more = ~last
+        rows, at, left, ends, v = rows[more], at[more] + 8, left[more] - 8, ends[more], [x[more] for x in v]
+    return out
 
 
 @dataclass
@@ -116,10 +158,7 @@ def scan(data: np.ndarray, offs: np.ndarray, table: np.ndarray, which: int = 0)
         last = word.copy()
         last[:-1] &= ~word[1:] | edge[1:-1]
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-        up, down = _power_tables(which, len(value) + 1)
-        prefix = np.zeros(len(value) + 1, _U)
-        np.cumsum(value.astype(_U) * up[: len(value)], out=prefix[1:])
-        h = mix((prefix[e] - prefix[s]) * down[s] + (e - s).astype(_U))
+        h = word_hashes(value.astype(np.uint8), s, e - s, which)
         doc = np.searchsorted(offs, s + at, "right") - 1
         parts.append((doc, s + at, e + at, h))
         at = upto
@@ -145,13 +184,21 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, _U)
-    out = h[:n].copy()
+    by = factors(k)
+    out = h[:n] * by[0]
     for j in range(1, k):
-        out *= _U(0xD6E8FEB86659FD93)
-        out += h[j : j + n]
+        out += h[j : j + n] * by[j]
     return mix(out)
 
 
+def factors(k: int) -> np.ndarray:
+    """The first k odd random factors."""
+    global _factors
+    if k > len(_factors):
+        _factors = np.random.default_rng(20240229).integers(0, 1 << 63, 2 * k, np.uint64) << _U(1) | _U(1)
+    return _factors
+
+
 def whole(doc: np.ndarray, k: int) -> np.ndarray:
     """For each run of k words, whether one document holds it."""
     n = len(doc) - k + 1

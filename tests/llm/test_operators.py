@@ -312,6 +312,84 @@ def test_near_duplicates(spark, docs):
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def thue_morse(order):
+    """Two words that any polynomial hash modulo a power of two takes for one."""
+    a, b = "a", "b"
+    for _ in range(order):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Words of 2,048 letters, and runs of 16 words, that follow the Thue-Morse sequence."""
+    one, two = thue_morse(11)
+    long = [" ".join(x + str(i) for i in range(20)) for x in (one, two)]
+    runs = [" ".join(x) for x in thue_morse(4)]
+    rows = list(enumerate([one, two, *long, *runs, " ".join(runs), " ".join(runs[::-1])]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(near_dup.near_duplicates(df)) == sorted(near_dup.brute_force(rows), key=repr)
+    got = substring_dedup.dedup_substrings(df, keep=["doc_id"]).select("doc_id", "n_words", "n_removed", "kept_text")
+    assert rows_of(got) == sorted(substring_dedup.brute_force(rows), key=repr)
+    items = [(1, two), (2, long[1]), (3, runs[1])]
+    marked = decontaminate.decontaminate(df.filter("doc_id IN (0, 2, 4)"), spark.createDataFrame(items, "item_id long, text string"))
+    assert rows_of(decontaminate.summary(marked)) == sorted(decontaminate.brute_force([rows[i] for i in (0, 2, 4)], items), key=repr)
+
+
+def test_word_hash_is_siphash():
+    """Against SipHash-1-3 by its definition, on words of every length of lanes."""
+    from framelake.llm import words as w
+
+    def plain(key, m):
+        top = (1 << 64) - 1
+        k0, k1 = int.from_bytes(key[:8], "little"), int.from_bytes(key[8:16], "little")
+        v = [k0 ^ 0x736F6D6570736575, k1 ^ 0x646F72616E646F6D, k0 ^ 0x6C7967656E657261, k1 ^ 0x7465646279746573]
+
+        def turn(x, n):
+            return ((x << n) | (x >> (64 - n))) & top
+
+        def rounds(n):
+            for _ in range(n):
+                v[0] = (v[0] + v[1]) & top
+                v[1] = turn(v[1], 13) ^ v[0]
+                v[0] = turn(v[0], 32)
+                v[2] = (v[2] + v[3]) & top
+                v[3] = turn(v[3], 16) ^ v[2]
+                v[0] = (v[0] + v[3]) & top
+                v[3] = turn(v[3], 21) ^ v[0]
+                v[2] = (v[2] + v[1]) & top
+                v[1] = turn(v[1], 17) ^ v[2]
+                v[2] = turn(v[2], 32)
+
+        for i in range(len(m) // 8 + 1):
+            x = int.from_bytes(m[8 * i : 8 * i + 8].ljust(8, b"\0"), "little") | (len(m) % 256 << 56 if i == len(m) // 8 else 0)
+            v[3] ^= x
+            rounds(1)
+            v[0] ^= x
+        v[2] ^= 0xFF
+        rounds(3)
+        return v[0] ^ v[1] ^ v[2] ^ v[3]
+
+    texts = [bytes(range(33, 33 + n)).decode() for n in range(1, 64)]
+    for which in (0, 1):
+        got = next(groups(pa.array([" ".join(texts)]), w.byte_table(words="nonspace", lower=False), which)).hash
+        assert got.tolist() == [plain(w._KEYS[which], t.encode()) for t in texts]
+
+
+def test_prefixes_part_template_pages(spark):
+    """Pages alike by their template only fall apart before any two of them are compared; linked ones stay together."""
+    rng = random.Random(8)
+    frame = [f"t{i}" for i in range(64)]
+    rows = [(i, " ".join(frame + [f"w{rng.randrange(10**9)}" for _ in range(20)])) for i in range(150)]
+    rows += [(200 + i, rows[i][1] + " end") for i in range(10)]
+    docs = spark.createDataFrame([(i, 0, t) for i, t in rows], "rep long, cluster long, text string")
+    sets = docs.mapInArrow(near_dup._sets, "rep long, cluster long, hashes binary")
+    parts = {}
+    for node, part in near_dup._parted(sets).collect():
+        parts.setdefault(part, set()).add(node)
+    assert all(any({i, 200 + i} <= p for p in parts.values()) for i in range(10))
+    assert max(map(len, parts.values())) <= 20
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 62, 3000).astype(np.uint64)
