@@ -1,15 +1,20 @@
 """Operator 4: personal data by patterns and by bootstrapped contextual extraction, in DataFrame functions only.
 
 Base spans are the matches of four fixed patterns that pass their checks (address parts, Luhn, digit counts). They seed
-the bootstrap: the one or two words before a seed are a lexical pattern; loosely identifier-shaped strings that no base
-span covers are candidate instances. Patterns and instances form a graph that is scored in rounds: a pattern's score is
-the score of the instances that follow it over all its occurrences in the corpus, an instance's is the noisy-or of its
-patterns' (seeds stay 1). Candidates that follow a pattern scored at least ``confidence`` become spans too.
-
-Patterns need ``support`` distinct seed values. All counts cover the whole corpus. The patterns are possessive forms of
-the plain ones, equal in what they match, so that long texts neither backtrack nor overflow the stack.
-
-Positions are code points, ends exclusive. Null texts are empty. Repeated rows are judged alike; no id is used as a key.
+the bootstrap: the one or two words before an identifier on its line are a lexical pattern; loosely identifier-shaped
+strings that no base span covers are candidate instances. Patterns and instances form a graph that is scored in rounds.
+A pattern's weight is the score of the instances that follow it, each as often as it does, over all the pattern's
+occurrences in the corpus; it is 0 unless at least ``support`` distinct instances of a score of ``confidence`` follow it.
+An instance's score is the noisy-or of its patterns' weights (seeds stay 1). So seeds vouch for patterns, patterns for
+candidates, and these for further patterns in the next round. Candidates that follow a pattern of at least
+``confidence`` after the last round become spans too.
+
+All counts cover the whole corpus. The fixed patterns are possessive forms of the plain ones, equal in what they match,
+so that long texts neither backtrack nor overflow the stack.
+
+Positions are code points, ends exclusive. Null and empty texts have no spans (``redact`` leaves null texts null). Very
+long texts are read whole. Repeated rows are judged alike; no id is used as a key. An empty table gives an empty result.
+Extra columns are kept; base, loose, _row and those named like results are replaced.
 """
 
 from __future__ import annotations
@@ -40,6 +45,8 @@ LOOSE = "|".join(
     ]
 )
 SUPPORT, CONFIDENCE, ROUNDS = 3, 0.5, 3
+#: Patterns up to this count (about 60 bytes each) are broadcast; more are joined by shuffle.
+BROADCAST_PATTERNS = 100_000
 _CHUNK = 256
 _SPAN = "array<struct<kind:int,start:int,end:int>>"
 _FOUND = "array<struct<kind:int,start:int,end:int,value:string,patterns:array<string>>>"
@@ -147,40 +154,72 @@ def scan(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn("base", base_spans(body)).withColumn("loose", candidates(body, F.col("base")))
 
 
+def _few(patterns: DataFrame) -> bool:
+    return patterns.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS
+
+
 def _words_seen(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """How often each wanted pattern occurs in the corpus, before whatever follows it."""
+    """(pattern, seen): how often each wanted pattern occurs in the corpus as a word or as two words in a row, whatever
+    follows. Words are counted before they are shuffled, only the wanted ones if these are few."""
+    wanted = wanted.select("pattern").distinct()
     words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+")
     pairs = F.transform(F.slice("w", F.lit(2), F.size("w")), lambda w, i: F.concat_ws(" ", F.get(F.col("w"), i), w))
     each = docs.select(words.alias("w")).select(F.explode(F.concat("w", pairs)).alias("pattern")).filter("pattern <> ''")
-    return each.join(wanted.select("pattern").distinct(), "pattern").groupBy("pattern").agg(F.count("*").alias("seen"))
+    few = _few(wanted)
+    if few:
+        each = each.join(F.broadcast(wanted), "pattern", "left_semi")
+    counted = each.groupBy("pattern").agg(F.count("*").alias("seen"))
+    return counted if few else counted.join(wanted, "pattern", "left_semi")
 
 
-def discover(scanned: DataFrame, docs: DataFrame, text: str, *, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, pattern) of the high-confidence patterns; ``scanned`` has the columns of ``scan``."""
+def graph_of(scanned: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(kind, pattern, value, seed, n): how often each value follows each pattern. Patterns that ``support`` distinct
+    values or no candidate follow can't add anything and are left out."""
 
     def each(column: str, seed: int) -> DataFrame:
         one = scanned.select(F.explode(column).alias("m")).select("m.kind", F.lower("m.value").alias("value"), F.explode("m.patterns").alias("pattern"))
         return one.withColumn("seed", F.lit(seed))
 
     edges = each("base", 1).union(each("loose", 0)).groupBy("kind", "pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
-    kept = edges.groupBy("kind", "pattern").agg(F.sum("seed").alias("seeds"), F.sum(1 - F.col("seed")).alias("others"))
-    kept = kept.filter((F.col("seeds") >= support) & (F.col("others") > 0)).select("kind", "pattern")
-    graph = settle(edges.join(kept, ["kind", "pattern"]))
-    patterns = graph.select("kind", "pattern").distinct()
-    if not patterns.take(1):
-        return patterns
-    seen = settle(_words_seen(docs, text, patterns))
+    kept = edges.groupBy("kind", "pattern").agg(F.count("*").alias("values"), F.sum(1 - F.col("seed")).alias("others"))
+    kept = kept.filter((F.col("values") >= support) & (F.col("others") > 0)).select("kind", "pattern")
+    return edges.join(kept, ["kind", "pattern"])
+
+
+def weigh(graph: DataFrame, seen: DataFrame, *, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> list[DataFrame]:
+    """(kind, pattern, w) after each round; ``graph`` and ``seen`` are settled."""
     scores = graph.filter("seed = 1").select("kind", "value").distinct().withColumn("s", F.lit(1.0))
-    weights = patterns.withColumn("w", F.lit(0.0))
+    out = []
     for _ in range(rounds):
-        linked = graph.join(scores, ["kind", "value"], "left").groupBy("kind", "pattern").agg(F.sum(F.coalesce("s", F.lit(0.0)) * F.col("n")).alias("f"))
-        weights = settle(linked.join(seen, "pattern").select("kind", "pattern", F.least(F.lit(1.0), F.col("f") / F.col("seen")).alias("w")))
+        s = F.coalesce("s", F.lit(0.0))
+        linked = graph.join(scores, ["kind", "value"], "left").groupBy("kind", "pattern").agg(F.sum(s * F.col("n")).alias("f"), F.count_if(s >= confidence).alias("sure"))
+        weight = F.when(F.col("sure") >= support, F.least(F.lit(1.0), F.col("f") / F.col("seen"))).otherwise(0.0)
+        weights = settle(linked.join(seen, "pattern").select("kind", "pattern", weight.alias("w")))
         scores = (
             graph.join(weights, ["kind", "pattern"])
             .groupBy("kind", "value")
             .agg(F.when(F.max("seed") == 1, 1.0).otherwise(1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("w"), F.lit(1e-9)))))).alias("s"))
         )
-    return weights.filter(F.col("w") >= confidence).select("kind", "pattern")
+        out.append(weights)
+    return out
+
+
+def discover(scanned: DataFrame, docs: DataFrame, text: str, *, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+    """(kind, pattern) of the high-confidence patterns; ``scanned`` has the columns of ``scan``."""
+    graph = settle(graph_of(scanned, support))
+    patterns = settle(graph.select("kind", "pattern").distinct())
+    if not patterns.take(1):
+        return patterns
+    seen = settle(_words_seen(docs, text, patterns))
+    last = weigh(graph, seen, support=support, confidence=confidence, rounds=rounds)[-1]
+    return last.filter(F.col("w") >= confidence).select("kind", "pattern")
+
+
+def _added(scanned: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(_row, added_spans) of the rows that gain spans."""
+    hits = scanned.filter(F.size("loose") > 0).select("_row", F.explode("loose").alias("m")).select("_row", "m.kind", "m.start", "m.end", F.explode("m.patterns").alias("pattern"))
+    hits = hits.join(F.broadcast(trusted) if _few(trusted) else trusted, ["kind", "pattern"], "left_semi")
+    return hits.groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("added_spans"))
 
 
 def _plain(found: Column) -> Column:
@@ -190,17 +229,14 @@ def _plain(found: Column) -> Column:
 def find_personal_data(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None, **options) -> DataFrame:
     """``docs`` (or its columns ``keep``) with base_spans and added_spans, arrays of struct(kind, start, end), where
     kind is a place in KINDS; sorted by kind and start. Columns of those names are replaced."""
-    docs = docs.drop("base", "loose", "base_spans", "added_spans")
+    docs = docs.drop("base", "loose", "base_spans", "added_spans", "_row")
     names = docs.columns if keep is None else keep
-    slim = [c for c in names if c != text or keep is not None and text in keep]
-    scanned = settle(scan(docs, text).select(*slim, "base", "loose").withColumn("_row", F.monotonically_increasing_id()))
+    scanned = settle(scan(docs, text).select(*names, "base", "loose").withColumn("_row", F.monotonically_increasing_id()))
     trusted = discover(scanned, docs, text, **options)
     base = F.array_sort(_plain(F.col("base"))).alias("base_spans")
     if not trusted.take(1):
-        return scanned.select(*slim, base, F.array().cast(_SPAN).alias("added_spans"))
-    hits = scanned.select("_row", F.explode("loose").alias("m")).select("_row", "m.kind", "m.start", "m.end", F.explode("m.patterns").alias("pattern"))
-    added = hits.join(trusted, ["kind", "pattern"]).groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("added_spans"))
-    return scanned.join(added, "_row", "left").select(*slim, base, F.coalesce("added_spans", F.array().cast(_SPAN)).alias("added_spans"))
+        return scanned.select(*names, base, F.array().cast(_SPAN).alias("added_spans"))
+    return scanned.join(_added(scanned, trusted), "_row", "left").select(*names, base, F.coalesce("added_spans", F.array().cast(_SPAN)).alias("added_spans"))
 
 
 def _listed(spans: Column) -> Column:
@@ -221,16 +257,14 @@ def summary(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets, such as [email]; overlapping spans are replaced as
     one, under the first's kind."""
+    docs = docs.drop("base", "loose", "_row")
     rest = [c for c in docs.columns if c != text]
-    scanned = scan(docs.drop("base", "loose"), text)
-    trusted = discover(settle(scanned.select("base", "loose")), docs, text, **options)
+    scanned = settle(scan(docs, text).withColumn("_row", F.monotonically_increasing_id()))
+    trusted = discover(scanned, docs, text, **options)
     scanned = scanned.withColumn("base_spans", _plain(F.col("base")))
     if trusted.take(1):
-        # By the text's digest: what is added depends on the text alone.
-        scanned = scanned.withColumn("_text", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-        hits = scanned.filter(F.size("loose") > 0).select("_text", F.explode("loose").alias("m")).select("_text", "m.kind", "m.start", "m.end", F.explode("m.patterns").alias("pattern"))
-        added = hits.join(trusted, ["kind", "pattern"]).groupBy("_text").agg(F.collect_set(F.struct("kind", "start", "end")).alias("_added"))
-        scanned = scanned.join(added, "_text", "left").withColumn("base_spans", F.concat("base_spans", F.coalesce("_added", F.array().cast(_SPAN))))
+        every = F.concat("base_spans", F.coalesce("added_spans", F.array().cast(_SPAN)))
+        scanned = scanned.join(_added(scanned, trusted), "_row", "left").withColumn("base_spans", every)
     # Sorted by start; the text is cut between spans from left to right.
     ordered = F.array_sort(F.transform("base_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     names = F.array(*(F.lit(f"[{k}]") for k in KINDS))
