@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, join_back, settle, small_batches
+from .shared import components, join_back, pick, settle, small_batches
 from .words import byte_table, grams, groups, large_list, mix, whole
 
 SHINGLE, PERCENT = 5, 85
@@ -314,7 +314,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     members = _sized(nodes.selectExpr("node AS rep", "component AS cluster").join(n_of, "rep"), block_shingles)
 
     def with_texts(some: DataFrame) -> DataFrame:
-        return docs.join(some, docs.doc_id == some.rep).drop("doc_id")
+        wanted = pick(docs.filter("doc_id IS NOT NULL"), "doc_id", some.select("rep"), some.count())
+        return wanted.join(some, wanted.doc_id == some.rep).drop("doc_id")
 
     def with_sets(some: DataFrame) -> DataFrame:
         return settle(with_texts(some).select("rep", "cluster", "text").mapInArrow(_sets, "rep long, cluster long, hashes binary"))
@@ -324,7 +325,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         sets = with_sets(members.filter("blocks > 1"))
         finer = _parted(sets).selectExpr("node AS rep", "component AS cluster")
         finer = _sized(finer.join(n_of, "rep"), block_shingles)
-        small = small.unionByName(finer.filter("blocks = 1"))
+        small = settle(small.unionByName(finer.filter("blocks = 1")))
         large = finer.filter("blocks > 1")
         if large.take(1):
             links.append(_large_links(settle(sets.drop("cluster").join(large, "rep")), block_shingles))

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +45,54 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bitmap(prints: DataFrame, bits: int, slices: int = 64) -> bytes:
+    """A bitmap of ``bits`` bits (a power of two, 8 * slices at least), set by the leading bits of each 64-bit value of the
+    only column. Tasks' bitmaps are united by slice; the driver gets bits / 8 bytes."""
+    width = bits // 8 // slices
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            place = (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+            np.bitwise_or.at(marks, place >> 3, (128 >> (place & 7)).astype(np.uint8))
+        parts = [zlib.compress(x.tobytes(), 1) for x in np.split(marks, slices)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "marks"])
+
+    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
+        marks = np.zeros(width, np.uint8)
+        for x in pdf["marks"]:
+            marks |= np.frombuffer(zlib.decompress(x), np.uint8)
+        return pd.DataFrame({"slice": [int(pdf["slice"].iloc[0])], "marks": [marks.tobytes()]})
+
+    rows = prints.mapInArrow(mark, "slice int, marks binary").groupBy("slice").applyInPandas(unite, "slice int, marks binary").collect()
+    return b"".join(bytes(r.marks) for r in sorted(rows)) or bytes(bits // 8)
+
+
+def marked(marks: bytes, values: np.ndarray) -> np.ndarray:
+    """Which 64-bit values have their bit set in a ``bitmap``."""
+    place = (values.view(np.uint64) >> np.uint64(64 - (8 * len(marks)).bit_length() + 1)).astype(np.int64)
+    return np.frombuffer(marks, np.uint8)[place >> 3] >> (7 - (place & 7)) & 1 == 1
+
+
+def pick(rows: DataFrame, key: str, wanted: DataFrame, count: int, most_bits: int = 1 << 28) -> DataFrame:
+    """Those of ``rows`` whose key may be among the ``count`` values of ``wanted``'s only column, before they are shuffled
+    to meet them: looked up in a bitmap of 16 bits a value, ``most_bits`` at most (a full one lets every row through)."""
+    bits = min(most_bits, 1 << max(10, (16 * count - 1).bit_length()))
+    marks = rows.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64(wanted.columns[0])), bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(marked(marks.value, batch.column(batch.num_columns - 1).to_numpy())))
+
+    hashed = rows.withColumn("_hash", F.xxhash64(key))
+    return hashed.mapInArrow(run, hashed.schema).drop("_hash")
+
+
+def _hubs(keyed: DataFrame, key: str, value, total: int, most: int = 1000) -> DataFrame:
+    """(key, value) of keys that hold over 1/most of the ``total`` rows: fewer than ``most``."""
+    return settle(keyed.groupBy(key).agg(value, F.count("*").alias("_n")).filter(F.col("_n") * most > total).drop("_n"))
+
+
 def join_back(rows: DataFrame, found: DataFrame, keys: list[str], copies: str, most: int = 1000) -> DataFrame:
     """``rows`` with the columns of ``found`` (settled; one row a key, with how many ``copies`` of it ``rows`` has), but
     ``copies``. Keys that hold over 1/most of all copies are at most ``most``: they are broadcast, so that none gathers
@@ -55,12 +109,12 @@ def _summed(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first())
 
 
-def components(edges: DataFrame, most: int = 60, per_task: int = 500_000) -> DataFrame:
+def components(edges: DataFrame, most: int = 60, per_task: int = 500_000, hubs_from: int = 10_000) -> DataFrame:
     """(node, component) of an undirected graph given as edges (u, v) of longs; component is the least node reached.
 
-    Alternates large-star and small-star steps (each node's neighbours are linked to the least of them). The large star
-    aggregates before it joins, so a hub's neighbours are never gathered; the small star groups by the larger end, which
-    has few smaller neighbours. Tasks are as many as the edges need, about ``per_task`` each, however many partitions
+    Alternates large-star and small-star steps (each node's neighbours are linked to the least of them). In the large
+    star, nodes that hold over a thousandth of all edges get their least neighbour by broadcast, so a hub's neighbours
+    are never gathered (under ``hubs_from`` edges there is nothing to spread); the small star groups by the larger end, which has few smaller neighbours. Tasks are as many as the edges need, about ``per_task`` each, however many partitions
     the session shuffles into. Rounds grow with the logarithm of the node count; raises if ``most`` don't suffice.
     """
     least_tasks = edges.sparkSession.sparkContext.defaultParallelism
@@ -72,8 +126,14 @@ def components(edges: DataFrame, most: int = 60, per_task: int = 500_000) -> Dat
         tasks = max(least_tasks, -(-before[0] // per_task))
         edges = edges.coalesce(tasks)
         both = edges.union(edges.selectExpr("v AS u", "u AS v")).coalesce(tasks)
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").selectExpr("v AS u", "m AS v").filter("u <> v").coalesce(tasks)
+        least = F.least(F.min("v"), F.first("u")).alias("m")
+        if before[0] < hubs_from:
+            near = both.join(both.groupBy("u").agg(least), "u")
+        else:
+            hubs = F.broadcast(_hubs(both, "u", least, 2 * before[0]))
+            others = both.join(hubs, "u", "left_anti")
+            near = others.join(others.groupBy("u").agg(least), "u").unionByName(both.join(hubs, "u"))
+        large = near.filter("v > u").selectExpr("v AS u", "m AS v").filter("u <> v").coalesce(tasks)
         large = large.repartition("u").dropDuplicates(["u", "v"])  # here u > v throughout; what follows keeps this partitioning
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").selectExpr("v AS u", "m AS v").union(least.selectExpr("u", "m AS v"))
