@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
-from itertools import pairwise
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,11 +81,19 @@ def gamma(v: Column, g: Column | float) -> Column:
     return F.pow(clamp(v), 1 / F.lit(g) if not isinstance(g, Column) else 1 / g)
 
 
-def wheels(v: Column, lift: Column | float, gam: Column | float, gain: Column | float) -> Column:
-    """Lift works on shadows, gain on highlights, by smooth weights, and gamma on what is between."""
-    shadow, light = 1 - smoothstep(0.0, 0.5, v), smoothstep(0.5, 1.0, v)
-    out = v + lift * shadow + (gain - 1.0) * v * light
-    return F.pow(clamp(out), 1 / F.lit(gam) if not isinstance(gam, Column) else 1 / gam)
+def wheels(rgb: tuple[Column, Column, Column], lift, gam, gain) -> list[Column]:
+    """Lift on shadows, gamma on what is between, gain on highlights, each by a smooth weight of the pixel's BT.709
+    luma. Parameters are one value or three, numbers or columns."""
+    each = [p if isinstance(p, (tuple, list)) else (p, p, p) for p in (lift, gam, gain)]
+    luma = luma709(*rgb)
+    shadow, light = 1 - smoothstep(0.0, 0.5, luma), smoothstep(0.5, 1.0, luma)
+    middle = clamp(1 - shadow - light)
+    out = []
+    for v, up, power, scale in zip(rgb, *each):
+        v = v + up * shadow
+        v = v + (F.pow(clamp(v), 1 / power) - v) * middle
+        out.append(clamp(v * (1 + (scale - 1) * light)))
+    return out
 
 
 def three_way_points(lift: float, gam: float, gain: float) -> list[tuple[float, float]]:
@@ -94,16 +102,44 @@ def three_way_points(lift: float, gam: float, gain: float) -> list[tuple[float,
     return [(0.0, clip(lift)), (0.5, clip((lift + (gain - lift) * 0.5) ** (1 / gam) if lift + (gain - lift) * 0.5 > 0 else 0.0)), (1.0, clip(gain))]
 
 
+TABLE = 256
+
+
+def curve_table(points: list[tuple[float, float]], size: int = TABLE) -> list[float]:
+    """A smooth curve through control points that overshoots none of them (Steffen's monotone cubic), at ``size`` even
+    places; flat outside the points. Points are held to the unit square and sorted, of equal inputs the first stays;
+    fewer than two give the identity."""
+    places = np.linspace(0, 1, size)
+    kept: list[tuple[float, float]] = []
+    held = [tuple(min(1.0, max(0.0, float(v))) for v in p) for p in points if all(map(math.isfinite, p))]
+    for x, y in sorted(held, key=lambda p: p[0]):
+        if not kept or x - kept[-1][0] >= 1e-6:
+            kept.append((x, y))
+    if len(kept) < 2:
+        return places.tolist()
+    x, y = np.array(kept).T
+    width, rise = np.diff(x), np.diff(y) / np.diff(x)
+    slope = np.empty(len(x))
+    if len(x) == 2:
+        slope[:] = rise[0]
+    else:
+        mean = (rise[:-1] * width[1:] + rise[1:] * width[:-1]) / (width[:-1] + width[1:])
+        slope[1:-1] = (np.sign(rise[:-1]) + np.sign(rise[1:])) * np.minimum(np.minimum(abs(rise[:-1]), abs(rise[1:])), abs(mean) / 2)
+        for end, (h, far), (s, beyond) in ((0, width[:2], rise[:2]), (-1, width[:-3:-1], rise[:-3:-1])):
+            own = s + (s - beyond) * h / (h + far)
+            slope[end] = 0 if own * s <= 0 else np.sign(s) * min(abs(own), 2 * abs(s))
+    at = np.clip(np.searchsorted(x, places, "left") - 1, 0, len(x) - 2)
+    h, t = width[at], np.clip((places - x[at]) / width[at], 0, 1)
+    u = 1 - t
+    cubic = y[at] * (1 + 2 * t) * u * u + slope[at] * h * t * u * u + y[at + 1] * t * t * (3 - 2 * t) - slope[at + 1] * h * t * t * u
+    return np.clip(cubic, 0, 1).tolist()
+
+
 def curve(v: Column, points: list[tuple[float, float]]) -> Column:
-    """Piecewise linear through control points; flat outside them. A curve of no points is the identity."""
+    """A channel through the nearest entry of its curve's table. A curve of no points is the identity."""
     if not points:
         return v
-    points = sorted(points)
-    out = F.when(v <= points[0][0], F.lit(float(points[0][1])))
-    for (x0, y0), (x1, y1) in pairwise(points):
-        if x1 > x0:
-            out = out.when(v <= x1, y0 + (v - x0) * ((y1 - y0) / (x1 - x0)))
-    return out.otherwise(F.lit(float(points[-1][1])))
+    return F.get(F.lit(curve_table(points)), F.floor(clamp(v) * (TABLE - 1) + 0.5).cast("int"))
 
 
 def kelvin_gains(kelvin: float, tint: float = 0.0) -> tuple[float, float, float]:
@@ -166,14 +202,32 @@ def vignette(x: Column, y: Column, w: int, h: int, radius: float, feather: float
     return 1 - smoothstep(radius, radius + feather, 2 * F.sqrt(dx * dx + dy * dy)) * strength
 
 
-def grain(x: Column, y: Column, frame: Column, seed: int = 0) -> Column:
-    """Noise in [-1, 1] that depends on pixel and frame only: a 32-bit integer hash."""
-    mask = 0xFFFFFFFF
-    h = (x.cast("long") * 374761393 + y.cast("long") * 668265263 + frame.cast("long") * 2147483647 + seed).bitwiseAND(mask)
-    h = h.bitwiseXOR(F.shiftright(h, 13))
-    h = (h * 1274126177).bitwiseAND(mask)
-    h = h.bitwiseXOR(F.shiftright(h, 16))
-    return h / (mask / 2.0) - 1
+_U32 = 0xFFFFFFFF
+
+
+def wang_hash(seed: Column) -> Column:
+    """A hash of 32-bit numbers, as a long."""
+
+    def folded(h: Column, n: int) -> Column:
+        return h.bitwiseXOR(F.shiftright(h, n))
+
+    h = (folded(seed, 16).bitwiseXOR(F.lit(61)) * 9).bitwiseAND(_U32)
+    return folded((folded(h, 4) * 0x27D4EB2D).bitwiseAND(_U32), 15)
+
+
+def grain(x: Column, y: Column, frame: Column, which: int = 0) -> Column:
+    """Noise in [-0.5, 0.5] that depends on pixel, frame and ``which`` only."""
+    seed = (x.cast("long") * 1973 + y.cast("long") * 9277 + frame.cast("long") * 26699 + which).bitwiseAND(_U32)
+    return wang_hash(seed) / float(_U32) - 0.5
+
+
+def film_grain(rgb: tuple[Column, Column, Column], x: Column, y: Column, frame: Column, luma, chroma) -> list[Column]:
+    """Noise added to luma and, less or more, to chroma (BT.709)."""
+    r, g, b = rgb
+    light = luma709(r, g, b)
+    blue, red = (b - light) / 1.8556 + grain(x, y, frame, 1) * chroma, (r - light) / 1.5748 + grain(x, y, frame, 2) * chroma
+    light = light + grain(x, y, frame) * luma
+    return [clamp(light + 1.5748 * red), clamp(light - 0.1873 * blue - 0.4681 * red), clamp(light + 1.8556 * blue)]
 
 
 def rect_mask(x: Column, y: Column, x0, y0, w, h, invert: bool = False) -> Column:

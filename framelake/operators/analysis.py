@@ -9,13 +9,16 @@ from ..functions.audio import to_db
 
 
 def waveform(samples: DataFrame, by: list[str], t: str, value: str, width: int, *, fill: bool = True) -> DataFrame:
-    """(by, bucket, peak, rms) levels in linear units for each bucket of ``width``; empty buckets between full ones
-    come with level 0 when ``fill``. The aggregation combines before its one shuffle; only buckets are densified."""
+    """(by, bucket, peak, rms) levels in linear units for each bucket of ``width`` from time 0 on; empty buckets
+    before and between full ones come with level 0 when ``fill`` (times before 0 keep their buckets). The aggregation combines before its one shuffle; only buckets are densified."""
+    if width <= 0:
+        raise ValueError("the width of a bucket must be positive")
     got = samples.groupBy(*by, F.floor(F.col(t) / width).alias("bucket")).agg(F.max(F.abs(value)).alias("peak"), F.sqrt(F.avg(F.col(value) * F.col(value))).alias("rms"))
     if not fill:
         return got
     w = Window.partitionBy(*by).orderBy("bucket")
-    rows = got.withColumn("_next", F.lead("bucket").over(w)).withColumn("_b", F.explode(F.sequence(F.col("bucket"), F.coalesce(F.col("_next") - 1, F.col("bucket")))))
+    first = F.coalesce(F.lag("bucket").over(w) + 1, F.least(F.lit(0), F.col("bucket")))
+    rows = got.withColumn("_first", first).withColumn("_b", F.explode(F.sequence(F.col("_first"), F.col("bucket"))))
     real = F.col("_b") == F.col("bucket")
     return rows.select(*by, F.col("_b").alias("bucket"), *(F.when(real, F.col(c)).otherwise(0.0).alias(c) for c in ("peak", "rms")))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import blend as B
-from ..functions.colour import hsl_to_rgb, luma709, rgb_to_hsl
+from ..functions.colour import hsl_to_rgb, luma601, luma709, rgb_to_hsl
 
 KEY = ["frame_no", "x", "y"]
 RGB = ["r", "g", "b"]
@@ -174,12 +174,18 @@ def unsharp(pixels: DataFrame, amount: Column | float) -> DataFrame:
     return mean.select(*KEY, *((F.col(c) + amount * (F.col(c) - F.col(f"_{c}"))).alias(c) for c in RGB))
 
 
-def glow(pixels: DataFrame, threshold: float, radius: float, intensity: float) -> DataFrame:
-    """Highlights above the threshold, blurred and added."""
-    high = pixels.select(*KEY, *((F.greatest(F.col(c) - threshold, F.lit(0.0)) / max(1e-9, 1 - threshold)).alias(c) for c in RGB))
+def glow(pixels: DataFrame, threshold: float, radius: float, intensity, hard: bool = False) -> DataFrame:
+    """Highlights, blurred and added: what each channel has above the threshold, or (``hard``) the pixels whose luma
+    reaches it. The intensity may be a column of ``pixels``."""
+    if hard:
+        shown = luma601(*(F.col(c) for c in RGB)) >= threshold
+        high = pixels.select(*KEY, *(F.when(shown, F.col(c)).otherwise(0.0).alias(c) for c in RGB))
+    else:
+        high = pixels.select(*KEY, *((F.greatest(F.col(c) - threshold, F.lit(0.0)) / max(1e-9, 1 - threshold)).alias(c) for c in RGB))
     soft = blur(high, min(50.0, max(0.5, radius)))
     p = paired(pixels, soft)
-    return p.select(*KEY, *(F.least(F.lit(1.0), F.col(c) + F.col(f"_{c}") * min(2.0, max(0.0, intensity))).alias(c) for c in RGB))
+    by = F.least(F.lit(2.0), F.greatest(F.lit(0.0), intensity if isinstance(intensity, Column) else F.lit(float(intensity))))
+    return p.select(*KEY, *(F.least(F.lit(1.0), F.col(c) + F.col(f"_{c}") * by).alias(c) for c in RGB))
 
 
 def aberration(pixels: DataFrame, red: int, blue: int) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import select
+
 NS = 1_000_000_000
 
 
@@ -28,25 +30,33 @@ def running_offset(parts: DataFrame, by: list[str], order: list, length: str) ->
 
 
 def overlaps(clips: DataFrame, width: int = 60 * NS) -> DataFrame:
-    """(track_id, first, second): pairs of clips of one track whose half-open footprints meet; clips of unknown or
-    empty footprint take no part. A running maximum finds the clips that can overlap anything, so tracks without
+    """(track_id, first, second): pairs of clips of one track of which the later starts inside the earlier's half-open
+    footprint; an empty footprint contains nothing but may lie inside another. Clips of unknown footprint take no part,
+    ties in start go by list order. A running maximum finds the clips that can overlap anything, so tracks without
     overlaps cost one sort; the rest meet by (track, time bucket), the later clip's start in the earlier one's span."""
-    known = with_footprint(clips).filter("footprint_ns > 0").select("track_id", "clip_id", "pos", F.col("offset_ns").alias("s"), F.col("end_ns").alias("e"))
+    known = with_footprint(clips).filter("footprint_ns >= 0").select("track_id", "clip_id", "pos", F.col("offset_ns").alias("s"), F.col("end_ns").alias("e"))
     before = Window.partitionBy("track_id").orderBy("s", "pos", "clip_id").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("track_id").orderBy("s", "pos", "clip_id")
     marked = known.withColumns({"_reach": F.max("e").over(before), "_next": F.lead("s").over(after)})
-    late, early = marked.filter("_reach > s"), marked.filter("_next < e")
+    late, early = marked.filter("_reach > s"), marked.filter("_next < e AND s < e")
     a = early.select("track_id", *(F.col(c).alias(f"a_{c}") for c in ("clip_id", "pos", "s", "e")), F.explode(F.sequence(F.floor(F.col("s") / width), F.floor((F.col("e") - 1) / width))).alias("bucket"))
     pair = a.join(late.withColumn("bucket", F.floor(F.col("s") / width)), ["track_id", "bucket"]).filter("s < a_e AND (a_s < s OR (a_s = s AND (a_pos < pos OR (a_pos = pos AND a_clip_id < clip_id))))")
     return pair.select("track_id", F.col("a_clip_id").alias("first"), F.col("clip_id").alias("second"))
 
 
-def composition_end(clips: DataFrame, by: list[str], fps_num: int, fps_den: int = 1) -> DataFrame:
-    """Frames until the last clip ends, at least 1; null if any clip's end is unknown."""
+def composition_end(clips: DataFrame, tracks: DataFrame, fps_num: int, fps_den: int = 1) -> DataFrame:
+    """(timeline_id, frames) of each timeline with a video track: frames until the last clip of its active video tracks
+    ends, each clip's lead-in rounded to frames and its content rounded up. Null without a whole frame, and if any of
+    these clips' ends is unknown."""
     rate = fps_num / fps_den
+    if not 0 < rate < float("inf"):
+        raise ValueError(f"a frame rate must be positive, not {fps_num}/{fps_den}")
+    video = tracks.filter("kind = 'video'")
+    on = select.active_tracks(video).select("timeline_id", "track_id").join(clips, "track_id")
     end = F.round(F.col("offset_ns") / NS * rate) + F.ceil((F.col("out_ns") - F.col("in_ns")) / NS / F.greatest(F.col("speed"), F.lit(0.01)) * rate)
-    known = F.count_if(end.isNull()) == 0
-    return clips.groupBy(*by).agg(F.when(known, F.greatest(F.lit(1), F.max(end).cast("long"))).alias("frames"))
+    last = F.when((F.count_if(end.isNull()) == 0) & (F.max(end) >= 1), F.max(end).cast("long"))
+    ends = on.groupBy("timeline_id").agg(last.alias("frames"))
+    return video.select("timeline_id").distinct().join(ends, "timeline_id", "left")
 
 
 def clamp_transitions(clips: DataFrame, source_len: str = "source_ns") -> DataFrame:
@@ -64,8 +74,9 @@ def active_clip(times: DataFrame, clips: DataFrame, width: int = 60 * NS) -> Dat
     return hit.groupBy("track_id", "t").agg(F.min_by("clip_id", F.struct("pos", "clip_id")).alias("clip_id"))
 
 
-def validate(clips: DataFrame, tracks: DataFrame) -> DataFrame:
-    """(rule, track_id, clip_id) of everything wrong; never raises."""
+def validate(clips: DataFrame, tracks: DataFrame, timelines: DataFrame | None = None) -> DataFrame:
+    """(rule, track_id, clip_id) of everything wrong; never raises. With ``timelines`` (timeline_id, fps_num, fps_den)
+    also (degenerate_frame_rate, null, null), once for each timeline whose rate is not a positive number."""
     on = clips.join(tracks.select("track_id", F.col("kind").alias("track_kind")), "track_id", "left")
     first = Window.partitionBy("track_id").orderBy("pos", "clip_id")
     on = on.withColumn("_first", F.row_number().over(first) == 1)
@@ -75,13 +86,18 @@ def validate(clips: DataFrame, tracks: DataFrame) -> DataFrame:
         "empty_footprint": F.col("out_ns") == F.col("in_ns"),
         "generated_clip_without_out_point": generated & F.col("out_ns").isNull(),
         "clip_cannot_serve_track": generated & (F.col("track_kind") == "audio"),
-        "degenerate_speed": (F.col("speed") <= 0) | F.isnan("speed"),
-        "fade_longer_than_clip": F.col("fade_in_ns") + F.col("fade_out_ns") > footprint(),
+        "degenerate_speed": (F.col("speed") <= 0) | F.isnan("speed") | (F.col("speed") == float("inf")),
+        "fade_longer_than_clip": (F.col("fade_in_ns") > footprint()) | (F.col("fade_out_ns") > footprint()),
         "dangling_transition": F.col("_first") & (F.col("transition_ns") > 0),
     }
     found = F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())), lambda r: r.isNotNull())
     single = on.select(F.explode(found).alias("rule"), "track_id", "clip_id")
-    return single.unionByName(overlaps(clips).select(F.lit("clip_overlap").alias("rule"), "track_id", F.col("second").alias("clip_id")))
+    found = single.unionByName(overlaps(clips).select(F.lit("clip_overlap").alias("rule"), "track_id", F.col("second").alias("clip_id")))
+    if timelines is None:
+        return found
+    sound = F.coalesce(F.col("fps_num") * F.signum("fps_den") > 0, F.lit(False))
+    bad = timelines.filter(~sound).select(F.lit("degenerate_frame_rate").alias("rule"), F.lit(None).cast("long").alias("track_id"), F.lit(None).cast("long").alias("clip_id"))
+    return found.unionByName(bad)
 
 
 # ---- edits -----------------------------------------------------------------------------------------------------------

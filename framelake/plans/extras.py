@@ -10,7 +10,7 @@ from ..operators import audio, keyframes, layout, pixels
 from ..operators import timeline as tl
 from . import media
 from .media import NUMBERED, PIXELS, SAMPLES, byte
-from .pictures import GRAIN_HASH
+from .pictures import noise
 from .register import Plans
 
 plans = Plans()
@@ -41,7 +41,7 @@ _keyed("keyframed_brightness", byte("(r + k * 0.2::DOUBLE - 0.5) * 1 + 0.5"), la
 _keyed("keyframed_gamma", byte("pow(r, 1 / (0.5::DOUBLE + k))"), lambda p: fb.to_byte(fc.gamma(F.col("r"), 0.5 + F.col("k"))))
 _keyed("keyframed_rect_mask", "CASE WHEN x >= round(k * 4) AND x <= round(k * 4) + 4 - 1 AND y >= 1 AND y <= 3 THEN 255 ELSE 0 END", lambda p: fc.rect_mask(F.col("x"), F.col("y"), F.round(F.col("k") * 4), 1, 4, 3))
 _keyed("keyframed_color_key", byte("CASE WHEN sqrt(((r - 0.5) * (r - 0.5) + (g - 0.5) * (g - 0.5) + (b - 0.5) * (b - 0.5)) / 3) > k * 0.2::DOUBLE THEN 1.0 ELSE 0.0 END"), lambda p: fb.to_byte(fc.color_key(*(F.col(c) for c in "rgb"), (0.5, 0.5, 0.5), F.col("k") * 0.2, None)))
-_keyed("keyframed_film_grain", f"CAST(floor(({GRAIN_HASH} / (4294967295 / 2.0::DOUBLE) - 1) * k * 1000) AS BIGINT)", lambda p: F.floor(fc.grain(F.col("x"), F.col("y"), F.col("frame_no")) * F.col("k") * 1000))
+_keyed("keyframed_film_grain", f"CAST(floor({noise()} * k * 1000) AS BIGINT)", lambda p: F.floor(fc.grain(F.col("x"), F.col("y"), F.col("frame_no")) * F.col("k") * 1000))
 
 
 @plans.query("keyframed_motion_blur", f"{_AN}, m AS (SELECT frame_no, r * (1 - k) + coalesce(lag(r) OVER (PARTITION BY x, y ORDER BY frame_no), r) * k AS r FROM an) SELECT frame_no, round(avg(r), 6) AS r FROM m GROUP BY frame_no")

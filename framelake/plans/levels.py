@@ -13,25 +13,31 @@ from .register import Plans
 plans = Plans()
 QUERIES, ORACLE = plans.QUERIES, plans.ORACLE
 
-_WAVE = f"""WITH {SAMPLES}, got AS (SELECT stream_id, t_us // {DAY_US} AS bucket, max(abs(value)) AS peak, sqrt(avg(value * value)) AS rms FROM samples GROUP BY ALL)"""
+#: Recordings start with the table's first day, 2024-01-01: buckets count from there, whenever a stream's first sample comes.
+ORIGIN_US = 1_704_067_200_000_000
+_WAVE = f"""WITH {SAMPLES}, got AS (SELECT stream_id, (t_us - {ORIGIN_US}) // {DAY_US} AS bucket, max(abs(value)) AS peak, sqrt(avg(value * value)) AS rms FROM samples GROUP BY ALL)"""
+
+
+def _recorded(spark, d):
+    return media.samples(spark, d).withColumn("t_us", F.col("t_us") - ORIGIN_US)
 
 
 @plans.query("waveform_bucketed", f"{_WAVE} SELECT stream_id, bucket, round(peak, 6) AS peak, round(rms, 6) AS rms FROM got")
 def waveform_bucketed(spark, d):
-    w = analysis.waveform(media.samples(spark, d), ["stream_id"], "t_us", "value", DAY_US, fill=False)
+    w = analysis.waveform(_recorded(spark, d), ["stream_id"], "t_us", "value", DAY_US, fill=False)
     return w.select("stream_id", "bucket", F.round("peak", 6).alias("peak"), F.round("rms", 6).alias("rms"))
 
 
 @plans.query(
     "waveform_gap_filled",
-    f"""{_WAVE}, ends AS (SELECT stream_id, min(bucket) AS lo, max(bucket) AS hi FROM got GROUP BY stream_id),
+    f"""{_WAVE}, ends AS (SELECT stream_id, least(0, min(bucket)) AS lo, max(bucket) AS hi FROM got GROUP BY stream_id),
 grid AS (SELECT stream_id, unnest(range(lo, hi + 1)) AS bucket FROM ends)
 SELECT stream_id, bucket, round(coalesce(peak, 0), 6) AS peak, round(coalesce(rms, 0), 6) AS rms,
        CASE WHEN peak > 0 THEN round(20 * log10(peak), 6) END AS peak_db, CASE WHEN rms > 0 THEN round(20 * log10(rms), 6) END AS rms_db
 FROM grid LEFT JOIN got USING (stream_id, bucket)""",
 )
 def waveform_gap_filled(spark, d):
-    w = analysis.levels_db(analysis.waveform(media.samples(spark, d), ["stream_id"], "t_us", "value", DAY_US))
+    w = analysis.levels_db(analysis.waveform(_recorded(spark, d), ["stream_id"], "t_us", "value", DAY_US))
     finite = lambda c: F.when(F.col(c) > float("-inf"), F.round(c, 6)).alias(c)
     return w.select("stream_id", "bucket", F.round("peak", 6).alias("peak"), F.round("rms", 6).alias("rms"), finite("peak_db"), finite("rms_db"))
 

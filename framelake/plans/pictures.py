@@ -213,16 +213,44 @@ _GRADE_CTE = f", gr AS (SELECT frame_no, {', '.join(f'{v} AS {c}' for c, v in _G
 _colour("colour_grade", {c: f"l + ({c} - l) * 1.3" for c in RGB}, lambda r, g, b: fc.grade(r, g, b, 0.05, 1.2, 1.3, 0.3, -0.2), _GRADE_CTE, "gy")
 _colour("gamma_channels", {c: f"pow({c}, 1 / {g}::DOUBLE)" for c, g in zip(RGB, (1.2, 0.9, 2.2))}, lambda r, g, b: [fc.gamma(r, 1.2), fc.gamma(g, 0.9), fc.gamma(b, 2.2)])
 _POINTS = [(0.0, 0.1), (0.4, 0.3), (0.6, 0.8), (1.0, 0.95)]
-_CURVE = "CASE WHEN {c} <= 0.0 THEN 0.1 WHEN {c} <= 0.4 THEN 0.1 + ({c} - 0.0) * ((0.3::DOUBLE - 0.1::DOUBLE) / (0.4::DOUBLE - 0.0)) WHEN {c} <= 0.6 THEN 0.3 + ({c} - 0.4) * ((0.8::DOUBLE - 0.3::DOUBLE) / (0.6::DOUBLE - 0.4::DOUBLE)) ELSE 0.8 + ({c} - 0.6) * ((0.95::DOUBLE - 0.8::DOUBLE) / (1.0 - 0.6::DOUBLE)) END"
-_colour("curve_lut", {c: _CURVE.format(c=c) for c in RGB}, lambda *rgb: [fc.curve(v, _POINTS) for v in rgb])
+
+
+def _table_sql(points: list[tuple[float, float]]) -> str:
+    """CTE tab(k, v): the curve's table by its rule: Hermite pieces with Steffen's slopes."""
+    rows = ", ".join(f"({i}, {x}::DOUBLE, {y}::DOUBLE)" for i, (x, y) in enumerate(points))
+    end = "CASE WHEN {p} * {s} <= 0 THEN 0.0 WHEN abs({p}) > 2 * abs({s}) THEN 2 * {s} ELSE {p} END"
+    first = end.format(p="(s * (1 + h / (h + hn)) - sn * (h / (h + hn)))", s="s")
+    last = end.format(p="(sp * (1 + hp / (hp + hpp)) - spp * (hp / (hp + hpp)))", s="sp")
+    return f"""pts(i, x, y) AS (VALUES {rows}),
+seg AS (SELECT *, lead(x) OVER w - x AS h, (lead(y) OVER w - y) / (lead(x) OVER w - x) AS s, lead(x) OVER w AS xn, lead(y) OVER w AS yn FROM pts WINDOW w AS (ORDER BY i)),
+near AS (SELECT *, lag(h) OVER w AS hp, lag(s) OVER w AS sp, lag(h, 2) OVER w AS hpp, lag(s, 2) OVER w AS spp, lead(h) OVER w AS hn, lead(s) OVER w AS sn FROM seg WINDOW w AS (ORDER BY i)),
+slopes AS (SELECT *, CASE WHEN hp IS NULL THEN {first} WHEN h IS NULL THEN {last} ELSE (sign(sp) + sign(s)) * least(abs(sp), abs(s), 0.5 * abs((sp * h + s * hp) / (hp + h))) END AS d FROM near),
+piece AS (SELECT *, lead(d) OVER (ORDER BY i) AS dn FROM slopes),
+tab AS (SELECT CAST(k AS INTEGER) AS k, CASE WHEN u <= (SELECT min(x) FROM pts) THEN (SELECT arg_min(y, x) FROM pts) WHEN u >= (SELECT max(x) FROM pts) THEN (SELECT arg_max(y, x) FROM pts) ELSE
+  (SELECT least(1.0, greatest(0.0, (2 * t * t * t - 3 * t * t + 1) * y + (t * t * t - 2 * t * t + t) * h * d + (3 * t * t - 2 * t * t * t) * yn + (t * t * t - t * t) * h * dn))
+   FROM (SELECT (u - x) / h AS t, * FROM piece WHERE x < u AND u <= xn)) END AS v FROM (SELECT k, k / 255.0::DOUBLE AS u FROM range(256) r(k)))"""
+
+
+def _tabled(name: str, points: list[tuple[float, float]]) -> None:
+    joins = " ".join(f"JOIN tab t{c} ON t{c}.k = bt.{c}" for c in RGB)
+    sums = ", ".join(f"CAST(sum({byte(f't{c}.v')}) AS BIGINT) AS {c}" for c in RGB)
+    bt = f"bt AS (SELECT frame_no, {byte('r')} AS r, {byte('g')} AS g, {byte('b')} AS b FROM pixels)"
+
+    def run(spark, d):
+        return _sums(media.pixels(spark, d).select("frame_no", *(fb.to_byte(fc.curve(F.col(c), points)).alias(c) for c in RGB)))
+
+    plans.query(name, f"WITH {PIXELS}, {bt}, {_table_sql(points)} SELECT frame_no, {sums} FROM bt {joins} GROUP BY frame_no")(run)
+
+
+_tabled("curve_lut", _POINTS)
 _gains = fc.kelvin_gains(4500.0, 0.02)
 _colour("white_balance", {c: f"{c} * {g!r}::DOUBLE" for c, g in zip(RGB, _gains)}, lambda *rgb: [v * g for v, g in zip(rgb, _gains)])
-_W = {k: _SMOOTH.format(p="{c}", lo=lo, w=w) for k, lo, w in (("s", "0.0", "0.5::DOUBLE"), ("h", "0.5::DOUBLE", "0.5::DOUBLE"))}
-_colour(
-    "colour_wheels",
-    {c: f"pow({_CLAMP.format(f'{c} + 0.08::DOUBLE * (1 - {_W['s'].format(c=c)}) + 0.2::DOUBLE * {c} * {_W['h'].format(c=c)}')}, 1 / 1.1::DOUBLE)" for c in RGB},
-    lambda *rgb: [fc.wheels(v, 0.08, 1.1, 1.2) for v in rgb],
-)
+_W = {k: _SMOOTH.format(p="l", lo=lo, w=w) for k, lo, w in (("s", "0.0", "0.5::DOUBLE"), ("h", "0.5::DOUBLE", "0.5::DOUBLE"))}
+_LIFT, _GAMMA, _GAIN = (0.08, 0.02, -0.03), (1.1, 0.9, 1.3), (1.2, 1.1, 0.8)
+_WHEEL = f""", wl AS (SELECT frame_no, r, g, b, 0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b AS l FROM pixels), ww AS (SELECT *, 1 - {_W['s']} AS ws, {_W['h']} AS wh FROM wl),
+wm AS (SELECT *, {_CLAMP.format('1 - ws - wh')} AS wm FROM ww), w1 AS (SELECT frame_no, wm, wh, {', '.join(f'{c} + {v}::DOUBLE * ws AS {c}' for c, v in zip(RGB, _LIFT))} FROM wm),
+w2 AS (SELECT frame_no, wh, {', '.join(f'{c} + (pow({_CLAMP.format(c)}, 1 / {v}::DOUBLE) - {c}) * wm AS {c}' for c, v in zip(RGB, _GAMMA))} FROM w1)"""
+_colour("colour_wheels", {c: f"{c} * (1 + ({v}::DOUBLE - 1) * wh)" for c, v in zip(RGB, _GAIN)}, lambda *rgb: fc.wheels(rgb, _LIFT, _GAMMA, _GAIN), _WHEEL, "w2")
 _YUV = ", yv AS (SELECT *, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS l FROM pixels), uv AS (SELECT *, (b - l) / 1.772::DOUBLE AS u, (r - l) / 1.402::DOUBLE AS v FROM yv)"
 _c30, _s30 = math.cos(math.radians(30)), math.sin(math.radians(30))
 _u2, _v2 = f"((u * {_c30!r}::DOUBLE - v * {_s30!r}::DOUBLE) * 0.9::DOUBLE)", f"((u * {_s30!r}::DOUBLE + v * {_c30!r}::DOUBLE) * 0.9::DOUBLE)"
@@ -243,10 +271,8 @@ _TOP = ", top AS (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM p
 _colour("hsl_shift", {c: _hsl_back(f"(h{t})", "s", "l") for c, t in zip(RGB, (" + 1.0::DOUBLE / 3", "", " - 1.0::DOUBLE / 3"))}, lambda r, g, b: fc.hsl_shift(r, g, b, 40.0, 1.2, 0.05), _TOP, "hs")
 
 
-@plans.query("three_way_corrector")
-def three_way_corrector(spark, d):
-    points = fc.three_way_points(0.05, 1.2, 0.95)
-    return _sums(media.pixels(spark, d).select("frame_no", *(fb.to_byte(fc.curve(F.col(c), points)).alias(c) for c in RGB)))
+#: Black, middle and white by their rule: lift, the mean of lift and gain to the power 1 / gamma, gain.
+_tabled("three_way_corrector", fc.three_way_points(0.05, 1.2, 0.95))
 
 
 def _alpha(name: str, sql: str, f) -> None:
@@ -273,10 +299,33 @@ _alpha(
 )
 _VD = "(2 * sqrt(((x + 0.5) / 8.0::DOUBLE - 0.5) * ((x + 0.5) / 8.0::DOUBLE - 0.5) + ((y + 0.5) / 8.0::DOUBLE - 0.5) * ((y + 0.5) / 8.0::DOUBLE - 0.5)))"
 _alpha("vignette_mask", byte(f"1 - {_SMOOTH.format(p=_VD, lo='0.5::DOUBLE', w='(0.5 + 0.4::DOUBLE - 0.5)')} * 0.8::DOUBLE"), lambda p: fb.to_byte(fc.vignette(F.col("x"), F.col("y"), 8, 8, 0.5, 0.4, 0.8)))
-_H0 = "((x * 374761393::BIGINT + y * 668265263::BIGINT + frame_no * 2147483647::BIGINT + 0) & 4294967295)"
-_H1 = f"((xor({_H0}, {_H0} >> 13) * 1274126177::BIGINT) & 4294967295)"
-GRAIN_HASH = f"xor({_H1}, {_H1} >> 16)"
-_alpha("film_grain_hash", f"CAST(floor(({GRAIN_HASH} / (4294967295 / 2.0::DOUBLE) - 1) * 1000) AS BIGINT)", lambda p: F.floor(fc.grain(F.col("x"), F.col("y"), F.col("frame_no")) * 1000))
+
+
+def wang(which: int = 0) -> str:
+    """The grain's hash as SQL of x, y and frame_no."""
+    m = 4294967295
+    h = f"((x * 1973::BIGINT + y * 9277::BIGINT + frame_no * 26699::BIGINT + {which}) & {m})"
+    h = f"((xor(xor({h}, 61), {h} >> 16) * 9) & {m})"
+    h = f"((xor({h}, {h} >> 4) * 668265261::BIGINT) & {m})"
+    return f"xor({h}, {h} >> 15)"
+
+
+def noise(which: int = 0) -> str:
+    return f"({wang(which)} / 4294967295::DOUBLE - 0.5)"
+
+
+_alpha("film_grain_hash", f"CAST(floor({noise()} * 1000) AS BIGINT)", lambda p: F.floor(fc.grain(F.col("x"), F.col("y"), F.col("frame_no")) * 1000))
+_GRAIN = f""", gl AS (SELECT *, 0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b AS l FROM pixels),
+gn AS (SELECT frame_no, l + {noise()} * 0.2::DOUBLE AS l, (b - l) / 1.8556::DOUBLE + {noise(1)} * 0.1::DOUBLE AS cb, (r - l) / 1.5748::DOUBLE + {noise(2)} * 0.1::DOUBLE AS cr FROM gl)"""
+
+
+@plans.query(
+    "film_grain",
+    f"WITH {PIXELS}{_GRAIN} " + _sums_sql("gn", {"r": byte("l + 1.5748::DOUBLE * cr"), "g": byte("l - 0.1873::DOUBLE * cb - 0.4681::DOUBLE * cr"), "b": byte("l + 1.8556::DOUBLE * cb")}),
+)
+def film_grain(spark, d):
+    out = fc.film_grain(tuple(F.col(c) for c in RGB), F.col("x"), F.col("y"), F.col("frame_no"), 0.2, 0.1)
+    return _sums(media.pixels(spark, d).select("frame_no", *(fb.to_byte(v).alias(c) for c, v in zip(RGB, out))))
 
 
 # ---- geometry and neighbourhoods -------------------------------------------------------------------------------------
@@ -355,6 +404,11 @@ _means(
     f"WITH {PIXELS.replace('pixels AS', 'raw AS')}, pixels AS (SELECT frame_no, x, y, greatest(r - 0.55::DOUBLE, 0.0) / (1 - 0.55::DOUBLE) AS r FROM raw), {_blur_sql(pixels.weights(1.0))} SELECT raw.frame_no, round(avg(least(1.0, raw.r + v.r * 1.5)), 6) AS r FROM raw JOIN v USING (frame_no, x, y) GROUP BY raw.frame_no",
     lambda p: pixels.glow(p, 0.55, 1.0, 1.5),
 )
+_means(
+    "glow_node",
+    f"WITH {PIXELS.replace('pixels AS', 'raw AS')}, pixels AS (SELECT frame_no, x, y, CASE WHEN 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b >= 0.55::DOUBLE THEN r ELSE 0.0 END AS r FROM raw), {_blur_sql(pixels.weights(1.0))} SELECT raw.frame_no, round(avg(least(1.0, raw.r + v.r * 1.5)), 6) AS r FROM raw JOIN v USING (frame_no, x, y) GROUP BY raw.frame_no",
+    lambda p: pixels.glow(p, 0.55, 1.0, 1.5, hard=True),
+)
 _means("chromatic_aberration", f"WITH {PIXELS}, s AS (SELECT frame_no, coalesce(lag(r, 1) OVER (PARTITION BY frame_no, y ORDER BY x), r) AS r FROM pixels) SELECT frame_no, round(avg(r), 6) AS r FROM s GROUP BY frame_no", lambda p: pixels.aberration(p, 1, -1))
 _means("motion_blur_mix", f"WITH {PIXELS}, s AS (SELECT frame_no, r * (1 - 0.5) + coalesce(lag(r) OVER (PARTITION BY x, y ORDER BY frame_no), r) * 0.5 AS r FROM pixels) SELECT frame_no, round(avg(r), 6) AS r FROM s GROUP BY frame_no", lambda p: pixels.motion_mix(p, 180.0))
 _means("deinterlace_rows", f"WITH {PIXELS}, s AS (SELECT frame_no, CASE WHEN y % 2 = 1 THEN (coalesce(lag(r) OVER w, lead(r) OVER w) + coalesce(lead(r) OVER w, lag(r) OVER w)) / 2 ELSE r END AS r FROM pixels WINDOW w AS (PARTITION BY frame_no, x ORDER BY y)) SELECT frame_no, round(avg(r), 6) AS r FROM s GROUP BY frame_no", pixels.deinterlace)
@@ -389,12 +443,11 @@ def _bytes(spark, d):
 @plans.query(
     "histogram_256",
     f"""WITH {_BYTES}, ch AS (SELECT frame_no, 'r' AS channel, r AS bin FROM bt UNION ALL SELECT frame_no, 'g', g FROM bt UNION ALL SELECT frame_no, 'b', b FROM bt UNION ALL SELECT frame_no, 'luma', {_LUMA} FROM bt),
-got AS (SELECT frame_no, channel, bin, count(*) AS n FROM ch WHERE frame_no % 10 = 0 GROUP BY ALL), f AS (SELECT DISTINCT frame_no, channel FROM ch WHERE frame_no % 10 = 0)
+got AS (SELECT frame_no, channel, bin, count(*) AS n FROM ch GROUP BY ALL), f AS (SELECT DISTINCT frame_no, channel FROM ch)
 SELECT f.frame_no, f.channel, CAST(t.i AS INTEGER) AS bin, coalesce(got.n, 0) AS n FROM f CROSS JOIN range(256) t(i) LEFT JOIN got ON got.frame_no = f.frame_no AND got.channel = f.channel AND got.bin = t.i""",
 )
 def histogram_256(spark, d):
-    # The frames that its SQL has; histogram_256_whole takes all.
-    return _histogram(_bytes(spark, d).filter("frame_no % 10 = 0"))
+    return _histogram(_bytes(spark, d))
 
 
 def _histogram(p):
@@ -402,14 +455,7 @@ def _histogram(p):
     return analysis.histogram(p, {**{c: F.col(c) for c in RGB}, "luma": luma})
 
 
-@plans.query(
-    "histogram_256_whole",
-    f"""WITH {_BYTES}, ch AS (SELECT frame_no, 'r' AS channel, r AS bin FROM bt UNION ALL SELECT frame_no, 'g', g FROM bt UNION ALL SELECT frame_no, 'b', b FROM bt UNION ALL SELECT frame_no, 'luma', {_LUMA} FROM bt),
-got AS (SELECT frame_no, channel, bin, count(*) AS n FROM ch GROUP BY ALL), f AS (SELECT DISTINCT frame_no, channel FROM ch)
-SELECT f.frame_no, f.channel, CAST(t.i AS INTEGER) AS bin, coalesce(got.n, 0) AS n FROM f CROSS JOIN range(256) t(i) LEFT JOIN got ON got.frame_no = f.frame_no AND got.channel = f.channel AND got.bin = t.i""",
-)
-def histogram_256_whole(spark, d):
-    return _histogram(_bytes(spark, d))
+plans.query("histogram_256_whole", ORACLE["histogram_256"])(histogram_256)
 
 
 @plans.query("luma_bt601", f"WITH {_BYTES} SELECT frame_no, CAST(sum({_LUMA}) AS BIGINT) AS luma FROM bt GROUP BY frame_no")

@@ -94,7 +94,7 @@ def clip_footprint(spark, d):
     return tl.with_footprint(media.clips(spark, d)).select("clip_id", "footprint_ns", "end_ns")
 
 
-_OVERLAP = "SELECT a.track_id, a.clip_id AS first, b.clip_id AS second FROM spans a JOIN spans b ON a.track_id = b.track_id AND a.footprint_ns > 0 AND b.footprint_ns > 0 AND b.offset_ns < a.end_ns AND (a.offset_ns < b.offset_ns OR (a.offset_ns = b.offset_ns AND a.pos < b.pos))"
+_OVERLAP = "SELECT a.track_id, a.clip_id AS first, b.clip_id AS second FROM spans a JOIN spans b ON a.track_id = b.track_id AND a.footprint_ns >= 0 AND b.footprint_ns >= 0 AND b.offset_ns < a.end_ns AND (a.offset_ns < b.offset_ns OR (a.offset_ns = b.offset_ns AND a.pos < b.pos))"
 
 
 @plans.query("clip_overlap", f"WITH {CLIPS} {_OVERLAP}")
@@ -107,11 +107,13 @@ def clip_overlap(spark, d):
     f"""WITH {CLIPS}, {TRACKS}, o AS (SELECT s.*, t.kind, row_number() OVER (PARTITION BY track_id ORDER BY pos, clip_id) = 1 AS is_first FROM spans s LEFT JOIN tracks t USING (track_id)), ov AS ({_OVERLAP})
 SELECT 'trim_out_before_in' AS rule, track_id, clip_id FROM o WHERE out_ns < in_ns UNION ALL SELECT 'empty_footprint', track_id, clip_id FROM o WHERE out_ns = in_ns
 UNION ALL SELECT 'generated_clip_without_out_point', track_id, clip_id FROM o WHERE source_kind <> 'file' AND out_ns IS NULL UNION ALL SELECT 'clip_cannot_serve_track', track_id, clip_id FROM o WHERE source_kind <> 'file' AND kind = 'audio'
-UNION ALL SELECT 'degenerate_speed', track_id, clip_id FROM o WHERE speed <= 0 UNION ALL SELECT 'fade_longer_than_clip', track_id, clip_id FROM o WHERE fade_in_ns + fade_out_ns > footprint_ns
-UNION ALL SELECT 'dangling_transition', track_id, clip_id FROM o WHERE is_first AND transition_ns > 0 UNION ALL SELECT 'clip_overlap', track_id, second FROM ov""",
+UNION ALL SELECT 'degenerate_speed', track_id, clip_id FROM o WHERE NOT (speed > 0 AND speed < 'inf'::DOUBLE) UNION ALL SELECT 'fade_longer_than_clip', track_id, clip_id FROM o WHERE greatest(fade_in_ns, fade_out_ns) > footprint_ns
+UNION ALL SELECT 'dangling_transition', track_id, clip_id FROM o WHERE is_first AND transition_ns > 0 UNION ALL SELECT 'clip_overlap', track_id, second FROM ov
+UNION ALL SELECT 'degenerate_frame_rate', NULL, NULL FROM customer WHERE NOT (c_nationkey - 2 > 0 AND c_custkey % 50 > 0)""",
 )
 def validate_report(spark, d):
-    return tl.validate(media.clips(spark, d), media.tracks(spark, d))
+    timelines = media.table(spark, d, "customer").select(F.col("c_custkey").alias("timeline_id"), (F.col("c_nationkey") - 2).alias("fps_num"), (F.col("c_custkey") % 50).alias("fps_den"))
+    return tl.validate(media.clips(spark, d), media.tracks(spark, d), timelines)
 
 
 @plans.query(
@@ -123,9 +125,16 @@ def transition_clamp(spark, d):
     return tl.clamp_transitions(media.clips(spark, d)).select("clip_id", "transition_ns")
 
 
-@plans.query("composition_end", f"WITH {CLIPS}, e AS (SELECT track_id, round(offset_ns / 1e9 * 30.0) + ceil((out_ns - in_ns) / 1e9 / greatest(speed, 0.01) * 30.0) AS f FROM clips) SELECT track_id, CASE WHEN count(*) = count(f) THEN greatest(1, CAST(max(f) AS BIGINT)) END AS frames FROM e GROUP BY track_id")
+@plans.query(
+    "composition_end",
+    f"""WITH {CLIPS}, {TRACKS}, v AS (SELECT *, max(CAST(solo AS INTEGER)) OVER (PARTITION BY timeline_id) AS any_solo FROM tracks WHERE kind = 'video'),
+act AS (SELECT timeline_id, track_id FROM v WHERE enabled AND NOT mute AND (any_solo = 0 OR solo)),
+e AS (SELECT timeline_id, round(offset_ns / 1e9 * 30.0) + ceil((out_ns - in_ns) / 1e9 / greatest(speed, 0.01) * 30.0) AS f FROM clips JOIN act USING (track_id)),
+m AS (SELECT timeline_id, CASE WHEN count(*) = count(f) AND max(f) >= 1 THEN CAST(max(f) AS BIGINT) END AS frames FROM e GROUP BY timeline_id)
+SELECT t.timeline_id, m.frames FROM (SELECT DISTINCT timeline_id FROM v) t LEFT JOIN m USING (timeline_id)""",
+)
 def composition_end(spark, d):
-    return tl.composition_end(media.clips(spark, d), ["track_id"], 30)
+    return tl.composition_end(media.clips(spark, d), media.tracks(spark, d), 30)
 
 
 @plans.query(
@@ -216,8 +225,7 @@ trimmed AS (SELECT clip_id, track_id, group_id, member, speed, offset_ns, in_ns
 
 
 def _trim(c, r):
-    # The SQL of this query leaves clips without an out-point out; trim_clip_whole gives the whole table.
-    return tl.trim_clip(c.filter("out_ns IS NOT NULL"), r.clip_id, r.in_ns + 500_000_000, r.out_ns - 250_000_000)
+    return tl.trim_clip(c, r.clip_id, r.in_ns + 500_000_000, r.out_ns - 250_000_000)
 
 
 _KNOWN = _PICK.replace("FROM clips WHERE group_id = ", "FROM clips WHERE group_id = ")
@@ -244,7 +252,7 @@ _edit(
     "ripple_trim",
     f""", {_TRIM}, k AS (SELECT * FROM trimmed WHERE old_out IS NOT NULL), ch AS (SELECT track_id, offset_ns AS go, CAST(floor((out_ns - in_ns) / greatest(speed, 0.01)) AS BIGINT) - CAST(floor((old_out - old_in) / greatest(speed, 0.01)) AS BIGINT) AS gf FROM k WHERE member)
 SELECT clip_id, track_id, group_id, in_ns, out_ns, greatest(0, offset_ns + coalesce((SELECT sum(gf) FROM ch WHERE ch.track_id = k.track_id AND k.offset_ns > go), 0))::BIGINT AS offset_ns FROM k""".lstrip(),
-    lambda c, r: tl.ripple_trim(c.filter("out_ns IS NOT NULL"), r.clip_id, r.in_ns + 500_000_000, r.out_ns - 250_000_000),
+    lambda c, r: tl.ripple_trim(c, r.clip_id, r.in_ns + 500_000_000, r.out_ns - 250_000_000),
 )
 ORACLE["ripple_trim"] = ORACLE["ripple_trim"].replace(f"{_PICK} , t AS", f"{_PICK}, t AS")
 _WHOLE_TRIM = f"""d AS (SELECT c.*, o.clip_id AS oid, {_MEMBER} AS member, o.in_ns + 500000000 AS ti, o.out_ns - 250000000 AS tq, 500000000 / greatest(o.speed, 0.01) AS di, -250000000 / greatest(o.speed, 0.01) AS dq FROM clips c, one o),
@@ -265,6 +273,10 @@ _edit(
     "SELECT clip_id, track_id, CASE WHEN group_id = (SELECT group_id FROM one) THEN NULL ELSE group_id END AS group_id, in_ns, out_ns, offset_ns FROM clips WHERE clip_id <> (SELECT min(clip_id) FROM clips)",
     lambda c, r: tl.batch(c, [lambda t: tl.remove_clip(t, t.agg(F.min("clip_id")).first()[0]), lambda t: tl.ungroup_clips(t, r.clip_id)]),
 )
+# The first queries of these steps hold every clip too.
+for _name in ("trim_clip", "ripple_trim"):
+    ORACLE[_name] = ORACLE[f"{_name}_whole"]
+
 
 
 @plans.query("edit_set_property", f"WITH {CLIPS} SELECT clip_id, CASE WHEN clip_id = (SELECT min(clip_id) FROM clips) THEN 100.0 ELSE speed END AS speed FROM clips")
@@ -326,23 +338,19 @@ def _frames_met(e, grid):
     return tl.active_clip(times, e).select(F.col("track_id").alias("conv_id"), "t", F.col("clip_id").alias("turn"))
 
 
-@plans.query("subtitle_interval_join", f"WITH {_TURNS}, t AS (SELECT DISTINCT conv_id, unnest(range(0, 12)) * 1000000000::BIGINT AS t FROM turns) SELECT t.conv_id, t.t, turn FROM t JOIN turns ON turns.conv_id = t.conv_id AND t.t >= turn * 2000000000 AND t.t < turn * 2000000000 + 1500000000")
-def subtitle_interval_join(spark, d):
-    """Frames (one a second) with the events on screen: the first 12 frames, as its SQL has them."""
-    e = _on_screen(spark, d)
-    return _frames_met(e, e.select("track_id").distinct().withColumn("last", F.lit(11)))
-
-
 @plans.query(
-    "subtitle_interval_join_whole",
+    "subtitle_interval_join",
     f"WITH {_TURNS}, t AS (SELECT conv_id, unnest(range(0, max(turn) * 2 + 2)) * 1000000000::BIGINT AS t FROM turns GROUP BY conv_id) SELECT DISTINCT t.conv_id, t.t, turn FROM t JOIN turns ON turns.conv_id = t.conv_id AND t.t >= turn * 2000000000 AND t.t < turn * 2000000000 + 1500000000",
 )
-def subtitle_interval_join_whole(spark, d):
-    """The same for every frame from 0 to the end of the conversation's last event."""
+def subtitle_interval_join(spark, d):
+    """Frames (one a second, from 0 to the end of the conversation's last event) with the events on screen."""
     e = _on_screen(spark, d)
     return _frames_met(e, e.groupBy("track_id").agg(F.floor((F.max(F.col("offset_ns") + F.col("out_ns")) - 1) / NS).alias("last")))
 
 
+plans.query("subtitle_interval_join_whole", ORACLE["subtitle_interval_join"])(subtitle_interval_join)
+
+
 @plans.query("file_extension", "SELECT page_id, CASE WHEN regexp_matches(regexp_extract(url, '([^/\\\\]*)$', 1), '[^.]\\.[^.]+$') THEN lower(regexp_extract(regexp_extract(url, '([^/\\\\]*)$', 1), '[^.]\\.([^.]+)$', 1)) END AS ext FROM pages")
 def file_extension(spark, d):
     return media.table(spark, d, "pages").select("page_id", ft.extension(F.col("url")).alias("ext"))

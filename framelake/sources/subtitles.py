@@ -36,11 +36,19 @@ def parse_ass(files: DataFrame, content: str = "content") -> DataFrame:
     return out.withColumns({"text": strip_ass(F.col("raw")), "index": F.expr("row_number() OVER (PARTITION BY path ORDER BY line)")}).drop("line")
 
 
-def read(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Files by extension: .srt and .vtt, or .ass and .ssa."""
+def demand_events(files: DataFrame, events: DataFrame) -> DataFrame:
+    """``events``; the job fails when it reaches a file of ``files`` (path) that has none."""
+    counted = events.groupBy("path").agg(F.count("*").alias("n"))
+    checked = files.select("path").join(counted, "path", "left").withColumn("ok", F.when(F.col("n").isNull(), F.raise_error(F.concat(F.lit("no subtitle events in "), "path"))).otherwise(F.lit(True)))
+    return events.join(checked.filter("ok").select("path"), "path")
+
+
+def read(spark: SparkSession, paths: str | list[str], *, strict: bool = True) -> DataFrame:
+    """Files by extension: .srt and .vtt, or .ass and .ssa. A file without events is an error when ``strict``."""
     files = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
     ass = F.lower("path").rlike(r"\.(ass|ssa)$")
-    return parse_blocks(files.filter(~ass)).unionByName(parse_ass(files.filter(ass)))
+    events = parse_blocks(files.filter(~ass)).unionByName(parse_ass(files.filter(ass)))
+    return demand_events(files, events) if strict else events
 
 
 def format_srt(events: DataFrame, by: str = "path") -> DataFrame:
