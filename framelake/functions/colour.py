@@ -65,7 +65,7 @@ def hsl_to_rgb(h: Column, s: Column, lightness: Column) -> tuple[Column, Column,
 def hsl_shift(r: Column, g: Column, b: Column, hue: float, saturation: float, lightness: float) -> list[Column]:
     """Hue turned by degrees, saturation scaled and lightness added, in HSL."""
     h, s, v = rgb_to_hsl(r, g, b)
-    return list(hsl_to_rgb(h + hue / 360, clamp(s * saturation), clamp(v + lightness)))
+    return list(hsl_to_rgb(h + hue / 360.0, clamp(s * saturation), clamp(v + lightness)))
 
 
 def grade(r: Column, g: Column, b: Column, brightness=0.0, contrast=1.0, saturation=1.0, temperature=0.0, tint=0.0) -> list[Column]:
@@ -96,6 +96,11 @@ def wheels(rgb: tuple[Column, Column, Column], lift, gam, gain) -> list[Column]:
     return out
 
 
+def three_way(v: Column, lift, gam, gain) -> Column:
+    """A three-way corrector whose parameters may be columns: a line from lift to gain, bent by gamma."""
+    return F.pow(clamp(lift + v * (gain - lift)), 1 / gam)
+
+
 def three_way_points(lift: float, gam: float, gain: float) -> list[tuple[float, float]]:
     """Black, middle and white of a three-way corrector as control points."""
     clip = lambda v: min(1.0, max(0.0, v))

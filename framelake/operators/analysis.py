@@ -106,3 +106,9 @@ def choose_thumbnail(candidates: DataFrame, by: list[str], frame: str = "frame_n
     first = F.min(F.when(F.col("sharpness") >= sharp, F.col(frame)))
     best = F.max_by(frame, F.struct("sharpness", -F.col(frame)))
     return bright.groupBy(*by).agg(F.coalesce(first, best).alias(frame))
+
+
+def mean_quality(scores: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
+    """(by, mean) of per-frame scores; frames without a finite positive one don't count."""
+    good = F.when((F.col(value) > 0) & (F.col(value) < float("inf")), F.col(value))
+    return scores.groupBy(*by).agg(F.avg(good).alias("mean"))

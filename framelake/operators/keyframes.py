@@ -34,10 +34,25 @@ def value_at(times: DataFrame, keyframes: DataFrame) -> DataFrame:
     return found.withColumn("value", value).drop(*fields, "first_value")
 
 
+#: Keyframes of one property that ``animate`` broadcasts at most.
+MOST_KEYFRAMES = 100_000
+
+
 def animate(frames: DataFrame, keyframes: DataFrame, props: list[str], frame: str = "frame_no") -> DataFrame:
     """``frames`` with a column for each property: its track's value at the frame's number (owner 0). Tracks are looked
-    up once a frame, not once a pixel."""
-    numbers = frames.select(frame).distinct()
-    times = numbers.select(F.lit(0).cast("long").alias("owner_id"), F.explode(F.array(*map(F.lit, props))).alias("prop"), F.col(frame).cast("long").alias("ts_ns"))
-    values = value_at(times, keyframes).groupBy("ts_ns").agg(*(F.max(F.when(F.col("prop") == p, F.col("value"))).alias(p) for p in props))
+    up once a frame, not once a pixel. Each track is broadcast as one sorted array; tracks of more than MOST_KEYFRAMES
+    keyframes are joined as of each frame instead."""
+    times = frames.select(frame).distinct().select(F.lit(0).cast("long").alias("owner_id"), F.explode(F.array(*map(F.lit, props))).alias("prop"), F.col(frame).cast("long").alias("ts_ns"))
+    wanted = keyframes.filter((F.col("owner_id") == 0) & F.col("prop").isin(props))
+    if (wanted.groupBy("prop").count().agg(F.max("count")).first()[0] or 0) > MOST_KEYFRAMES:
+        valued = value_at(times, keyframes)
+    else:
+        fields = ["t0", "t1", "v0", "v1", "easing", "x1", "y1", "x2", "y2"]
+        tracks = segments(wanted).groupBy("prop").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("track"))
+        found = times.join(F.broadcast(tracks), "prop", "left")
+        found = found.withColumn("s", F.get(F.filter("track", lambda s: s["t0"] <= F.col("ts_ns")), F.size(F.filter("track", lambda s: s["t0"] <= F.col("ts_ns"))) - 1))
+        u = ease(F.col("s.easing"), (F.col("ts_ns") - F.col("s.t0")) / (F.col("s.t1") - F.col("s.t0")), *(F.col(f"s.{c}") for c in ("x1", "y1", "x2", "y2")))
+        value = F.when(F.col("s").isNull(), F.get("track", 0)["v0"]).when(F.col("s.t1").isNull(), F.col("s.v0")).otherwise(F.col("s.v0") + (F.col("s.v1") - F.col("s.v0")) * u)
+        valued = found.select("prop", "ts_ns", value.alias("value"))
+    values = valued.groupBy("ts_ns").agg(*(F.max(F.when(F.col("prop") == p, F.col("value"))).alias(p) for p in props))
     return frames.join(values.withColumnRenamed("ts_ns", frame), frame, "left")

@@ -14,6 +14,7 @@ from ..functions.colour import hsl_to_rgb, luma601, luma709, rgb_to_hsl
 
 KEY = ["frame_no", "x", "y"]
 RGB = ["r", "g", "b"]
+MOST_PIXELS = 1 << 23
 
 
 def crop(pixels: DataFrame, x0: int, y0: int, w: int, h: int) -> DataFrame:
@@ -25,10 +26,11 @@ def flip(pixels: DataFrame, w: int, h: int, horizontal: bool) -> DataFrame:
     return pixels.withColumn("x", w - 1 - F.col("x")) if horizontal else pixels.withColumn("y", h - 1 - F.col("y"))
 
 
-def canvas(frames: DataFrame, w: int, h: int) -> DataFrame:
-    """Every position of every frame."""
-    return frames.select("frame_no").distinct().select("frame_no", F.explode(F.sequence(F.lit(0), F.lit(w * h - 1))).alias("_i")).select(
-        "frame_no", (F.col("_i") % w).cast("int").alias("x"), F.floor(F.col("_i") / w).cast("int").alias("y")
+def canvas(frames: DataFrame, w: int, h: int, of: list[str] | None = None) -> DataFrame:
+    """Every position of every frame, with the frame's columns ``of``."""
+    own = ["frame_no", *(of or [])]
+    return frames.select(*own).distinct().select(*own, F.explode(F.sequence(F.lit(0), F.lit(w * h - 1))).alias("_i")).select(
+        *own, (F.col("_i") % w).cast("int").alias("x"), F.floor(F.col("_i") / w).cast("int").alias("y")
     )
 
 
@@ -67,17 +69,40 @@ def fill(pixels: DataFrame, sw: int, sh: int, w: int, h: int) -> DataFrame:
     return crop(scale(pixels, sw, sh, tw, th), (tw - w) // 2, (th - h) // 2, w, h)
 
 
-def remap(pixels: DataFrame, w: int, h: int, source: tuple[Column, Column], fill: tuple = (0.0, 0.0, 0.0)) -> DataFrame:
-    """Each target pixel shows the source pixel nearest to ``source`` (of its x, y); else the fill. One equi-join."""
-    grid = canvas(pixels, w, h).withColumns({"_sx": F.round(source[0]).cast("int"), "_sy": F.round(source[1]).cast("int")})
+def remap(pixels: DataFrame, w: int, h: int, source: tuple[Column, Column], fill: tuple = (0.0, 0.0, 0.0), of: list[str] | None = None) -> DataFrame:
+    """Each target pixel shows the source pixel nearest to ``source`` (of its x, y, and the frame's columns ``of``); else
+    the fill. One equi-join."""
+    grid = canvas(pixels, w, h, of or []).withColumns({"_sx": F.round(source[0]).cast("int"), "_sy": F.round(source[1]).cast("int")})
     old = pixels.select(F.col("frame_no"), F.col("x").alias("_sx"), F.col("y").alias("_sy"), *RGB)
     return grid.join(old, ["frame_no", "_sx", "_sy"], "left").select(*KEY, *(F.coalesce(c, F.lit(v)).alias(c) for c, v in zip(RGB, fill)))
 
 
-def rotate(pixels: DataFrame, w: int, h: int, degrees: float, fill: tuple = (0.0, 0.0, 0.0)) -> DataFrame:
-    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+def rotate(pixels: DataFrame, w: int, h: int, degrees: float | str, fill: tuple = (0.0, 0.0, 0.0)) -> DataFrame:
+    """Turned about the middle by an angle, or by that of a column that is the same all over a frame."""
+    if isinstance(degrees, str):
+        turn = F.radians(F.col(degrees))
+        c, s, of = F.cos(turn), F.sin(turn), [degrees]
+    else:
+        c, s, of = math.cos(math.radians(degrees)), math.sin(math.radians(degrees)), []
     dx, dy = F.col("x") - (w - 1) / 2, F.col("y") - (h - 1) / 2
-    return remap(pixels, w, h, (dx * c + dy * s + (w - 1) / 2, dy * c - dx * s + (h - 1) / 2), fill)
+    return remap(pixels, w, h, (dx * c + dy * s + (w - 1) / 2, dy * c - dx * s + (h - 1) / 2), fill, of)
+
+
+def place(pixels: DataFrame, w: int, h: int, move: tuple[float, float], radians: float, zoom: tuple[float, float]) -> DataFrame:
+    """Moved (in units of the picture), turned counter-clockwise and zoomed about the middle, in one step; what comes
+    from outside is black."""
+    c, s = math.cos(radians), math.sin(radians)
+    u, v = (F.col("x") + 0.5) / w - 0.5 - move[0], (F.col("y") + 0.5) / h - 0.5 - move[1]
+    return remap(pixels, w, h, (((u * c + v * s) / zoom[0] + 0.5) * w - 0.5, ((v * c - u * s) / zoom[1] + 0.5) * h - 0.5))
+
+
+def fade(pixels: DataFrame, t: Column, start: float, duration: float, *, out: bool = False, white: bool = False) -> DataFrame:
+    """The picture comes from black or white (or goes there when ``out``) in a straight line over ``duration``."""
+    if duration <= 0:
+        raise ValueError("a fade lasts some time")
+    shown = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (t - start) / duration))
+    shown = 1 - shown if out else shown
+    return pixels.withColumns({c: F.col(c) * shown + ((1 - shown) if white else 0.0) for c in RGB})
 
 
 def lens(pixels: DataFrame, w: int, h: int, k1: float, k2: float) -> DataFrame:
@@ -116,6 +141,18 @@ def composite(base: DataFrame, over: DataFrame, op: str, opacity: float = 1.0) -
     return p.select(*KEY, *(B.to_byte(v).alias(c) for c, v in zip("rgba", (*rgb, B.porter_duff(op, sa, da, sa, da)))))
 
 
+def composite_all(base: DataFrame, over: DataFrame, ops: list[str], opacity: float = 1.0) -> DataFrame:
+    """(op, frame_no, x, y, r, g, b, a) where both pictures have a pixel: every operator by one join."""
+    p = paired(base, over, "inner")
+    sa, da = F.col("_a") * opacity, F.col("a")
+
+    def one(op: str) -> Column:
+        rgb = [B.porter_duff(op, F.col(f"_{c}") * sa, F.col(c) * da, sa, da) for c in RGB]
+        return F.struct(F.lit(op).alias("op"), *(B.to_byte(v).alias(c) for c, v in zip("rgba", (*rgb, B.porter_duff(op, sa, da, sa, da)))))
+
+    return p.select(*KEY, F.explode(F.array(*map(one, ops))).alias("o")).select("o.op", *KEY, "o.r", "o.g", "o.b", "o.a")
+
+
 def overlay(base: DataFrame, over: DataFrame, x0: int, y0: int) -> DataFrame:
     p = paired(base, over, x0=x0, y0=y0)
     return p.select(*KEY, *(F.coalesce(f"_{c}", c).alias(c) for c in RGB))
@@ -150,7 +187,7 @@ def weights(sigma: float) -> list[float]:
     return [v / sum(raw) for v in raw]
 
 
-def _along(value: str, w: Window, taps: list[float]) -> Column:
+def _along(value: str, w: Window, taps: list[float] | list[Column]) -> Column:
     """A weighted moving sum; the border repeats the nearest pixel's share (weights renormalised)."""
     reach = len(taps) // 2
     at = lambda i: F.lag(value, -i).over(w) if i else F.col(value)
@@ -158,9 +195,15 @@ def _along(value: str, w: Window, taps: list[float]) -> Column:
     return sum((F.coalesce(v, F.lit(0.0)) * k for v, k in terms), F.lit(0.0)) / sum((F.when(v.isNotNull(), k).otherwise(0.0) for v, k in terms), F.lit(0.0))
 
 
-def blur(pixels: DataFrame, sigma: float, channels: list[str] = RGB) -> DataFrame:
-    """Separable Gaussian: along rows, then along columns."""
-    taps = weights(sigma)
+def blur(pixels: DataFrame, sigma: float | Column, channels: list[str] = RGB, reach: int | None = None) -> DataFrame:
+    """Separable Gaussian: along rows, then along columns. A sigma that is a column (one value a frame) needs the kernel's
+    reach; no sigma, no blur."""
+    if isinstance(sigma, Column):
+        if reach is None:
+            raise ValueError("a changing blur needs a reach")
+        taps = [F.when(sigma > 0, F.exp(-(i * i) / (2 * sigma * sigma))).otherwise(float(i == 0)) for i in range(-reach, reach + 1)]
+    else:
+        taps = weights(sigma)
     row, column = Window.partitionBy("frame_no", "y").orderBy("x"), Window.partitionBy("frame_no", "x").orderBy("y")
     pixels = pixels.withColumns({c: _along(c, row, taps) for c in channels})
     return pixels.withColumns({c: _along(c, column, taps) for c in channels})
@@ -195,10 +238,12 @@ def aberration(pixels: DataFrame, red: int, blue: int) -> DataFrame:
 
 
 def motion_mix(pixels: DataFrame, shutter: Column | float) -> DataFrame:
-    """Each frame mixed with the input frame before it by shutter / 360."""
+    """Each frame mixed with the one numbered before it by shutter / 360; a frame without one stays. Frames of several
+    streams are numbered apart."""
     a = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (shutter if isinstance(shutter, Column) else F.lit(float(shutter))) / 360))
-    w = Window.partitionBy("x", "y").orderBy("frame_no")
-    return pixels.withColumns({c: F.col(c) * (1 - a) + F.coalesce(F.lag(c).over(w), F.col(c)) * a for c in RGB})
+    before = pixels.select((F.col("frame_no") + 1).alias("frame_no"), "x", "y", *(F.col(c).alias(f"_{c}") for c in RGB))
+    both = pixels.join(before, KEY, "left").withColumns({c: F.col(c) * (1 - a) + F.coalesce(f"_{c}", c) * a for c in RGB})
+    return both.drop(*(f"_{c}" for c in RGB))
 
 
 def motion_trail(frames: DataFrame, weight: float) -> DataFrame:
@@ -216,6 +261,35 @@ def motion_trail(frames: DataFrame, weight: float) -> DataFrame:
     return frames.groupBy("stream_id").applyInPandas(run, frames.schema)
 
 
+def overlay_image(pixels: DataFrame, image: DataFrame, x0: int, y0: int, opacity: float = 1.0) -> DataFrame:
+    """One picture (x, y, r, g, b, a), at most MOST_PIXELS, on every frame: it is broadcast, frames aren't shuffled."""
+    if image.limit(MOST_PIXELS + 1).count() > MOST_PIXELS:
+        raise ValueError(f"a picture of more than {MOST_PIXELS} pixels isn't broadcast")
+    top = image.select((F.col("x") + x0).alias("x"), (F.col("y") + y0).alias("y"), *(F.col(c).alias(f"_{c}") for c in RGB), (F.col("a") * opacity).alias("_a"))
+    p = pixels.join(F.broadcast(top), ["x", "y"], "left")
+    return p.select(*KEY, *(F.coalesce(F.col(f"_{c}") * F.col("_a") + F.col(c) * (1 - F.col("_a")), F.col(c)).alias(c) for c in RGB))
+
+
+def denoise(pixels: DataFrame, spatial: float, temporal: float) -> DataFrame:
+    """A mean of each pixel, its four neighbours and the same pixel of the frames numbered before and after, each weighed
+    by how little it differs: exp(-(d / strength)^2). Edges and moving things stay sharp."""
+    row, column = Window.partitionBy("frame_no", "y").orderBy("x"), Window.partitionBy("frame_no", "x").orderBy("y")
+    near = {f"_{c}{i}": at(c) for c in RGB for i, at in enumerate((lambda c: F.lag(c).over(row), lambda c: F.lead(c).over(row), lambda c: F.lag(c).over(column), lambda c: F.lead(c).over(column)))}
+    p = pixels.withColumns(near)
+    for i, step in ((4, 1), (5, -1)):
+        p = p.join(pixels.select((F.col("frame_no") + step).alias("frame_no"), "x", "y", *(F.col(c).alias(f"_{c}{i}") for c in RGB)), KEY, "left")
+
+    def mean(c: str) -> Column:
+        total, weight = F.col(c), F.lit(1.0)
+        for i in range(6):
+            d = (F.col(f"_{c}{i}") - F.col(c)) / (spatial if i < 4 else temporal)
+            w = F.coalesce(F.exp(-d * d), F.lit(0.0))
+            total, weight = total + F.coalesce(F.col(f"_{c}{i}"), F.lit(0.0)) * w, weight + w
+        return total / weight
+
+    return p.select(*KEY, *(mean(c).alias(c) for c in RGB))
+
+
 def deinterlace(pixels: DataFrame) -> DataFrame:
     """Odd rows from the mean of the rows above and below."""
     w = Window.partitionBy("frame_no", "x").orderBy("y")

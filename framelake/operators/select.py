@@ -44,6 +44,14 @@ def every_nth(rows: DataFrame, order: list, by: list[str], n: int) -> DataFrame:
     return rows.withColumn("_i", F.row_number().over(w) - 1).filter(F.col("_i") % n == 0).drop("_i")
 
 
+def set_params(rows: DataFrame, new: dict[str, Column]) -> DataFrame:
+    """Parameters (columns of ``rows``) that are set replace what stands; nulls leave it."""
+    unknown = set(new) - set(rows.columns)
+    if unknown:
+        raise ValueError(f"no such parameters: {sorted(unknown)}")
+    return rows.withColumns({k: F.coalesce(v, F.col(k)) for k, v in new.items()})
+
+
 def keyframes(packets: DataFrame, is_key: Column) -> DataFrame:
     """Key packets' times: pts, else dts; null and negative times are dropped."""
     return packets.filter(is_key).withColumn("ts", F.coalesce("pts", "dts")).filter(F.col("ts") >= 0)

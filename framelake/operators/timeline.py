@@ -112,6 +112,38 @@ def locked(clips: DataFrame, tracks: DataFrame, ids: list[int]) -> bool:
     return bool(clips.filter(F.col("clip_id").isin(ids)).join(tracks.filter("lock"), "track_id", "left_semi").take(1))
 
 
+#: Edits that carry to the rest of a clip's group, and edits that stop at the clip they name.
+GROUP_EDITS = {"move", "move_to_beat", "move_to_frame", "move_to_track", "trim", "ripple_trim", "split", "ripple_delete", "ungroup"}
+CLIP_EDITS = {"remove", "set_property", "set", "add_effect", "remove_effect", "set_effect_kind", "set_effect_enabled", "reorder_effects", "group"}
+
+
+def lock_targets(clips: DataFrame, tracks: DataFrame) -> DataFrame:
+    """(clip_id, clip_lock, group_lock): the locked track that an edit of the clip alone would change, and the first one
+    that an edit carried to its group would; null where the edit is free."""
+    held = clips.join(tracks.filter("lock").select("track_id", F.lit(True).alias("_locked")), "track_id", "left").withColumn("clip_lock", F.when(F.col("_locked"), F.col("track_id")))
+    groups = held.filter("group_id IS NOT NULL AND clip_lock IS NOT NULL").groupBy("group_id").agg(F.min("clip_lock").alias("group_lock"))
+    return held.join(groups, "group_id", "left").select("clip_id", "clip_lock", F.when(F.col("group_id").isNull(), F.col("clip_lock")).otherwise(F.col("group_lock")).alias("group_lock"))
+
+
+def refuse_locked(clips: DataFrame, tracks: DataFrame, edit: str, *, clip_ids: list[int] = (), track_ids: list[int] = ()) -> None:
+    """Raises EditError if the edit would change a locked track: that of a clip it names, of the clip's group where the
+    edit carries to it, or a track it names. Markers, canvas, rate, new tracks and the lock itself are always free."""
+    if track_ids:
+        held = tracks.filter(F.col("lock") & F.col("track_id").isin(list(track_ids))).select("track_id").take(1)
+        if held:
+            raise EditError(f"track {held[0][0]} is locked")
+    if not clip_ids:
+        return
+    if edit not in GROUP_EDITS | CLIP_EDITS:
+        raise ValueError(f"unknown edit {edit!r}")
+    named = clips.filter(F.col("clip_id").isin(list(clip_ids)))
+    if edit in GROUP_EDITS:
+        named = named.select("track_id").union(clips.join(named.filter("group_id IS NOT NULL").select("group_id").distinct(), "group_id", "left_semi").select("track_id"))
+    held = tracks.filter("lock").join(named.select("track_id").distinct(), "track_id", "left_semi").select("track_id").take(1)
+    if held:
+        raise EditError(f"track {held[0][0]} is locked")
+
+
 def _one(clips: DataFrame, clip_id: int):
     rows = clips.filter(F.col("clip_id") == clip_id).take(1)
     if not rows:

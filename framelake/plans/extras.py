@@ -146,12 +146,6 @@ def metadata_lookup(spark, d):
     return media.table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.length("props").alias("n"))
 
 
-@plans.query("set_params", "SELECT page_id, coalesce(nullif(regexp_extract(html, 'lang=\"([a-z]+)\"', 1), ''), 'und') AS lang FROM pages")
-def set_params(spark, d):
-    """Unknown tags keep what stands; known ones replace it."""
-    return media.table(spark, d, "pages").select("page_id", F.coalesce(F.nullif(F.regexp_extract("html", 'lang="([a-z]+)"', 1), F.lit("")), F.lit("und")).alias("lang"))
-
-
 @plans.query("parallel_buses", f"WITH {NUMBERED} SELECT stream_id, n, round(greatest(-1.0, least(1.0, value * pow(10.0, CASE WHEN ch = 0 THEN -3.0 ELSE 3.0 END / 20))), 6) AS value FROM numbered")
 def parallel_buses(spark, d):
     s = media.numbered(spark, d)

@@ -132,13 +132,8 @@ _PD_SQL = " UNION ALL ".join(
 @plans.query("porter_duff_all", f"WITH {_ALPHA} {_PD_SQL}")
 def porter_duff_all(spark, d):
     p = media.pixels(spark, d).withColumn("a", F.col("b"))
-    over = media.next_frames(p)
-    both = p.join(over.select("frame_no", "x", "y"), pixels.KEY, "left_semi")
-    out = None
-    for op in fb.PORTER_DUFF:
-        one = _sums(pixels.composite(both, over, op, 0.8), [*RGB, "a"]).select(F.lit(op).alias("op"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    out = pixels.composite_all(p, media.next_frames(p), list(fb.PORTER_DUFF), 0.8)
+    return out.groupBy("op", "frame_no").agg(*(F.sum(F.col(c).cast("long")).alias(c) for c in (*RGB, "a")))
 
 
 @plans.query("overlay_at", f"WITH {PIXELS} SELECT p.frame_no, CAST(sum({byte('coalesce(q.r, p.r)')}) AS BIGINT) AS r FROM pixels p LEFT JOIN pixels q ON q.frame_no = p.frame_no + 1 AND q.x + 2 = p.x AND q.y + 3 = p.y GROUP BY p.frame_no")

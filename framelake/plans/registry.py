@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import audio, extras, levels, pictures, timelines
+from . import audio, extras, levels, pictures, steps, timelines
 
 FLAGSHIP = "waveform_gap_filled"
-MODULES = (levels, audio, pictures, timelines, extras)
+MODULES = (levels, audio, pictures, timelines, extras, steps)
 
 
 def queries() -> dict:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -421,21 +420,22 @@ def ticker_position(spark, d):
     return media.samples(spark, d).select("event_id", F.round(1920 - (F.col("t_us") % DAY_US) / 1e6 * 0.25, 9).alias("x"))
 
 
-@plans.query("sprite_sheet", "WITH c AS (SELECT i, i * 1000 // 12 AS at_ms FROM range(12) t(i)) SELECT CAST(at_ms AS BIGINT) AS at_ms, CAST(i % 4 AS INTEGER) AS col, CAST(i // 4 AS INTEGER) AS row FROM c")
-def sprite_sheet(spark, d):
-    return spark.createDataFrame(segments.sprite_cells(1000, 4, 3), "at_ms long, col int, row int")
-
-
 @plans.query("stream_catalogue", f"WITH {TRACKS} SELECT timeline_id, kind, min(track_id) AS track_id FROM tracks GROUP BY timeline_id, kind")
 def stream_catalogue(spark, d):
     t = media.tracks(spark, d).select(F.col("timeline_id").alias("path"), "kind", F.col("track_id").alias("stream_index"))
     return sd.primary_streams(t).select(F.col("path").alias("timeline_id"), "kind", F.col("stream_index").alias("track_id"))
 
 
+_LATE_US = 1_000_000  # how late the live operators let rows be
+
+
 def _streamed(spark, d, build, mode="append"):
     """Runs a streaming query over the events, read as a stream, to its end; gives the table it wrote."""
     schema = T.StructType([f for f in media.table(spark, d, "events").schema.fields])
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='framelake-')}/stream-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    folder = f"{shared}/stream-{uuid.uuid4().hex}"
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*events*.parquet").parquet(d)
     events = events.select(F.col("user_id").alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
     q = build(events).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
@@ -450,7 +450,13 @@ def stream_segments(spark, d):
     return out.select("stream_id", F.floor(F.unix_micros("s") / DAY_US).alias("day"), "n")
 
 
-@plans.query("stream_sessions")
+@plans.query(
+    "stream_sessions",
+    f"""WITH {SAMPLES}, m AS (SELECT *, CASE WHEN t_us - lag(t_us) OVER w < {DAY_US} THEN 0 ELSE 1 END AS opens FROM samples WINDOW w AS (PARTITION BY stream_id ORDER BY t_us)),
+n AS (SELECT *, sum(opens) OVER (PARTITION BY stream_id ORDER BY t_us) AS session FROM m), s AS (SELECT stream_id, min(t_us) AS start, max(t_us) AS last, count(*) AS n FROM n GROUP BY stream_id, session)
+SELECT stream_id, start, n FROM s WHERE last + {DAY_US} <= (SELECT max(t_us) // 1000 * 1000 - {_LATE_US} FROM samples)""",
+)
 def stream_sessions(spark, d):
-    """Live sessions by a gap of a day (rows only: what is still open at the end of the input isn't emitted)."""
-    return _streamed(spark, d, lambda e: live.activity(e, ["stream_id"], "ts", "24 hours").select("stream_id", F.col("w.start").alias("start"), "n"))
+    """Live sessions by a gap of a day: those that the watermark has passed when the input ends."""
+    out = _streamed(spark, d, lambda e: live.activity(e, ["stream_id"], "ts", "24 hours").select("stream_id", F.col("w.start").alias("start"), "n"))
+    return out.select("stream_id", F.unix_micros("start").alias("start"), "n")

@@ -26,7 +26,11 @@ def read_cube(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
 
 def read_projects(spark: SparkSession, path: str) -> DataFrame:
     """Versioned project files: a bare timeline is version 0; older versions are migrated step by step."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value"))
+    return parse_projects(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value")))
+
+
+def parse_projects(raw: DataFrame) -> DataFrame:
+    """Projects from their text (path, value)."""
     whole = F.when(F.get_json_object("value", "$.format_version").isNotNull(), F.col("value")).otherwise(F.concat(F.lit('{"format_version":0,"timeline":'), F.col("value"), F.lit("}")))
     docs = raw.select("path", F.from_json(whole, PROJECT).alias("d")).select("path", "d.*")
     return docs.transform(_to_v1).transform(_to_v2)
