@@ -5,8 +5,10 @@ with a smaller doc_id. Three steps:
 
 1. Index. Documents come in batches of ascending doc_id. The fingerprints of a batch (winnowed K-gram hashes: every
    window holds one) are dealt to buckets by their leading bits, sorted, and merge-joined by bucket with the sorted
-   immutable runs of earlier batches; what is new becomes the next run, and runs are compacted when FANOUT of them
-   have gathered. A run keeps each hash once, with whether two documents share it.
+   immutable runs of earlier batches; what is new becomes the next run, and runs are compacted once FANOUT of them have
+   gathered. A run keeps each hash once, with whether two documents share it. The index is a folder of runs and a
+   manifest: it can be opened again later, and ``dedup_batch`` then takes a new batch without any work on the pairs of
+   older documents (those that share fingerprints with the batch are read to verify).
 2. Verify. Shared fingerprints set bits of a bitmap of bounded size (it only prunes: a full one lets every window
    through). Windows whose fingerprint is marked are compared by 96-bit digests of their words: the least doc_id of each
    digest is found by bucket, after each task has settled what it can among its own documents. What a bucket settles
@@ -15,12 +17,16 @@ with a smaller doc_id. Three steps:
 
 No group gathers documents: a fingerprint or window that a third of all documents share leaves each task once.
 
-Null texts have no words. Null doc_ids count as larger than all others. Rows with equal doc_ids never remove each
-other's words. Extra columns are kept; n_words, n_removed and kept_text are replaced.
+Null and empty texts have no words. Null doc_ids count as larger than all others, remove nothing, and are spread by
+their texts over ids from NULL_FROM on, where no real id may be. Rows with equal doc_ids never remove each other's words.
+Windows are taken for equal by 96 bits of keyed hashes; in a document of their own they are looked up by 64. Very long
+texts are read in slices and never cut off. An empty table gives an empty result. Extra columns are kept; n_words,
+n_removed and kept_text are replaced.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -35,11 +41,11 @@ from .shared import checkpoint_dir, small_batches
 from .words import byte_table, covered, grams, groups, sliding_least, whole, winnow
 
 WINDOW, K = 13, 6
-BATCHES, FANOUT = 2, 4
+BATCHES, FANOUT = 3, 2
 #: Fingerprints in a bucket, about; bits of the bitmap of shared fingerprints at most; bits of that of documents.
 BUCKET, SHARED_BITS, DOC_BITS = 1 << 20, 1 << 28, 1 << 25
 _TABLE = byte_table(words="nonspace", lower=False)
-_LAST = (1 << 63) - 1
+NULL_FROM, NULL_SPAN = (1 << 63) - (1 << 40), 1 << 40
 _U = np.uint64
 _PRINTS = "bucket int, hashes binary, ids binary, multi binary"
 _RUN = "bucket int, hashes binary, multi binary"
@@ -102,7 +108,7 @@ def _merge(bits: int, shared_bits: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         hashes, ids, multi = _joined_blobs(pdf[pdf["run"] < 0], hashes=_U, ids=np.int64, multi=bool)
-        new, _, shared = _least(hashes, ids, multi)
+        new, least, shared = _least(hashes, ids, multi)
         known = np.zeros(len(new), bool)
         bucket = int(pdf["bucket"].iloc[0])
         for _, old in pdf[pdf["run"] >= 0].groupby("run"):
@@ -112,7 +118,7 @@ def _merge(bits: int, shared_bits: int):
                 hit = h[at] == new
                 shared = shared | hit  # earlier batches hold smaller ids only
                 known |= hit & marked[at]
-        keep = ~known  # a hash already marked as shared needs no new entry
+        keep = ~known & (least < NULL_FROM)  # a hash already marked as shared needs no new entry
         width = shared_bits >> bits
         marks = np.zeros(width, np.uint8)
         marks[(new[shared] >> _U(64 - shared_bits.bit_length() + 1)).astype(np.int64) - bucket * width] = 1
@@ -128,16 +134,28 @@ def _compact(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs in a shared folder."""
+    """Sorted immutable runs in a shared folder, and a manifest that names them."""
 
-    def __init__(self, spark, folder: str, *, buckets: int, shared_bits: int):
-        self.spark, self.folder, self.runs, self.made = spark, folder, [], 0
+    def __init__(self, spark, folder: str, *, buckets: int, shared_bits: int, runs: list[str] = (), made: int = 0, last: int | None = None):
+        self.spark, self.folder, self.runs, self.made, self.last = spark, folder, list(runs), made, last
         self.bits = buckets.bit_length() - 1
         self.shared_bits = max(shared_bits, buckets * 8)
-        self.marks = np.zeros(self.shared_bits // 8, np.uint8)
 
-    def add(self, docs: DataFrame) -> None:
-        """Merges a batch (columns id, text), whose ids must all be larger than those added before."""
+    @classmethod
+    def for_size(cls, spark, folder: str, text_bytes: int) -> FingerprintIndex:
+        """A new index laid out for about so many bytes of text; more make its buckets larger."""
+        buckets = _power_of_two(text_bytes / 24 / BUCKET, 16, SHARED_BITS // 8)
+        return cls(spark, folder, buckets=buckets, shared_bits=_power_of_two(text_bytes / 2, 1 << 16, SHARED_BITS))
+
+    @classmethod
+    def open(cls, spark, folder: str) -> FingerprintIndex:
+        """The index that the folder's latest manifest describes."""
+        state = max((json.loads(r.value) for r in spark.read.text(f"{folder}/manifest-*").collect()), key=lambda m: m["made"])
+        return cls(spark, folder, **state)
+
+    def add(self, docs: DataFrame, last: int | None = None) -> np.ndarray:
+        """Merges a batch (columns id, text), whose ids must all be larger than those added before, the largest being
+        ``last``. Gives the bitmap of its fingerprints that another of its documents or an earlier one has."""
         if len(self.runs) >= FANOUT:
             self.compact()
         new = docs.mapInArrow(_prints(self.bits), _PRINTS).withColumn("run", F.lit(-1))
@@ -146,18 +164,24 @@ class FingerprintIndex:
         path = f"{self.folder}/run-{self.made}"
         new.groupBy("bucket").applyInPandas(_merge(self.bits, self.shared_bits), f"{_RUN}, marks binary").write.parquet(path)
         width = self.shared_bits // 8 >> self.bits
-        for bucket, marks in self.spark.read.parquet(path).select("bucket", "marks").toLocalIterator():
-            self.marks[bucket * width : (bucket + 1) * width] |= np.frombuffer(marks, np.uint8)
-        self.runs.append(path)
-        self.made += 1
+        out = np.zeros(self.shared_bits // 8, np.uint8)
+        for bucket, marks in self.spark.read.parquet(path).select("bucket", "marks").toLocalIterator():  # shared_bits / 8 bytes in all
+            out[bucket * width : (bucket + 1) * width] |= np.frombuffer(marks, np.uint8)
+        self._replace([*self.runs, path], last if last is not None else self.last)
+        return out
 
     def compact(self) -> None:
-        path = f"{self.folder}/run-{self.made}"
-        self.spark.read.parquet(*self.runs).select("bucket", "hashes", "multi").groupBy("bucket").applyInPandas(_compact, _RUN).write.parquet(path)
-        for old in self.runs:
-            drop(self.spark, old)
-        self.runs = [path]
-        self.made += 1
+        """All runs become one."""
+        path, old = f"{self.folder}/run-{self.made}", self.runs
+        self.spark.read.parquet(*old).select("bucket", "hashes", "multi").groupBy("bucket").applyInPandas(_compact, _RUN).write.parquet(path)
+        self._replace([path], self.last)
+        for run in old:  # the manifest no longer names them
+            drop(self.spark, run)
+
+    def _replace(self, runs: list[str], last: int | None) -> None:
+        self.runs, self.made, self.last = runs, self.made + 1, last
+        state = {"buckets": 1 << self.bits, "shared_bits": self.shared_bits, "runs": self.runs, "made": self.made, "last": self.last}
+        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.text(f"{self.folder}/manifest-{self.made}")
 
 
 def drop(spark, path: str) -> None:
@@ -169,9 +193,10 @@ _ASKED = "bucket int, id long, one binary, two binary, ids binary, who binary"
 _GONE = "id long, one long, many binary"
 
 
-def _ask(bits: int, shared_bits: int, marks):
+def _ask(bits: int, shared_bits: int, marks, low: int | None = None):
     """Windows whose fingerprint, the least of their K-grams, is marked, as rows (bucket, digests, documents), each digest once a chunk with its
-    least id; and rows (id, digests) of what has a larger id than that, dealt to buckets below 0."""
+    least id; and rows (id, digests) of what has a larger id than that, dealt to buckets below 0. Documents below ``low``
+    are asked for what they hold only, not for what they lose."""
     shift = _U(64 - shared_bits.bit_length() + 1)
 
     def chunk(one: list, two: list, owner: list) -> Iterator[pa.RecordBatch]:
@@ -180,7 +205,9 @@ def _ask(bits: int, shared_bits: int, marks):
         x, y, who = x[order], y[order], who[order]
         head = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
         least = who[head][np.cumsum(head) - 1]
-        ids, blobs = _by_id(x[who > least], who[who > least])
+        gone = (who > least) & (least < NULL_FROM)
+        gone &= who >= low if low is not None else True
+        ids, blobs = _by_id(x[gone], who[gone])
         if len(ids):
             none = [None] * len(ids)
             yield _rows(-1 - (ids % (1 << bits)), ids, blobs, none, none, none)
@@ -238,7 +265,7 @@ def _settle_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     x, y, who = x[order], y[order], who[order]
     head = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
     least = who[head][np.cumsum(head) - 1]
-    gone = np.flatnonzero(who > least)
+    gone = np.flatnonzero((who > least) & (least < NULL_FROM))
     gone = gone[np.argsort(who[gone], kind="stable")]
     return pd.DataFrame({"id": who[gone], "one": x[gone].view(np.int64), "many": None})
 
@@ -297,24 +324,57 @@ def _power_of_two(n: float, least: int, most: int) -> int:
     return min(most, max(least, 1 << max(0, int(np.ceil(np.log2(max(1.0, n)))))))
 
 
+def _named(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with _id, and (id, text) of them."""
+    docs = small_batches(docs).drop("n_words", "n_removed", "kept_text", "_id", "_one", "_many", "_place")
+    null_id = F.lit(NULL_FROM) + F.pmod(F.xxhash64(text), F.lit(NULL_SPAN))
+    named = docs.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), null_id))
+    return named, named.select(F.col("_id").alias("id"), F.col(text).alias("text"))
+
+
 def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with n_words, n_removed and kept_text (the kept words joined by one space)."""
+    """``docs`` (or its columns ``keep``) with n_words, n_removed and kept_text (the kept words joined by one space).
+    Builds an index of its own for the purpose."""
     spark = docs.sparkSession
-    docs = small_batches(docs).drop("n_words", "n_removed", "kept_text", "_id", "_one", "_many", "_place")
-    named = docs.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)))
-    slim = named.select(F.col("_id").alias("id"), F.col(text).alias("text"))
+    named, slim = _named(docs, doc_id, text)
     share = [F.percentile_approx("id", [(i + 1) / batches for i in range(batches - 1)], 1000)] if batches > 1 else []
     size, *cuts = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), *share).first()
     edges = sorted(set(cuts[0] or [])) if cuts else []
-    buckets = _power_of_two(size / 24 / BUCKET, 16, SHARED_BITS // 8)
     folder = f"{checkpoint_dir(spark)}/substrings-{uuid.uuid4().hex}"
-    index = FingerprintIndex(spark, folder, buckets=buckets, shared_bits=_power_of_two(size / 2, 1 << 16, SHARED_BITS))
+    index = FingerprintIndex.for_size(spark, f"{folder}/index", size)
+    marks = np.zeros(index.shared_bits // 8, np.uint8)
     for low, high in zip([None, *edges], [*edges, None]):
         part = slim if low is None else slim.filter(F.col("id") > low)
-        index.add(part if high is None else part.filter(F.col("id") <= high))
-    marks = spark.sparkContext.broadcast(index.marks)  # at most SHARED_BITS / 8 bytes
-    asked = slim.mapInArrow(_ask(index.bits, index.shared_bits, marks), _ASKED)
-    asked.groupBy("bucket").applyInPandas(_settle_bucket, _GONE).write.parquet(f"{folder}/gone")
+        marks |= index.add(part if high is None else part.filter(F.col("id") <= high), high)
+    drop(spark, index.folder)
+    return _removed(named, slim, index, marks, folder, text, keep)
+
+
+def dedup_batch(index: FingerprintIndex, docs: DataFrame, history: DataFrame | None = None, *, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The same for a batch of new documents, whose ids are all larger than those in the index: they lose what earlier
+    documents of the batch or of ``history`` (all documents added before, with their texts) hold, and join the index.
+    Null ids lose words as ever but are not remembered."""
+    spark = docs.sparkSession
+    named, slim = _named(docs, doc_id, text)
+    low, high = slim.filter(F.col("id") < NULL_FROM).agg(F.min("id"), F.max("id")).first()
+    if low is not None and index.last is not None and low <= index.last:
+        raise ValueError(f"doc_id {low} isn't larger than {index.last}, which the index holds")
+    low = NULL_FROM if low is None else low
+    marks = index.add(slim, high)
+    asked = slim
+    if history is not None:
+        asked = slim.unionByName(_named(history.filter(F.col(doc_id) < low), doc_id, text)[1])
+    return _removed(named, asked, index, marks, f"{checkpoint_dir(spark)}/substrings-{uuid.uuid4().hex}", text, keep, low)
+
+
+def _removed(named: DataFrame, asked: DataFrame, index: FingerprintIndex, marked_prints: np.ndarray, folder: str, text: str, keep: list[str] | None, low: int | None = None) -> DataFrame:
+    """Verifies the windows whose fingerprint is marked among the documents ``asked``, and strips ``named``."""
+    spark = named.sparkSession
+    docs = named.drop("_id")
+    marks = spark.sparkContext.broadcast(marked_prints)  # at most SHARED_BITS / 8 bytes
+    windows = asked.mapInArrow(_ask(index.bits, index.shared_bits, marks, low), _ASKED)
+    settled = windows.groupBy("bucket").applyInPandas(_settle_bucket, _GONE)
+    (settled if low is None else settled.filter(F.col("id") >= low)).write.parquet(f"{folder}/gone")
     gone = spark.read.parquet(f"{folder}/gone")
     place = F.pmod(F.xxhash64("id"), F.lit(DOC_BITS))
     words = gone.select("id").distinct().groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {DOC_BITS}) % 64 AS int))")).alias("b"))
