@@ -4,14 +4,18 @@ Every vector is projected on PROJECTIONS random directions; each projection of a
 A query opens a window around its own projection in every array, of half-width W at radius 1, and widens all windows
 from radius to radius (virtual rehashing: no bucket borders, nothing is rebuilt). A vector that falls into at least
 COLLISIONS of the windows is a candidate and verified by its true distance. A query stops in a block when enough
-candidates have been verified; if its windows cover the block, all of it has been.
+candidates have been verified, or when its k nearest found are no farther than its windows reach: a vector outside any
+window is farther than that, so nothing nearer is left. With ``exact`` only the second rule (or windows that cover the
+block) stops it, and the result is that of brute force.
 
 Vectors are dealt to blocks by a hash of vec_id, sized by the number of rows, and the stated queries to blocks of their
 own; every block of queries meets every block of vectors, and a block's k nearest are merged by query. Equal vectors are reduced to the k + 1 smallest ids before anything is dealt,
 which changes no result: ties go to the smaller id, so no further copy can be among k neighbours.
 
 Vectors that are null, zero, empty, or hold null or non-finite components take no part; vectors of different lengths
-are never compared. Rows with a null vec_id take no part. Repeated rows of one vec_id and vector count once.
+are never compared. Rows with a null vec_id take no part. Repeated rows of one vec_id and vector count once. A vec_id
+with several vectors is as many candidates, and a query whose nearest to any of its vectors are ranked in one list.
+An empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -50,7 +54,7 @@ def _spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
 
 
-def search_block(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, *, k: int = K, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
+def search_block(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, *, k: int = K, seed: int = 7, exact: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query the (ids, distances) of its k nearest found in the block, in order."""
     a = _directions(x.shape[1], seed)
     projected = (x @ a).T
@@ -80,7 +84,9 @@ def search_block(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids:
             seen[fresh] = True
             fresh = fresh[ids[fresh] != own]
             rows, found = np.concatenate((rows, fresh)), np.concatenate((found, np.sqrt(((x[fresh] - q) ** 2).sum(axis=1))))
-            if whole or len(found) >= limit and len(found) >= k:
+            # Directions have length 1, so a distance is at least any projected one.
+            certain = len(found) >= k and np.partition(found, k - 1)[k - 1] <= radius * (1 - 1e-9)
+            if whole or certain or not exact and len(found) >= max(limit, k):
                 break
             radius *= GROWTH
         best = np.lexsort((ids[rows], found))[:k]
@@ -88,11 +94,11 @@ def search_block(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids:
     return out
 
 
-def _block(base: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
+def _block(base: pd.DataFrame, asked: pd.DataFrame, k: int, exact: bool = False) -> pd.DataFrame:
     if base.empty or asked.empty:
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
     base = base.sort_values("vec_id")
-    got = search_block(np.stack(base["v"].to_numpy()), base["vec_id"].to_numpy(), np.stack(asked["v"].to_numpy()), asked["vec_id"].to_numpy(), k=k)
+    got = search_block(np.stack(base["v"].to_numpy()), base["vec_id"].to_numpy(), np.stack(asked["v"].to_numpy()), asked["vec_id"].to_numpy(), k=k, exact=exact)
     sizes = [len(i) for i, _ in got]
     return pd.DataFrame({"query_id": np.repeat(asked["vec_id"].to_numpy(), sizes), "vec_id": np.concatenate([i for i, _ in got]), "score": np.concatenate([d for _, d in got])})
 
@@ -110,8 +116,9 @@ def _meetings(base: DataFrame, asked: DataFrame, blocks: int, query_blocks: int)
     return base, asked.withColumns({"width": F.size("v")} | own("query_block", query_blocks)).withColumns(every("block", blocks))
 
 
-def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", every: int = 100, k: int = K, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by ``every``."""
+def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", every: int = 100, k: int = K, query_rows: int = QUERY_ROWS, exact: bool = False) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by ``every``; the k nearest
+    of all if ``exact``."""
     spark = vectors.sparkSession
     every_row = clean(vectors, vec_id, embedding)
     n, n_asked = vectors.agg(F.count("*"), F.count_if(F.col(vec_id).cast("long") % every == 0)).first()
@@ -122,6 +129,6 @@ def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
     asked = every_row.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
     base, asked = _meetings(ranked, asked, blocks, max(1, -(-n_asked // query_rows)))
     meeting = ["width", "block", "query_block"]
-    found = base.groupBy(*meeting).cogroup(asked.groupBy(*meeting)).applyInPandas(lambda b, a: _block(b, a, k), _RESULT)
+    found = base.groupBy(*meeting).cogroup(asked.groupBy(*meeting)).applyInPandas(lambda b, a: _block(b, a, k, exact), _RESULT)
     rank = F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)")
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
