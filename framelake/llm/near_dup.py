@@ -268,10 +268,10 @@ def _meetings(parted: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     return met(parted.filter("out"), "askeds", "bases", "asked_block", "base_block"), met(parted, "bases", "askeds", "base_block", "asked_block")
 
 
-def _star(rows: DataFrame, *key: str) -> DataFrame:
-    """Edges from each rep to the least rep of its key."""
-    least = rows.groupBy(*key).agg(F.min("rep").alias("v"), F.max("rep").alias("top")).filter("v < top").select(*key, "v")
-    return rows.join(least, [*key]).filter("rep <> v").selectExpr("rep AS u", "v")
+def _star(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Edges from each rep to the least rep of its keys. Keys of many reps get it by broadcast."""
+    least = rows.groupBy(*keys).agg(F.min("rep").alias("v"), F.max("rep").alias("top"), F.count("*").alias("n")).filter("v < top")
+    return join_back(rows, settle(least.drop("top")), keys, "n", how="inner").filter("rep <> v").selectExpr("rep AS u", "v")
 
 
 def _sized(members: DataFrame, block_shingles: int) -> DataFrame:
@@ -286,7 +286,8 @@ def _parted(sets: DataFrame) -> DataFrame:
     spark = sets.sparkSession
     slices = sets.select("hashes").mapInArrow(_tally, "slice int, counts binary").groupBy("slice").applyInPandas(_add_up, "slice int, counts binary")
     ranks = spark.sparkContext.broadcast(b"".join(r.counts for r in sorted(slices.collect())))  # CELLS bytes
-    return components(_star(sets.mapInArrow(_prefixes(ranks), "rep long, cluster long, shingle long"), "cluster", "shingle"))
+    rare = settle(sets.mapInArrow(_prefixes(ranks), "rep long, cluster long, shingle long"))
+    return components(_star(rare, ["cluster", "shingle"]))
 
 
 def _large_links(sets: DataFrame, block_shingles: int) -> DataFrame:
@@ -309,7 +310,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     real = seen.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # Equal sets have equal bands.
     classes = settle(real.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
-    nodes = components(_star(classes.select("rep", F.explode("bands").alias("band")), "band"))
+    nodes = components(_star(classes.select("rep", F.explode("bands").alias("band")), ["band"]))
     n_of = classes.groupBy("rep").agg(F.max("n_shingles").alias("n"))
     members = _sized(nodes.selectExpr("node AS rep", "component AS cluster").join(n_of, "rep"), block_shingles)
 

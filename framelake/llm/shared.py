@@ -93,14 +93,14 @@ def _hubs(keyed: DataFrame, key: str, value, total: int, most: int = 1000) -> Da
     return settle(keyed.groupBy(key).agg(value, F.count("*").alias("_n")).filter(F.col("_n") * most > total).drop("_n"))
 
 
-def join_back(rows: DataFrame, found: DataFrame, keys: list[str], copies: str, most: int = 1000) -> DataFrame:
+def join_back(rows: DataFrame, found: DataFrame, keys: list[str], copies: str, most: int = 1000, how: str = "left") -> DataFrame:
     """``rows`` with the columns of ``found`` (settled; one row a key, with how many ``copies`` of it ``rows`` has), but
     ``copies``. Keys that hold over 1/most of all copies are at most ``most``: they are broadcast, so that none gathers
-    in a task; the others are joined by shuffle. Keys are not null."""
+    in a task; the others are joined by shuffle (``how``: left or inner). Keys are not null."""
     total = found.agg(F.sum(copies)).first()[0] or 0
     is_hot = F.col(copies) * most > total
     hot = F.broadcast(found.filter(is_hot).drop(copies))  # fewer than ``most`` rows
-    cold = rows.join(hot, keys, "left_anti").join(found.filter(~is_hot).drop(copies), keys, "left")
+    cold = rows.join(hot, keys, "left_anti").join(found.filter(~is_hot).drop(copies), keys, how)
     return rows.join(hot, keys).unionByName(cold)
 
 

@@ -381,15 +381,38 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("clustered", [True, False])
+def test_nearest_exact(spark, clustered):
+    """All nearest, in clusters (where few vectors have to be verified) and without any structure; one vec_id has two
+    vectors."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((6000, 12))
+    if clustered:
+        x = rng.standard_normal((60, 12))[np.arange(6000) % 60] * 20 + x * 0.1
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100, x[7].tolist())]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), exact=True).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    ids = np.append(np.arange(6000), 100)
+    every = np.concatenate((x, x[7:8]))
+    for q, rows in got.items():
+        near = []
+        for v in every[ids == q]:
+            d = np.sqrt(((every - v) ** 2).sum(axis=1))
+            near += [(d[i], ids[i]) for i in np.lexsort((ids, np.where(ids == q, np.inf, d)))[:10]]
+        assert [(s, v) for _, v, s in sorted(rows)] == sorted(near)[:10]
+    assert len(got) == 60
+
+
 def test_nearest_deals_queries_too(spark, monkeypatch):
     rng = np.random.default_rng(3)
     df = spark.createDataFrame([(i, [float(x) for x in rng.standard_normal(6)]) for i in range(600)], "vec_id long, embedding array<double>")
     want = rows_of(ann.nearest(df, every=3))  # 200 queries in one block
     block = ann._block
 
-    def bounded(base, asked, k):
+    def bounded(base, asked, k, exact):
         assert len(asked) <= 80
-        return block(base, asked, k)
+        return block(base, asked, k, exact)
 
     monkeypatch.setattr(ann, "_block", bounded)
     assert rows_of(ann.nearest(df, every=3, query_rows=40)) == want and len(want) == 2000
@@ -411,7 +434,7 @@ def test_decontaminate(spark, docs):
 
 def test_substring_dedup(spark, docs):
     rows = corpus()
-    for batches in (1, 4):
+    for batches in (1, 6):
         got = substring_dedup.dedup_substrings(docs.withColumn("n_removed", F.lit("x")), batches=batches, keep=["doc_id"]).select("doc_id", "n_words", "n_removed", "kept_text")
         assert rows_of(got) == sorted(substring_dedup.brute_force(rows), key=repr)
     odd = spark.createDataFrame([(None, words(random.Random(1), 20)), (None, words(random.Random(1), 20)), (5, words(random.Random(1), 20)), (5, words(random.Random(1), 20))], "doc_id long, text string")
@@ -419,6 +442,29 @@ def test_substring_dedup(spark, docs):
     assert substring_dedup.dedup_substrings(docs.limit(0)).count() == 0
 
 
+def test_substring_index_grows_and_is_opened_again(spark, tmp_path):
+    """Seven batches, each into the index as a later session finds it, against brute force over all documents."""
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(7, 70))]
+    want = {r[0]: r for r in substring_dedup.brute_force(rows)}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    folder = str(tmp_path / "index")
+    made = substring_dedup.FingerprintIndex.for_size(spark, folder, 10_000)
+    compacted = 0
+    for n in range(7):
+        index = made if not n else substring_dedup.FingerprintIndex.open(spark, folder)
+        before = len(index.runs)
+        batch, history = df.filter(f"doc_id >= {n * 10} AND doc_id < {n * 10 + 10}"), df.filter(f"doc_id < {n * 10}")
+        null = spark.createDataFrame([(None, rows[0][1])], "doc_id long, text string")
+        got = substring_dedup.dedup_batch(index, batch.union(null), history if n else None, keep=["doc_id"]).select("doc_id", "n_words", "n_removed", "kept_text").collect()
+        assert {tuple(r) for r in got if r.doc_id is not None} == {want[i] for i in range(n * 10, n * 10 + 10)}
+        assert [r.n_removed for r in got if r.doc_id is None] == [150]  # an earlier document holds all of it
+        compacted += before >= substring_dedup.FANOUT
+        assert len(index.runs) <= substring_dedup.FANOUT
+    assert compacted >= 3
+    with pytest.raises(ValueError):
+        substring_dedup.dedup_batch(substring_dedup.FingerprintIndex.open(spark, folder), df.filter("doc_id = 3"))
+
+
 def test_near_duplicates(spark, docs):
     rows = corpus()
     want = sorted(near_dup.brute_force(rows), key=repr)
