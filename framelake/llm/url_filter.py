@@ -4,7 +4,8 @@ A rule is a host and a path prefix. It fits a URL if the URL's host is the rule'
 path starts with the rule's. Every URL is expanded into the (host suffix, path prefix) expressions that some rule
 could equal, expressions meet rules by an equi-join on a short prefix of their SHA-256, and the whole digest confirms.
 
-Null or malformed URLs have an empty host and path, fit no rule and get the default verdict. Rules with a null host,
+Null, empty or malformed URLs have an empty host and path, fit no rule and get the default verdict. URLs of any length
+are read whole; repeated rows are judged alike. An empty table gives an empty result, no rules the default verdict. Rules with a null host,
 path or verdict are ignored; of equal rules that disagree, block wins. Ties in length go to the longer host.
 """
 
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import join_back, settle
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PREFIX_HEX = 8
 #: Rules up to this count (about 100 bytes each) are broadcast; more are joined by shuffle.
@@ -32,17 +35,17 @@ def digest_of(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(host, F.lit("\n"), path), 256)
 
 
-def expressions(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
-    """Array of struct(host suffix, path prefix): one for each (labels, path length) shape that the URL can fill."""
-    labels = F.split(host, r"\.", -1)
-    made = [
-        F.when(
-            (F.size(labels) >= n) & (F.length(path) >= length),
-            F.struct(F.substring_index(host, ".", -n).alias("host"), F.substring(path, 1, length).alias("path")),
-        )
-        for n, length in shapes
-    ]
-    return F.array_compact(F.array(*made))
+def expressions(labels: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """Array of struct(host suffix, path prefix): one for each (labels, path length) shape that the URL can fill. The
+    shapes are one constant, so the plan doesn't grow with them."""
+    every = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(length).alias("length")) for n, length in shapes))
+    fitting = F.filter(every, lambda s: (F.size(labels) >= s["n"]) & (F.length(path) >= s["length"]))
+
+    def made(s: Column) -> Column:
+        host = F.array_join(F.slice(labels, F.size(labels) - s["n"] + 1, s["n"]), ".")
+        return F.struct(host.alias("host"), F.substring(path, F.lit(1), s["length"]).alias("path"))
+
+    return F.transform(fitting, made)
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default: str = "allow") -> DataFrame:
@@ -66,10 +69,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default:
     if not shapes:
         return pages.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     small = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
-    # Distinct targets first: a host or page that holds a third of all rows is expanded once.
-    targets = pages.select("host", "path").distinct()
+    # Distinct targets first: a host or page that holds a third of all rows is expanded once, and met by broadcast.
+    targets = settle(pages.groupBy("host", "path").agg(F.count("*").alias("_n")))
     hits = (
-        targets.select("host", "path", F.explode(expressions(F.col("host"), F.col("path"), shapes)).alias("e"))
+        targets.withColumn("labels", F.split("host", r"\.", -1))
+        .select("host", "path", F.explode(expressions(F.col("labels"), F.col("path"), shapes)).alias("e"))
         .withColumn("e_digest", digest_of(F.col("e.host"), F.col("e.path")))
         .withColumn("short", F.substring("e_digest", 1, PREFIX_HEX))
         .join(F.broadcast(rules) if small else rules, "short")
@@ -79,8 +83,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default:
     best = hits.groupBy("host", "path").agg(
         F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), rank).alias("best")
     )
-    return (
-        pages.join(best, ["host", "path"], "left")
-        .withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce("best.verdict", F.lit(default))})
-        .drop("best")
-    )
+    judged = settle(targets.join(best, ["host", "path"], "left").select("host", "path", "_n", "best.rule", F.coalesce("best.verdict", F.lit(default)).alias("verdict")))
+    own = [c for c in pages.columns if c not in ("host", "path")]
+    return join_back(pages, judged, ["host", "path"], "_n").select(*own, "host", "path", "rule", "verdict")
