@@ -7,10 +7,10 @@ and the headers that a 304 may update replace the stored ones; all others, the b
 Statuses: full; resolved; mismatch (there is an earlier response but no validator confirms it); orphan (none, or a null
 URL or time). Of full responses of one URL and time the smallest record id counts. Header names are case-folded; of
 names that then clash the one that sorts last counts. Rows are never dropped, repeated rows are resolved alike, and extra
-columns are kept.
+columns are kept; those named like results are replaced. Null headers are none. An empty table gives an empty result.
 
 The as-of join is two-level, so that no URL's records meet in one task: equal (url, time) pairs are merged first, times
-are cut into ranges by quantiles, windows run within (url, range), and the last response before each range is carried
+are cut into ranges by quantiles (more of them, the more records there are), windows run within (url, range), and the last response before each range is carried
 in from a small table of range ends.
 """
 
@@ -24,7 +24,8 @@ from .url_filter import host_of, path_of
 #: What a 304 response may update (HTTP caching rules): fixed values.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "vary"]
 TRACKING = r"^(utm_[^=]*|ref|gclid|fbclid)(=|$)"
-RANGES = 64
+#: Ranges at least and at most, and records in a range, about.
+RANGES, MOST_RANGES, RANGE_ROWS = 64, 1024, 2_000_000
 
 
 def canonical_url(url: Column) -> Column:
@@ -61,15 +62,16 @@ def confirms(stored: Column, update: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), a == b).otherwise(dates)
 
 
-def resolve_revisits(records: DataFrame, *, ranges: int = RANGES) -> DataFrame:
+def resolve_revisits(records: DataFrame, *, ranges: int | None = None) -> DataFrame:
     """``records``: record_id long, url string, ts long, full boolean, headers map<string,string>. Gives them with
     canonical, status, refers_to and merged (the headers that stand after resolution)."""
     records = records.drop("canonical", "status", "refers_to", "merged", "_h", "_ref").withColumns({"canonical": canonical_url(F.col("url")), "_h": folded(F.col("headers"))})
     usable = records.filter("canonical IS NOT NULL AND ts IS NOT NULL")
-    cuts = usable.agg(F.percentile_approx("ts", [(i + 1) / ranges for i in range(ranges - 1)], 10_000)).first()[0] or []
-    at = F.lit(0)
-    for cut in sorted(set(cuts)):
-        at = at + F.when(F.col("ts") > cut, 1).otherwise(0)
+    n, fine = usable.agg(F.count("*"), F.percentile_approx("ts", [(i + 1) / MOST_RANGES for i in range(MOST_RANGES - 1)], 10_000)).first()
+    ranges = ranges or min(MOST_RANGES, max(RANGES, 1 << (n // RANGE_ROWS).bit_length()))
+    step = max(1, MOST_RANGES // ranges)
+    cuts = sorted(set((fine or [])[step - 1 :: step]))
+    at = F.size(F.filter(F.lit(cuts), lambda cut: F.col("ts") > cut)) if cuts else F.lit(0)
     own = F.when(F.col("full"), F.struct("record_id", F.col("_h").alias("headers")))
     moments = usable.groupBy("canonical", "ts").agg(F.min_by(own, F.when(F.col("full"), F.col("record_id"))).alias("ref")).withColumn("range", at)
     ends = moments.filter("ref IS NOT NULL").groupBy("canonical", "range").agg(F.max_by("ref", "ts").alias("end"))
@@ -77,7 +79,9 @@ def resolve_revisits(records: DataFrame, *, ranges: int = RANGES) -> DataFrame:
     carried = grid.withColumn("carry", F.expr("last(end, true) OVER (PARTITION BY canonical ORDER BY range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")).drop("end")
     within = moments.withColumn("here", F.expr("last(ref, true) OVER (PARTITION BY canonical, range ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
     found = within.join(carried, ["canonical", "range"]).select("canonical", "ts", F.coalesce("here", "carry").alias("_ref")).filter("_ref IS NOT NULL")
-    joined = records.join(found, ["canonical", "ts"], "left")
+    # Records without a URL or a time refer to nothing and don't go through the join.
+    alone = records.filter("canonical IS NULL OR ts IS NULL").withColumn("_ref", F.lit(None).cast(found.schema["_ref"].dataType))
+    joined = usable.join(found, ["canonical", "ts"], "left").unionByName(alone)
     good = F.col("_ref").isNotNull() & confirms(F.col("_ref.headers"), F.col("_h"))
     full = F.coalesce(F.col("full"), F.lit(False))
     status = F.when(full, "full").when(good, "resolved").when(F.col("_ref").isNotNull(), "mismatch").otherwise("orphan")
