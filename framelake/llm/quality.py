@@ -10,13 +10,17 @@ Features are read from the whole text and know no language: frequencies of chara
 and of repeated words and lines, on a log scale. Fitting uses bounded samples, chosen by a hash of doc_id
 (MAX_POSITIVES, MAX_UNLABELLED); scoring reads everything.
 
-Null and empty texts have no features and get the model's base score. Without any positive the score is 0.5. Repeated
-rows score alike. Null doc_ids are scored too but never sampled. A ``score`` column in the input is replaced.
+Null and empty texts have no features and get the model's base score. Without any positive the score is 0.5. The prior
+can't be estimated from fewer than LEAST rows in a half of either sample; it is PRIOR then, with a warning, unless the
+caller gives it. On a few dozen documents the fit itself varies widely. Repeated rows score alike. Null doc_ids are
+scored too but never sampled. Very long texts are read whole. An empty table gives an empty result. Extra columns are
+kept; a ``score`` column in the input is replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +35,7 @@ from .words import byte_table, groups
 
 MAX_POSITIVES, MAX_UNLABELLED = 3000, 6000
 FOLDS = 5
+LEAST, PRIOR = 20, 0.5
 #: Character classes; a byte in none of them is 'other'.
 CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", ".", ",;:", "!", "?", "'\"`", "|", "#*$%&@^~=+", "()[]{}<>", "-_/\\"]
 N_CLASSES = len(CLASSES) + 2
@@ -120,14 +125,20 @@ def _mean_gradient(x: np.ndarray, pull: np.ndarray) -> np.ndarray:
 def estimate_prior(p: np.ndarray, u: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
     """Share of positives in ``u`` by best-bin estimation on held-out halves of both (standardised features)."""
     p1, p2, u1, u2 = p[::2], p[1::2], u[::2], u[1::2]
-    if min(len(p1), len(p2), len(u1), len(u2)) < 20:
-        return 0.5
+    if min(len(p1), len(p2), len(u1), len(u2)) < LEAST:
+        warnings.warn(f"too few rows to estimate the class prior: it is taken for {PRIOR}", stacklevel=2)
+        return PRIOR
 
     def gradient(w):
         return _mean_gradient(p1, -_sigmoid(-(p1 @ w[:-1] + w[-1]))) + _mean_gradient(u1, _sigmoid(u1 @ w[:-1] + w[-1])) + 1e-3 * np.append(w[:-1], 0)
 
     w = _descend(gradient, p.shape[1], 150, 0.02)
-    sp, su = np.sort(p2 @ w[:-1]), np.sort(u2 @ w[:-1])
+    return best_bin(p2 @ w[:-1], u2 @ w[:-1], delta, gamma)
+
+
+def best_bin(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """The share of unlabelled scores over that of positive ones from the cut on where its upper bound is least."""
+    sp, su = np.sort(positive), np.sort(unlabelled)
     cuts = np.unique(sp)
     qp = 1 - np.searchsorted(sp, cuts) / len(sp)
     qu = 1 - np.searchsorted(su, cuts) / len(su)
@@ -137,6 +148,15 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, delta: float = 0.1, gamma: floa
     return float(np.clip(qu[best] / qp[best], 0.05, 0.98))
 
 
+def risk_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, pi: float, decay: float = 0.0) -> np.ndarray:
+    """The way down of the non-negative risk: its gradient, or away from its second term where that is below zero."""
+    fp, fu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
+    up = _mean_gradient(p, -_sigmoid(-fp)) * pi
+    negative = _softplus(fu).mean() - pi * _softplus(fp).mean()
+    down = _mean_gradient(u, _sigmoid(fu)) - pi * _mean_gradient(p, _sigmoid(fp))
+    return (up + down if negative >= 0 else -down) + decay * np.append(w[:-1], 0)
+
+
 def fit(positives: np.ndarray, unlabelled: np.ndarray, *, prior: float | None = None, steps: int = 800, rate: float = 0.1, decay: float = 1e-5) -> Model:
     """Minimises the non-negative risk; ``prior`` is estimated if not given."""
     width = WIDTH
@@ -147,14 +167,7 @@ def fit(positives: np.ndarray, unlabelled: np.ndarray, *, prior: float | None =
     p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positives, unlabelled))
     pi = estimate_prior(p, u) if prior is None else prior
 
-    def gradient(w):
-        fp, fu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
-        up = _mean_gradient(p, -_sigmoid(-fp)) * pi
-        negative = _softplus(fu).mean() - pi * _softplus(fp).mean()
-        down = _mean_gradient(u, _sigmoid(fu)) - pi * _mean_gradient(p, _sigmoid(fp))
-        return (up + down if negative >= 0 else -down) + decay * np.append(w[:-1], 0)
-
-    w = _descend(gradient, width, steps, rate)
+    w = _descend(lambda w: risk_gradient(w, p, u, pi, decay), width, steps, rate)
     return Model(mean, scale, w[:-1], float(w[-1]), pi)
 
 
@@ -171,16 +184,17 @@ def _matrix(texts: DataFrame) -> np.ndarray:
     return np.array([np.frombuffer(x, np.float32) for x in sorted((bytes(r[0]) for r in rows), key=lambda x: hashlib.sha256(x).digest())], np.float64).reshape(-1, WIDTH)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED, prior: float | None = None) -> Model:
     """Fits on documents outside the held-out fold. ``labels`` has doc_id and quality; only its 1s are read."""
     good = labels.filter((F.col("quality") == 1) & ~held_out(F.col("doc_id"))).select("doc_id").distinct()
     good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_positives)
-    positives = docs.join(F.broadcast(good), "doc_id").select("text")  # at most max_positives ids
+    positives = docs.join(F.broadcast(good), "doc_id")  # at most max_positives ids; of repeated ids twice as many rows
+    positives = positives.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(2 * max_positives).select("text")
     pool = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     share = 1.2 * max_unlabelled / max(1, docs.count()) * FOLDS / (FOLDS - 1)
     place = F.pmod(F.xxhash64(F.lit("unlabelled"), "doc_id"), F.lit(1 << 30))
     picked = pool.filter(place < int(min(1.0, share) * (1 << 30))).orderBy(place, "doc_id", F.xxhash64("text")).limit(max_unlabelled)
-    return fit(_matrix(positives.limit(2 * max_positives)), _matrix(picked.select("text")))
+    return fit(_matrix(positives), _matrix(picked.select("text")), prior=prior)
 
 
 def score_quality(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -77,7 +77,7 @@ def test_components(spark):
 
 
 def test_url_filter(spark):
-    urls = [None, "", "no scheme", "http://", "HTTP://A.Example.COM/en/71?x#y", "x://com/en/", "x://notcom/en/", "x://example.com/en", "x://b.com/en/é", "x://b.com?/en/", "x://b.net#/de/", "x://a..net/de/8", "x://example.net/de/89", "x://example.net/de/89", "a://b://c.org/es/"]
+    urls = [None, "", "no scheme", "http://", "HTTP://A.Example.COM/en/71?x#y", "x://com/en/", "x://notcom/en/", "x://example.com/en", "x://b.com/en/é", "x://b.com?/en/", "x://b.net#/de/", "x://a..net/de/8", "x://example.net/de/89", "x://example.net/de/89", "a://b://c.org/es/", "x://b.com/en/" + "y" * 100_000]
     pages = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
     rules = registered.URL_RULES
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
@@ -86,6 +86,8 @@ def test_url_filter(spark):
         host, path = (m[1].lower(), m[2]) if m else ("", "")
         fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
         assert got[i] == (host, path, max(fits)[1] if fits else None, max(fits)[2] if fits else "allow"), u
+    again = url_filter.judge_urls(pages.union(pages), spark.createDataFrame(rules, "host string, path string, verdict string"))
+    assert rows_of(again) == sorted(2 * rows_of(url_filter.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string"))), key=repr)
     none = url_filter.judge_urls(pages, spark.createDataFrame([], "host string, path string, verdict string"), default="block")
     assert {r.verdict for r in none.collect()} == {"block"}
     assert url_filter.judge_urls(pages.limit(0), spark.createDataFrame(rules, "host string, path string, verdict string")).count() == 0
@@ -628,6 +630,82 @@ def test_quality_edges(spark):
     assert quality.score_quality(odd.limit(0), model).count() == 0
 
 
+def slow_features(text):
+    """The features of one text by loops over its bytes and words."""
+    raw = (text or "").encode()
+
+    def kind(b):
+        for i, c in enumerate(quality.CLASSES):
+            if bytes([b]).decode("latin-1") in c:
+                return i
+        return len(quality.CLASSES) + (b < 128)
+
+    k = quality.N_CLASSES
+    kinds, n = [kind(b) for b in raw], max(1, len(raw))
+    one, two = [0.0] * k, [0.0] * k * k
+    for i in kinds:
+        one[i] += 1 / n
+    for i, j in zip(kinds, kinds[1:]):
+        two[i * k + j] += 1 / n
+    w = re.findall(rb"[^\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), raw))
+    m = max(1, len(w))
+    again, second = (sum(a == b for a, b in zip(w, w[i:])) / m for i in (1, 2))
+    lengths = [len(x) for x in w]
+    x = [*one, *two, again, second, len(set(w)) / m, 0.0, 0.0, 0.0, 0.0, sum(lengths) / m / 20]
+    x = [np.log1p(1000 * v) / np.log(1001) for v in x]
+    return x, np.log1p(len(raw)) / 10, np.log1p(len(w)) / 10, np.log1p(max(lengths, default=0)) / 10
+
+
+def test_quality_features_against_loops():
+    texts = ["Plain text, twice. Plain text!", None, "", "a a a b a b | #hash (x) 12-3", "Größe ñandú\n\tb " * 40, "  \n "]
+    for a in groups(pa.array(texts), quality._TABLE):
+        got = quality.features(a)
+        for i in range(a.n_docs):
+            slow, size, n_words, longest = slow_features(texts[a.first + i])
+            width = quality.N_CLASSES + quality.N_CLASSES**2
+            assert np.allclose(got[i][: width + 3], slow[: width + 3])
+            assert np.allclose(got[i][-4:-1], [size, n_words, longest])
+
+
+def test_quality_risk_against_loops():
+    rng = np.random.default_rng(6)
+    p, u = rng.normal(1, 1, (7, 3)), rng.normal(0, 1, (11, 3))
+
+    def parts(w, pi):
+        loss = lambda z: np.log1p(np.exp(-z))
+        at = lambda x: sum(a * b for a, b in zip(x, w[:-1])) + w[-1]
+        good = pi * sum(loss(at(x)) for x in p) / len(p)
+        bad = sum(loss(-at(x)) for x in u) / len(u) - pi * sum(loss(-at(x)) for x in p) / len(p)
+        return good, bad
+
+    seen = set()
+    for pi, w in [(0.3, rng.normal(0, 1, 4)) for _ in range(10)] + [(0.95, np.array([3.0, 3, 3, 1])), (0.9, np.array([5.0, 5, 5, 0]))]:
+        bad = parts(w, pi)[1]
+        seen.add(bool(bad >= 0))
+
+        def goal(w):
+            good, bad_now = parts(w, pi)
+            return good + bad_now if bad >= 0 else -bad_now
+
+        step = 1e-6 * np.eye(4)
+        slow = [(goal(w + s) - goal(w - s)) / 2e-6 for s in step]
+        assert np.allclose(quality.risk_gradient(w, p, u, pi), slow, atol=1e-6)
+    assert seen == {True, False}
+
+
+def test_best_bin_against_loops():
+    rng = np.random.default_rng(9)
+    p, u = rng.normal(1, 1, 200).round(1), np.concatenate((rng.normal(1, 1, 60), rng.normal(-2, 1, 90))).round(1)
+    slack = np.sqrt(np.log(4 / 0.1) / 2)
+    best = None
+    for cut in sorted(set(p.tolist())):
+        qp, qu = sum(x >= cut for x in p) / len(p), sum(x >= cut for x in u) / len(u)
+        bound = (qu + slack / np.sqrt(len(u)) + 1.01 * slack / np.sqrt(len(p))) / qp
+        if best is None or bound < best[0]:
+            best = bound, qu / qp
+    assert abs(quality.best_bin(p, u) - min(0.98, max(0.05, best[1]))) < 1e-12
+
+
 def test_prior_estimate():
     rng = np.random.default_rng(2)
     p, n = rng.normal(2, 1, (3000, 3)), rng.normal(-2, 1, (900, 3))

@@ -90,3 +90,31 @@ def test_run_gives_the_last_stage(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(got.columns)
     assert 0 < got.count() < 120
+
+
+EXTRA = {"score": "1.5", "n_words": "'w'", "n_hit": "2L", "items_sha256": "'i'", "base": "'b'", "_row": "3", "added_spans": "'a'", "component_id": "'c'"}
+
+
+def test_stages_keep_clashing_columns_and_rows_without_words(spark, folder):
+    """Null, empty and very long texts, null ids, repeated rows, extra columns named like results, empty tables."""
+    long = " ".join(f"w{i}" for i in range(60_000))
+    odd = [(1, "One two three four five six. " * 3), (1, "One two three four five six. " * 3), (2, None), (3, ""), (None, "Seven eight nine ten eleven."), (None, "Seven eight nine ten eleven."), (4, long), (5, long + " end"), (2, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in odd], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, sql in EXTRA.items():
+        docs = docs.selectExpr("*", f"{sql} AS {name}")
+    want = {"near_dup": [(1, 1), (2, 2), (3, 1), (4, 1), (None, 2)], "decontaminate": None, "pii": None, "quality": None}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, folder)
+        if name == "bpe":
+            assert got.count() == len(odd)
+        else:
+            assert got.columns == docs.columns
+            rows = got.collect()
+            assert all(r.score == 1.5 and r.n_words == "w" and r.n_hit == 2 and r.items_sha256 == "i" and r.base == "b" and r._row == 3 and r.added_spans == "a" for r in rows)
+            ids = [r.doc_id for r in rows]
+            counts = sorted(((i, ids.count(i)) for i in set(ids)), key=repr)
+            if name == "near_dup":
+                assert counts == sorted(want[name], key=repr)
+            elif name != "quality":
+                assert len(rows) == len(odd)
+        assert stage(spark, docs.limit(0), folder).count() == 0
