@@ -12,7 +12,9 @@ Sections are given as a column array<struct<start, end>> in code points (they ma
 pieces that end after each match of a separator pattern (lines by default; the empty text is one empty section).
 
 Null texts are empty texts. Null section arrays give no rows; null or inverted bounds are empty sections. Repeated rows
-are counted alike. Extra columns listed in ``keep`` are kept; those named like results are replaced.
+are counted alike. Very long texts are encoded whole. An empty table gives an empty result. Extra columns listed in
+``keep`` (all but the text and the sections by default) are kept; those named like results (section, start, end, n_tokens,
+n_crossing) are replaced.
 """
 
 from __future__ import annotations

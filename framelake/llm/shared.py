@@ -45,6 +45,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that is no longer read."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def bitmap(prints: DataFrame, bits: int, slices: int = 64) -> bytes:
     """A bitmap of ``bits`` bits (a power of two, 8 * slices at least), set by the leading bits of each 64-bit value of the
     only column. Tasks' bitmaps are united by slice; the driver gets bits / 8 bytes."""

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import checkpoint_dir, small_batches
+from .shared import checkpoint_dir, drop, small_batches
 from .words import byte_table, covered, grams, groups, sliding_least, whole, winnow
 
 WINDOW, K = 13, 6
@@ -184,11 +184,6 @@ class FingerprintIndex:
         self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.text(f"{self.folder}/manifest-{self.made}")
 
 
-def drop(spark, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 _ASKED = "bucket int, id long, one binary, two binary, ids binary, who binary"
 _GONE = "id long, one long, many binary"
 
