@@ -1,49 +1,66 @@
 """The training-data pipeline: quality, near duplicates, contamination, personal data, tokens.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written and read again as the next one's docs.
-All but the last give the columns of documents.
+All but the last give the columns of documents. In every stage null and empty texts, very long texts and null doc_ids
+follow the operator's rules (see its module); extra columns of docs are kept, whatever their names; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm import bpe, decontaminate, near_dup, pii, quality
-from framelake.llm.shared import checkpoint_dir
+from framelake.llm.shared import checkpoint_dir, drop
 
 KEEP_FROM = 0.3
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def aside(docs: DataFrame, names: set[str], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The stage on ``docs`` with the columns called ``names``, which the operator would replace, under other names."""
+    moved = {c: f"_kept_{i}_{c}" for i, c in enumerate(docs.columns) if c in names}
+    done = stage(docs.withColumnsRenamed(moved))
+    return done.select(*(F.col(moved.get(c, c)).alias(c) for c in docs.columns))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score_quality(docs, model).filter(F.col("score") >= KEEP_FROM).drop("score")
+    """Documents that the classifier rejects go. Null and empty texts get the base score; repeated rows fare alike."""
+    model = quality.train(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return aside(docs, {"score"}, lambda d: quality.score_quality(d, model).filter(F.col("score") >= KEEP_FROM))
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the least doc_id."""
-    kept = near_dup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
+    """One document of each group of near copies stays: the one with the least doc_id, and of its repeated rows one.
+    Documents without words, and rows with a null doc_id, all stay."""
+    found = near_dup.near_duplicates(docs.select("doc_id", "text"))
+    kept = found.filter("kept").groupBy(F.col("doc_id").alias("kept_id")).agg(F.max("n_shingles").alias("_n"), F.count("*").alias("_rows"))
+    once = kept.filter("_rows = 1 OR kept_id IS NULL OR _n = 0").select("kept_id")
+    twice = kept.filter("_rows > 1 AND kept_id IS NOT NULL AND _n > 0").select("kept_id")
+    single = docs.join(once, docs.doc_id.eqNullSafe(once.kept_id), "left_semi")
+    repeated = docs.join(twice, docs.doc_id == twice.kept_id, "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(repeated)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    marked = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return marked.filter("NOT contaminated").select(docs.columns)
+    """Documents that hold a benchmark passage go; those without words hold none. Repeated rows fare alike."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return aside(docs, set(decontaminate.RESULTS), lambda d: decontaminate.decontaminate(d, items).filter("NOT contaminated"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data give way to their kind in brackets; n_chars follows."""
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Personal data give way to their kind in brackets; n_chars follows. Null texts stay null, without a length."""
+    return aside(docs, {"base", "loose", "base_spans", "added_spans", "_row"}, lambda d: pii.redact(d).withColumn("n_chars", F.length("text").cast("long")))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every text, with their count, their digest and that of the bytes decoded from them."""
+    """The token ids of every text, with their count, their digest and that of the bytes decoded from them; null and
+    empty texts have none. Repeated rows are encoded alike; of the other columns doc_id, lang and source stay."""
     return bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, digests=True, keep=["doc_id", "lang", "source"])
 
 
@@ -59,10 +76,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; every stage's result is written to the shared folder and read again."""
+    """All stages over documents; every stage's result is written to the shared folder and read again, and dropped when
+    the next one's is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, last = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            drop(spark, f"{folder}/{last}")
+        last = name
     return docs
