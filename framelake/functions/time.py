@@ -27,7 +27,31 @@ def reduce_ratio(num: Column, den: Column) -> Column:
     step = lambda s, _: F.struct(F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"), F.when(s["b"] == 0, F.lit(0)).otherwise(s["a"] % s["b"]).cast("long").alias("b"))
     gcd = F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step, lambda s: s["a"])
     sign = F.when(den < 0, -1).otherwise(1)
-    return F.when(den != 0, F.struct((sign * num / gcd).cast("long").alias("num"), (F.abs(den) / gcd).cast("long").alias("den")))
+    return F.when(den != 0, F.struct((sign * F.call_function("div", num.cast("long"), gcd)).cast("long").alias("num"), F.call_function("div", F.abs(den).cast("long"), gcd).alias("den")))
+
+
+def ratio_sum(an: Column, ad: Column, bn: Column, bd: Column, minus: bool = False) -> Column:
+    """a + b (or a - b) in lowest terms; null if a part doesn't fit a long."""
+    n, other = _big(an) * _big(bd), _big(bn) * _big(ad)
+    return _fitting(n - other if minus else n + other, _big(ad) * _big(bd))
+
+
+def ratio_product(an: Column, ad: Column, bn: Column, bd: Column) -> Column:
+    return _fitting(_big(an) * _big(bn), _big(ad) * _big(bd))
+
+
+def ratio_quotient(an: Column, ad: Column, bn: Column, bd: Column) -> Column:
+    """a / b in lowest terms; null for b = 0."""
+    return _fitting(_big(an) * _big(bd), _big(ad) * _big(bn))
+
+
+def ratio_inverse(num: Column, den: Column) -> Column:
+    return reduce_ratio(den, num)
+
+
+def _fitting(num: Column, den: Column) -> Column:
+    top = F.lit((1 << 63) - 1)
+    return F.when((F.abs(num) <= top) & (F.abs(den) <= top), reduce_ratio(num.cast("long"), den.cast("long")))
 
 
 def compare_ratios(an: Column, ad: Column, bn: Column, bd: Column) -> Column:

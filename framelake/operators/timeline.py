@@ -144,6 +144,12 @@ def refuse_locked(clips: DataFrame, tracks: DataFrame, edit: str, *, clip_ids: l
         raise EditError(f"track {held[0][0]} is locked")
 
 
+def guarded(clips: DataFrame, tracks: DataFrame, edit: str, change, *, clip_ids: list[int] = (), track_ids: list[int] = ()) -> DataFrame:
+    """``change`` of the clips, unless a lock refuses it."""
+    refuse_locked(clips, tracks, edit, clip_ids=clip_ids, track_ids=track_ids)
+    return change(clips)
+
+
 def _one(clips: DataFrame, clip_id: int):
     rows = clips.filter(F.col("clip_id") == clip_id).take(1)
     if not rows:

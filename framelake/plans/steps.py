@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import blend as fb
 from ..functions import colour as fc
+from ..functions import time as tm
 from ..operators import analysis, audio, pixels, segments, select
 from ..operators import timeline as tl
 from ..sources import catalogue, documents, subtitles
@@ -338,3 +339,52 @@ def edit_add_effect(spark, d):
     """A glow goes to the end of the first clip's effects."""
     e = media.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("clip_id"), F.col("l_linenumber").cast("long").alias("pos"), F.col("l_partkey").alias("effect_id"), F.col("l_returnflag").alias("kind"))
     return tl.add_effect(e, spark.createDataFrame([(0, 0, 0, "glow")], "clip_id long, pos long, effect_id long, kind string"), 1)
+
+
+@plans.query("read_3dl", "SELECT CAST(i // 9 AS INTEGER) AS r_idx, CAST(i // 3 % 3 AS INTEGER) AS g_idx, CAST(i % 3 AS INTEGER) AS b_idx, round(i % 3 * 2000 / 4095.0::DOUBLE, 9) AS r, round(i // 9 * 1000 / 4095.0::DOUBLE, 9) AS g, round(i // 3 % 3 / 4095.0::DOUBLE, 9) AS b FROM range(27) t(i)")
+def read_3dl(spark, d):
+    """A file of three points a side in 12 bits, written and read."""
+    rows = F.concat_ws("\n", *(F.lit(f"{i % 3 * 2000} {i // 9 * 1000} {i // 3 % 3}") for i in range(27)))
+    where = _folder(spark)
+    spark.range(1).select(F.concat(F.lit("# note\n0 512 1023 1023\n"), rows).alias("value")).coalesce(1).write.text(where)
+    cube = documents.read_3dl(spark, where)[0]
+    return cube.select("r_idx", "g_idx", "b_idx", *(F.round(c, 9).alias(c) for c in RGB))
+
+
+_A, _B = ("(event_id % 12 - 5)", "(event_id % 7 + 1)"), ("(event_id % 5 - 2)", "(event_id % 9 + 1)")
+
+
+def _reduced_sql(name: str, n: str, m: str) -> str:
+    return f"CASE WHEN {m} <> 0 THEN CAST(sign({m}) * ({n}) // gcd({n}, {m}) AS BIGINT) END AS {name}_num, CASE WHEN {m} <> 0 THEN CAST(abs({m}) // gcd({n}, {m}) AS BIGINT) END AS {name}_den"
+
+
+_RATIOS = {"sum": (f"{_A[0]} * {_B[1]} + {_B[0]} * {_A[1]}", f"({_A[1]} * {_B[1]})"), "difference": (f"{_A[0]} * {_B[1]} - {_B[0]} * {_A[1]}", f"({_A[1]} * {_B[1]})"), "product": (f"{_A[0]} * {_B[0]}", f"({_A[1]} * {_B[1]})"), "quotient": (f"{_A[0]} * {_B[1]}", f"({_A[1]} * {_B[0]})"), "inverse": (_A[1], _A[0])}
+
+
+@plans.query("rational_operations", f"SELECT event_id, {', '.join(_reduced_sql(k, n, m) for k, (n, m) in _RATIOS.items())} FROM events")
+def rational_operations(spark, d):
+    i = F.col("event_id")
+    a, b = (i % 12 - 5, i % 7 + 1), (i % 5 - 2, i % 9 + 1)
+    out = {"sum": tm.ratio_sum(*a, *b), "difference": tm.ratio_sum(*a, *b, minus=True), "product": tm.ratio_product(*a, *b), "quotient": tm.ratio_quotient(*a, *b), "inverse": tm.ratio_inverse(*a)}
+    return media.table(spark, d, "events").select("event_id", *(v[f].alias(f"{k}_{f}") for k, v in out.items() for f in ("num", "den")))
+
+
+_LINES = "SELECT conv_id AS path, turn * 2000 AS start_ms, turn * 2000 + 1500 AS end_ms, trim(regexp_replace(role || ' ' || turn, '[^A-Za-z0-9]+', ' ', 'g')) AS text FROM conversations"
+
+
+def _rewritten(spark, d, write, parse):
+    t = media.table(spark, d, "conversations")
+    said = F.trim(F.regexp_replace(F.concat_ws(" ", "role", F.col("turn").cast("string")), "[^A-Za-z0-9]+", " "))
+    events = t.select(F.col("conv_id").alias("path"), (F.col("turn") * 2_000_000_000).alias("start_ns"), (F.col("turn") * 2_000_000_000 + 1_500_000_000).alias("end_ns"), F.col("turn").alias("index"), said.alias("text"))
+    back = parse(write(events))
+    return back.select("path", (F.col("start_ns") / 1_000_000).cast("long").alias("start_ms"), (F.col("end_ns") / 1_000_000).cast("long").alias("end_ms"), "text")
+
+
+@plans.query("subtitle_vtt_round_trip", _LINES)
+def subtitle_vtt_round_trip(spark, d):
+    return _rewritten(spark, d, subtitles.format_vtt, subtitles.parse_blocks)
+
+
+@plans.query("subtitle_ass_round_trip", _LINES)
+def subtitle_ass_round_trip(spark, d):
+    return _rewritten(spark, d, subtitles.format_ass, subtitles.parse_ass)

@@ -24,6 +24,24 @@ def read_cube(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     return out, n
 
 
+def read_3dl(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """A .3dl file as (r_idx, g_idx, b_idx, r, g, b) and its size: a line of mesh points, then whole numbers, blue
+    fastest, up to the largest value of 10, 12 or 16 bits that they need."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "l"))
+    number = r"^\s*([0-9]+)\s+([0-9]+)\s+([0-9]+)\s*$"
+    rows = lines.filter(F.col("l").rlike(number)).select("n", *(F.regexp_extract("l", number, i + 1).cast("int").alias(c) for i, c in enumerate("rgb")))
+    count, top = rows.agg(F.count("*"), F.max(F.greatest("r", "g", "b"))).first()
+    n = round(count ** (1 / 3))
+    if n < 2 or n**3 != count:
+        raise ValueError(f"{count} entries are no cube")
+    scale = next((float((1 << bits) - 1) for bits in (10, 12, 16) if top < 1 << bits), None)
+    if scale is None:
+        raise ValueError(f"{top} is more than 16 bits hold")
+    placed = rows.withColumn("i", F.row_number().over(Window.orderBy("n")) - 1)  # at most 65**3 lines
+    index = {"r_idx": F.floor(F.col("i") / (n * n)), "g_idx": F.floor(F.col("i") / n) % n, "b_idx": F.col("i") % n}
+    return placed.select(*(v.cast("int").alias(k) for k, v in index.items()), *((F.col(c) / scale).alias(c) for c in "rgb")), n
+
+
 def read_projects(spark: SparkSession, path: str) -> DataFrame:
     """Versioned project files: a bare timeline is version 0; older versions are migrated step by step."""
     return parse_projects(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value")))

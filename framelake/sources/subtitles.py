@@ -56,3 +56,26 @@ def format_srt(events: DataFrame, by: str = "path") -> DataFrame:
     block = F.concat_ws("\n", F.col("index").cast("string"), F.concat(ns_to_clock(F.col("start_ns")), F.lit(" --> "), ns_to_clock(F.col("end_ns"))), F.col("text"))
     rows = events.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("start_ns", "index", block.alias("b")))).alias("e"))
     return rows.select(by, F.concat(F.array_join(F.transform("e", lambda x: x["b"]), "\n\n"), F.lit("\n")).alias("content"))
+
+
+def _written(events: DataFrame, by: str, head: str, block, between: str) -> DataFrame:
+    rows = events.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("start_ns", "index", block.alias("b")))).alias("e"))
+    return rows.select(by, F.concat(F.lit(head), F.array_join(F.transform("e", lambda x: x["b"]), between), F.lit("\n")).alias("content"))
+
+
+def format_vtt(events: DataFrame, by: str = "path") -> DataFrame:
+    """(by, content): the events of each file as WebVTT text, in time order."""
+    clock = lambda c: F.replace(ns_to_clock(F.col(c)), F.lit(","), F.lit("."))
+    return _written(events, by, "WEBVTT\n\n", F.concat(clock("start_ns"), F.lit(" --> "), clock("end_ns"), F.lit("\n"), F.col("text")), "\n\n")
+
+
+def format_ass(events: DataFrame, by: str = "path") -> DataFrame:
+    """(by, content): the events of each file as the event section of an ASS file; times in hundredths."""
+
+    def clock(c: str):
+        s = F.floor(F.col(c) / 10_000_000)
+        return F.format_string("%d:%02d:%02d.%02d", F.floor(s / 360_000), F.floor(s / 6000) % 60, F.floor(s / 100) % 60, s % 100)
+
+    head = "[Script Info]\nScriptType: v4.00+\n\n[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text\n"
+    line = F.concat(F.lit("Dialogue: 0,"), clock("start_ns"), F.lit(","), clock("end_ns"), F.lit(",Default,,0,0,0,,"), F.replace("text", F.lit("\n"), F.lit("\\N")))
+    return _written(events, by, head, line, "\n")

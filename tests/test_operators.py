@@ -10,7 +10,7 @@ from framelake.functions import audio as fa
 from framelake.functions import blend, colour, easing, text
 from framelake.functions import time as tm
 from framelake.operators import analysis, audio, keyframes, pixels, segments, select, timeline
-from framelake.sources import documents, subtitles
+from framelake.sources import catalogue, documents, subtitles
 from framelake.streaming import live
 
 
@@ -163,6 +163,7 @@ def test_recursive_audio():
         audio.biquad("none", 1000, 1.0, 0.0, 48_000)
 
 
+TRACKS = "timeline_id long, track_id long, kind string, mute boolean, solo boolean, enabled boolean"
 CLIPS = "track_id long, clip_id long, pos long, group_id long, source_kind string, in_ns long, out_ns long, offset_ns long, speed double, fade_in_ns long, fade_out_ns long, transition_ns long, source_ns long"
 
 
@@ -228,7 +229,7 @@ def test_overlaps_and_empty_tables(spark, clips):
     late = clips.withColumn("offset_ns", F.when(F.col("clip_id") == 2, 50).otherwise(F.col("offset_ns")).cast("long"))
     assert [tuple(r) for r in timeline.overlaps(late).collect()] == [(1, 1, 2)]
     none = clips.limit(0)
-    assert timeline.overlaps(none).count() == 0 and timeline.composition_end(none, ["track_id"], 30).count() == 0
+    assert timeline.overlaps(none).count() == 0 and timeline.composition_end(none, spark.createDataFrame([], TRACKS), 30).count() == 0
 
 
 def test_motion_trail_starts_anew(spark):
@@ -242,3 +243,112 @@ def test_fan_out_delivers_to_all(spark):
     with pytest.raises(RuntimeError, match="target 0: down"):
         deliver(spark.range(3), 0)
     assert seen == [3]
+
+
+def test_empty_clips_overlap_only_from_inside(spark, clips):
+    rows = [(1, 1, 0, None, "file", 0, 100, 0, 1.0, 0, 0, 0, 0), (1, 2, 1, None, "file", 5, 5, 40, 1.0, 0, 0, 0, 0), (1, 3, 2, None, "file", 5, 5, 100, 1.0, 0, 0, 0, 0), (1, 4, 3, None, "file", 0, 10, 40, 1.0, 0, 0, 0, 0)]
+    got = {tuple(r)[1:] for r in timeline.overlaps(spark.createDataFrame(rows, CLIPS), width=7).collect()}
+    assert got == {(1, 2), (1, 4)}  # 3 starts where 1 ends; 2 and 4 start together, and an empty clip holds nothing
+
+
+def test_composition_end(spark):
+    ns = 10**9
+    clip = lambda track, i, end, at: (track, i, i, None, "file", 0, end, at, 1.0, 0, 0, 0, 0)
+    tracks = spark.createDataFrame([(1, 1, "video", False, False, True), (1, 2, "audio", False, False, True), (1, 3, "video", True, False, True), (2, 4, "video", False, False, True), (3, 5, "video", False, False, True), (4, 6, "video", False, True, True), (4, 7, "video", False, False, True)], TRACKS)
+    clips = spark.createDataFrame([clip(1, 1, ns, 1_125_000_000), clip(2, 2, 99 * ns, 0), clip(3, 3, 50 * ns, 0), clip(4, 4, None, 0), clip(6, 5, ns // 2, 0), clip(7, 6, 9 * ns, 0)], CLIPS)
+    got = {r.timeline_id: r.frames for r in timeline.composition_end(clips, tracks, 30).collect()}
+    assert got == {1: 64, 2: None, 3: None, 4: 15}  # 1.125 s rounds to 34 frames
+    with pytest.raises(ValueError):
+        timeline.composition_end(clips, tracks, 0)
+
+
+def test_validate_fades_speed_and_rate(spark):
+    clip = lambda i, fade_in, fade_out, speed: (i, i, 0, None, "file", 0, 100, 0, speed, fade_in, fade_out, 0, 0)
+    clips = spark.createDataFrame([clip(1, 60, 60, 1.0), clip(2, 60, 0, 2.0), clip(3, 0, 101, 1.0), clip(4, 0, 0, float("inf")), clip(5, 50, 50, 2.0)], CLIPS)
+    lines = spark.createDataFrame([(1, 30, 1), (2, 0, 1), (3, 30, 0), (4, -1, -1)], "timeline_id long, fps_num int, fps_den int")
+    got = sorted((r.rule, r.clip_id) for r in timeline.validate(clips, spark.createDataFrame([], TRACKS), lines).collect())
+    assert got == [("degenerate_frame_rate", None)] * 2 + [("degenerate_speed", 4), ("fade_longer_than_clip", 2), ("fade_longer_than_clip", 3)]
+
+
+def test_curve_is_steffens():
+    table = np.array(colour.curve_table([(0, 0), (0.5, 0.8), (1, 1)]))
+    assert table[0] == 0 and table[-1] == 1 and (np.diff(table) >= 0).all()
+    assert np.allclose(colour.curve_table([(0, 0), (1, 1)]), np.linspace(0, 1, 256))
+    assert np.allclose(colour.curve_table([(0.3, 0.4)]), np.linspace(0, 1, 256))
+    peak = np.array(colour.curve_table([(0, 0.2), (0.5, 0.9), (1, 0.2)]))
+    assert peak.max() <= 0.9 and abs(peak[127] - 0.9) < 1e-3  # no overshoot
+    assert colour.curve_table([(0.5, 0.1), (0.5, 0.9), (1, 0.1)])[200] == pytest.approx(0.1)
+
+
+def test_wheels_and_grain(spark):
+    grey = tuple(F.lit(v) for v in (0.2, 0.5, 0.9))
+    assert one(spark, *colour.wheels(grey, 0.0, 1.0, 1.0)) == pytest.approx((0.2, 0.5, 0.9))
+    dark = tuple(F.lit(0.0) for _ in range(3))
+    assert one(spark, *colour.wheels(dark, (0.1, 0.2, 0.3), 1.0, 2.0)) == pytest.approx((0.1, 0.2, 0.3))
+
+    def wang(x):
+        x = (x ^ 61 ^ (x >> 16)) * 9 & 0xFFFFFFFF
+        x = (x ^ (x >> 4)) * 0x27D4EB2D & 0xFFFFFFFF
+        return x ^ (x >> 15)
+
+    for seed in (0, 1, 123_456_789, 0xFFFFFFFF):
+        assert one(spark, colour.wang_hash(lit(seed))) == (wang(seed),)
+
+
+def test_waveform_starts_at_zero(spark):
+    s = spark.createDataFrame([(1, 500, 0.5), (1, 700, -1.0), (2, -150, 0.25), (2, 10, 0.5)], "s long, t long, v double")
+    got = {(r.s, r.bucket): r.peak for r in analysis.waveform(s, ["s"], "t", "v", 100).collect()}
+    assert got == {**{(1, b): 0.0 for b in range(8)}, (1, 5): 0.5, (1, 7): 1.0, (2, -2): 0.25, (2, -1): 0.0, (2, 0): 0.5}
+    with pytest.raises(ValueError):
+        analysis.waveform(s, ["s"], "t", "v", 0)
+
+
+def test_ratio_of_fibonacci_neighbours(spark):
+    a, b = 1, 1
+    while b < 1 << 61:
+        a, b = b, a + b
+    r = one(spark, tm.reduce_ratio(lit(2 * a), lit(2 * b)))[0]
+    assert (r.num, r.den) == (a, b)
+
+
+def test_subtitle_file_without_events(spark, tmp_path):
+    (tmp_path / "a.srt").write_text("1\n00:00:01,000 --> 00:00:02,000\nHi\n")
+    (tmp_path / "b.srt").write_text("nothing\n")
+    with pytest.raises(Exception, match="no subtitle events"):
+        subtitles.read(spark, str(tmp_path)).collect()
+    assert subtitles.read(spark, str(tmp_path), strict=False).count() == 1
+
+
+def test_locked_tracks_refuse_edits(spark, clips):
+    tracks = spark.createDataFrame([(1, False), (2, True)], "track_id long, lock boolean")
+    refused = lambda edit, **of: timeline.guarded(clips, tracks, edit, lambda c: c, **of)
+    for edit, of in (("move", {"clip_ids": [1]}), ("trim", {"clip_ids": [3]}), ("remove", {"clip_ids": [3]}), ("move_to_track", {"clip_ids": [2], "track_ids": [2]}), ("group", {"clip_ids": [2, 3]}), ("add", {"track_ids": [2]})):
+        with pytest.raises(timeline.EditError, match="track 2 is locked"):
+            refused(edit, **of)
+    for edit, of in (("remove", {"clip_ids": [1]}), ("move", {"clip_ids": [2]}), ("set_lock", {}), ("add", {"track_ids": [1]})):
+        assert refused(edit, **of) is clips
+    with pytest.raises(ValueError):
+        refused("dance", clip_ids=[1])
+
+
+def test_loudness_of_a_full_scale_tone(spark):
+    rate = 48_000
+    s = spark.range(rate * 3).select(F.lit(1).alias("s"), F.col("id").alias("n"), F.sin(F.col("id") * (2 * math.pi * 997 / rate)).alias("value"))
+    weighted = audio.k_weighted(s, ["s"], rate, block=rate)
+    whole = audio.k_weighted(s, ["s"], rate, block=1 << 20)
+    both = weighted.withColumnRenamed("value", "a").join(whole, ["s", "n"]).agg(F.count("*"), F.max(F.abs(F.col("a") - F.col("value")))).first()
+    assert both[0] == rate * 3 and both[1] < 1e-9  # cut into blocks or not
+    assert audio.loudness(weighted, ["s"], "n", rate // 10).first().lufs == pytest.approx(-3.01, abs=0.02)
+    silent = s.withColumn("value", F.lit(0.0))
+    assert audio.loudness(silent, ["s"], "n", rate // 10).first().lufs is None
+
+
+def test_thumbnails_and_chapters(spark):
+    rows = spark.createDataFrame([(1, t) for t in (0, 40, 41, 100)] + [(2, 0)], "s long, t long")
+    got = {(r.s, r.i): (r.at, r.t) for r in segments.thumbnails(rows.withColumn("k", F.col("t")), ["s"], "t", 3, ["k"]).collect()}
+    assert got == {(1, 0): (0, 0), (1, 1): (33, 40), (1, 2): (66, 100), (2, 0): (0, 0), (2, 1): (0, 0), (2, 2): (0, 0)}
+    with pytest.raises(ValueError):
+        segments.thumbnails(rows, ["s"], "t", 0, ["t"])
+    marks = spark.createDataFrame([("a", 0, "x"), ("a", 50, "y"), ("a", 100, "late")], "path string, start_ns long, title string")
+    ends = spark.createDataFrame([("a", 80)], "path string, duration_ns long")
+    assert [tuple(r)[1:] for r in catalogue.chapters(marks, ends).orderBy("number").collect()] == [(1, 0, 50, "x"), (2, 50, 80, "y")]
