@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import audio, extras, levels, pictures, steps, timelines
+from . import audio, delivery, extras, levels, pictures, steps, timelines
 
 FLAGSHIP = "waveform_gap_filled"
-MODULES = (levels, audio, pictures, timelines, extras, steps)
+MODULES = (levels, audio, pictures, timelines, extras, steps, delivery)
 
 
 def queries() -> dict:

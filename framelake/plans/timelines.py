@@ -429,18 +429,29 @@ def stream_catalogue(spark, d):
 _LATE_US = 1_000_000  # how late the live operators let rows be
 
 
-def _streamed(spark, d, build, mode="append"):
-    """Runs a streaming query over the events, read as a stream, to its end; gives the table it wrote."""
+def _streamed(spark, d, build, mode="append", columns=(), sink="append", key=None):
+    """Runs a streaming query over the events, read as a stream of a file a batch, to its end; gives the table it wrote.
+    Sinks: what is appended; the latest row of each ``key``; the whole of the last batch; two targets."""
     schema = T.StructType([f for f in media.table(spark, d, "events").schema.fields])
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     folder = f"{shared}/stream-{uuid.uuid4().hex}"
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "*events*.parquet").parquet(d)
-    events = events.select(F.col("user_id").alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
-    q = build(events).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "*events*.parquet").option("maxFilesPerTrigger", 1).parquet(d)
+    events = events.select(F.col("user_id").alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", *columns)
+    out = build(events).writeStream.option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True)
+    if sink == "append":
+        out = out.format("parquet").option("path", f"{folder}/out")
+    else:
+        names = ["a", "b"] if sink == "fan_out" else ["a"]
+        out = out.foreachBatch(live.fan_out(live.to_folders(f"{folder}/out", names)))
+    out.start().awaitTermination()
+    got = spark.read.parquet(f"{folder}/out")
+    if sink == "whole":
+        return got.filter(F.col("batch") == got.agg(F.max("batch")).first()[0])
+    if sink == "latest":
+        return got.groupBy(key).agg(F.max_by(F.struct(*(c for c in got.columns if c != key)), "batch").alias("s")).select(key, "s.*")
+    return got
 
 
 @plans.query("stream_segments", f"WITH {SAMPLES}, w AS (SELECT stream_id, t_us // {DAY_US} AS day, count(*) AS n FROM samples GROUP BY ALL) SELECT stream_id, day, n FROM w WHERE (day + 1) * {DAY_US} <= (SELECT max(t_us) - 1000000 FROM samples)")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def drop_late(frames: DataFrame, t: str, tolerance: str = "33 milliseconds") -> DataFrame:
@@ -50,3 +52,31 @@ def fan_out(targets: list[Callable[[DataFrame, int], None]]) -> Callable[[DataFr
             raise RuntimeError("; ".join(failed))
 
     return deliver
+
+
+def gap_counts(rows: DataFrame, key: str, t: str, gap_us: int) -> DataFrame:
+    """(key, n, gaps) of each key that a batch touches: how many rows it has had so far, and how often its time has gone
+    on by more than the gap. The state is two counts and the last time, whatever the stream's length."""
+
+    def count(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, gaps, last = state.get if state.exists else (0, 0, None)
+        times = pd.concat([f[t] for f in frames]).sort_values()
+        for now in times.astype("datetime64[us]").astype("int64"):
+            gaps += last is not None and now - last > gap_us
+            last = now if last is None else max(last, now)
+        n += len(times)
+        state.update((n, gaps, last))
+        yield pd.DataFrame({key: [k[0]], "n": [n], "gaps": [gaps]})
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.groupBy(key).applyInPandasWithState(count, f"{key} {kind}, n long, gaps long", "n long, gaps long, last long", "update", GroupStateTimeout.NoTimeout)
+
+
+def to_folders(folder: str, names: list[str]) -> list[Callable[[DataFrame, int], None]]:
+    """Targets for ``fan_out``: each batch as Parquet under target=name and its number, so that a batch delivered twice
+    replaces itself."""
+
+    def target(name: str) -> Callable[[DataFrame, int], None]:
+        return lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/target={name}/batch={number}")
+
+    return [target(n) for n in names]
