@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import Codec, _shared, codec
+from .shared import spread
 
 RULES = ("first", "last", "split")
 _OUT = [("section", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("n_tokens", pa.float64()), ("n_crossing", pa.int64())]
@@ -86,7 +87,7 @@ def attribute_tokens(
         raise ValueError(f"rule must be one of {RULES}, not {rule!r}")
     taken = {name for name, _ in _OUT}
     names = [c for c in (docs.columns if keep is None else keep) if c not in taken and c != sections and (keep is not None or c != text)]
-    docs = docs.select(*dict.fromkeys([*names, text, *([sections] if sections else [])]))
+    docs = spread(docs.select(*dict.fromkeys([*names, text, *([sections] if sections else [])])))
     shared, by = _shared(docs, ranks_path, pattern), re.compile(separator)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

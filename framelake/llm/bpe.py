@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import small_batches
+from .shared import small_batches, spread
 
 #: Pieces, pairs of tokens and subtrees that a worker remembers, of each so many; longer ones are encoded each time.
 CACHED, CACHED_CHARS, CACHED_BYTES = 200_000, 64, 8
@@ -208,7 +208,7 @@ def _shared(df: DataFrame, ranks_path: str, pattern: str):
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", ids: bool = True, digests: bool = False, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ids array<int>, and/or n_tokens, ids_sha256 and decoded_sha256."""
-    docs = docs.drop(*(("ids",) if ids else ()), *(RESULTS if digests else ()))
+    docs = spread(docs.drop(*(("ids",) if ids else ()), *(RESULTS if digests else ())))
     fields = [f for f in docs.schema.fields if keep is None or f.name in keep]
     names = [f.name for f in fields]
     shared = _shared(docs, ranks_path, pattern)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bitmap, settle, small_batches
+from .shared import bitmap, settle, small_batches, spread
 from .words import byte_table, covered, grams, groups, sliding_least, whole, winnow
 
 WINDOW, K = 10, 5
@@ -265,7 +265,7 @@ def decontaminate(
 ) -> DataFrame:
     """``docs`` with n_words, hit_spans (array of struct(start, end), in words), hit_items (sorted ids as strings)
     and contaminated. keep_text=False leaves the text out of the result, so that it never comes back from Python."""
-    docs = small_batches(docs.drop(*RESULTS))
+    docs = spread(small_batches(docs.drop(*RESULTS)))
     kept = [f for f in docs.schema.fields if keep_text or f.name != text]
     items = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     n, size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, join_back, pick, settle, small_batches
+from .shared import components, join_back, pick, settle, small_batches, spread
 from .words import byte_table, grams, groups, large_list, mix, whole
 
 SHINGLE, PERCENT = 5, 85
@@ -305,7 +305,7 @@ def _large_links(sets: DataFrame, block_shingles: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    docs = small_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    docs = spread(small_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))))
     seen = settle(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"))
     real = seen.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # Equal sets have equal bands.

@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import settle, spread
 
 KINDS = ["email", "ip", "card", "phone"]
 _LOCAL = r"A-Za-z0-9._%+\-"
@@ -229,7 +229,7 @@ def _plain(found: Column) -> Column:
 def find_personal_data(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None, **options) -> DataFrame:
     """``docs`` (or its columns ``keep``) with base_spans and added_spans, arrays of struct(kind, start, end), where
     kind is a place in KINDS; sorted by kind and start. Columns of those names are replaced."""
-    docs = docs.drop("base", "loose", "base_spans", "added_spans", "_row")
+    docs = spread(docs.drop("base", "loose", "base_spans", "added_spans", "_row"))
     names = docs.columns if keep is None else keep
     scanned = settle(scan(docs, text).select(*names, "base", "loose").withColumn("_row", F.monotonically_increasing_id()))
     trusted = discover(scanned, docs, text, **options)
@@ -257,7 +257,7 @@ def summary(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets, such as [email]; overlapping spans are replaced as
     one, under the first's kind."""
-    docs = docs.drop("base", "loose", "_row")
+    docs = spread(docs.drop("base", "loose", "_row"))
     rest = [c for c in docs.columns if c != text]
     scanned = settle(scan(docs, text).withColumn("_row", F.monotonically_increasing_id()))
     trusted = discover(scanned, docs, text, **options)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import small_batches
+from .shared import small_batches, spread
 from .words import byte_table, groups
 
 MAX_POSITIVES, MAX_UNLABELLED = 3000, 6000
@@ -199,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_positives: int = MAX_POSITI
 
 def score_quality(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with score: how likely label 1 is."""
-    docs = small_batches(docs.drop("score"))
+    docs = spread(small_batches(docs.drop("score")))
     fields = [f for f in docs.schema.fields if keep is None or f.name in keep]
     names = [f.name for f in fields]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # WIDTH weights

@@ -39,6 +39,18 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Bytes a core under which a table of files is dealt anew: Spark doesn't split files below its open cost of 4 MB.
+SMALL_SHARE = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt to all cores if it is a table of a few megabytes, which may lie in a single row group. Larger ones are
+    split by the scan and never shuffled for it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL_SHARE else df
+
+
 def settle(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder, which survives lost executors, and cut from its lineage."""
     checkpoint_dir(df.sparkSession)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import checkpoint_dir, drop, small_batches
+from .shared import checkpoint_dir, drop, small_batches, spread
 from .words import byte_table, covered, grams, groups, sliding_least, whole, winnow
 
 WINDOW, K = 13, 6
@@ -321,7 +321,7 @@ def _power_of_two(n: float, least: int, most: int) -> int:
 
 def _named(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """``docs`` with _id, and (id, text) of them."""
-    docs = small_batches(docs).drop("n_words", "n_removed", "kept_text", "_id", "_one", "_many", "_place")
+    docs = spread(small_batches(docs).drop("n_words", "n_removed", "kept_text", "_id", "_one", "_many", "_place"))
     null_id = F.lit(NULL_FROM) + F.pmod(F.xxhash64(text), F.lit(NULL_SPAN))
     named = docs.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), null_id))
     return named, named.select(F.col("_id").alias("id"), F.col(text).alias("text"))
