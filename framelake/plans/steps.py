@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..folders import shared_folder
 from ..functions import blend as fb
 from ..functions import colour as fc
 from ..functions import time as tm
@@ -283,10 +284,7 @@ def edit_lock_targets(spark, d):
 
 
 def _folder(spark) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{shared}/files-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 @plans.query("read_cube", "SELECT CAST(i % 3 AS INTEGER) AS r_idx, CAST(i // 3 % 3 AS INTEGER) AS g_idx, CAST(i // 9 AS INTEGER) AS b_idx, i % 3 / 2.0::DOUBLE AS r, i // 9 / 2.0::DOUBLE AS g, i // 3 % 3 / 4.0::DOUBLE AS b FROM range(27) t(i)")

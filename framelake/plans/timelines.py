@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..folders import shared_folder
 from ..functions import text as ft
 from ..functions import time as tm
 from ..operators import segments, select
@@ -433,10 +434,7 @@ def _streamed(spark, d, build, mode="append", columns=(), sink="append", key=Non
     """Runs a streaming query over the events, read as a stream of a file a batch, to its end; gives the table it wrote.
     Sinks: what is appended; the latest row of each ``key``; the whole of the last batch; two targets."""
     schema = T.StructType([f for f in media.table(spark, d, "events").schema.fields])
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    folder = f"{shared}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*events*.parquet").option("maxFilesPerTrigger", 1).parquet(d)
     events = events.select(F.col("user_id").alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", *columns)
     out = build(events).writeStream.option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True)
