@@ -11,19 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..folders import shared_folder
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names. Raises where none is set: a folder of the driver's own is out of the
-    executors' reach."""
+    """The shared folder, as the session's checkpoint folder too."""
     sc = spark.sparkContext
     now = sc._jsc.sc().getCheckpointDir()
-    if now.isDefined():
-        return now.get()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    sc.setCheckpointDir(named)
-    return sc._jsc.sc().getCheckpointDir().get()
+    if not now.isDefined():
+        sc.setCheckpointDir(shared_folder(spark))
+        now = sc._jsc.sc().getCheckpointDir()
+    return now.get()
 
 
 #: Rows that go to a Python kernel at once, instead of Spark's default of 10,000: texts are long.
