@@ -271,3 +271,11 @@ def loudness(weighted: DataFrame, by: list[str], t: str, hop: int, value: str =
     gates = blocks.groupBy(*by).agg((F.avg("_p") / 10).alias("_gate"))
     loud = blocks.join(gates, by).filter("_p > _gate").groupBy(*by).agg((-0.691 + 10 * F.log10(F.avg("_p"))).alias("lufs"))
     return weighted.select(*by).distinct().join(loud, by, "left")
+
+
+def cycled(samples: DataFrame, lengths: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+    """Samples (by, n from 0 without gaps) repeated, or cut off, to fill each group's ``length`` (by, length)."""
+    own = samples.groupBy(*by).agg((F.max("n") + 1).alias("_own"))
+    rounds = own.join(lengths, by).select(*by, "_own", "length", F.ceil(F.col("length") / F.col("_own")).alias("_rounds")).filter("_rounds > 0")
+    each = samples.join(rounds, by).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rounds") - 1)))
+    return each.withColumn("n", F.col("n") + F.col("_k") * F.col("_own")).filter("n < length").select(*by, "n", value)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import audio, select
 from ..operators import delivery as dv
 from ..streaming import live
 from . import media
@@ -167,3 +168,31 @@ def stream_fan_out(spark, d):
     """Every batch delivered to two targets."""
     out = _streamed(spark, d, lambda e: e.select("event_id"), sink="fan_out")
     return out.groupBy("target").agg(F.count("*").alias("n"), F.sum("event_id").alias("total"))
+
+
+# ---- looped sound, and a range at a lower rate -----------------------------------------------------------------------
+
+
+@plans.query(
+    "add_audio_cycled",
+    f"""WITH {SAMPLES}, s AS (SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY t_us, event_id) - 1 AS n, value FROM samples), l AS (SELECT stream_id, max(n) + 1 AS own, 40 + stream_id % 7 AS length FROM s GROUP BY stream_id)
+SELECT l.stream_id, t.i AS n, s.value FROM l, range(47) t(i) JOIN s ON s.stream_id = l.stream_id AND s.n = t.i % l.own WHERE t.i < l.length""",
+)
+def add_audio_cycled(spark, d):
+    """Each stream's samples repeated, or cut off, to about forty."""
+    s = media.samples(spark, d).select("stream_id", F.expr("row_number() OVER (PARTITION BY stream_id ORDER BY t_us, event_id) - 1").cast("long").alias("n"), "value")
+    lengths = s.select("stream_id").distinct().withColumn("length", 40 + F.col("stream_id") % 7)
+    return audio.cycled(s, lengths, ["stream_id"])
+
+
+@plans.query(
+    "gif_frames",
+    f"""WITH {SAMPLES}, r AS (SELECT stream_id, event_id, t_us - min(t_us) OVER (PARTITION BY stream_id) AS t FROM samples), c AS (SELECT * FROM r WHERE t >= {2 * DAY_US} AND t < {9 * DAY_US}),
+g AS (SELECT stream_id, unnest(range(0, max(t) - {2 * DAY_US} + 1, {DAY_US // 2})) AS grid FROM c GROUP BY stream_id)
+SELECT g.stream_id, g.grid, c.event_id FROM g ASOF JOIN (SELECT stream_id, event_id, t - {2 * DAY_US} AS t FROM c) c ON g.stream_id = c.stream_id AND g.grid <= c.t""",
+)
+def gif_frames(spark, d):
+    """Days two to nine of each stream at two frames a day."""
+    cut = select.trim(select.rebase(media.samples(spark, d), "t_us", ["stream_id"]), "t_us", 2 * DAY_US, 9 * DAY_US)
+    moved = select.shift(cut, "t_us", -2 * DAY_US).withColumnRenamed("t_us", "t")
+    return select.sample_grid(moved, ["stream_id"], "t", DAY_US // 2, ["event_id"]).select("stream_id", "grid", "event_id")
