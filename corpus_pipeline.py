@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm import bpe, decontaminate, near_dup, pii, quality
-from framelake.llm.shared import checkpoint_dir, drop
+from framelake.llm.shared import checkpoint_dir, drop, settle
 
 KEEP_FROM = 0.3
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -39,10 +39,12 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """One document of each group of near copies stays: the one with the least doc_id, and of its repeated rows one.
     Documents without words, and rows with a null doc_id, all stay."""
     found = near_dup.near_duplicates(docs.select("doc_id", "text"))
-    kept = found.filter("kept").groupBy(F.col("doc_id").alias("kept_id")).agg(F.max("n_shingles").alias("_n"), F.count("*").alias("_rows"))
+    kept = settle(found.filter("kept").groupBy(F.col("doc_id").alias("kept_id")).agg(F.max("n_shingles").alias("_n"), F.count("*").alias("_rows")))
     once = kept.filter("_rows = 1 OR kept_id IS NULL OR _n = 0").select("kept_id")
     twice = kept.filter("_rows > 1 AND kept_id IS NOT NULL AND _n > 0").select("kept_id")
     single = docs.join(once, docs.doc_id.eqNullSafe(once.kept_id), "left_semi")
+    if not twice.take(1):
+        return single
     repeated = docs.join(twice, docs.doc_id == twice.kept_id, "left_semi").dropDuplicates(["doc_id", "text"])
     return single.unionByName(repeated)
 
