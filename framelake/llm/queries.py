@@ -10,7 +10,10 @@ from . import ann as op6
 from . import attribution as op3
 from . import bpe as op5
 from . import decontaminate as op7
+from . import lloyd as op11
 from . import near_dup as op10
+from . import packing as op12
+from . import phrases as op13
 from . import pii as op4
 from . import quality as op9
 from . import revisits as op2
@@ -100,6 +103,21 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_sharded_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters every embedding by three rounds of exact Lloyd."""
+    return op11.lloyd(table(spark, sf_dir, "embeddings"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs the ids of every document into sequences of 4096."""
+    return op12.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ids=False)
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 2000 collocations of every language."""
+    return op13.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and "_" in k}
 

@@ -92,4 +92,56 @@ SELECT record_id, page_id, canonical, ts, status, CASE WHEN status = 'resolved'
 FROM s
 """
 
-ORACLE = {"op2_revisits": OP2, "op8_substring_dedup": OP8, "op1_url_filter": OP1, "op7_decontaminate": OP7, "op10_near_dup": OP10}
+_WHOLE = "list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS HUGEINT))"
+_APART = "list_sum(list_transform(range(1, 65), lambda j: (a.v[j] - b.v[j]) * (a.v[j] - b.v[j])))"
+
+
+def _lloyd(rounds: int) -> str:
+    parts = [
+        f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, {_WHOLE} AS v FROM embeddings
+             WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM kept WHERE vec_id IS NOT NULL QUALIFY c < 16)",
+    ]
+    for r in range(rounds + 1):
+        parts.append(
+            f"""a{r} AS MATERIALIZED (SELECT a.i, a.vec_id, a.v, b.c, {_APART} AS d FROM kept a, c{r} b
+                 QUALIFY row_number() OVER (PARTITION BY a.i ORDER BY d, b.c) = 1)"""
+        )
+        if r < rounds:
+            parts.append(
+                f"""c{r + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.v, o.v) AS v FROM c{r} o LEFT JOIN (
+                     SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v
+                     FROM (SELECT c, j, sum(v[j]) AS s, CAST(count(*) AS HUGEINT) AS n FROM a{r}, range(1, 65) t(j) GROUP BY c, j) GROUP BY c) m USING (c))"""
+            )
+    return f"""
+WITH {", ".join(parts)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(z.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} z USING (c)
+"""
+
+
+OP13 = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), {AZ}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+f AS MATERIALIZED (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p), range(1, 6) t(m) WHERE i + m - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100),
+total AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+cuts AS (
+  SELECT c.lang, c.phrase, c.k, c.f AS a, l.f AS l, r.f AS r, n, CAST(1000 AS HUGEINT) * c.f * n // (CAST(l.f AS HUGEINT) * r.f) AS score
+  FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM f WHERE m > 1) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k + 1:], ' ')
+  JOIN total ON total.lang = c.lang),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (SELECT * FROM best WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.lang = best.lang AND g.m > len(string_split(best.phrase, ' '))
+                                               AND g.f = best.a AND contains(' ' || g.phrase || ' ', ' ' || best.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+ORACLE = {
+    "op1_url_filter": OP1, "op2_revisits": OP2, "op7_decontaminate": OP7, "op8_substring_dedup": OP8, "op10_near_dup": OP10,
+    "op11_sharded_lloyd": _lloyd(3), "op13_phrases": OP13,
+}
