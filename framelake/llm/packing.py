@@ -13,7 +13,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,48 +27,93 @@ from .shared import settle, small_batches, spread
 #: Tasks whose left-overs meet in one group.
 FAN = 16
 #: Words that a worker remembers, and the longest of them in characters.
-MOST_WORDS, LONGEST_WORD = 300_000, 64
-#: Characters of a text that are taken apart at once.
-SLICE = 1 << 20
+MOST_WORDS, LONGEST_WORD = 800_000, 64
+#: Characters of texts that are taken apart at once, and words that are encoded at once.
+SLICE, AT_ONCE = 1 << 20, 4096
 
 _SPACE = re.compile(r"[ \t-\r]+")
+#: How the tokenizer parts lower-case ASCII words, and how it marks a piece's last token: fixed values of its file.
+_PIECE, END = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"), "</w>"
 RESULT = ["start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
 class Encoder:
     """Ids of whole texts by a tokenizer file whose normalising and splitting never reach across ASCII white space (words
-    have their own ends), so that words can be encoded one by one and remembered."""
+    have their own ends), so that words can be encoded one by one and remembered, as bytes."""
 
     def __init__(self, path: str, special_as_text: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = special_as_text
-        self.known: dict[str, list[int]] = {}
+        self.tokenizer.encode_special_tokens = self.special_as_text = special_as_text
+        # Tokens that end a piece of a word; where words lie in a text of many is told by counting them.
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(END)]] = True
+        self.known: dict[str, bytes] = {}
 
-    def words(self, text: str) -> list[list[int]]:
-        """The ids of each word."""
-        words = _SPACE.split(text)
-        new = list({w for w in words if w not in self.known})
+    def _fresh(self, words: list[str]) -> dict[str, bytes]:
+        """Many words are encoded as one text; those whose pieces can't be told beforehand, each alone."""
+        pieces = [1 if w.isalpha() else len(_PIECE.findall(w.lower())) if w.isascii() else 0 for w in words]
+        if not self.special_as_text:
+            pieces = [0 if "<|" in w else k for w, k in zip(words, pieces)]
+        many = [(w, k) for w, k in zip(words, pieces) if k]
+        out, alone = {}, [w for w, k in zip(words, pieces) if not k]
+        if many:
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([w for w, _ in many])], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(self.ends[ids]) + 1
+            last = np.cumsum([k for _, k in many])
+            if len(at) == last[-1]:  # every piece has one end at least, so equal sums are equal throughout
+                data, ends = ids.tobytes(), (4 * at[last - 1]).tolist()
+                out = {w: data[i:j] for (w, _), i, j in zip(many, [0, *ends], ends)}
+            else:
+                alone = words
+        alone = [w for w in alone if w not in out]
+        if alone:
+            out.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)))
+        return out
+
+    def _ids(self, lists: list[list[str]]) -> list[bytes]:
+        """The ids of each list of words."""
+        words = set().union(*lists)
+        new = list(words.difference(self.known))
         if len(self.known) + len(new) > MOST_WORDS:
-            self.known, new = {}, list(set(words))
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        found = dict(zip(new, ids))
-        self.known.update((w, x) for w, x in found.items() if len(w) <= LONGEST_WORD)
-        known = self.known
-        return [known[w] if w in known else found[w] for w in words]
-
-    def ids(self, text: str) -> np.ndarray:
-        at, parts = 0, []
-        while at < len(text) or not parts:
-            upto = at + SLICE
-            if upto < len(text):
-                space = _SPACE.search(text, upto)
-                upto = space.start() if space else len(text)
-            parts.append(np.fromiter(chain.from_iterable(self.words(text[at:upto])), np.uint32))
+            self.known, new = {}, list(words)
+        for i in range(0, len(new), AT_ONCE):
+            self.known.update(self._fresh(new[i : i + AT_ONCE]))
+        out = [b"".join(map(self.known.__getitem__, x)) for x in lists]
+        if max(map(len, new), default=0) > LONGEST_WORD:
+            self.known = {w: x for w, x in self.known.items() if len(w) <= LONGEST_WORD}
+        return out
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        lists, size = [], 0
+        for text in texts:
+            if len(text) > SLICE:
+                yield from (np.frombuffer(x, "<u4") for x in self._ids(lists))
+                yield np.frombuffer(b"".join(self._ids([x])[0] for x in self._slices(text)), "<u4")
+                lists, size = [], 0
+                continue
+            lists.append(_SPACE.split(text))
+            size += len(text)
+            if size > SLICE:
+                yield from (np.frombuffer(x, "<u4") for x in self._ids(lists))
+                lists, size = [], 0
+        yield from (np.frombuffer(x, "<u4") for x in self._ids(lists))
+
+    def _slices(self, text: str) -> Iterator[list[str]]:
+        at = 0
+        while at < len(text):
+            space = _SPACE.search(text, at + SLICE)
+            upto = space.start() if space else len(text)
+            yield _SPACE.split(text[at:upto])
             at = upto
-        return np.concatenate(parts)
+
+
+@lru_cache(2)
+def encoder(path: str, special_as_text: bool) -> Encoder:
+    """One for each worker, with what it remembers."""
+    return Encoder(path, special_as_text)
 
 
 class Packer:
@@ -172,14 +217,14 @@ def pack(
         return pa.schema([*(kept.field(c) for c in keep), *(pa.field(*x) for x in rest)])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, schema = Encoder(path, special_as_text), None
         packer = Packer(size, windows, TaskContext.get().partitionId() << 32)
         tail = np.array([] if end is None else [end], np.uint32)
         for batch in batches:
             schema = schema_of(batch.schema)
             kept = zip(*(batch.column(c).to_pylist() for c in keep)) if keep else (() for _ in range(batch.num_rows))
-            for row, x in zip(kept, batch.column(len(keep))):
-                got = np.concatenate((encoder.ids(x.as_py() or ""), tail))
+            texts = [x or "" for x in batch.column(len(keep)).to_pylist()]
+            for row, x in zip(kept, encoder(path, special_as_text).encode(texts)):
+                got = np.concatenate((x, tail))
                 packer.place(row, 0, got, len(got))
             if packer.done:
                 yield _rows(packer.done, schema, ids)

@@ -139,7 +139,10 @@ def test_words_are_encoded_alone_as_in_the_text(spark, monkeypatch):
     rng = random.Random(3)
     for _ in range(3000):
         text = "".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0x300, 0x370), rng.randrange(0xA0, 0x3100), rng.randrange(0xAC00, 0xD7A4), 32, 10, 9])) for _ in range(rng.randrange(120)))
-        assert encoder.ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert [x.tolist() for x in encoder.encode([text, "", text])] == [plain.encode(x, add_special_tokens=False).ids for x in (text, "", text)]
+    monkeypatch.setattr(packing, "MOST_WORDS", 3)  # and words are forgotten
+    texts = ODD[1:] * 2
+    assert [x.tolist() for x in encoder.encode(texts)] == [plain.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 def test_packing_query(spark):
