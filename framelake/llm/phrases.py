@@ -3,9 +3,9 @@
 A suffix starts at every word and ends with its piece or after ``longest`` words. The tree of all suffixes is never
 built whole:
 
-1. Words are counted by language; pairs of words that are frequent are counted by their hashes. Bitmaps of both (of
-   bounded size, they only prune) tell where a suffix can be cut: a phrase is frequent only if its words and pairs are.
-2. Equal cut suffixes become one leaf with a total.
+1. Words, then pairs of frequent words, are counted by hashes of them with their language. Bitmaps of both (of bounded
+   size, they only prune) tell where a suffix can be cut: a phrase is frequent only if its words and pairs are.
+2. Equal cut suffixes, of one word or more, become one leaf with a total.
 3. Prefixes of leaves are counted word by word: one that holds more leaves than a group may is extended by its next
    word. Prefixes are dealt into groups of at most about ``budget`` leaves, and each group builds its subtrees alone:
    leaves are sorted, a node is a run of leaves with equal first words, its count is the sum of their totals.
@@ -65,26 +65,24 @@ def _words_at(w: Words, at: np.ndarray) -> list[str]:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(lang, word, key, n); the row of a language without a word has how many words there are in all."""
+    """(lang, key, n): how often each word's key occurs, without a language; and how many words a language has, without a
+    key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w, key, _, langs in _passages(batch):
-                keys, at, n = np.unique(key, return_index=True, return_counts=True)
-                lang = [langs[w.first + d] for d in w.doc[at]]
+                keys, n = np.unique(key, return_counts=True)
                 sums = pd.Series(np.bincount(w.doc, minlength=w.n_docs)).groupby(np.array(langs[w.first : w.first + w.n_docs], object)).sum()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([*lang, *sums.index], pa.string()),
-                        pa.array([*_words_at(w, at), *[None] * len(sums)], pa.string()),
-                        pa.array(np.concatenate((keys.view(np.int64), np.zeros(len(sums), np.int64)))),
+                        pa.array([*[None] * len(keys), *sums.index], pa.string()),
+                        pa.array([*keys.view(np.int64).tolist(), *[None] * len(sums)], pa.int64()),
                         pa.array(np.concatenate((n, sums.to_numpy())).astype(np.int64)),
                     ],
-                    names=["lang", "word", "key", "n"],
+                    names=["lang", "key", "n"],
                 )
 
-    rows = docs.mapInArrow(run, "lang string, word string, key long, n long")
-    return rows.groupBy("lang", "word").agg(F.min("key").alias("key"), F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
 def _bits(count: int) -> int:
@@ -106,7 +104,7 @@ def count_pairs(docs: DataFrame, words: bytes) -> DataFrame:
 
 
 def leaves(docs: DataFrame, words: bytes, pairs: bytes, longest: int) -> DataFrame:
-    """(lang, path, n): suffixes of two words at least, cut where a word or pair isn't marked, with their totals."""
+    """(lang, path, n): suffixes that begin with a marked word, cut where a word or pair isn't marked, with their totals."""
     sc = docs.sparkSession.sparkContext
     word_marks, pair_marks = sc.broadcast(words), sc.broadcast(pairs)  # at most MOST_BITS each
 
@@ -117,7 +115,7 @@ def leaves(docs: DataFrame, words: bytes, pairs: bytes, longest: int) -> DataFra
                 known = marked(word_marks.value, key)
                 goes_on = same.copy()
                 goes_on[:-1] &= known[:-1] & known[1:] & marked(pair_marks.value, grams(key, 2))
-                at = np.flatnonzero(goes_on)
+                at = np.flatnonzero(known)
                 if not len(at):
                     continue
                 depth, path, still = np.ones(len(at), np.int64), key[at] * by[0], np.ones(len(at), bool)
@@ -154,7 +152,7 @@ def grouped(tree: DataFrame, longest: int, budget: int) -> DataFrame:
 
 
 def subtrees(pdf: pd.DataFrame, least: int, longest: int) -> pd.DataFrame:
-    """(lang, phrase, n) of the nodes of a group's subtrees, from two words on; complete nodes under ``least`` are left out."""
+    """(lang, phrase, n) of the nodes of a group's subtrees; complete nodes under ``least`` are left out."""
     words = [[lang, *path.split(" ")] for lang, path in zip(pdf["lang"], pdf["path"])]
     order = sorted(range(len(words)), key=words.__getitem__)
     words = [words[i] for i in order]
@@ -168,7 +166,7 @@ def subtrees(pdf: pd.DataFrame, least: int, longest: int) -> pd.DataFrame:
             j += 1
         shared[i] = j - 1
     out = []
-    for depth in range(2, longest + 1):
+    for depth in range(1, longest + 1):
         starts = np.flatnonzero(shared < depth)  # a run of leaves that agree to this depth begins
         sums = np.add.reduceat(total, starts)
         for i in np.flatnonzero((size[starts] >= depth) & ((sums >= least) | (prefix[starts] > depth))):
@@ -180,15 +178,14 @@ def subtrees(pdf: pd.DataFrame, least: int, longest: int) -> pd.DataFrame:
 def frequencies(docs: DataFrame, least: int = 100, longest: int = 5, budget: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, n) of all words and phrases of up to ``longest`` words that occur ``least`` times, and (lang, n) of all
     words, of documents given as (text, lang). Both are settled."""
-    counted = settle(count_words(docs).filter((F.col("n") >= least) | F.col("word").isNull()))
-    totals = counted.filter("word IS NULL").select("lang", "n")
-    words = counted.filter("word IS NOT NULL")
-    known = bitmap(words.select("key"), _bits(words.count()))
+    counted = settle(count_words(docs).filter((F.col("n") >= least) | F.col("key").isNull()))
+    words = counted.filter("key IS NOT NULL").select("key")
+    known = bitmap(words, _bits(words.count()))
     pairs = settle(count_pairs(docs, known).filter(F.col("n") >= least).select("pair"))
     tree = settle(leaves(docs, known, bitmap(pairs, _bits(pairs.count())), longest))
     nodes = grouped(tree, longest, budget).groupBy("group").applyInPandas(lambda pdf: subtrees(pdf, least, longest), "lang string, phrase string, n long")
     nodes = nodes.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return settle(words.select("lang", F.col("word").alias("phrase"), "n").unionByName(nodes)), totals
+    return settle(nodes), counted.filter("key IS NULL").select("lang", "n")
 
 
 def collocations(
