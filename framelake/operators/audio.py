@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.audio import from_db, pan_gains
+from ..functions.audio import from_db, pan_gains, to_db
+from . import scan
+from .scan import envelope  # noqa: F401
 
 
 def mix(tracks: list[DataFrame], value: str = "value", keys: tuple = ("stream_id", "n", "ch")) -> DataFrame:
@@ -78,16 +80,6 @@ def resample(samples: DataFrame, by: list[str], factor: float, value: str = "val
     return out.select(*by, F.col("m").alias("n"), (F.col("a") + (F.coalesce("b", "a") - F.col("a")) * u).alias(value))
 
 
-def _by_stream(samples: DataFrame, by: list[str], kernel: Callable[[np.ndarray], np.ndarray], value: str) -> DataFrame:
-    """Recursive kernels run on one stream in order."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        return pdf.assign(**{value: kernel(pdf[value].to_numpy(float))})
-
-    return samples.groupBy(*by).applyInPandas(run, samples.schema)
-
-
 def biquad(kind: str, frequency: float, q: float, gain_db: float, rate: int) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients (b, a) of a second-order section: peak, low_shelf or high_shelf, low_pass or high_pass."""
     a = 10 ** (gain_db / 40)
@@ -109,104 +101,126 @@ def biquad(kind: str, frequency: float, q: float, gain_db: float, rate: int) ->
     return np.array(b) / d[0], np.array(d) / d[0]
 
 
-def equalise(samples: DataFrame, by: list[str], bands: list[tuple[str, float, float, float]], rate: int, value: str = "value") -> DataFrame:
-    """A chain of second-order sections (kind, frequency, q, gain in dB)."""
-    sections = [biquad(k, f, q, g, rate) for k, f, q, g in bands]
-
-    def kernel(x: np.ndarray) -> np.ndarray:
-        for b, a in sections:
-            y, z1, z2 = np.empty_like(x), 0.0, 0.0
-            for i, v in enumerate(x):
-                out = b[0] * v + z1
-                z1, z2 = b[1] * v - a[1] * out + z2, b[2] * v - a[2] * out
-                y[i] = out
-            x = y
-        return x
+def equalise(samples: DataFrame, by: list[str], bands: list[tuple[str, float, float, float]], rate: int, value: str = "value", **blocks) -> DataFrame:
+    """A chain of second-order sections (kind, frequency, q, gain in dB), exact over streams of any length; ``blocks``: size
+    and fan of the scan."""
+    return scan.sections(samples, by, [biquad(k, f, q, g, rate) for k, f, q, g in bands], value=value, **blocks)
 
-    return _by_stream(samples, by, kernel, value)
 
+def _gain_above(level: np.ndarray, threshold_db: float, ratio: float, makeup_db: float = 0.0) -> np.ndarray:
+    over = np.maximum(20 * np.log10(np.maximum(level, 1e-12)) - threshold_db, 0)
+    return 10 ** ((makeup_db - over * (1 - 1 / ratio)) / 20)
 
-def envelope(x: np.ndarray, attack: float, release: float, rate: int) -> np.ndarray:
-    """A level follower with attack and release times in ms."""
-    up, down = (np.exp(-1000 / (max(ms, 1e-3) * rate)) for ms in (attack, release))
-    out, level = np.empty_like(x), 0.0
-    for i, v in enumerate(np.abs(x)):
-        k = up if v > level else down
-        level = k * level + (1 - k) * v
-        out[i] = level
-    return out
 
+def compress(samples: DataFrame, by: list[str], threshold_db: float, ratio: float, attack: float, release: float, rate: int, makeup_db: float = 0.0, value: str = "value", **blocks) -> DataFrame:
+    """Turned down by the level followed with attack and release in ms; samples are numbered without gaps."""
+    return scan.followed(samples, by, attack, release, rate, lambda level: _gain_above(level, threshold_db, ratio, makeup_db), value=value, **blocks)
 
-def compress(samples: DataFrame, by: list[str], threshold_db: float, ratio: float, attack: float, release: float, rate: int, makeup_db: float = 0.0, value: str = "value") -> DataFrame:
-    def kernel(x: np.ndarray) -> np.ndarray:
-        over = np.maximum(20 * np.log10(np.maximum(envelope(x, attack, release, rate), 1e-12)) - threshold_db, 0)
-        return x * 10 ** ((makeup_db - over * (1 - 1 / ratio)) / 20)
 
-    return _by_stream(samples, by, kernel, value)
-
-
-def gate(samples: DataFrame, by: list[str], threshold_db: float, attack: float, release: float, rate: int, value: str = "value") -> DataFrame:
-    def kernel(x: np.ndarray) -> np.ndarray:
-        open_ = (envelope(x, attack, release, rate) >= 10 ** (threshold_db / 20)).astype(float)
-        return x * open_
-
-    return _by_stream(samples, by, kernel, value)
+def gate(samples: DataFrame, by: list[str], threshold_db: float, attack: float, release: float, rate: int, value: str = "value", **blocks) -> DataFrame:
+    """Silent where the level followed is under the threshold; samples are numbered without gaps."""
+    return scan.followed(samples, by, attack, release, rate, lambda level: (level >= 10 ** (threshold_db / 20)).astype(float), value=value, **blocks)
 
 
 def stretch(x: np.ndarray, factor: float, grain: int = 1024, hop: int = 512) -> np.ndarray:
     """Overlap-add with raised-cosine grains: length divided by factor, pitch kept."""
-    n = int(np.ceil(len(x) / factor))
-    out, weight = np.zeros(n + grain), np.zeros(n + grain)
+    return stretch_part(x, 0, len(x), factor, 0, int(np.ceil(len(x) / factor)), grain, hop)
+
+
+def stretch_part(x: np.ndarray, begin: int, length: int, factor: float, lo: int, hi: int, grain: int = 1024, hop: int = 512) -> np.ndarray:
+    """Outputs [lo, hi) of a stream of ``length`` samples, of which ``x`` has those from ``begin`` on that they need."""
+    first = max(0, (lo - grain) // hop + 1) * hop
+    out, weight = np.zeros(max(0, hi - first) + grain), np.zeros(max(0, hi - first) + grain)
     window = 0.5 - 0.5 * np.cos(2 * np.pi * (np.arange(grain) + 0.5) / grain)
-    for at in range(0, n, hop):
+    for at in range(first, hi, hop):
         source = int(at * factor)
-        piece = x[source : source + grain]
-        out[at : at + len(piece)] += piece * window[: len(piece)]
-        weight[at : at + len(piece)] += window[: len(piece)]
-    return out[:n] / np.maximum(weight[:n], 1e-9)
+        piece = x[max(0, source - begin) : max(0, min(length, source + grain) - begin)]
+        out[at - first : at - first + len(piece)] += piece * window[: len(piece)]
+        weight[at - first : at - first + len(piece)] += window[: len(piece)]
+    return (out / np.maximum(weight, 1e-9))[lo - first : hi - first]
+
 
+def _by_output(samples: DataFrame, by: list[str], factor: float, lengths: Column, kernel: Callable, reach: float, value: str, size: int) -> DataFrame:
+    """(by, n, value): outputs block by block, ``kernel(x, begin, length, lo, hi)``, each from the samples about ``factor``
+    times its places and ``reach`` more on both sides. Samples are numbered from 0 without gaps."""
+    slim = samples.select(*by, F.col("n").cast("long").alias("n"), F.col(value).cast("double").alias(value))
+    ends = slim.groupBy(*by).agg((F.max("n") + 1).alias("_len")).withColumn("_out", lengths)
+    block = lambda at: F.greatest(F.lit(0), F.least(F.floor(at / size), F.floor((F.col("_out") - 1) / size))).cast("long")
+    dealt = slim.join(ends, by).filter("_out > 0")
+    dealt = dealt.withColumn("_block", F.explode(F.sequence(block((F.col("n") - reach) / factor), block((F.col("n") + reach) / factor))))
 
-def time_stretch(samples: DataFrame, by: list[str], factor: float, value: str = "value") -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n")
-        y = stretch(pdf[value].to_numpy(float), factor)
-        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in by}, "n": np.arange(len(y)), value: y})[[*by, "n", value]]
+        length, total, lo = (int(pdf[c].iloc[0]) for c in ("_len", "_out", "_block"))
+        lo *= size
+        hi = min(total, lo + size)
+        y = kernel(pdf[value].to_numpy(float), int(pdf["n"].iloc[0]), length, lo, hi)
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * (hi - lo) for c in by}, "n": np.arange(lo, hi), value: y})
+
+    return dealt.groupBy(*by, "_block").applyInPandas(run, slim.schema)
 
-    slim = samples.select(*by, F.col("n").cast("long").alias("n"), F.col(value).cast("double").alias(value))
-    return slim.groupBy(*by).applyInPandas(run, slim.schema)
 
+def time_stretch(samples: DataFrame, by: list[str], factor: float, value: str = "value", size: int = 1 << 16) -> DataFrame:
+    """Length divided by factor, pitch kept, in blocks of ``size`` outputs."""
+    kernel = lambda x, begin, length, lo, hi: stretch_part(x, begin, length, factor, lo, hi)
+    return _by_output(samples, by, factor, F.ceil(F.col("_len") / factor), kernel, 1024 * (1 + factor) + 2, value, size)
 
-def pitch_shift(samples: DataFrame, by: list[str], semitones: float, value: str = "value") -> DataFrame:
+
+def pitch_shift(samples: DataFrame, by: list[str], semitones: float, value: str = "value", size: int = 1 << 16) -> DataFrame:
     """Pitch moved, length kept: stretched by the inverse rate, then resampled. At most 24 semitones either way."""
     rate = 2 ** (max(-24.0, min(24.0, semitones)) / 12)
 
-    def kernel(x: np.ndarray) -> np.ndarray:
-        long = stretch(x, 1 / rate)
-        return np.interp(np.arange(len(x)) * rate, np.arange(len(long)), long)
-
-    return _by_stream(samples, by, kernel, value)
+    def kernel(x: np.ndarray, begin: int, length: int, lo: int, hi: int) -> np.ndarray:
+        total = int(np.ceil(length * rate))
+        first, last = min(total - 1, int(lo * rate)), min(total, int((hi - 1) * rate) + 2)
+        return np.interp(np.arange(lo, hi) * rate, np.arange(first, last), stretch_part(x, begin, length, 1 / rate, first, last))
 
+    return _by_output(samples, by, 1.0, F.col("_len"), kernel, 1024 * (1 + 1 / rate) + 2 * (1 + 1 / rate) + 2, value, size)
 
-def denoise(samples: DataFrame, by: list[str], reduction_db: float, profile: int | None = None, size: int = 256, value: str = "value") -> DataFrame:
-    """Spectral gating: bins under the noise level (of the first ``profile`` samples, else the median) are turned down."""
 
-    def kernel(x: np.ndarray) -> np.ndarray:
-        pad = -len(x) % size
-        spectrum = np.fft.rfft(np.pad(x, (0, pad)).reshape(-1, size), axis=1)
-        level = np.abs(spectrum)
-        noise = level[: max(1, profile // size)].mean(axis=0) if profile else np.median(level, axis=0)
-        spectrum[level <= noise] *= 10 ** (-reduction_db / 20)
-        return np.fft.irfft(spectrum, size, axis=1).ravel()[: len(x)]
+def denoise(samples: DataFrame, by: list[str], reduction_db: float, profile: int | None = None, size: int = 256, value: str = "value", frames: int = 256) -> DataFrame:
+    """Spectral gating by frames of ``size`` samples (numbered from 0 without gaps): bins at or under the noise level (the
+    mean of the first ``profile`` samples' frames, else the median of all) are turned down. Levels are measured and gates
+    applied by blocks of ``frames``; a stream meets as one row of noise levels."""
+    blocks = samples.withColumn("_block", F.floor(F.col("n") / (size * frames)).cast("long"))
+    keyed = blocks.groupBy(*by, "_block")
+    keys, schema, names = ", ".join(f"`{c}` {samples.schema[c].dataType.simpleString()}" for c in by), samples.schema, samples.columns
+    heads = max(1, profile // size) if profile else None
 
-    return _by_stream(samples, by, kernel, value)
+    def spectrum(pdf: pd.DataFrame) -> np.ndarray:
+        x = pdf[value].to_numpy(float)
+        return np.fft.rfft(np.pad(x, (0, -len(x) % size)).reshape(-1, size), axis=1)
 
+    def levels(pdf: pd.DataFrame) -> pd.DataFrame:
+        level = np.abs(spectrum(pdf.sort_values("n")))
+        first = int(pdf["_block"].iloc[0]) * frames
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(level) for c in by}, "_frame": np.arange(first, first + len(level)), "_level": list(level)})
 
-def duck(main: DataFrame, side: DataFrame, by: list[str], threshold: float, ratio: float, value: str = "value") -> DataFrame:
-    """Main is turned down where the side chain is above the (linear) threshold: static curve, joined by sample."""
-    level = side.select(*by, "n", F.abs(value).alias("_level"))
-    over = F.col("_level") > threshold
-    gain = F.when(over, F.pow(F.col("_level") / threshold, F.lit(1 / ratio - 1))).otherwise(1.0)
-    return main.join(level, [*by, "n"], "left").withColumn(value, F.col(value) * F.coalesce(gain, F.lit(1.0))).drop("_level")
+    def gated(pdf: pd.DataFrame, noise: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n")
+        bins = spectrum(pdf)
+        bins[np.abs(bins) <= np.asarray(noise["_noise"].iloc[0])] *= 10 ** (-reduction_db / 20)
+        return pdf.assign(**{value: np.fft.irfft(bins, size, axis=1).ravel()[: len(pdf)]})[names]
+
+    each = keyed.applyInPandas(levels, f"{keys}, _frame long, _level array<double>")
+    each = (each.filter(F.col("_frame") < heads) if heads else each).select(*by, F.posexplode("_level").alias("_bin", "_l"))
+    noise = each.groupBy(*by, "_bin").agg((F.avg("_l") if heads else F.median("_l")).alias("_l"))
+    noise = noise.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_bin", "_l"))), lambda x: x["_l"]).alias("_noise"))
+    ends = blocks.select(*by, "_block").distinct().join(noise, by)
+    return keyed.cogroup(ends.groupBy(*by, "_block")).applyInPandas(gated, schema)
+
+
+def duck(
+    main: DataFrame, side: DataFrame, by: list[str], threshold: float, ratio: float, value: str = "value", attack: float | None = None, release: float | None = None, rate: int = 48_000, **blocks
+) -> DataFrame:
+    """Main is turned down where the side chain is above the (linear) threshold, joined by sample. With attack and release
+    (ms) the side chain's level is followed, silence where it has no sample; without, each sample counts by itself."""
+    both = main.join(side.select(*by, "n", F.abs(value).alias("_level")), [*by, "n"], "left").withColumn("_level", F.coalesce("_level", F.lit(0.0)))
+    if attack is not None or release is not None:
+        follow = lambda level: _gain_above(level, 20 * float(np.log10(threshold)), ratio)
+        return scan.followed(both, by, attack or 0.0, release or 0.0, rate, follow, value=value, of="_level", **blocks).drop("_level")
+    gain = F.when(F.col("_level") > threshold, F.pow(F.col("_level") / threshold, F.lit(1 / ratio - 1))).otherwise(1.0)
+    return both.withColumn(value, F.col(value) * gain).drop("_level")
 
 
 #: Poles and gains of the loudness weighting (ITU-R BS.1770): fixed values.
@@ -273,6 +287,75 @@ def loudness(weighted: DataFrame, by: list[str], t: str, hop: int, value: str =
     return weighted.select(*by).distinct().join(loud, by, "left")
 
 
+def loudness_range(weighted: DataFrame, by: list[str], t: str, hop: int, value: str = "value", span: int = 30, grain: float = 0.01) -> DataFrame:
+    """(by, lra): how far the 95th percentile of short-term loudness (``span`` hops, each a hop after the last) is above the
+    10th, of what is over -70 and not more than 20 under the mean of that. Percentiles are read from a histogram in steps of
+    ``grain``, which merges over tasks; ranks are nearest. Null without such a part."""
+    hops = weighted.groupBy(*by, F.floor(F.col(t) / hop).alias("_hop")).agg(F.sum(F.col(value) * F.col(value)).alias("_e"), F.countDistinct(t).alias("_n"))
+    w = Window.partitionBy(*by).orderBy("_hop").rangeBetween(0, span - 1)
+    parts = hops.withColumns({"_e": F.sum("_e").over(w), "_n": F.sum("_n").over(w), "_last": F.max("_hop").over(Window.partitionBy(*by))}).filter(F.col("_hop") + span - 1 <= F.col("_last"))
+    parts = parts.withColumn("_p", F.col("_e") / F.col("_n")).filter(F.col("_p") > 10 ** ((-70 + 0.691) / 10))
+    gates = parts.groupBy(*by).agg((F.avg("_p") / 100).alias("_gate"))
+    bins = parts.join(gates, by).filter("_p >= _gate").groupBy(*by, F.floor((-0.691 + 10 * F.log10("_p")) / grain).alias("_bin")).agg(F.count("*").alias("_c"))
+    # At most 20 / grain bins a stream from here on.
+    run = Window.partitionBy(*by).orderBy("_bin")
+    ranked = bins.withColumns({"_below": F.sum("_c").over(run), "_all": F.sum("_c").over(Window.partitionBy(*by))})
+    at = lambda q: F.min(F.when(F.col("_below") * 100 >= F.col("_all") * q, F.col("_bin")))
+    found = ranked.groupBy(*by).agg(((at(95) - at(10)) * grain).alias("lra"))
+    return weighted.select(*by).distinct().join(found, by, "left")
+
+
+#: Phases, and taps of each, by which peaks between samples are found.
+PHASES, TAPS = 4, 12
+
+
+def between(phases: int = PHASES, taps: int = TAPS) -> np.ndarray:
+    """(phases, taps): a windowed sinc that gives the signal at each phase between samples n - taps / 2 and one later."""
+    k = np.arange(taps)[None, :] - (taps / 2 - 1) - np.arange(phases)[:, None] / phases
+    return np.sinc(k) * (0.5 + 0.5 * np.cos(np.pi * k / (taps / 2)))
+
+
+def true_peak(samples: DataFrame, by: list[str], n: str = "n", value: str = "value", block: int = 1 << 17) -> DataFrame:
+    """(by, peak): the largest absolute value of the signal at PHASES times its rate. Blocks begin with the last samples of
+    the block before, so no stream gathers in a task; samples are numbered without gaps."""
+    filters = between()
+    own, late = F.floor(F.col(n) / block), F.col(n) % block >= block - TAPS
+    dealt = samples.withColumn("_block", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
+    keys = ", ".join(f"`{c}` {samples.schema[c].dataType.simpleString()}" for c in by)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(n)
+        at, start = pdf[n].to_numpy(), int(pdf["_block"].iloc[0]) * block
+        # Only where the stream itself begins or ends may taps find nothing.
+        x = np.pad(pdf[value].to_numpy(float), ((TAPS - 1) * int(at[0] > start - TAPS), (TAPS - 1) * int(at[-1] < start + block - 1)))
+        peak = max((np.abs(np.convolve(x, f[::-1], "valid")).max() for f in filters if len(x) >= TAPS), default=0.0)
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "peak": [peak]})
+
+    inner = dealt.groupBy(*by, "_block").applyInPandas(run, f"{keys}, peak double")
+    return inner.groupBy(*by).agg(F.max("peak").alias("peak"))
+
+
+def r128(samples: DataFrame, by: list[str], rate: int, n: str = "n", value: str = "value", hop: int | None = None) -> DataFrame:
+    """(by, lufs, lra, true_peak_db) of each stream: integrated loudness, loudness range and true peak; null, null and
+    minus infinity for silence. ``hop``: samples of a tenth of a second, or as given."""
+    hop = hop or max(1, rate // 10)
+    weighted = k_weighted(samples.select(*by, n, value), by, rate, n=n, value=value)
+    peaks = true_peak(samples.select(*by, n, value), by, n, value).select(*by, to_db(F.col("peak")).alias("true_peak_db"))
+    return loudness(weighted, by, n, hop, value).join(loudness_range(weighted, by, n, hop, value), by).join(peaks, by)
+
+
+def normalise_loudness(samples: DataFrame, by: list[str], rate: int, target_lufs: float, ceiling_db: float, lra: float = 7.0, n: str = "n", value: str = "value", hop: int | None = None) -> DataFrame:
+    """Each stream by one gain to ``target_lufs``, less if its true peak would pass ``ceiling_db``; silence stays. The range
+    ``lra`` is looked at, not made: lra_outcome is within, exceeds, or not measured."""
+    if target_lufs >= 0 or ceiling_db > 0 or not 1 <= lra <= 50:
+        raise ValueError("the target is under 0 LUFS, the ceiling at most 0 dB, the range within 1 and 50")
+    wanted = F.lit(float(target_lufs)) - F.col("lufs")
+    gain = F.when(F.col("true_peak_db") > float("-inf"), F.least(wanted, ceiling_db - F.col("true_peak_db"))).otherwise(wanted)
+    outcome = F.when(F.col("lra").isNull(), "not measured").when(F.col("lra") <= lra, "within").otherwise("exceeds")
+    gains = r128(samples, by, rate, n, value, hop).select(*by, F.coalesce(from_db(gain), F.lit(1.0)).alias("_gain"), outcome.alias("lra_outcome"))
+    return samples.join(gains, by).withColumn(value, F.col(value) * F.col("_gain")).drop("_gain")
+
+
 def cycled(samples: DataFrame, lengths: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     """Samples (by, n from 0 without gaps) repeated, or cut off, to fill each group's ``length`` (by, length)."""
     own = samples.groupBy(*by).agg((F.max("n") + 1).alias("_own"))

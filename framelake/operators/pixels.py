@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import blend as B
 from ..functions.colour import hsl_to_rgb, luma601, luma709, rgb_to_hsl
+from . import scan
 
 KEY = ["frame_no", "x", "y"]
 RGB = ["r", "g", "b"]
@@ -247,18 +246,9 @@ def motion_mix(pixels: DataFrame, shutter: Column | float) -> DataFrame:
 
 
 def motion_trail(frames: DataFrame, weight: float) -> DataFrame:
-    """Each output mixed with the output before: recursive, so frames (stream_id, frame_no, plane array<double>) of a
-    stream are folded in order; a change of size starts anew."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, last, out = pdf.sort_values("frame_no"), None, []
-        for plane in pdf["plane"]:
-            now = np.asarray(plane, float)
-            last = now if last is None or last.shape != now.shape else now + (last - now) * weight
-            out.append(last.tolist())
-        return pdf.assign(plane=out)
-
-    return frames.groupBy("stream_id").applyInPandas(run, frames.schema)
+    """Each output mixed with the output before, of frames (stream_id, frame_no from 0, plane array<double>): recursive, so
+    blocks of frames are joined by a scan; a change of size starts anew."""
+    return scan.trail(frames, weight)
 
 
 def overlay_image(pixels: DataFrame, image: DataFrame, x0: int, y0: int, opacity: float = 1.0) -> DataFrame:

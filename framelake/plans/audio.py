@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import audio as fa
-from ..operators import audio
+from ..operators import audio, scan
 from . import media
 from .media import NUMBERED
 from .register import Plans
@@ -132,15 +132,132 @@ def duck_sidechain(spark, d):
     return _out(audio.duck(main, main.withColumn("stream_id", F.col("stream_id") - 1), ["stream_id"], 0.25, 4.0))
 
 
-def _rows_only(name, f):
-    plans.query(name)(lambda spark, d: _out(f(media.numbered(spark, d).select("stream_id", "n", "value"))))
+BY, RATE = ["stream_id"], 48_000
 
 
-BY = ["stream_id"]
-_rows_only("eq_chain", lambda s: audio.equalise(s, BY, [("low_shelf", 200.0, 0.7, 3.0), ("peak", 1000.0, 1.0, -4.0), ("high_shelf", 8000.0, 0.7, 2.0)], 48_000))
-_rows_only("compressor_envelope", lambda s: audio.compress(s, BY, -18.0, 4.0, 5.0, 50.0, 48_000))
-_rows_only("noise_gate_envelope", lambda s: audio.gate(s, BY, -12.0, 5.0, 50.0, 48_000))
-_rows_only("pitch_resample", lambda s: audio.pitch_shift(s, BY, 3.0))
-_rows_only("time_stretch", lambda s: audio.time_stretch(s, BY, 1.25))
-_rows_only("noise_reduce_fft", lambda s: audio.denoise(s, BY, 12.0))
-_rows_only("noise_reduce_profile", lambda s: audio.denoise(s, BY, 12.0, profile=64))
+def _sample_query(name, sql, f):
+    plans.query(name, sql)(lambda spark, d: _out(f(media.numbered(spark, d).select("stream_id", "n", "value"))))
+
+
+def _sections_sql(chain, then: str) -> str:
+    """Each sample of ``numbered`` after a chain of second-order sections, by recursion: (stream_id, n, value)."""
+    step, last = [], "x.value"
+    for i, (b, a) in enumerate(chain):
+        b, a = ([f"CAST({v!r} AS DOUBLE)" for v in map(float, c)] for c in (b, a))
+        step += [f"{b[0]} * {last} + r.p{i} AS o{i}", f"{b[1]} * {last} - {a[1]} * o{i} + r.q{i} AS p{i}", f"{b[2]} * {last} - {a[2]} * o{i} AS q{i}"]
+        last = f"o{i}"
+    zeros = ", ".join(f"CAST(0 AS DOUBLE) AS {c}{i}" for i in range(len(chain)) for c in "opq")
+    return f"""WITH RECURSIVE {NUMBERED}, x AS MATERIALIZED (SELECT stream_id, n, value FROM numbered),
+r AS (SELECT DISTINCT stream_id, CAST(-1 AS BIGINT) AS n, {zeros} FROM x
+  UNION ALL SELECT x.stream_id, x.n, {", ".join(step)} FROM r JOIN x ON x.stream_id = r.stream_id AND x.n = r.n + 1),
+filtered AS (SELECT stream_id, n, {last} AS value FROM r WHERE n >= 0) {then}"""
+
+
+def _followed_sql(level: str, attack: float, release: float, gain: str) -> str:
+    """Each sample times a gain of the ``level`` followed in (stream_id, n, value, side)."""
+    up, down = scan.pole(attack, RATE), scan.pole(release, RATE)
+    return f"""WITH RECURSIVE {NUMBERED}, x AS MATERIALIZED ({level}),
+r AS (SELECT DISTINCT stream_id, CAST(-1 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS value, CAST(0 AS DOUBLE) AS level FROM x
+  UNION ALL SELECT x.stream_id, x.n, x.value, CASE WHEN x.side > r.level THEN {up!r} * r.level + (1 - {up!r}) * x.side ELSE {down!r} * r.level + (1 - {down!r}) * x.side END
+  FROM r JOIN x ON x.stream_id = r.stream_id AND x.n = r.n + 1)
+SELECT stream_id, n, round(value * {gain}, 6) AS value FROM r WHERE n >= 0"""
+
+
+_OWN_LEVEL = "SELECT stream_id, n, value, abs(value) AS side FROM numbered"
+_BANDS = [("low_shelf", 200.0, 0.7, 3.0), ("peak", 1000.0, 1.0, -4.0), ("high_shelf", 8000.0, 0.7, 2.0)]
+_sample_query("eq_chain", _sections_sql([audio.biquad(k, f, q, g, RATE) for k, f, q, g in _BANDS], OUT + " FROM filtered"), lambda s: audio.equalise(s, BY, _BANDS, RATE))
+_sample_query(
+    "compressor_envelope",
+    _followed_sql(_OWN_LEVEL, 5.0, 50.0, "pow(10.0, -greatest(20 * log10(greatest(level, 1e-12)) + 18, 0) * (1 - 1 / 4.0::DOUBLE) / 20)"),
+    lambda s: audio.compress(s, BY, -18.0, 4.0, 5.0, 50.0, RATE),
+)
+_sample_query("noise_gate_envelope", _followed_sql(_OWN_LEVEL, 0.05, 0.5, "CASE WHEN level >= pow(10.0, -12.0 / 20) THEN 1 ELSE 0 END"), lambda s: audio.gate(s, BY, -12.0, 0.05, 0.5, RATE))
+
+
+@plans.query(
+    "duck_attack_release",
+    _followed_sql(
+        "SELECT m.stream_id, m.n, m.value, coalesce(abs(s.value), 0) AS side FROM numbered m LEFT JOIN (SELECT stream_id - 1 AS stream_id, n, value FROM numbered) s ON s.stream_id = m.stream_id AND s.n = m.n",
+        0.1, 1.0, "pow(10.0, -greatest(20 * log10(greatest(level, 1e-12)) - 20 * log10(0.25::DOUBLE), 0) * (1 - 1 / 4.0::DOUBLE) / 20)",
+    ),
+)
+def duck_attack_release(spark, d):
+    main = media.numbered(spark, d).select("stream_id", "n", "value")
+    return _out(audio.duck(main, main.withColumn("stream_id", F.col("stream_id") - 1), BY, 0.25, 4.0, attack=0.1, release=1.0, rate=RATE))
+
+
+def _stretch_sql(factor: float, then: str) -> str:
+    """Overlap-add of grains of 1024 every 512 outputs: (stream_id, n, value) as ``long``."""
+    weight = "(0.5 - 0.5 * cos(2 * pi() * (m - at + 0.5) / 1024))"
+    return f"""WITH {NUMBERED}, x AS (SELECT stream_id, n, value FROM numbered), len AS (SELECT stream_id, max(n) + 1 AS len FROM x GROUP BY stream_id),
+o AS (SELECT stream_id, len, unnest(range(CAST(ceil(len / {factor!r}::DOUBLE) AS BIGINT))) AS m FROM len),
+g AS (SELECT stream_id, len, m, m // 512 * 512 - 512 * j AS at FROM o, range(2) t(j) WHERE m // 512 * 512 - 512 * j >= 0),
+long AS (SELECT g.stream_id, m AS n, sum(x.value * {weight}) / greatest(sum({weight}), 1e-9) AS value
+  FROM g LEFT JOIN x ON x.stream_id = g.stream_id AND x.n = CAST(floor(at * {factor!r}::DOUBLE) AS BIGINT) + m - at WHERE CAST(floor(at * {factor!r}::DOUBLE) AS BIGINT) + m - at < len GROUP BY g.stream_id, m) {then}"""
+
+
+_UP3 = 2 ** (3.0 / 12)
+_sample_query(
+    "pitch_resample",
+    _stretch_sql(
+        1 / _UP3,
+        f""", top AS (SELECT stream_id, max(n) AS top FROM long GROUP BY stream_id),
+p AS (SELECT x.stream_id, x.n, least(x.n * {_UP3!r}::DOUBLE, top) AS at, top FROM x JOIN top USING (stream_id))
+SELECT p.stream_id, p.n, round(a.value + (b.value - a.value) * (at - floor(at)), 6) AS value FROM p JOIN long a ON a.stream_id = p.stream_id AND a.n = CAST(floor(at) AS BIGINT)
+JOIN long b ON b.stream_id = p.stream_id AND b.n = least(CAST(floor(at) AS BIGINT) + 1, top)""",
+    ),
+    lambda s: audio.pitch_shift(s, BY, 3.0),
+)
+_sample_query("time_stretch", _stretch_sql(1.25, OUT + " FROM long"), lambda s: audio.time_stretch(s, BY, 1.25))
+
+
+def _gating_sql(noise: str) -> str:
+    """Spectral gating of frames of 16 samples, by sums over sines and cosines."""
+    return f"""WITH {NUMBERED}, x AS MATERIALIZED (SELECT stream_id, n // 16 AS frame, n % 16 AS i, value FROM numbered),
+f AS MATERIALIZED (SELECT stream_id, frame, k, sum(value * cos(2 * pi() * k * i / 16)) AS re, -sum(value * sin(2 * pi() * k * i / 16)) AS im FROM x, range(9) t(k) GROUP BY ALL),
+l AS MATERIALIZED (SELECT *, sqrt(re * re + im * im) AS level FROM f), noise AS MATERIALIZED (SELECT stream_id, k, {noise} GROUP BY ALL),
+g AS MATERIALIZED (SELECT l.stream_id, l.frame, l.k, CASE WHEN level <= noise.noise THEN pow(10.0, -12.0 / 20) ELSE 1 END * CASE WHEN l.k IN (0, 8) THEN 1 ELSE 2 END / 16.0 AS gain, re, im FROM l JOIN noise USING (stream_id, k))
+SELECT x.stream_id, x.frame * 16 + x.i AS n, round(sum(gain * (re * cos(2 * pi() * k * i / 16) - im * sin(2 * pi() * k * i / 16))), 6) AS value
+FROM x JOIN g USING (stream_id, frame) GROUP BY x.stream_id, x.frame, x.i"""
+
+
+_sample_query("noise_reduce_fft", _gating_sql("median(level) AS noise FROM l"), lambda s: audio.denoise(s, BY, 12.0, size=16))
+_sample_query("noise_reduce_profile", _gating_sql("avg(level) AS noise FROM l WHERE frame < 2"), lambda s: audio.denoise(s, BY, 12.0, profile=32, size=16))
+
+# ---- loudness by the broadcast norm; two samples stand for a tenth of a second
+
+_WEIGHTED = _sections_sql(audio.weighting(RATE), "")
+_HOPS = """h AS (SELECT stream_id, n // 2 AS hop, sum(value * value) AS e, count(*) AS c FROM filtered GROUP BY ALL)"""
+
+
+def _spans(name: str, hops: int) -> str:
+    return f"""{name} AS (SELECT stream_id, e / c AS p FROM (SELECT stream_id, hop, sum(e) OVER f AS e, sum(c) OVER f AS c, max(hop) OVER (PARTITION BY stream_id) AS last
+  FROM h WINDOW f AS (PARTITION BY stream_id ORDER BY hop RANGE BETWEEN CURRENT ROW AND {hops - 1} FOLLOWING)) WHERE hop + {hops - 1} <= last AND e / c > pow(10.0, (-70 + 0.691::DOUBLE) / 10))"""
+
+
+_TAPS = ", ".join(f"({p}, {k - 5}, CAST({v!r} AS DOUBLE))" for p, row in enumerate(audio.between().tolist()) for k, v in enumerate(row))
+_R128 = f"""{_WEIGHTED}, {_HOPS}, {_spans("b", 4)}, {_spans("s", 30)},
+i AS (SELECT stream_id, -0.691 + 10 * log10(avg(p)) AS lufs FROM b JOIN (SELECT stream_id, avg(p) / 10 AS gate FROM b GROUP BY ALL) USING (stream_id) WHERE p > gate GROUP BY ALL),
+bins AS (SELECT stream_id, floor((-0.691 + 10 * log10(p)) / 0.01) AS bin, count(*) AS c FROM s JOIN (SELECT stream_id, avg(p) / 100 AS gate FROM s GROUP BY ALL) USING (stream_id) WHERE p >= gate GROUP BY ALL),
+run AS (SELECT stream_id, bin, sum(c) OVER (PARTITION BY stream_id ORDER BY bin) AS below, sum(c) OVER (PARTITION BY stream_id) AS every FROM bins),
+r2 AS (SELECT stream_id, (min(bin) FILTER (below * 100 >= every * 95) - min(bin) FILTER (below * 100 >= every * 10)) * 0.01 AS lra FROM run GROUP BY ALL),
+tap(phase, k, w) AS (VALUES {_TAPS}),
+peak AS (SELECT stream_id, max(abs(v)) AS peak FROM (SELECT stream_id, n + j AS at, phase, sum(value * w) AS v
+  FROM (SELECT stream_id, n, value, -k AS j, phase, w FROM x, tap) GROUP BY ALL) GROUP BY ALL),
+measured AS (SELECT stream_id, lufs, lra, CASE WHEN peak > 0 THEN 20 * log10(peak) ELSE CAST('-inf' AS DOUBLE) END AS true_peak_db FROM peak LEFT JOIN i USING (stream_id) LEFT JOIN r2 USING (stream_id))"""
+
+
+@plans.query("r128_measures", f"{_R128} SELECT stream_id, round(lufs, 6) AS lufs, round(lra, 6) AS lra, round(true_peak_db, 6) AS true_peak_db FROM measured")
+def r128_measures(spark, d):
+    s = media.numbered(spark, d).select("stream_id", "n", "value")
+    return audio.r128(s, BY, RATE, hop=2).select("stream_id", *(F.round(c, 6).alias(c) for c in ("lufs", "lra", "true_peak_db")))
+
+
+@plans.query(
+    "loudness_normalised",
+    f"""{_R128} SELECT stream_id, x.n, round(value * pow(10.0, coalesce(least(-16.0 - lufs, -1.5 - true_peak_db), 0) / 20), 6) AS value,
+CASE WHEN lra IS NULL THEN 'not measured' WHEN lra <= 7 THEN 'within' ELSE 'exceeds' END AS lra_outcome FROM x JOIN measured USING (stream_id)""",
+)
+def loudness_normalised(spark, d):
+    s = media.numbered(spark, d).select("stream_id", "n", "value")
+    return _out(audio.normalise_loudness(s, BY, RATE, -16.0, -1.5, 7.0, hop=2), "lra_outcome")
