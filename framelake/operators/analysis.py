@@ -37,8 +37,9 @@ def silence(samples: DataFrame, by: list[str], t: str, value: str, threshold_db:
     """(by, start, end): quiet stretches of at least ``least`` that end; one that runs to the stream's end is dropped.
     end is the time of the sample that breaks the silence."""
     quiet = F.abs(value) <= 10 ** (threshold_db / 20)
+    times = samples.groupBy(*by, t).agg(F.min(quiet).alias("_q"))  # channels at one time are quiet together
     w = Window.partitionBy(*by).orderBy(t)
-    marked = samples.withColumns({"_q": quiet, "_next": F.lead(t).over(w)})
+    marked = times.withColumn("_next", F.lead(t).over(w))
     runs = islands(marked, by, [t], F.col("_q")).groupBy(*by, "island").agg(F.min(t).alias("start"), F.max(F.struct(t, "_next"))["_next"].alias("end"))
     return runs.filter(F.col("end").isNotNull() & (F.col("end") - F.col("start") >= least)).drop("island")
 
@@ -46,7 +47,8 @@ def silence(samples: DataFrame, by: list[str], t: str, value: str, threshold_db:
 def black_starts(frames: DataFrame, by: list[str], t: str, dark_share: str, threshold: float = 0.1, least: int = 100_000_000) -> DataFrame:
     """Starts of stretches of frames whose share of black pixels is at least ``threshold``."""
     w = Window.partitionBy(*by).orderBy(t)
-    marked = frames.withColumn("_next", F.lead(t).over(w))
+    times = frames.groupBy(*by, t).agg(F.min(dark_share).alias(dark_share))  # frames at one time are dark together
+    marked = times.withColumn("_next", F.lead(t).over(w))
     runs = islands(marked, by, [t], F.col(dark_share) >= threshold).groupBy(*by, "island").agg(F.min(t).alias("start"), F.max(F.coalesce("_next", t)).alias("end"))
     return runs.filter(F.col("end") - F.col("start") >= least).drop("island", "end")
 
@@ -108,7 +110,16 @@ def choose_thumbnail(candidates: DataFrame, by: list[str], frame: str = "frame_n
     return bright.groupBy(*by).agg(F.coalesce(first, best).alias(frame))
 
 
-def mean_quality(scores: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
-    """(by, mean) of per-frame scores; frames without a finite positive one don't count."""
-    good = F.when((F.col(value) > 0) & (F.col(value) < float("inf")), F.col(value))
-    return scores.groupBy(*by).agg(F.avg(good).alias("mean"))
+def _scored(mean: Column) -> Column:
+    return F.coalesce(mean, F.raise_error(F.lit("no frames were compared")).cast("double"))
+
+
+def mean_psnr_of(scores: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
+    """(by, mean) of the signal-to-noise of all frames; one that is infinite makes it infinite. Raises when executed if no
+    frame has a value."""
+    return scores.groupBy(*by).agg(_scored(F.avg(F.when(F.col(value) > float("-inf"), F.col(value)))).alias("mean"))
+
+
+def mean_ssim_of(scores: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
+    """(by, mean) of the similarity of frames that have a positive one. Raises when executed if none has."""
+    return scores.groupBy(*by).agg(_scored(F.avg(F.when(F.col(value) > 0, F.col(value)))).alias("mean"))

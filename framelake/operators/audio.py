@@ -207,6 +207,7 @@ def denoise(samples: DataFrame, by: list[str], reduction_db: float, profile: int
     noise = each.groupBy(*by, "_bin").agg((F.avg("_l") if heads else F.median("_l")).alias("_l"))
     noise = noise.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_bin", "_l"))), lambda x: x["_l"]).alias("_noise"))
     ends = blocks.select(*by, "_block").distinct().join(noise, by)
+    ends = ends.select(*(F.col(c).alias(c) for c in ends.columns))  # columns of its own
     return keyed.cogroup(ends.groupBy(*by, "_block")).applyInPandas(gated, schema)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import select
@@ -68,15 +68,17 @@ def sprite_cells(duration: int, columns: int, rows: int) -> list[tuple[int, int,
     return [(duration * i // n, i % columns, i // columns) for i in range(n)]
 
 
-def thumbnails(rows: DataFrame, by: list[str], t: str, count: int, take: list[str], columns: int | None = None) -> DataFrame:
-    """(by, i, at, t, take): the first row at or after each of i * duration div count, i from 0, of each group (times from
-    0); with ``columns`` also each thumbnail's place on a sheet. Grid points come from one small row a group."""
+def thumbnails(rows: DataFrame, by: list[str], t: str, count: int, take: list[str], columns: int | None = None, key: Column | None = None) -> DataFrame:
+    """(by, i, at, t, take): the last key frame at or before each of i * (duration div count), i from 0, of each group (times
+    from 0); every row is one if ``key`` is None. Places without one before them are left out, as are groups that last no
+    time. With ``columns`` also each thumbnail's place on a sheet. Grid points come from one small row a group."""
     if count < 1 or columns is not None and columns < 1:
         raise ValueError("at least one thumbnail and one column")
-    ends = rows.groupBy(*by).agg(F.max(t).alias("_d"))
+    ends = rows.groupBy(*by).agg(F.max(t).alias("_d")).filter("_d > 0")
     grid = ends.select(*by, "_d", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("i"))
-    grid = grid.select(*by, "i", F.expr(f"i * _d div {count}").alias("_at")).withColumn("at", F.col("_at"))
-    found = select.asof(grid, rows.withColumn("_at", F.col(t)), by, "_at", [t, *take], forward=True).drop("_at")
+    grid = grid.select(*by, "i", F.expr(f"i * (_d div {count})").alias("_at")).withColumn("at", F.col("_at"))
+    shown = rows if key is None else rows.filter(key)
+    found = select.asof(grid, shown.withColumn("_at", F.col(t)), by, "_at", [t, *take]).drop("_at").filter(F.col(t).isNotNull())
     if columns is None:
         return found
     return found.withColumns({"col": (F.col("i") % columns).cast("int"), "row": F.floor(F.col("i") / columns).cast("int")})

@@ -59,6 +59,16 @@ def composition_end(clips: DataFrame, tracks: DataFrame, fps_num: int, fps_den:
     return video.select("timeline_id").distinct().join(ends, "timeline_id", "left")
 
 
+def total_frames(clips: DataFrame, tracks: DataFrame, fps_num: int, fps_den: int = 1) -> DataFrame:
+    """(timeline_id, frames): the lengths of all clips on video tracks, added up, times the rate, to the nearest frame;
+    null if a clip has no out-point."""
+    length = F.col("out_ns") - F.col("in_ns")
+    every = tracks.filter("kind = 'video'").select("timeline_id", "track_id").join(clips.select("track_id", "clip_id", length.alias("_l")), "track_id", "left")
+    known = F.count("clip_id") == F.count("_l")
+    frames = F.round(F.coalesce(F.sum("_l"), F.lit(0)) / NS * (fps_num / fps_den)).cast("long")
+    return every.groupBy("timeline_id").agg(F.when(known, F.greatest(F.lit(0).cast("long"), frames)).alias("frames"))
+
+
 def clamp_transitions(clips: DataFrame, source_len: str = "source_ns") -> DataFrame:
     """Each transition's length held to the outgoing clip's handle: what its source still has after the out-point, in
     timeline time. Generated sources have no end; without an out-point the handle is empty; a first clip has none."""

@@ -144,13 +144,13 @@ def _sections_sql(chain, then: str) -> str:
     step, last = [], "x.value"
     for i, (b, a) in enumerate(chain):
         b, a = ([f"CAST({v!r} AS DOUBLE)" for v in map(float, c)] for c in (b, a))
-        step += [f"{b[0]} * {last} + r.p{i} AS o{i}", f"{b[1]} * {last} - {a[1]} * o{i} + r.q{i} AS p{i}", f"{b[2]} * {last} - {a[2]} * o{i} AS q{i}"]
-        last = f"o{i}"
+        step += [f"{b[0]} * {last} + r.p{i} AS y{i}", f"{b[1]} * {last} - {a[1]} * y{i} + r.q{i}", f"{b[2]} * {last} - {a[2]} * y{i}"]
+        last = f"y{i}"
     zeros = ", ".join(f"CAST(0 AS DOUBLE) AS {c}{i}" for i in range(len(chain)) for c in "opq")
     return f"""WITH RECURSIVE {NUMBERED}, x AS MATERIALIZED (SELECT stream_id, n, value FROM numbered),
 r AS (SELECT DISTINCT stream_id, CAST(-1 AS BIGINT) AS n, {zeros} FROM x
   UNION ALL SELECT x.stream_id, x.n, {", ".join(step)} FROM r JOIN x ON x.stream_id = r.stream_id AND x.n = r.n + 1),
-filtered AS (SELECT stream_id, n, {last} AS value FROM r WHERE n >= 0) {then}"""
+filtered AS (SELECT stream_id, n, o{len(chain) - 1} AS value FROM r WHERE n >= 0) {then}"""
 
 
 def _followed_sql(level: str, attack: float, release: float, gain: str) -> str:
@@ -188,12 +188,12 @@ def duck_attack_release(spark, d):
 
 def _stretch_sql(factor: float, then: str) -> str:
     """Overlap-add of grains of 1024 every 512 outputs: (stream_id, n, value) as ``long``."""
-    weight = "(0.5 - 0.5 * cos(2 * pi() * (m - at + 0.5) / 1024))"
+    weight = "(0.5 - 0.5 * cos(2 * pi() * (m - start + 0.5) / 1024))"
     return f"""WITH {NUMBERED}, x AS (SELECT stream_id, n, value FROM numbered), len AS (SELECT stream_id, max(n) + 1 AS len FROM x GROUP BY stream_id),
 o AS (SELECT stream_id, len, unnest(range(CAST(ceil(len / {factor!r}::DOUBLE) AS BIGINT))) AS m FROM len),
-g AS (SELECT stream_id, len, m, m // 512 * 512 - 512 * j AS at FROM o, range(2) t(j) WHERE m // 512 * 512 - 512 * j >= 0),
-long AS (SELECT g.stream_id, m AS n, sum(x.value * {weight}) / greatest(sum({weight}), 1e-9) AS value
-  FROM g LEFT JOIN x ON x.stream_id = g.stream_id AND x.n = CAST(floor(at * {factor!r}::DOUBLE) AS BIGINT) + m - at WHERE CAST(floor(at * {factor!r}::DOUBLE) AS BIGINT) + m - at < len GROUP BY g.stream_id, m) {then}"""
+g AS (SELECT stream_id, len, m, m // 512 * 512 - 512 * j AS start FROM o, range(2) t(j) WHERE m // 512 * 512 - 512 * j >= 0),
+long AS (SELECT g.stream_id, m AS n, coalesce(sum(x.value * {weight}), 0) / greatest(coalesce(sum({weight}) FILTER (x.n IS NOT NULL), 0), 1e-9) AS value
+  FROM g LEFT JOIN x ON x.stream_id = g.stream_id AND x.n = CAST(floor(start * {factor!r}::DOUBLE) AS BIGINT) + m - start GROUP BY g.stream_id, m) {then}"""
 
 
 _UP3 = 2 ** (3.0 / 12)
@@ -202,9 +202,9 @@ _sample_query(
     _stretch_sql(
         1 / _UP3,
         f""", top AS (SELECT stream_id, max(n) AS top FROM long GROUP BY stream_id),
-p AS (SELECT x.stream_id, x.n, least(x.n * {_UP3!r}::DOUBLE, top) AS at, top FROM x JOIN top USING (stream_id))
-SELECT p.stream_id, p.n, round(a.value + (b.value - a.value) * (at - floor(at)), 6) AS value FROM p JOIN long a ON a.stream_id = p.stream_id AND a.n = CAST(floor(at) AS BIGINT)
-JOIN long b ON b.stream_id = p.stream_id AND b.n = least(CAST(floor(at) AS BIGINT) + 1, top)""",
+p AS (SELECT x.stream_id, x.n, least(x.n * {_UP3!r}::DOUBLE, top) AS place, top FROM x JOIN top USING (stream_id))
+SELECT p.stream_id, p.n, round(a.value + (b.value - a.value) * (place - floor(place)), 6) AS value FROM p JOIN long a ON a.stream_id = p.stream_id AND a.n = CAST(floor(place) AS BIGINT)
+JOIN long b ON b.stream_id = p.stream_id AND b.n = least(CAST(floor(place) AS BIGINT) + 1, top)""",
     ),
     lambda s: audio.pitch_shift(s, BY, 3.0),
 )
@@ -242,7 +242,7 @@ bins AS (SELECT stream_id, floor((-0.691 + 10 * log10(p)) / 0.01) AS bin, count(
 run AS (SELECT stream_id, bin, sum(c) OVER (PARTITION BY stream_id ORDER BY bin) AS below, sum(c) OVER (PARTITION BY stream_id) AS every FROM bins),
 r2 AS (SELECT stream_id, (min(bin) FILTER (below * 100 >= every * 95) - min(bin) FILTER (below * 100 >= every * 10)) * 0.01 AS lra FROM run GROUP BY ALL),
 tap(phase, k, w) AS (VALUES {_TAPS}),
-peak AS (SELECT stream_id, max(abs(v)) AS peak FROM (SELECT stream_id, n + j AS at, phase, sum(value * w) AS v
+peak AS (SELECT stream_id, max(abs(v)) AS peak FROM (SELECT stream_id, n + j AS place, phase, sum(value * w) AS v
   FROM (SELECT stream_id, n, value, -k AS j, phase, w FROM x, tap) GROUP BY ALL) GROUP BY ALL),
 measured AS (SELECT stream_id, lufs, lra, CASE WHEN peak > 0 THEN 20 * log10(peak) ELSE CAST('-inf' AS DOUBLE) END AS true_peak_db FROM peak LEFT JOIN i USING (stream_id) LEFT JOIN r2 USING (stream_id))"""
 

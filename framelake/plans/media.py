@@ -40,6 +40,13 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("frame_no", (F.col("i") % SIDE).cast("int").alias("x"), F.floor(F.col("i") / SIDE).cast("int").alias("y"), at(0).alias("r"), at(21).alias("g"), at(42).alias("b"))
 
 
+def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same frames as rows with planes."""
+    at = lambda k: F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), lambda i: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.get("embedding", (i + k) % 64).cast("double") + 1) / 2)))
+    side = F.lit(SIDE).cast("int")
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_no"), side.alias("w"), side.alias("h"), *(at(k).alias(c) for k, c in ((0, "r"), (21, "g"), (42, "b"))))
+
+
 def _plane(k: int) -> str:
     return f"least(1.0, greatest(0.0, (CAST(embedding[(i + {k}) % 64 + 1] AS DOUBLE) + 1) / 2))"
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import blend as fb
 from ..functions import colour as fc
-from ..operators import analysis, pixels
+from ..operators import analysis, pixels, planes
 from . import media
 from .media import PAIRS, PIXELS, byte
 from .register import Plans
@@ -368,16 +368,32 @@ def fill_to_aspect(spark, d):
 
 
 def _remapped(name: str, sx: str, sy: str, f) -> None:
+    """Per frame, the sums of what is shown at places weighed by their number."""
     sql = f"""WITH {PIXELS}, s AS (SELECT frame_no, x, y, CAST(round({sx}) AS INTEGER) AS sx, CAST(round({sy}) AS INTEGER) AS sy FROM pixels)
-SELECT s.frame_no, s.x, s.y, {byte('coalesce(p.r, 0.0)')} AS r FROM s LEFT JOIN pixels p ON p.frame_no = s.frame_no AND p.x = s.sx AND p.y = s.sy"""
-    plans.query(name, sql)(lambda spark, d: f(media.pixels(spark, d)).select("frame_no", "x", "y", fb.to_byte(F.col("r")).alias("r")))
+SELECT s.frame_no, CAST(sum((s.y * 8 + s.x + 1) * {byte('coalesce(p.r, 0.0)')}) AS BIGINT) AS r FROM s LEFT JOIN pixels p ON p.frame_no = s.frame_no AND p.x = s.sx AND p.y = s.sy GROUP BY s.frame_no"""
+    plans.query(name, sql)(lambda spark, d: _placed_sum(f(media.planes(spark, d))))
+
+
+def _placed_sum(frames, plane="r"):
+    """Per frame, the sum of a plane's bytes times their place, from 1."""
+    weighed = F.transform(plane, lambda v, i: fb.to_byte(v).cast("long") * (i + 1))
+    return frames.select("frame_no", F.aggregate(weighed, F.lit(0).cast("long"), lambda a, v: a + v).alias("r"))
+
+
+def _plane_mean(frames, plane="r"):
+    """Per frame, the mean of a plane to six digits; no shuffle."""
+    return frames.select("frame_no", F.round(F.aggregate(plane, F.lit(0.0), lambda a, v: a + v) / F.size(plane), 6).alias("r"))
+
+
+def _frame_means(name: str, sql: str, f) -> None:
+    plans.query(name, sql)(lambda spark, d: _plane_mean(f(media.planes(spark, d))))
 
 
 _c20, _s20 = math.cos(math.radians(20)), math.sin(math.radians(20))
-_remapped("rotate_frame", f"(x - 3.5) * {_c20!r}::DOUBLE + (y - 3.5) * {_s20!r}::DOUBLE + 3.5", f"(y - 3.5) * {_c20!r}::DOUBLE - (x - 3.5) * {_s20!r}::DOUBLE + 3.5", lambda p: pixels.rotate(p, 8, 8, 20.0))
+_remapped("rotate_frame", f"(x - 3.5) * {_c20!r}::DOUBLE + (y - 3.5) * {_s20!r}::DOUBLE + 3.5", f"(y - 3.5) * {_c20!r}::DOUBLE - (x - 3.5) * {_s20!r}::DOUBLE + 3.5", lambda p: planes.rotate(p, 20.0))
 _R2 = "((x - 3.5) / 4.0::DOUBLE * ((x - 3.5) / 4.0::DOUBLE) + (y - 3.5) / 4.0::DOUBLE * ((y - 3.5) / 4.0::DOUBLE))"
 _LF = f"(1 + 0.13::DOUBLE * {_R2} + 0.07::DOUBLE * {_R2} * {_R2})"
-_remapped("lens_correction", f"(x - 3.5) / 4.0::DOUBLE * {_LF} * 4 + 3.5", f"(y - 3.5) / 4.0::DOUBLE * {_LF} * 4 + 3.5", lambda p: pixels.lens(p, 8, 8, 0.13, 0.07))
+_remapped("lens_correction", f"(x - 3.5) / 4.0::DOUBLE * {_LF} * 4 + 3.5", f"(y - 3.5) / 4.0::DOUBLE * {_LF} * 4 + 3.5", lambda p: planes.lens(p, 0.13, 0.07))
 
 
 def _means(name: str, sql: str | None, f) -> None:
@@ -392,24 +408,30 @@ def _blur_sql(taps: list[float]) -> str:
 v AS (SELECT p.frame_no, p.x, p.y, sum(q.r * w) / sum(w) AS r FROM h p, k JOIN h q ON q.frame_no = p.frame_no AND q.x = p.x AND q.y = p.y + i GROUP BY ALL)"""
 
 
-_means("gaussian_blur", f"WITH {PIXELS}, {_blur_sql(pixels.weights(1.0))} SELECT frame_no, round(avg(r), 6) AS r FROM v GROUP BY frame_no", lambda p: pixels.blur(p, 1.0))
-_means("unsharp_mask", f"WITH {PIXELS}, {_blur_sql([0.2] * 5)} SELECT p.frame_no, round(avg(p.r + 0.8 * (p.r - v.r)), 6) AS r FROM pixels p JOIN v USING (frame_no, x, y) GROUP BY p.frame_no", lambda p: pixels.unsharp(p, 0.8))
-_means(
+_frame_means("gaussian_blur", f"WITH {PIXELS}, {_blur_sql(pixels.weights(1.0))} SELECT frame_no, round(avg(r), 6) AS r FROM v GROUP BY frame_no", lambda p: planes.blur(p, 1.0))
+_frame_means("unsharp_mask", f"WITH {PIXELS}, {_blur_sql([0.2] * 5)} SELECT p.frame_no, round(avg(p.r + 0.8 * (p.r - v.r)), 6) AS r FROM pixels p JOIN v USING (frame_no, x, y) GROUP BY p.frame_no", lambda p: planes.unsharp(p, 0.8))
+_frame_means(
     "glow_highlights",
     f"WITH {PIXELS.replace('pixels AS', 'raw AS')}, pixels AS (SELECT frame_no, x, y, greatest(r - 0.55::DOUBLE, 0.0) / (1 - 0.55::DOUBLE) AS r FROM raw), {_blur_sql(pixels.weights(1.0))} SELECT raw.frame_no, round(avg(least(1.0, raw.r + v.r * 1.5)), 6) AS r FROM raw JOIN v USING (frame_no, x, y) GROUP BY raw.frame_no",
-    lambda p: pixels.glow(p, 0.55, 1.0, 1.5),
+    lambda p: planes.glow(p, 0.55, 1.0, 1.5),
 )
-_means(
+_frame_means(
     "glow_node",
     f"WITH {PIXELS.replace('pixels AS', 'raw AS')}, pixels AS (SELECT frame_no, x, y, CASE WHEN 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b >= 0.55::DOUBLE THEN r ELSE 0.0 END AS r FROM raw), {_blur_sql(pixels.weights(1.0))} SELECT raw.frame_no, round(avg(least(1.0, raw.r + v.r * 1.5)), 6) AS r FROM raw JOIN v USING (frame_no, x, y) GROUP BY raw.frame_no",
-    lambda p: pixels.glow(p, 0.55, 1.0, 1.5, hard=True),
+    lambda p: planes.glow(p, 0.55, 1.0, 1.5, hard=True),
 )
 _means("chromatic_aberration", f"WITH {PIXELS}, s AS (SELECT frame_no, coalesce(lag(r, 1) OVER (PARTITION BY frame_no, y ORDER BY x), r) AS r FROM pixels) SELECT frame_no, round(avg(r), 6) AS r FROM s GROUP BY frame_no", lambda p: pixels.aberration(p, 1, -1))
 _means("motion_blur_mix", f"WITH {PIXELS}, s AS (SELECT frame_no, r * (1 - 0.5) + coalesce(lag(r) OVER (PARTITION BY x, y ORDER BY frame_no), r) * 0.5 AS r FROM pixels) SELECT frame_no, round(avg(r), 6) AS r FROM s GROUP BY frame_no", lambda p: pixels.motion_mix(p, 180.0))
 _means("deinterlace_rows", f"WITH {PIXELS}, s AS (SELECT frame_no, CASE WHEN y % 2 = 1 THEN (coalesce(lag(r) OVER w, lead(r) OVER w) + coalesce(lead(r) OVER w, lag(r) OVER w)) / 2 ELSE r END AS r FROM pixels WINDOW w AS (PARTITION BY frame_no, x ORDER BY y)) SELECT frame_no, round(avg(r), 6) AS r FROM s GROUP BY frame_no", pixels.deinterlace)
 
 
-@plans.query("motion_trail_recursive")
+@plans.query(
+    "motion_trail_recursive",
+    """WITH RECURSIVE f AS MATERIALIZED (SELECT vec_id % 8 AS stream_id, vec_id AS frame_no, row_number() OVER (PARTITION BY vec_id % 8 ORDER BY vec_id) AS i, CAST(embedding AS DOUBLE[]) AS plane FROM embeddings),
+t AS (SELECT stream_id, frame_no, i, plane FROM f WHERE i = 1 UNION ALL
+  SELECT f.stream_id, f.frame_no, f.i, list_transform(range(1, len(f.plane) + 1), lambda j: f.plane[j] + (t.plane[j] - f.plane[j]) * 0.4::DOUBLE) FROM t JOIN f ON f.stream_id = t.stream_id AND f.i = t.i + 1)
+SELECT stream_id, frame_no, round(list_sum(plane), 6) AS total FROM t""",
+)
 def motion_trail_recursive(spark, d):
     e = media.table(spark, d, "embeddings")
     frames = e.select((F.col("vec_id") % 8).alias("stream_id"), F.col("vec_id").alias("frame_no"), F.transform("embedding", lambda x: x.cast("double")).alias("plane"))

@@ -10,13 +10,13 @@ from ..folders import shared_folder
 from ..functions import blend as fb
 from ..functions import colour as fc
 from ..functions import time as tm
-from ..operators import analysis, audio, pixels, segments, select
+from ..operators import analysis, audio, pixels, planes, segments, select
 from ..operators import timeline as tl
 from ..sources import catalogue, documents, subtitles
 from . import media
 from .extras import _AN, _animated
 from .media import CLIPS, DAY_US, PIXELS, SAMPLES, TRACKS, byte
-from .pictures import _BYTES, _CLAMP, _SMOOTH, RGB, _bytes, _h, _hsl_back, _s, _sums, _sums_sql
+from .pictures import _BYTES, _CLAMP, _SMOOTH, RGB, _bytes, _h, _hsl_back, _placed_sum, _plane_mean, _s, _sums, _sums_sql
 from .register import Plans
 
 plans = Plans()
@@ -135,17 +135,20 @@ def denoise_spatial_temporal(spark, d):
 
 
 _CS, _SN = 0.955336489125606, 0.29552020666133955  # of 0.3 radians
-_U, _V = "((x + 0.5) / 8.0::DOUBLE - 0.5 - 0.1::DOUBLE)", "((y + 0.5) / 8.0::DOUBLE - 0.5 + 0.05::DOUBLE)"
+_U, _V = "(((x + 0.5) / 8.0::DOUBLE - 0.5) / 1.5::DOUBLE)", "(((y + 0.5) / 8.0::DOUBLE - 0.5) / 0.8::DOUBLE)"
 
 
 @plans.query(
     "transform_place",
-    f"""WITH {PIXELS}, s AS (SELECT frame_no, x, y, CAST(round((({_U} * {_CS} + {_V} * {_SN}) / 1.5::DOUBLE + 0.5) * 8 - 0.5) AS INTEGER) AS sx, CAST(round((({_V} * {_CS} - {_U} * {_SN}) / 0.8::DOUBLE + 0.5) * 8 - 0.5) AS INTEGER) AS sy FROM pixels)
-SELECT s.frame_no, s.x, s.y, {byte('coalesce(p.r, 0.0)')} AS r FROM s LEFT JOIN pixels p ON p.frame_no = s.frame_no AND p.x = s.sx AND p.y = s.sy""",
+    f"""WITH {PIXELS}, uv AS (SELECT frame_no, x, y, {_U} * {_CS} + {_V} * {_SN} + 0.5 - 0.1::DOUBLE AS u, {_V} * {_CS} - {_U} * {_SN} + 0.5 + 0.05::DOUBLE AS v FROM pixels),
+s AS (SELECT *, u BETWEEN 0 AND 1 AND v BETWEEN 0 AND 1 AS inside, least(7.0, greatest(0.0, u * 8 - 0.5)) AS px, least(7.0, greatest(0.0, v * 8 - 0.5)) AS py FROM uv),
+c AS (SELECT s.frame_no, s.x, s.y, inside, sum(p.r * (1 - abs(p.x - px)) * (1 - abs(p.y - py))) AS r FROM s JOIN pixels p ON p.frame_no = s.frame_no AND abs(p.x - px) < 1 AND abs(p.y - py) < 1 GROUP BY ALL)
+SELECT frame_no, CAST(sum((y * 8 + x + 1) * {byte('CASE WHEN inside THEN r ELSE 0.0 END')}) AS BIGINT) AS r, CAST(count_if(inside) AS BIGINT) AS shown FROM c GROUP BY frame_no""",
 )
 def transform_place(spark, d):
-    p = pixels.place(media.pixels(spark, d), 8, 8, (0.1, -0.05), 0.3, (1.5, 0.8))
-    return p.select("frame_no", "x", "y", fb.to_byte(F.col("r")).alias("r"))
+    """Moved, then turned and zoomed; a row a frame."""
+    p = planes.place(media.planes(spark, d), (0.1, -0.05), 0.3, (1.5, 0.8))
+    return _placed_sum(p.select("frame_no", "r")).join(p.select("frame_no", F.aggregate("a", F.lit(0.0), lambda t, v: t + v).cast("long").alias("shown")), "frame_no")
 
 
 @plans.query(
@@ -160,19 +163,115 @@ def overlay_image(spark, d):
     return _sums(p.select("frame_no", fb.to_byte(F.col("r")).alias("r")), ["r"])
 
 
+_CLIPPED = f"""{_BYTES}, m AS (SELECT a.frame_no, avg((a.r - b.r) * (a.r - b.r)) AS mse FROM bt a JOIN bt b ON b.frame_no = a.frame_no - a.frame_no % 3 AND a.x = b.x AND a.y = b.y GROUP BY a.frame_no)"""
+
+
 @plans.query(
     "quality_means",
-    f"""WITH {_BYTES}, m AS (SELECT a.frame_no, avg((a.r - b.r) * (a.r - b.r)) AS mse FROM bt a JOIN bt b ON b.frame_no = a.frame_no + 1 AND a.x = b.x AND a.y = b.y GROUP BY a.frame_no),
-p AS (SELECT frame_no // 50 AS clip, CASE WHEN mse > 0 THEN 10 * log10(255.0 * 255.0 / mse) END AS psnr FROM m) SELECT clip, round(avg(CASE WHEN psnr > 0 THEN psnr END), 6) AS psnr FROM p GROUP BY clip""",
+    f"""WITH {_CLIPPED} SELECT frame_no // 50 AS clip, round(avg(CASE WHEN mse > 0 THEN 10 * log10(255.0 * 255.0 / mse) ELSE 30 END), 6) AS psnr,
+count(*) FILTER (WHERE mse = 0) > 0 AS equal FROM m GROUP BY frame_no // 50 HAVING count(*) FILTER (WHERE mse = 0) = 0
+UNION ALL SELECT frame_no // 50, CAST(NULL AS DOUBLE), true FROM m GROUP BY frame_no // 50 HAVING count(*) FILTER (WHERE mse = 0) > 0""",
 )
 def quality_means(spark, d):
-    """Mean picture quality of each clip against itself a frame later."""
+    """Mean picture quality of each clip, of which each third frame stands for three: every frame counts, so one that is
+    equal makes the mean infinite."""
     p = _bytes(spark, d)
-    after = media.next_frames(p)
-    both = p.join(after.select("frame_no", "x", "y"), pixels.KEY, "left_semi")
-    shown = after.join(p.select("frame_no", "x", "y"), pixels.KEY, "left_semi")
+    own = p.select((F.col("frame_no") - F.col("frame_no") % 3).alias("_f"), "frame_no", "x", "y")
+    shown = own.join(p.withColumnRenamed("frame_no", "_f"), ["_f", "x", "y"])
+    both = p.join(shown.select("frame_no", "x", "y"), pixels.KEY, "left_semi")
     scores = analysis.mean_psnr(both, shown, "r").withColumn("clip", F.floor(F.col("frame_no") / 50))
-    return analysis.mean_quality(scores, "psnr", ["clip"]).select("clip", F.round("mean", 6).alias("psnr"))
+    return analysis.mean_psnr_of(scores, "psnr", ["clip"]).select("clip", F.when(F.col("mean") < float("inf"), F.round("mean", 6)).alias("psnr"), (F.col("mean") == float("inf")).alias("equal"))
+
+
+_WINDOWS = f"""{_BYTES}, w AS (SELECT a.frame_no, i, j, avg(a.r) AS mu, avg(b.r) AS mv, avg(a.r * a.r) AS uu, avg(b.r * b.r) AS vv, avg(a.r * b.r) AS uv
+  FROM range(0, 5, 2) t(i), range(0, 5, 2) s(j), bt a JOIN bt b ON b.frame_no = a.frame_no + 1 AND b.x = a.x AND b.y = a.y WHERE a.x BETWEEN i AND i + 3 AND a.y BETWEEN j AND j + 3 GROUP BY ALL),
+q AS (SELECT frame_no, avg((2 * mu * mv + 6.5025) * (2 * (uv - mu * mv) + 58.5225) / ((mu * mu + mv * mv + 6.5025) * (uu - mu * mu + vv - mv * mv + 58.5225))) AS ssim FROM w GROUP BY frame_no)"""
+
+
+def _ssim(spark, d):
+    whole = media.planes(spark, d)
+    bytes_ = whole.withColumn("r", F.transform("r", lambda v: fb.to_byte(v).cast("double")))
+    return planes.ssim(bytes_, bytes_.withColumn("frame_no", F.col("frame_no") - 1), "r", size=4, step=2)
+
+
+@plans.query("ssim_windows", f"WITH {_WINDOWS} SELECT frame_no, round(ssim, 6) AS ssim FROM q")
+def ssim_windows(spark, d):
+    """Structural similarity of each frame and the next, over nine windows."""
+    return _ssim(spark, d).select("frame_no", F.round("ssim", 6).alias("ssim"))
+
+
+@plans.query("ssim_mean", f"WITH {_WINDOWS} SELECT frame_no // 50 AS clip, round(avg(ssim) FILTER (ssim > 0), 6) AS ssim FROM q GROUP BY frame_no // 50")
+def ssim_mean(spark, d):
+    """The mean over each clip; frames that aren't above 0 don't count."""
+    return analysis.mean_ssim_of(_ssim(spark, d).withColumn("clip", F.floor(F.col("frame_no") / 50)), "ssim", ["clip"]).select("clip", F.round("mean", 6).alias("ssim"))
+
+
+_AT = "p[1 + least(7, greatest(0, {y})) * 8 + least(7, greatest(0, {x}))]"
+_D2 = f"list_sum(list_transform(range(9), lambda k: pow({_AT.format(x='x + k % 3 - 1', y='y + k // 3 - 1')} - {_AT.format(x='x + dx + k % 3 - 1', y='y + dy + k // 3 - 1')}, 2)))"
+
+
+@plans.query(
+    "non_local_means",
+    f"""WITH f AS MATERIALIZED (SELECT vec_id AS frame_no, list_transform(CAST(embedding AS DOUBLE[]), lambda v: least(1.0, greatest(0.0, (v + 1) / 2))) AS p FROM embeddings),
+g AS (SELECT frame_no, p, i % 8 AS x, i // 8 AS y, a - 2 AS dx, b - 2 AS dy FROM f, range(64) t(i), range(5) u(a), range(5) w(b)),
+k AS (SELECT frame_no, x, y, exp(-{_D2} / (9 * 0.15::DOUBLE * 0.15::DOUBLE)) AS k, {_AT.format(x='x + dx', y='y + dy')} AS v FROM g),
+o AS (SELECT frame_no, x, y, sum(k * v) / sum(k) AS r FROM k GROUP BY ALL) SELECT frame_no, round(avg(r), 6) AS r FROM o GROUP BY frame_no""",
+)
+def non_local_means(spark, d):
+    """Patches of 3 by 3 sought within 5 by 5."""
+    wide = media.planes(spark, d).select("frame_no", "w", "h", "r")
+    return _plane_mean(planes.non_local_means(wide, 0.15, 3, 5, ["r"]))
+
+
+for _mode in ("frame", "field", "frame_nospatial", "field_nospatial"):
+
+    @plans.query(f"deinterlace_{_mode}")
+    def _deinterlaced(spark, d, mode=_mode):
+        """Frames of one clip in fifty, by three frames each (SQL can't follow edges; a plain loop does in the tests)."""
+        out = planes.deinterlace(media.planes(spark, d).withColumn("clip", F.floor(F.col("frame_no") / 50)), mode, planes=["r"], by=["clip"])
+        return out.select("frame_no", "field", F.round(F.aggregate("r", F.lit(0.0), lambda a, v: a + v), 6).alias("r"))
+
+
+def _stored(spark, d):
+    """Frames as stored bytes of 7 by 8 RGB pixels."""
+    b = lambda c: F.transform(F.filter(F.col(c), lambda v, i: i % 8 < 7), lambda v: fb.to_byte(v))
+    rgb = F.flatten(F.transform(F.arrays_zip(b("r").alias("r"), b("g").alias("g"), b("b").alias("b")), lambda v: F.array(v["r"], v["g"], v["b"])))
+    data = F.unhex(F.array_join(F.transform(rgb, lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")), ""))
+    return media.planes(spark, d).select("frame_no", F.lit("rgb24").alias("format"), F.lit(7).alias("w"), F.col("h"), data.alias("data"))
+
+
+def _byte_sum(lo: int, hi: int):
+    """The sum of a frame's bytes [lo, hi) times their place, from 1."""
+    return F.aggregate(F.transform(F.sequence(F.lit(lo), F.lit(hi - 1)), lambda i: F.conv(F.hex(F.substr("data", i + 1, F.lit(1))), 16, 10).cast("long") * (i - lo + 1)), F.lit(0).cast("long"), lambda a, v: a + v)
+
+
+_Y7 = f"""{PIXELS}, q AS (SELECT frame_no, x, y, {byte('r')} AS r, {byte('g')} AS g, {byte('b')} AS b FROM pixels WHERE x < 7), l AS (SELECT *, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS l FROM q),
+yuv AS (SELECT frame_no, x, y, floor(l + 0.5) AS yy, floor((b - l) / 1.772::DOUBLE + 128.5) AS u, floor((r - l) / 1.402::DOUBLE + 128.5) AS v FROM l)"""
+
+
+@plans.query(
+    "format_on_scan",
+    f"""WITH {_Y7}, h AS (SELECT frame_no, x // 2 AS x, y // 2 AS y, list(u ORDER BY y, x) AS us, list(v ORDER BY y, x) AS vs, count(DISTINCT x) AS nx FROM yuv GROUP BY frame_no, x // 2, y // 2),
+c AS (SELECT frame_no, x, y, CASE WHEN nx = 1 THEN floor((us[1] + us[2]) / 2 + 0.5) ELSE floor((floor((us[1] + us[3]) / 2 + 0.5) + floor((us[2] + us[4]) / 2 + 0.5)) / 2 + 0.5) END AS u,
+  CASE WHEN nx = 1 THEN floor((vs[1] + vs[2]) / 2 + 0.5) ELSE floor((floor((vs[1] + vs[3]) / 2 + 0.5) + floor((vs[2] + vs[4]) / 2 + 0.5)) / 2 + 0.5) END AS v FROM h)
+SELECT frame_no, CAST((SELECT sum(yy * (y * 7 + x + 1)) FROM yuv i WHERE i.frame_no = f.frame_no) AS BIGINT) AS y, CAST((SELECT sum(u * (y * 4 + x + 1)) FROM c WHERE c.frame_no = f.frame_no) AS BIGINT) AS u,
+CAST((SELECT sum(v * (y * 4 + x + 1)) FROM c WHERE c.frame_no = f.frame_no) AS BIGINT) AS v FROM (SELECT DISTINCT frame_no FROM yuv) f""",
+)
+def format_on_scan(spark, d):
+    """RGB pictures of an odd width as 4:2:0 planes."""
+    out = planes.scan_as(_stored(spark, d), "yuv420p")
+    return out.select("frame_no", _byte_sum(0, 56).alias("y"), _byte_sum(56, 72).alias("u"), _byte_sum(72, 88).alias("v"))
+
+
+@plans.query(
+    "scale_on_scan",
+    f"""WITH {_Y7} SELECT frame_no, 4 AS w, 4 AS h, CAST(sum((y // 2 * 4 + CASE x WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 3 END + 1) * floor(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b + 0.5)) AS BIGINT) AS y
+FROM q WHERE x IN (0, 1, 3, 5) AND y % 2 = 0 GROUP BY frame_no""",
+)
+def scale_on_scan(spark, d):
+    """Luma of half the height; the width follows, as an even number."""
+    out = planes.scan_as(_stored(spark, d), "gray", height=4)
+    return out.select("frame_no", "w", "h", _byte_sum(0, 16).alias("y"))
 
 
 _MOB = [0.3, 10.0]
@@ -212,24 +311,33 @@ def _rel(spark, d):
     return select.rebase(media.samples(spark, d), "t_us", ["stream_id"]).select("stream_id", "event_id", F.col("t_us").alias("t"))
 
 
-@plans.query("thumbnails_n", f"WITH {_REL}, g AS (SELECT stream_id, i, i * d // 7 AS at FROM dur, range(7) r(i)) SELECT g.stream_id, g.i, g.at, rel.t, rel.event_id FROM g ASOF LEFT JOIN rel ON rel.stream_id = g.stream_id AND g.at <= rel.t")
+def _grid_sql(n: int) -> str:
+    """Places of n thumbnails and the last key frame (every fourth event, and the first) at or before each."""
+    return f"""WITH {_REL}, keys AS (SELECT stream_id, t, max(event_id) AS event_id FROM (SELECT *, t = 0 OR event_id % 4 = 0 AS is_key FROM rel) WHERE is_key GROUP BY stream_id, t),
+g AS (SELECT stream_id, i, i * (d // {n}) AS at FROM dur, range({n}) r(i) WHERE d > 0)"""
+
+
+@plans.query("thumbnails_n", _grid_sql(7) + " SELECT g.stream_id, g.i, g.at, keys.t, keys.event_id FROM g ASOF JOIN keys ON keys.stream_id = g.stream_id AND g.at >= keys.t")
 def thumbnails_n(spark, d):
-    return segments.thumbnails(_rel(spark, d), ["stream_id"], "t", 7, ["event_id"]).select("stream_id", "i", "at", "t", "event_id")
+    """Seven thumbnails of each stream, at key frames."""
+    return segments.thumbnails(_rel(spark, d), ["stream_id"], "t", 7, ["event_id"], key=(F.col("t") == 0) | (F.col("event_id") % 4 == 0)).select("stream_id", "i", "at", "t", "event_id")
 
 
-@plans.query(
-    "sprite_sheet",
-    f'WITH {_REL}, g AS (SELECT stream_id, i, i * d // 12 AS at FROM dur, range(12) r(i)) SELECT g.stream_id, g.at, CAST(i % 4 AS INTEGER) AS col, CAST(i // 4 AS INTEGER) AS "row", rel.event_id FROM g ASOF LEFT JOIN rel ON rel.stream_id = g.stream_id AND g.at <= rel.t',
-)
+@plans.query("sprite_sheet", _grid_sql(12) + ' SELECT g.stream_id, g.at, CAST(i % 4 AS INTEGER) AS col, CAST(i // 4 AS INTEGER) AS "row", keys.event_id FROM g ASOF JOIN keys ON keys.stream_id = g.stream_id AND g.at >= keys.t')
 def sprite_sheet(spark, d):
     """The frames of a sheet of four by three for every stream, and their places."""
-    return segments.thumbnails(_rel(spark, d), ["stream_id"], "t", 12, ["event_id"], columns=4).select("stream_id", "at", "col", "row", "event_id")
+    key = (F.col("t") == 0) | (F.col("event_id") % 4 == 0)
+    return segments.thumbnails(_rel(spark, d), ["stream_id"], "t", 12, ["event_id"], columns=4, key=key).select("stream_id", "at", "col", "row", "event_id")
 
 
-@plans.query("total_frames", f"WITH {_REL} SELECT stream_id, CAST(ceil(d / 1e6 * 25) AS BIGINT) AS frames FROM dur")
+@plans.query(
+    "total_frames",
+    f"""WITH {TRACKS}, {CLIPS} SELECT timeline_id, CASE WHEN count(c.clip_id) = count(out_ns - in_ns) THEN CAST(round(coalesce(sum(out_ns - in_ns), 0) / 1e9 * 29.97::DOUBLE) AS BIGINT) END AS frames
+FROM tracks t LEFT JOIN clips c USING (track_id) WHERE kind = 'video' GROUP BY timeline_id""",
+)
 def total_frames(spark, d):
-    """Frames of each stream at 25 a second."""
-    return _rel(spark, d).groupBy("stream_id").agg(F.ceil(F.max("t") / 1e6 * 25).alias("frames"))
+    """Frames that each timeline's export has to make."""
+    return tl.total_frames(media.clips(spark, d), media.tracks(spark, d), 2997, 100)
 
 
 _STREAMS = f"{TRACKS}, {CLIPS}, st AS (SELECT timeline_id AS path, kind, track_id AS stream_index, max(end_ns) AS duration_ns, count(*) * 1000 AS size FROM tracks JOIN spans USING (track_id) GROUP BY ALL)"

@@ -345,8 +345,11 @@ def test_loudness_of_a_full_scale_tone(spark):
 
 def test_thumbnails_and_chapters(spark):
     rows = spark.createDataFrame([(1, t) for t in (0, 40, 41, 100)] + [(2, 0)], "s long, t long")
-    got = {(r.s, r.i): (r.at, r.t) for r in segments.thumbnails(rows.withColumn("k", F.col("t")), ["s"], "t", 3, ["k"]).collect()}
-    assert got == {(1, 0): (0, 0), (1, 1): (33, 40), (1, 2): (66, 100), (2, 0): (0, 0), (2, 1): (0, 0), (2, 2): (0, 0)}
+    k = rows.withColumn("k", F.col("t"))
+    got = {(r.s, r.i): (r.at, r.t) for r in segments.thumbnails(k, ["s"], "t", 3, ["k"]).collect()}
+    assert got == {(1, 0): (0, 0), (1, 1): (33, 0), (1, 2): (66, 41)}  # a group that lasts no time has none
+    got = {r.i: (r.at, r.t) for r in segments.thumbnails(k, ["s"], "t", 6, ["k"], key=F.col("t") != 41).collect()}
+    assert got == {i: (16 * i, 0 if i < 3 else 40) for i in range(6)}
     with pytest.raises(ValueError):
         segments.thumbnails(rows, ["s"], "t", 0, ["t"])
     marks = spark.createDataFrame([("a", 0, "x"), ("a", 50, "y"), ("a", 100, "late")], "path string, start_ns long, title string")
