@@ -3,8 +3,9 @@
 A suffix starts at every word and ends with its piece or after ``longest`` words. The tree of all suffixes is never
 built whole:
 
-1. Words, then pairs of frequent words, are counted by hashes of them with their language. Bitmaps of both (of bounded
-   size, they only prune) tell where a suffix can be cut: a phrase is frequent only if its words and pairs are.
+1. Words, then pairs of frequent words, then triples of frequent pairs are counted by hashes of them with their
+   language. Bitmaps of the frequent ones (of bounded size, they only prune) tell where a suffix can be cut: a phrase is
+   frequent only if its words, pairs and triples are.
 2. Equal cut suffixes, of one word or more, become one leaf with a total.
 3. Prefixes of leaves are counted word by word: one that holds more leaves than a group may is extended by its next
    word. Prefixes are dealt into groups of at most about ``budget`` leaves, and each group builds its subtrees alone:
@@ -34,6 +35,8 @@ STOPS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 MOST_BITS = 1 << 28
 #: Groups that subtrees are dealt to, at least.
 LEAST_GROUPS = 256
+#: Keys that a task counts before it hands them on, and bytes of text for a bucket of counts.
+AT_ONCE, BUCKET_BYTES = 4_000_000, 8 << 20
 
 
 def _table() -> np.ndarray:
@@ -64,68 +67,151 @@ def _words_at(w: Words, at: np.ndarray) -> list[str]:
     return [data[s:e].tobytes().lower().decode() for s, e in zip(w.start[at].tolist(), w.end[at].tolist())]
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(lang, key, n): how often each word's key occurs, without a language; and how many words a language has, without a
-    key."""
+def _bits(count: int) -> int:
+    return min(MOST_BITS, 1 << max(10, (16 * count - 1).bit_length()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for w, key, _, langs in _passages(batch):
-                keys, n = np.unique(key, return_counts=True)
-                sums = pd.Series(np.bincount(w.doc, minlength=w.n_docs)).groupby(np.array(langs[w.first : w.first + w.n_docs], object)).sum()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([*[None] * len(keys), *sums.index], pa.string()),
-                        pa.array([*keys.view(np.int64).tolist(), *[None] * len(sums)], pa.int64()),
-                        pa.array(np.concatenate((n, sums.to_numpy())).astype(np.int64)),
-                    ],
-                    names=["lang", "key", "n"],
-                )
 
-    return docs.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+_BLOBS = "bucket int, keys binary, counts binary, lang string, n long"
 
 
-def _bits(count: int) -> int:
-    return min(MOST_BITS, 1 << max(10, (16 * count - 1).bit_length()))
+class _Tally:
+    """A task's counts of 64-bit keys, handed on as blobs by bucket: the ``top`` leading bits of a key are its bucket, the
+    next 32 are kept (keys that agree in both count as one, which only prunes less). Counts stop at ``least``."""
+
+    def __init__(self, top: int, least: int):
+        self.top, self.least, self.keys, self.counts, self.held = top, least, [], [], 0
+        self.kind = np.uint8 if least < 256 else np.uint32
+
+    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.keys.append(keys >> np.uint64(32 - self.top))
+        self.counts.append(np.ones(len(keys), np.int64))
+        self.held += len(keys)
+        if self.held > AT_ONCE:
+            self._merge()
+            if self.held > AT_ONCE // 2:
+                yield from self.flush()
+
+    def _merge(self) -> None:
+        keys, where = np.unique(np.concatenate(self.keys), return_inverse=True)
+        self.counts = [np.bincount(where, np.concatenate(self.counts), len(keys)).astype(np.int64)]
+        self.keys, self.held = [keys], len(keys)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        self._merge()
+        keys, counts = self.keys[0], np.minimum(self.counts[0], self.least).astype(self.kind)
+        have, at = np.unique((keys >> np.uint64(32)).astype(np.int64), return_index=True)
+        cuts = [slice(i, j) for i, j in zip(at, [*at[1:], len(keys)])]
+        low = keys.astype("<u4")
+        none = [None] * len(have)
+        yield _blobs(have, [low[c].tobytes() for c in cuts], [counts[c].tobytes() for c in cuts], none, none)
+        self.keys, self.counts, self.held = [], [], 0
 
 
-def count_pairs(docs: DataFrame, words: bytes) -> DataFrame:
-    """(pair, n): hashes of pairs of marked words."""
-    marks = docs.sparkSession.sparkContext.broadcast(words)  # at most MOST_BITS
+def _blobs(*columns) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names=["bucket", "keys", "counts", "lang", "n"])
+
+
+def _frequent(rows: DataFrame, top: int, least: int) -> DataFrame:
+    """(key, lang, n) of blobs: the keys that reach ``least`` in all, and the sums of languages."""
+    kind = np.uint8 if least < 256 else np.uint32
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(pdf["bucket"].iloc[0])
+        if bucket < 0:
+            sums = pdf.groupby("lang")["n"].sum()
+            return pd.DataFrame({"key": [None] * len(sums), "lang": sums.index, "n": sums.to_numpy()})
+        keys, where = np.unique(np.frombuffer(b"".join(pdf["keys"]), "<u4"), return_inverse=True)
+        counts = np.bincount(where, np.frombuffer(b"".join(pdf["counts"]), kind), len(keys))
+        found = (np.uint64(bucket << 32) | keys[counts >= least].astype(np.uint64)) << np.uint64(32 - top)
+        return pd.DataFrame({"key": found.view(np.int64), "lang": None, "n": None})
+
+    return rows.groupBy("bucket").applyInPandas(run, "key long, lang string, n long")
+
+
+def count_words(docs: DataFrame, top: int, least: int) -> DataFrame:
+    """(key, lang, n): keys of words that occur ``least`` times in a language, and how many words each language has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally, langs_seen = _Tally(top, least), {}
+        for batch in batches:
+            for w, key, _, langs in _passages(batch):
+                yield from tally.add(key)
+                for x, n in zip(langs[w.first : w.first + w.n_docs], np.bincount(w.doc, minlength=w.n_docs).tolist()):
+                    langs_seen[x] = langs_seen.get(x, 0) + n
+            if len(langs_seen) > 100_000:
+                yield _lang_rows(langs_seen)
+                langs_seen = {}
+        yield from tally.flush()
+        if langs_seen:
+            yield _lang_rows(langs_seen)
+
+    return _frequent(docs.mapInArrow(run, _BLOBS), top, least)
+
+
+def _lang_rows(seen: dict[str, int]) -> pa.RecordBatch:
+    spread_to = [-1 - hashlib.blake2b(x.encode(), digest_size=1).digest()[0] for x in seen]
+    none = [None] * len(seen)
+    return _blobs(spread_to, none, none, list(seen), list(seen.values()))
+
+
+def _chains(key: np.ndarray, same: np.ndarray, marks: list) -> list[np.ndarray]:
+    """For each run of 1, 2, ... words, whether it lies in a piece and is marked, as are all its parts."""
+    ok = [marked(marks[0].value, key)]
+    for k, m in enumerate(marks[1:], 2):
+        n = len(key) - k + 1
+        now = np.zeros(len(key), bool)
+        if n > 0:
+            now[:n] = ok[-1][:n] & ok[-1][1 : n + 1]
+            if k == 2:
+                now[:n] &= same[:n]
+            now[:n] &= marked(m.value, grams(key, k))
+        ok.append(now)
+    return ok
+
+
+def count_runs(docs: DataFrame, marks: list, top: int, least: int) -> DataFrame:
+    """(key, ...): keys of runs of one word more than the last of ``marks`` that occur ``least`` times, of marked parts."""
+    k = len(marks) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally(top, least)
         for batch in batches:
             for _, key, same, _ in _passages(batch):
-                known = marked(marks.value, key)
-                pairs, n = np.unique(grams(key, 2)[same[:-1] & known[:-1] & known[1:]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(n.astype(np.int64))], names=["pair", "n"])
+                n = len(key) - k + 1
+                if n > 0:
+                    ok = _chains(key, same, marks)[-1]
+                    parts = ok[:n] & ok[1 : n + 1]
+                    yield from tally.add(grams(key, k)[parts & same[:n] if k == 2 else parts])
+        yield from tally.flush()
 
-    return docs.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return _frequent(docs.mapInArrow(run, _BLOBS), top, least)
 
 
-def leaves(docs: DataFrame, words: bytes, pairs: bytes, longest: int) -> DataFrame:
-    """(lang, path, n): suffixes that begin with a marked word, cut where a word or pair isn't marked, with their totals."""
-    sc = docs.sparkSession.sparkContext
-    word_marks, pair_marks = sc.broadcast(words), sc.broadcast(pairs)  # at most MOST_BITS each
+def leaves(docs: DataFrame, marks: list, longest: int) -> DataFrame:
+    """(lang, path, n): suffixes that begin with a marked word, cut where a word, pair or triple isn't marked, with their
+    totals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = factors(longest)
         for batch in batches:
             for w, key, same, langs in _passages(batch):
-                known = marked(word_marks.value, key)
-                goes_on = same.copy()
-                goes_on[:-1] &= known[:-1] & known[1:] & marked(pair_marks.value, grams(key, 2))
-                at = np.flatnonzero(known)
+                ok = _chains(key, same, marks)
+                at = np.flatnonzero(ok[0])
                 if not len(at):
                     continue
                 depth, path, still = np.ones(len(at), np.int64), key[at] * by[0], np.ones(len(at), bool)
                 for j in range(1, longest):
-                    still = still & goes_on[np.minimum(at + j - 1, len(key) - 1)]
+                    k = min(j + 1, len(ok))  # the last run of up to as many words as are marked ends with word j
+                    still = still & ok[k - 1][np.minimum(at + j + 1 - k, len(key) - 1)]
                     depth += still
                     path = path + np.where(still, key[np.minimum(at + j, len(key) - 1)] * by[j], np.uint64(0))
                 _, first, n = np.unique(mix(path), return_index=True, return_counts=True)
                 at, depth = at[first], depth[first]
-                texts = dict(zip(need := np.unique(np.concatenate([at + j for j in range(longest)]).clip(max=len(key) - 1)), _words_at(w, need)))
+                need = np.unique(np.concatenate([at + j for j in range(longest)]).clip(max=len(key) - 1))
+                texts = dict(zip(need.tolist(), _words_at(w, need)))
                 paths = [" ".join([texts[j] for j in range(a, a + d)]) for a, d in zip(at.tolist(), depth.tolist())]
                 lang = [langs[w.first + d] for d in w.doc[at]]
                 yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(paths, pa.string()), pa.array(n.astype(np.int64))], names=["lang", "path", "n"])
@@ -178,14 +264,19 @@ def subtrees(pdf: pd.DataFrame, least: int, longest: int) -> pd.DataFrame:
 def frequencies(docs: DataFrame, least: int = 100, longest: int = 5, budget: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, n) of all words and phrases of up to ``longest`` words that occur ``least`` times, and (lang, n) of all
     words, of documents given as (text, lang). Both are settled."""
-    counted = settle(count_words(docs).filter((F.col("n") >= least) | F.col("key").isNull()))
-    words = counted.filter("key IS NOT NULL").select("key")
-    known = bitmap(words, _bits(words.count()))
-    pairs = settle(count_pairs(docs, known).filter(F.col("n") >= least).select("pair"))
-    tree = settle(leaves(docs, known, bitmap(pairs, _bits(pairs.count())), longest))
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    top = max(8, (size // BUCKET_BYTES).bit_length())
+    counted, totals, marks = None, None, []
+    for k in range(1, min(3, longest) + 1):
+        counted = settle(count_words(docs, top, least) if k == 1 else count_runs(docs, marks, top, least))
+        totals = counted.filter("lang IS NOT NULL").select("lang", "n") if k == 1 else totals
+        keys = counted.filter("key IS NOT NULL").select("key")
+        marks.append(spark.sparkContext.broadcast(bitmap(keys, _bits(keys.count()))))  # at most MOST_BITS each
+    tree = settle(leaves(docs, marks, longest))
     nodes = grouped(tree, longest, budget).groupBy("group").applyInPandas(lambda pdf: subtrees(pdf, least, longest), "lang string, phrase string, n long")
     nodes = nodes.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return settle(nodes), counted.filter("key IS NULL").select("lang", "n")
+    return settle(nodes), totals
 
 
 def collocations(

@@ -192,6 +192,7 @@ def talk(seed):
 @pytest.mark.parametrize("budget,least_groups", [(100_000, 256), (1, 7), (20, 1)])
 def test_phrases(spark, monkeypatch, budget, least_groups):
     monkeypatch.setattr(phrases, "LEAST_GROUPS", least_groups)
+    monkeypatch.setattr(phrases, "AT_ONCE", 500 * budget)  # tasks hand on what they have counted more than once
     rows = talk(budget)
     docs = spark.createDataFrame([(t, k, 3, "z") for t, k in rows], "text string, lang string, n int, phrase string").repartition(3)
     for percent, top in ((100, 40), (50, 1000)):
@@ -208,6 +209,13 @@ def test_prefixes_are_extended(spark, monkeypatch):
     assert out.groupBy("group").count().agg({"count": "max"}).first()[0] < 60
 
 
+def test_long_thresholds_and_short_phrases(spark):
+    docs = spark.createDataFrame([("a b a b c " * 200, "en"), ("a b", None)], "text string, lang string")
+    for least, longest in ((300, 5), (250, 2), (200, 3)):
+        got = Counter(map(tuple, phrases.collocations(docs, least=least, longest=longest).collect()))
+        assert got == plain_phrases([tuple(r) for r in docs.collect()], least, longest, 2000)
+
+
 def test_phrases_of_nothing(spark):
     kind = "text string, lang string"
     assert phrases.collocations(spark.createDataFrame([], kind)).collect() == []
