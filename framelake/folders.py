@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
@@ -19,3 +19,11 @@ def shared_folder(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="framelake-")
         spark.conf.set(SETTING, named)
     return named
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, which survives lost executors, and cut from its lineage."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
