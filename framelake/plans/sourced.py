@@ -1,4 +1,5 @@
-"""Files that Spark writes from the tables, read back through the library's own formats, and the live playlist."""
+"""Files that Spark writes from the tables and reads back through the library's own formats, the live playlist, edit logs,
+and work on one stream that holds all rows."""
 
 from __future__ import annotations
 
@@ -8,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..folders import shared_folder
 from ..functions import blend as fb
+from ..operators import editlog, even
 from ..sources import pcm
 from ..streaming import playlist
 from . import media
-from .media import DAY_US, NUMBERED, PIXELS, SAMPLES, byte
+from .media import CLIPS, DAY_US, NUMBERED, PIXELS, SAMPLES, byte
 from .register import Plans
 
 plans = Plans()
@@ -84,3 +86,66 @@ def stream_playlist(spark, d):
         out = playlist.playlist_events(rows, "stream_id", "t", DAY_US, 3).writeStream.format("parquet").option("path", f"{folder}/out")
         out.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("stream_id", "action", "segment", "n", "start", "end")
+
+
+_LOG = f"""{CLIPS}, lk AS (SELECT o_orderkey AS track_id, o_orderstatus = 'F' AS lock FROM orders), free AS (SELECT clips.* FROM clips JOIN lk USING (track_id) WHERE group_id IS NULL),
+del AS (SELECT track_id, arg_min(clip_id, pos) AS clip_id FROM free WHERE track_id % 7 = 0 GROUP BY track_id), fast AS (SELECT track_id, arg_max(clip_id, pos) AS clip_id FROM free WHERE track_id % 7 < 2 GROUP BY track_id),
+gone AS (SELECT spans.track_id, clip_id, offset_ns, coalesce(footprint_ns, 0) AS f FROM (SELECT clip_id, track_id, offset_ns, CAST(floor((out_ns - in_ns) / greatest(speed, 0.01)) AS BIGINT) AS footprint_ns FROM clips) spans
+  JOIN del USING (clip_id) JOIN lk ON lk.track_id = spans.track_id WHERE NOT lock)"""
+
+
+@plans.query(
+    "edit_log",
+    f"""WITH {_LOG} SELECT c.clip_id, CASE WHEN g.clip_id IS NOT NULL AND c.offset_ns > g.offset_ns THEN greatest(0, c.offset_ns - g.f) ELSE c.offset_ns END AS offset_ns,
+CASE WHEN f.clip_id IS NOT NULL AND NOT lk.lock THEN 2.5::DOUBLE ELSE c.speed END AS speed
+FROM clips c JOIN lk USING (track_id) LEFT JOIN gone g ON g.track_id = c.track_id LEFT JOIN fast f ON f.clip_id = c.clip_id WHERE g.clip_id IS NULL OR g.clip_id <> c.clip_id""",
+)
+def edit_log(spark, d):
+    """Two edits on many tracks in one pass: the first free clip goes with a ripple, then the last one gets faster; tracks of
+    finished orders are locked and refuse both."""
+    return editlog.apply_log(*_log(spark, d), on_error="skip")[0].select("clip_id", "offset_ns", "speed")
+
+
+@plans.query(
+    "edit_log_refused",
+    f"""WITH {_LOG} SELECT del.track_id * 10 AS seq, 'track ' || del.track_id || ' is locked' AS reason FROM del JOIN lk USING (track_id) WHERE lock
+UNION ALL SELECT fast.track_id * 10 + 1, CASE WHEN lock THEN 'track ' || fast.track_id || ' is locked' ELSE 'no clip ' || fast.clip_id END FROM fast JOIN lk USING (track_id) LEFT JOIN gone ON gone.clip_id = fast.clip_id WHERE lock OR gone.clip_id IS NOT NULL""",
+)
+def edit_log_refused(spark, d):
+    return editlog.apply_log(*_log(spark, d), on_error="skip")[2]
+
+
+def _log(spark, d):
+    clips = media.clips(spark, d)
+    locks = media.table(spark, d, "orders").select(F.col("o_custkey").alias("timeline_id"), F.col("o_orderkey").alias("track_id"), (F.col("o_orderstatus") == "F").alias("lock"))
+    free = clips.filter("group_id IS NULL").join(locks, "track_id")
+    t = F.col("track_id")
+    first = free.filter(t % 7 == 0).groupBy("track_id").agg(F.min_by("clip_id", "pos").alias("clip_id")).select((t * 10).alias("seq"), F.lit("ripple_delete").alias("kind"), "clip_id")
+    last = free.filter(t % 7 < 2).groupBy("track_id").agg(F.max_by("clip_id", "pos").alias("clip_id")).select((t * 10 + 1).alias("seq"), F.lit("set_speed").alias("kind"), "clip_id")
+    more = {"track_id": "long", "clip_ids": "array<long>", "a": "long", "b": "long", "batch": "long"}
+    log = first.unionByName(last).withColumns({c: F.lit(None).cast(k) for c, k in more.items()} | {"value": F.lit(2.5)})
+    return clips, locks, log
+
+
+@plans.query(
+    "asof_one_stream",
+    f"""WITH {SAMPLES}, a AS (SELECT event_id, t_us FROM samples), k AS (SELECT t_us, max(event_id) AS key_id FROM samples WHERE event_id % 9 = 0 GROUP BY t_us)
+SELECT event_id, key_id FROM a ASOF LEFT JOIN k ON a.t_us >= k.t_us""",
+)
+def asof_one_stream(spark, d):
+    """The last ninth event at or before each event of one stream that holds all rows, dealt to even ranges."""
+    s = media.samples(spark, d).select(F.lit(0).alias("stream"), "t_us", "event_id")
+    keys = s.filter("event_id % 9 = 0").withColumnRenamed("event_id", "key_id")
+    return even.asof(s, keys, ["stream"], "t_us", ["key_id"], per_task=1000).select("event_id", "key_id")
+
+
+@plans.query(
+    "islands_one_stream",
+    f"""WITH {SAMPLES}, m AS (SELECT event_id, value >= 20 AS f, sum(CASE WHEN value >= 20 THEN 0 ELSE 1 END) OVER (ORDER BY t_us, event_id) AS island FROM samples)
+SELECT CAST(island AS BIGINT) AS island, count(*) AS n, min(event_id) AS first FROM m WHERE f GROUP BY island""",
+)
+def islands_one_stream(spark, d):
+    """Stretches without a low value in one stream that holds all rows."""
+    s = media.samples(spark, d).withColumn("stream", F.lit(0))
+    found = even.islands(s, ["stream"], ["t_us", "event_id"], F.col("value") >= 20, per_task=1000)
+    return found.groupBy(F.col("island").cast("long").alias("island")).agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
