@@ -9,6 +9,10 @@ An instance's score is the noisy-or of its patterns' weights (seeds stay 1). So
 candidates, and these for further patterns in the next round. Candidates that follow a pattern of at least
 ``confidence`` after the last round become spans too.
 
+What a context and a candidate are, as part of the patterns: a context word has up to 30 characters and lies with the next
+one within the 80 characters before an identifier on its line; a loose address has up to 64 characters on either side of
+its sign; loose numbers have 7 to 19 digits. Longer ones are no contexts and no candidates. Base spans know no such limits.
+
 All counts cover the whole corpus. The fixed patterns are possessive forms of the plain ones, equal in what they match,
 so that long texts neither backtrack nor overflow the stack.
 

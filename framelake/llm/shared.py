@@ -61,6 +61,12 @@ def drop(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def folders_in(spark: SparkSession, path: str) -> list[str]:
+    """The folders right in a folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return [s.getPath().toString() for s in where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where) if s.isDirectory()]
+
+
 def bitmap(prints: DataFrame, bits: int, slices: int = 64) -> bytes:
     """A bitmap of ``bits`` bits (a power of two, 8 * slices at least), set by the leading bits of each 64-bit value of the
     only column. Tasks' bitmaps are united by slice; the driver gets bits / 8 bytes."""

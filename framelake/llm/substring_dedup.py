@@ -8,7 +8,7 @@ with a smaller doc_id. Three steps:
    immutable runs of earlier batches; what is new becomes the next run, and runs are compacted once FANOUT of them have
    gathered. A run keeps each hash once, with whether two documents share it. The index is a folder of runs and a
    manifest: it can be opened again later, and ``dedup_batch`` then takes a new batch without any work on the pairs of
-   older documents (those that share fingerprints with the batch are read to verify).
+   older documents (the older texts are read once to verify what is shared).
 2. Verify. Shared fingerprints set bits of a bitmap of bounded size (it only prunes: a full one lets every window
    through). Windows whose fingerprint is marked are compared by 96-bit digests of their words: the least doc_id of each
    digest is found by bucket, after each task has settled what it can among its own documents. What a bucket settles
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import checkpoint_dir, drop, small_batches, spread
+from .shared import checkpoint_dir, drop, folders_in, settle, small_batches, spread
 from .words import byte_table, covered, grams, groups, sliding_least, whole, winnow
 
 WINDOW, K = 13, 6
@@ -134,10 +134,13 @@ def _compact(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs in a shared folder, and a manifest that names them."""
+    """Sorted immutable runs in a shared folder, and a manifest that names them. Runs and manifests have names of their own;
+    a run counts once a manifest names it, so work that was killed at any point is simply done again. One session writes to
+    an index at a time."""
 
     def __init__(self, spark, folder: str, *, buckets: int, shared_bits: int, runs: list[str] = (), made: int = 0, last: int | None = None):
         self.spark, self.folder, self.runs, self.made, self.last = spark, folder, list(runs), made, last
+        self.pending: tuple[list[str], int | None] | None = None
         self.bits = buckets.bit_length() - 1
         self.shared_bits = max(shared_bits, buckets * 8)
 
@@ -151,28 +154,43 @@ class FingerprintIndex:
     def open(cls, spark, folder: str) -> FingerprintIndex:
         """The index that the folder's latest manifest describes."""
         state = max((json.loads(r.value) for r in spark.read.text(f"{folder}/manifest-*").collect()), key=lambda m: m["made"])
+        for found in folders_in(spark, folder):  # what a killed session has left
+            if found.rpartition("/")[2].startswith("run-") and found.rpartition("/")[2] not in {r.rpartition("/")[2] for r in state["runs"]}:
+                drop(spark, found)
         return cls(spark, folder, **state)
 
-    def add(self, docs: DataFrame, last: int | None = None) -> np.ndarray:
+    def add(self, docs: DataFrame, last: int | None = None, commit: bool = True) -> np.ndarray:
         """Merges a batch (columns id, text), whose ids must all be larger than those added before, the largest being
-        ``last``. Gives the bitmap of its fingerprints that another of its documents or an earlier one has."""
+        ``last``. Gives the bitmap of its fingerprints that another of its documents or an earlier one has. Without
+        ``commit`` the batch belongs to the index only after ``commit()``."""
         if len(self.runs) >= FANOUT:
             self.compact()
         new = docs.mapInArrow(_prints(self.bits), _PRINTS).withColumn("run", F.lit(-1))
         for i, path in enumerate(self.runs):
             new = new.union(self.spark.read.parquet(path).select("bucket", "hashes", F.lit(None).cast("binary").alias("ids"), "multi", F.lit(i).alias("run")))
-        path = f"{self.folder}/run-{self.made}"
+        path = self._fresh()
         new.groupBy("bucket").applyInPandas(_merge(self.bits, self.shared_bits), f"{_RUN}, marks binary").write.parquet(path)
         width = self.shared_bits // 8 >> self.bits
         out = np.zeros(self.shared_bits // 8, np.uint8)
         for bucket, marks in self.spark.read.parquet(path).select("bucket", "marks").toLocalIterator():  # shared_bits / 8 bytes in all
             out[bucket * width : (bucket + 1) * width] |= np.frombuffer(marks, np.uint8)
-        self._replace([*self.runs, path], last if last is not None else self.last)
+        self.pending = ([*self.runs, path], last if last is not None else self.last)
+        if commit:
+            self.commit()
         return out
 
+    def commit(self) -> None:
+        """Names the batch that was added last in the manifest."""
+        if self.pending:
+            self._replace(*self.pending)
+            self.pending = None
+
+    def _fresh(self) -> str:
+        return f"{self.folder}/run-{self.made}-{uuid.uuid4().hex}"
+
     def compact(self) -> None:
         """All runs become one."""
-        path, old = f"{self.folder}/run-{self.made}", self.runs
+        path, old = self._fresh(), self.runs
         self.spark.read.parquet(*old).select("bucket", "hashes", "multi").groupBy("bucket").applyInPandas(_compact, _RUN).write.parquet(path)
         self._replace([path], self.last)
         for run in old:  # the manifest no longer names them
@@ -181,7 +199,7 @@ class FingerprintIndex:
     def _replace(self, runs: list[str], last: int | None) -> None:
         self.runs, self.made, self.last = runs, self.made + 1, last
         state = {"buckets": 1 << self.bits, "shared_bits": self.shared_bits, "runs": self.runs, "made": self.made, "last": self.last}
-        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.text(f"{self.folder}/manifest-{self.made}")
+        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.text(f"{self.folder}/manifest-{self.made}-{uuid.uuid4().hex}")
 
 
 _ASKED = "bucket int, id long, one binary, two binary, ids binary, who binary"
@@ -348,18 +366,24 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
 def dedup_batch(index: FingerprintIndex, docs: DataFrame, history: DataFrame | None = None, *, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The same for a batch of new documents, whose ids are all larger than those in the index: they lose what earlier
     documents of the batch or of ``history`` (all documents added before, with their texts) hold, and join the index.
-    Null ids lose words as ever but are not remembered."""
+    Null ids lose words as ever but are not remembered.
+
+    The result is settled before the manifest names the batch: a session that dies on the way leaves the index as it was,
+    and the batch can be given again. Verifying reads the texts of ``history`` once (windows whose fingerprint isn't shared
+    are passed over; their digests aren't stored, which would take several times the texts' size)."""
     spark = docs.sparkSession
     named, slim = _named(docs, doc_id, text)
     low, high = slim.filter(F.col("id") < NULL_FROM).agg(F.min("id"), F.max("id")).first()
     if low is not None and index.last is not None and low <= index.last:
         raise ValueError(f"doc_id {low} isn't larger than {index.last}, which the index holds")
     low = NULL_FROM if low is None else low
-    marks = index.add(slim, high)
+    marks = index.add(slim, high, commit=False)
     asked = slim
     if history is not None:
         asked = slim.unionByName(_named(history.filter(F.col(doc_id) < low), doc_id, text)[1])
-    return _removed(named, asked, index, marks, f"{checkpoint_dir(spark)}/substrings-{uuid.uuid4().hex}", text, keep, low)
+    done = settle(_removed(named, asked, index, marks, f"{checkpoint_dir(spark)}/substrings-{uuid.uuid4().hex}", text, keep, low))
+    index.commit()
+    return done
 
 
 def _removed(named: DataFrame, asked: DataFrame, index: FingerprintIndex, marked_prints: np.ndarray, folder: str, text: str, keep: list[str] | None, low: int | None = None) -> DataFrame:

@@ -25,6 +25,10 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 VOCAB = "the of and to in is it for on with as was at by an be this that from or are ähm né éa über".split()
 
 
+def sha(x):
+    return hashlib.sha256(x.encode()).hexdigest()
+
+
 def words(rng, n):
     return " ".join(rng.choice(VOCAB) for _ in range(n))
 
@@ -467,6 +471,37 @@ def test_substring_index_grows_and_is_opened_again(spark, tmp_path):
         substring_dedup.dedup_batch(substring_dedup.FingerprintIndex.open(spark, folder), df.filter("doc_id = 3"))
 
 
+def test_index_survives_a_killed_write(spark, tmp_path, monkeypatch):
+    docs = [(i, t) for i, t in corpus(5) if t]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {d: (n, gone, sha(kept)) for d, n, gone, kept in substring_dedup.brute_force(docs)}
+    folder = str(tmp_path / "index")
+    Index = substring_dedup.FingerprintIndex
+    index, rows, last = Index.for_size(spark, folder, 10_000), {}, -1
+    cuts = [docs[len(docs) * k // 4][0] for k in range(1, 4)] + [docs[-1][0] + 1]
+
+    def dies(*a, **k):
+        raise RuntimeError("killed")
+
+    for k, cut in enumerate(cuts):
+        batch, history = df.filter((F.col("doc_id") > last) & (F.col("doc_id") < cut)), df.filter(F.col("doc_id") <= last)
+        for step in ("_replace", "compact", "commit"):  # before the manifest, in compaction, after the result
+            with monkeypatch.context() as m:
+                m.setattr(Index, step, dies)
+                if step != "compact" or len(index.runs) >= substring_dedup.FANOUT:
+                    with pytest.raises(RuntimeError, match="killed"):
+                        substring_dedup.dedup_batch(index, batch, history if k else None)
+            index = Index.open(spark, folder) if k else Index.for_size(spark, folder, 10_000)
+        got = substring_dedup.dedup_batch(index, batch, history if k else None)
+        rows |= {r.doc_id: (r.n_words, r.n_removed, sha(r.kept_text)) for r in got.collect()}
+        last = cut - 1 if cut - 1 in dict(docs) else max(d for d, _ in docs if d < cut)
+        index = Index.open(spark, folder)
+    assert rows == want
+    runs = [x for x in (tmp_path / "index").iterdir() if x.name.startswith("run-")]
+    assert len(runs) == len(index.runs)  # what was left behind is swept
+
+
+
 def test_near_duplicates(spark, docs):
     rows = corpus()
     want = sorted(near_dup.brute_force(rows), key=repr)
