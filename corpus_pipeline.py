@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written and read again as the next one's docs.
 All but the last give the columns of documents. In every stage null and empty texts, very long texts and null doc_ids
-follow the operator's rules (see its module); extra columns of docs are kept, whatever their names; an empty table gives
-an empty result.
+follow the operator's rules (see its module); extra columns of docs are kept, whatever their names, by all stages but the
+last, which keeps doc_id, lang and source; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,13 +39,15 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """One document of each group of near copies stays: the one with the least doc_id, and of its repeated rows one.
     Documents without words, and rows with a null doc_id, all stay."""
     found = near_dup.near_duplicates(docs.select("doc_id", "text"))
-    kept = settle(found.filter("kept").groupBy(F.col("doc_id").alias("kept_id")).agg(F.max("n_shingles").alias("_n"), F.count("*").alias("_rows")))
-    once = kept.filter("_rows = 1 OR kept_id IS NULL OR _n = 0").select("kept_id")
-    twice = kept.filter("_rows > 1 AND kept_id IS NOT NULL AND _n > 0").select("kept_id")
-    single = docs.join(once, docs.doc_id.eqNullSafe(once.kept_id), "left_semi")
+    named = found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id")
+    kept = settle(named.agg(F.max("n_shingles").alias("_n"), F.count("*").alias("_rows")))
+    once = kept.filter("_rows = 1 OR _n = 0").select("doc_id")
+    twice = kept.filter("_rows > 1 AND _n > 0").select("doc_id")
+    # Rows without a doc_id stay where they are: as a join's key they would all meet in one task.
+    single = docs.filter("doc_id IS NULL").unionByName(docs.join(once, "doc_id", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns)))
     if not twice.take(1):
         return single
-    repeated = docs.join(twice, docs.doc_id == twice.kept_id, "left_semi").dropDuplicates(["doc_id", "text"])
+    repeated = docs.join(twice, docs.doc_id == twice.doc_id, "left_semi").dropDuplicates(["doc_id", "text"])
     return single.unionByName(repeated)
 
 
