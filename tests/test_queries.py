@@ -49,7 +49,7 @@ def test_every_turn_is_on_screen(spark):
 
 def test_every_frame_has_a_histogram(spark):
     frames = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").distinct()
-    assert QUERIES["histogram_256_whole"](spark, SF).count() == frames.count() * 4 * 256
+    assert QUERIES["histogram_256"](spark, SF).count() == frames.count() * 4 * 256
 
 
 def test_entry_points(spark):
