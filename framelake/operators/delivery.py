@@ -96,6 +96,24 @@ def solid(spark: SparkSession, frames: int, w: int, h: int, colour: tuple[float,
     return spark.range(frames * w * h).select(F.floor(i / (w * h)).alias("frame_no"), (i % w).cast("int").alias("x"), (F.floor(i / w) % h).cast("int").alias("y"), *(F.lit(float(v)).alias(c) for v, c in zip(colour, "rgb")))
 
 
+def tones(sources: DataFrame, keep: list[str], rate: int, amplitude: float = 1.0) -> DataFrame:
+    """(keep, n, value): a tone for each source (frequency, count); a frequency that is null is silence."""
+    if rate <= 0:
+        raise ValueError("a generated source needs a rate")
+    n = F.explode(F.when(F.col("count") > 0, F.sequence(F.lit(0).cast("long"), F.col("count").cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))).alias("n")
+    each = sources.select(*keep, "frequency", n)
+    value = F.coalesce(amplitude * F.sin(F.col("n") * (2 * 3.141592653589793 * F.col("frequency") / rate)), F.lit(0.0))
+    return each.select(*keep, "n", value.alias("value"))
+
+
+def solids(sources: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, frame_no, x, y, r, g, b): frames of one colour for each source (frames, w, h, r, g, b)."""
+    size = F.col("w") * F.col("h")
+    cells = F.explode(F.when((size > 0) & (F.col("frames") > 0), F.sequence(F.lit(0).cast("long"), F.col("frames") * size - 1)).otherwise(F.array().cast("array<bigint>"))).alias("_i")
+    each = sources.select(*keep, "w", "h", *"rgb", cells)
+    return each.select(*keep, F.floor(F.col("_i") / size).alias("frame_no"), (F.col("_i") % F.col("w")).cast("int").alias("x"), (F.floor(F.col("_i") / F.col("w")) % F.col("h")).cast("int").alias("y"), *"rgb")
+
+
 def concatenated(blocks: DataFrame, by: list[str], order: str, values: str) -> DataFrame:
     """Blocks of samples (by, order, an array) as one run of samples (by, n, value): offsets come from the blocks' sizes,
     so no samples are sorted or gathered."""

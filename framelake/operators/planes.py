@@ -112,9 +112,9 @@ def unsharp(frames: DataFrame, amount: float | str, planes: list[str] = RGB, siz
 
 
 def unsharp_luma_chroma(frames: DataFrame, luma: float, chroma: float, size: int = 5, planes: tuple[str, str, str] = ("y", "u", "v")) -> DataFrame:
-    """Sharpened by one amount for the first plane and one for the others (within [-2, 5]); an amount below 0 blurs."""
-    if not all(-2 <= a <= 5 for a in (luma, chroma)) or size % 2 == 0:
-        raise ValueError("amounts lie within [-2, 5], sizes are odd")
+    """Sharpened by one amount for the first plane and one for the others (within [-1.5, 1.5]); an amount below 0 blurs."""
+    if not all(-1.5 <= a <= 1.5 for a in (luma, chroma)) or size % 2 == 0:
+        raise ValueError("amounts lie within [-1.5, 1.5], sizes are odd")
     amounts = dict(zip(planes, (luma, chroma, chroma)))
     return mapped(frames, lambda p: {c: x + amounts[c] * (x - boxed(x, size)) if amounts[c] else x for c, x in p.items()}, list(planes))
 

@@ -78,6 +78,13 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, take: list[s
     return both.select(*by, on, "_left.*", *(F.col("_found")[c].alias(c) for c in take))
 
 
+def points(at: DataFrame, frames: DataFrame, by: list[str], t: str, take: list[str]) -> DataFrame:
+    """``at`` with the first frame at or after each time; raises when executed if there is none."""
+    found = asof(at, frames, by, t, take, forward=True)
+    none = F.raise_error(F.concat(F.lit("no frame at "), F.col(t).cast("string")))
+    return found.withColumns({c: F.coalesce(F.col(c), none.cast(found.schema[c].dataType)) for c in take[:1]})
+
+
 def sample_grid(rows: DataFrame, by: list[str], t: str, step: int, take: list[str]) -> DataFrame:
     """The first row at or after each of 0, step, 2 step ... before the group's end; grid points without one are
     skipped."""

@@ -277,11 +277,17 @@ def ripple_delete(clips: DataFrame, clip_id: int) -> DataFrame:
     return _shifted(rest, gone, -F.col("_f"))
 
 
+#: Changes of one edit up to which they are broadcast; a group has few clips.
+MOST_CHANGES = 100_000
+
+
 def _shifted(rest: DataFrame, gone: DataFrame, by: Column) -> DataFrame:
     """Clips moved by the sum of what happened before them on their track."""
-    total = rest.join(gone, (rest.track_id == gone.track_id) & (rest.offset_ns > gone._o), "left").groupBy(rest.clip_id).agg(F.sum(by).alias("_by"))
-    moved = rest.join(total, "clip_id", "left")
-    return moved.withColumn("offset_ns", F.greatest(F.lit(0), F.col("offset_ns") + F.coalesce("_by", F.lit(0))).cast("long")).select(rest.columns)
+    parts = gone.select("track_id", F.struct(F.col("_o").alias("at"), by.alias("by")).alias("p")).filter("p.by IS NOT NULL").groupBy("track_id").agg(F.collect_list("p").alias("_parts"))
+    small = gone.limit(MOST_CHANGES + 1).count() <= MOST_CHANGES
+    met = rest.join(F.broadcast(parts) if small else parts, "track_id", "left")
+    total = F.aggregate("_parts", F.lit(0).cast("long"), lambda s, p: s + F.when(p["at"] < F.col("offset_ns"), p["by"].cast("long")).otherwise(0))
+    return met.withColumn("offset_ns", F.greatest(F.lit(0), F.col("offset_ns") + F.coalesce(total, F.lit(0))).cast("long")).select(rest.columns)
 
 
 def ripple_trim(clips: DataFrame, clip_id: int, in_ns: int, out_ns: int) -> DataFrame:

@@ -47,9 +47,15 @@ def preset_limits(spark, d):
     return dv.preset_faults(tried.withColumnRenamed("preset", "name"), keep=["p_partkey"]).select("p_partkey", "fault")
 
 
-@plans.query("preset_catalogue", "SELECT * FROM (VALUES ('bluray_1080p', 1080, 24.0::DOUBLE, 'ac3'), ('instagram_reels', 1920, 30.0, 'aac'), ('instagram_square', 1080, 30.0, 'aac'), ('lossless_rgb', NULL, NULL, 'flac'), ('podcast_mono', NULL, NULL, 'aac'), ('twitter', 720, 30.0, 'aac'), ('web_h264', 720, 30.0, 'opus'), ('youtube_1080p', 1080, 30.0, 'aac'), ('youtube_4k', 2160, 30.0, 'aac')) AS v(name, height, fps, audio_codec)")
+@plans.query(
+    "preset_catalogue",
+    """SELECT p_partkey, name, height, fps, audio_codec FROM part JOIN (SELECT *, row_number() OVER (ORDER BY name) - 1 AS i FROM (VALUES ('bluray_1080p', 1080, 24.0::DOUBLE, 'ac3'), ('instagram_reels', 1920, 30.0, 'aac'), ('instagram_square', 1080, 30.0, 'aac'), ('lossless_rgb', NULL, NULL, 'flac'), ('podcast_mono', NULL, NULL, 'aac'), ('twitter', 720, 30.0, 'aac'), ('web_h264', 720, 30.0, 'opus'), ('youtube_1080p', 1080, 30.0, 'aac'), ('youtube_4k', 2160, 30.0, 'aac')) AS v(name, height, fps, audio_codec)) ON p_partkey % 9 = i""",
+)
 def preset_catalogue(spark, d):
-    return dv.presets(spark).select("name", "height", "fps", "audio_codec")
+    """Each part exported by one of the presets, taken in turn by name."""
+    names = F.array_sort(F.array(*(F.lit(r.name) for r in dv.presets(spark).select("name").collect())))
+    asked = media.table(spark, d, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % F.size(names)).cast("int")).alias("name"))
+    return asked.join(F.broadcast(dv.presets(spark)), "name").select("p_partkey", "name", "height", "fps", "audio_codec")
 
 
 @plans.query(
@@ -79,14 +85,27 @@ def image_sequence(spark, d):
     return dv.sequence_frames(media.table(spark, d, "customer").select(name.alias("path")), 24.0).select("folder", "number", "ts_ns")
 
 
-@plans.query("generated_tone", "SELECT range AS n, round(0.5 * sin(range * (2 * 3.141592653589793::DOUBLE * 440 / 48000)), 9) AS value FROM range(4800)")
+@plans.query(
+    "generated_tone",
+    "SELECT s_suppkey, range AS n, round(CASE WHEN s_suppkey % 5 = 0 THEN 0.0 ELSE 0.5 * sin(range * (2 * 3.141592653589793::DOUBLE * (220 + s_suppkey % 220) / 48000)) END, 9) AS value FROM supplier, range(50) WHERE range < 10 + s_suppkey % 40",
+)
 def generated_tone(spark, d):
-    return dv.generated(spark, "tone", 4800, 48_000, amplitude=0.5).select("n", F.round("value", 9).alias("value"))
+    """A tone for each supplier, of its own pitch and length; every fifth is silent."""
+    k = F.col("s_suppkey")
+    sources = media.table(spark, d, "supplier").select(k, F.when(k % 5 != 0, 220 + k % 220).alias("frequency"), (10 + k % 40).alias("count"))
+    return dv.tones(sources, ["s_suppkey"], 48_000, 0.5).select("s_suppkey", "n", F.round("value", 9).alias("value"))
 
 
-@plans.query("generated_solid", "SELECT i // 12 AS frame_no, CAST(i % 4 AS INTEGER) AS x, CAST(i // 4 % 3 AS INTEGER) AS y, 0.25::DOUBLE AS r, 0.5::DOUBLE AS g, 1.0::DOUBLE AS b FROM range(60) t(i)")
+@plans.query(
+    "generated_solid",
+    """SELECT p_partkey, i // (w * h) AS frame_no, CAST(i % w AS INTEGER) AS x, CAST(i // w % h AS INTEGER) AS y, p_partkey % 5 / 4.0::DOUBLE AS r, 0.5::DOUBLE AS g, p_partkey % 3 / 2.0::DOUBLE AS b
+FROM (SELECT p_partkey, 2 + p_partkey % 3 AS w, 1 + p_partkey % 2 AS h FROM part), range(24) t(i) WHERE i < 3 * w * h""",
+)
 def generated_solid(spark, d):
-    return dv.solid(spark, 5, 4, 3, (0.25, 0.5, 1.0))
+    """Three frames of one colour for each part, of its own size."""
+    k = F.col("p_partkey")
+    sources = media.table(spark, d, "part").select(k, F.lit(3).alias("frames"), (2 + k % 3).alias("w"), (1 + k % 2).alias("h"), (k % 5 / 4).alias("r"), F.lit(0.5).alias("g"), (k % 3 / 2).alias("b"))
+    return dv.solids(sources, ["p_partkey"])
 
 
 _BLOCKS = "b AS (SELECT vec_id % 7 AS stream_id, vec_id AS t, list_transform(embedding[1:vec_id % 5 + 1], lambda v: round(CAST(v AS DOUBLE), 6)) AS v FROM embeddings)"
@@ -156,13 +175,6 @@ def stream_gaps_stateful(spark, d):
     return out.select("stream_id", "n", "gaps")
 
 
-@plans.query("stream_flushed_segments", f"WITH {SAMPLES} SELECT stream_id, t_us // {DAY_US} AS day, count(*) AS n FROM samples GROUP BY ALL")
-def stream_flushed_segments(spark, d):
-    """Live segments with what is still open when the input ends."""
-    out = _streamed(spark, d, lambda e: live.live_segments(e, ["stream_id"], "ts", "1 day").select("stream_id", F.col("w.start").alias("s"), "n"), mode="complete", sink="whole")
-    return out.select("stream_id", F.floor(F.unix_micros("s") / DAY_US).alias("day"), "n")
-
-
 @plans.query("stream_fan_out", f"WITH {SAMPLES} SELECT target, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM samples, (VALUES ('a'), ('b')) v(target) GROUP BY target")
 def stream_fan_out(spark, d):
     """Every batch delivered to two targets."""

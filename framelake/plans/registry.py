@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import audio, delivery, extras, levels, pictures, sourced, steps, timelines
+from . import audio, delivery, extras, levels, more, pictures, sourced, steps, timelines
 
 FLAGSHIP = "waveform_gap_filled"
-MODULES = (levels, audio, pictures, timelines, extras, steps, delivery, sourced)
+MODULES = (levels, audio, pictures, timelines, extras, steps, delivery, sourced, more)
 
 
 def queries() -> dict:

@@ -73,6 +73,16 @@ SELECT stream_id, 'add' AS action, segment, n, start, "end" FROM r UNION ALL SEL
 def stream_playlist(spark, d):
     """A live playlist of three days for each stream, in append mode: the events come in three parts, a second query goes on
     from the first one's state, and marks at the end flush what is open."""
+    return _live(spark, d, 3)
+
+
+@plans.query("stream_flushed_segments", f"WITH {SAMPLES} SELECT stream_id, t_us // {DAY_US} AS day, count(*) AS n FROM samples GROUP BY ALL")
+def stream_flushed_segments(spark, d):
+    """Live segments with what is still open when the input ends, in append mode."""
+    return _live(spark, d, 1).filter("action = 'add'").select("stream_id", F.col("segment").alias("day"), "n")
+
+
+def _live(spark, d, keep: int):
     folder = _folder(spark, "playlist")
     events = media.samples(spark, d).select("stream_id", F.timestamp_micros("t_us").alias("t"), F.lit(False).alias("last"))
     lo, hi = events.agg(F.min(F.unix_micros("t")), F.max(F.unix_micros("t"))).first()
@@ -83,7 +93,7 @@ def stream_playlist(spark, d):
         for part in parts:
             part.coalesce(1).write.mode("append").parquet(f"{folder}/in")  # a file a part, taken in order
         rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-        out = playlist.playlist_events(rows, "stream_id", "t", DAY_US, 3).writeStream.format("parquet").option("path", f"{folder}/out")
+        out = playlist.playlist_events(rows, "stream_id", "t", DAY_US, keep).writeStream.format("parquet").option("path", f"{folder}/out")
         out.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("stream_id", "action", "segment", "n", "start", "end")
 

@@ -395,18 +395,30 @@ def _folder(spark) -> str:
     return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
-@plans.query("read_cube", "SELECT CAST(i % 3 AS INTEGER) AS r_idx, CAST(i // 3 % 3 AS INTEGER) AS g_idx, CAST(i // 9 AS INTEGER) AS b_idx, i % 3 / 2.0::DOUBLE AS r, i // 9 / 2.0::DOUBLE AS g, i // 3 % 3 / 4.0::DOUBLE AS b FROM range(27) t(i)")
-def read_cube(spark, d):
-    """A cube file of three points a side, written and read."""
-    rows = F.concat_ws("\n", *(F.lit(f"{i % 3 / 2} {i // 9 / 2} {i // 3 % 3 / 4}") for i in range(27)))
+_CUBES = "c AS (SELECT vec_id // 27 AS cube, vec_id % 27 AS i, vec_id % 100 AS r, vec_id % 41 AS g, vec_id % 7 AS b, count(*) OVER (PARTITION BY vec_id // 27) AS n FROM embeddings)"
+
+
+def _cube_files(spark, d, head: str, line):
+    """A file for each 27 frames, in a folder with its number; read as whole texts."""
+    k = F.col("vec_id")
+    rows = media.table(spark, d, "embeddings").select(F.floor(k / 27).alias("cube"), (k % 27).alias("i"), line(k).alias("l"))
+    files = rows.groupBy("cube").agg(F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "l"))), lambda x: x["l"]), "\n")).alias("value"), F.count("*").alias("n"))
     where = _folder(spark)
-    spark.range(1).select(F.concat(F.lit('TITLE "t"\n# note\nLUT_3D_SIZE 3\n'), rows).alias("value")).coalesce(1).write.text(where)
-    return documents.read_cube(spark, where)[0]
+    files.filter("n = 27").drop("n").repartition("cube").write.partitionBy("cube").text(where)
+    return spark.read.schema("value string, cube long").text(where, wholetext=True)
+
+
+@plans.query("read_cube", f"WITH {_CUBES} SELECT cube, CAST(i % 3 AS INTEGER) AS r_idx, CAST(i // 3 % 3 AS INTEGER) AS g_idx, CAST(i // 9 AS INTEGER) AS b_idx, r / 100.0::DOUBLE AS r, g / 100.0::DOUBLE AS g, b / 100.0::DOUBLE AS b FROM c WHERE n = 27")
+def read_cube(spark, d):
+    """Cube files of three points a side, written and read."""
+    number = lambda v: F.concat(F.floor(v / 100), F.lit("."), F.lpad((v % 100).cast("string"), 2, "0"))
+    files = _cube_files(spark, d, 'TITLE "t"\n# note\nLUT_3D_SIZE 3\n', lambda k: F.concat_ws(" ", number(k % 100), number(k % 41), number(k % 7)))
+    return documents.parse_cubes(files, ["cube"]).drop("size")
 
 
 @plans.query("read_projects", "SELECT c_custkey AS clip_id, CASE c_nationkey % 3 WHEN 0 THEN 30000 WHEN 1 THEN 25 ELSE 24000 END AS fps_num, CASE c_nationkey % 3 WHEN 1 THEN 1 ELSE 1001 END AS fps_den, 2 AS format_version FROM customer")
 def read_projects(spark, d):
-    """A project file for every customer, of three versions, written and read."""
+    """A project file for every customer, of three versions, parsed."""
     c = media.table(spark, d, "customer")
     clips = F.concat(F.lit('"clips":[{"clip_id":'), F.col("c_custkey").cast("string"), F.lit("}]"))
     kind = F.col("c_nationkey") % 3
@@ -447,14 +459,12 @@ def edit_add_effect(spark, d):
     return tl.add_effect(e, spark.createDataFrame([(0, 0, 0, "glow")], "clip_id long, pos long, effect_id long, kind string"), 1)
 
 
-@plans.query("read_3dl", "SELECT CAST(i // 9 AS INTEGER) AS r_idx, CAST(i // 3 % 3 AS INTEGER) AS g_idx, CAST(i % 3 AS INTEGER) AS b_idx, round(i % 3 * 2000 / 4095.0::DOUBLE, 9) AS r, round(i // 9 * 1000 / 4095.0::DOUBLE, 9) AS g, round(i // 3 % 3 / 4095.0::DOUBLE, 9) AS b FROM range(27) t(i)")
+@plans.query("read_3dl", f"WITH {_CUBES} SELECT cube, CAST(i // 9 AS INTEGER) AS r_idx, CAST(i // 3 % 3 AS INTEGER) AS g_idx, CAST(i % 3 AS INTEGER) AS b_idx, round(r * 40 / 4095.0::DOUBLE, 9) AS r, round(g / 4095.0::DOUBLE, 9) AS g, round(CASE WHEN i = 5 THEN 4000 ELSE b END / 4095.0::DOUBLE, 9) AS b FROM c WHERE n = 27")
 def read_3dl(spark, d):
-    """A file of three points a side in 12 bits, written and read."""
-    rows = F.concat_ws("\n", *(F.lit(f"{i % 3 * 2000} {i // 9 * 1000} {i // 3 % 3}") for i in range(27)))
-    where = _folder(spark)
-    spark.range(1).select(F.concat(F.lit("# note\n0 512 1023 1023\n"), rows).alias("value")).coalesce(1).write.text(where)
-    cube = documents.read_3dl(spark, where)[0]
-    return cube.select("r_idx", "g_idx", "b_idx", *(F.round(c, 9).alias(c) for c in RGB))
+    """Files of three points a side in 12 bits, written and read."""
+    blue = lambda k: F.when(k % 27 == 5, 4000).otherwise(k % 7)
+    files = _cube_files(spark, d, "# note\n0 512 1023 1023\n", lambda k: F.concat_ws(" ", k % 100 * 40, k % 41, blue(k)))
+    return documents.parse_3dls(files, ["cube"]).select("cube", "r_idx", "g_idx", "b_idx", *(F.round(c, 9).alias(c) for c in RGB))
 
 
 _A, _B = ("(event_id % 12 - 5)", "(event_id % 7 + 1)"), ("(event_id % 5 - 2)", "(event_id % 9 + 1)")

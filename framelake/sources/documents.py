@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PROJECT = "format_version int, timeline struct<canvas_w:int,canvas_h:int,fps:double,fps_num:int,fps_den:int,clips:array<struct<track_id:bigint,clip_id:bigint,in_ns:bigint,out_ns:bigint,offset_ns:bigint,speed:double>>>"
@@ -10,36 +10,68 @@ PROJECT = "format_version int, timeline struct<canvas_w:int,canvas_h:int,fps:dou
 STANDARD_RATES = [(23.976, 24000, 1001), (29.97, 30000, 1001), (59.94, 60000, 1001), (47.952, 48000, 1001), (119.88, 120000, 1001)]
 
 
-def read_cube(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    """A .cube file as (r_idx, g_idx, b_idx, r, g, b) and its size; red runs fastest."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "l"))
-    size = lines.filter(F.col("l").startswith("LUT_3D_SIZE")).select(F.element_at(F.split(F.trim("l"), r"\s+"), -1).cast("int")).first()
+_NUMBER = r"^\s*([-+0-9.eE]+)\s+([-+0-9.eE]+)\s+([-+0-9.eE]+)\s*$"
+_WHOLE = r"^\s*([0-9]+)\s+([0-9]+)\s+([0-9]+)\s*$"
+
+
+def _entries(raw: DataFrame, keep: list[str], pattern: str) -> DataFrame:
+    """(keep, _lines, _i, r, g, b as text): the lines of three numbers of each file's ``value``, numbered."""
+    lines = raw.withColumn("_lines", F.split("value", r"\r?\n"))
+    rows = lines.select(*keep, "_lines", F.filter("_lines", lambda x: x.rlike(pattern)).alias("_rows"))
+    each = rows.select(*keep, "_lines", F.size("_rows").alias("_count"), F.posexplode("_rows").alias("_i", "_l"))
+    return each.select(*keep, "_lines", "_count", "_i", *(F.regexp_extract("_l", pattern, k + 1).alias(c) for k, c in enumerate("rgb")))
+
+
+def _cut(good: Column, value: Column, why: str) -> Column:
+    return F.when(good, value).otherwise(F.raise_error(F.lit(why)).cast("int"))
+
+
+def parse_cubes(raw: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, size, r_idx, g_idx, b_idx, r, g, b) of each .cube file (``value``: its whole text); red runs fastest."""
+    head = F.get(F.filter("_lines", lambda x: x.startswith("LUT_3D_SIZE")), F.lit(0))
+    n = F.element_at(F.split(F.trim(head), r"\s+"), -1).cast("int")
+    e = _entries(raw, keep, _NUMBER).withColumn("size", _cut(n.isNotNull(), n, "no LUT_3D_SIZE"))
+    i, n = F.col("_i"), F.col("size")
+    return e.select(*keep, "size", (i % n).alias("r_idx"), (F.floor(i / n) % n).cast("int").alias("g_idx"), F.floor(i / (n * n)).cast("int").alias("b_idx"), *(F.col(c).cast("double").alias(c) for c in "rgb"))
+
+
+def parse_3dls(raw: DataFrame, keep: list[str]) -> DataFrame:
+    """The same of each .3dl file: a line of mesh points, then whole numbers, blue fastest, up to the largest value of 10, 12
+    or 16 bits that a file's need."""
+    lines = raw.select(*keep, "value", F.array_max(F.transform(F.filter(F.split("value", r"\r?\n"), lambda x: x.rlike(_WHOLE)), lambda x: F.array_max(F.transform(F.split(F.trim(x), r"\s+"), lambda v: v.cast("int"))))).alias("_top"))
+    e = _entries(lines, [*keep, "_top"], _WHOLE)
+    n = F.round(F.pow(F.col("_count"), F.lit(1 / 3))).cast("int")
+    e = e.withColumn("size", _cut((n >= 2) & (n * n * n == F.col("_count")), n, "entries are no cube"))
+    scale = F.when(F.col("_top") < 1024, 1023).when(F.col("_top") < 4096, 4095).when(F.col("_top") < 65536, 65535)
+    scale = _cut(scale.isNotNull(), scale, "a value is more than 16 bits hold")
+    i, n = F.col("_i"), F.col("size")
+    return e.select(*keep, "size", F.floor(i / (n * n)).cast("int").alias("r_idx"), (F.floor(i / n) % n).cast("int").alias("g_idx"), (i % n).alias("b_idx"), *((F.col(c).cast("int") / scale).alias(c) for c in "rgb"))
+
+
+def _single(cubes: DataFrame, why: str) -> tuple[DataFrame, int]:
+    size = cubes.select("size").first()
     if size is None:
+        raise ValueError(why)
+    return cubes.drop("size"), size[0]
+
+
+def read_cube(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """One .cube file as (r_idx, g_idx, b_idx, r, g, b) and its size."""
+    raw = spark.read.text(path, wholetext=True)
+    if not raw.filter(F.col("value").rlike("(?m)^LUT_3D_SIZE")).take(1):
         raise ValueError("no LUT_3D_SIZE")
-    n = size[0]
-    number = r"^\s*([-+0-9.eE]+)\s+([-+0-9.eE]+)\s+([-+0-9.eE]+)\s*$"
-    rows = lines.filter(F.col("l").rlike(number)).withColumn("i", F.row_number().over(Window.orderBy("n")) - 1)  # at most 65**3 lines
-    index = {"r_idx": F.col("i") % n, "g_idx": F.floor(F.col("i") / n) % n, "b_idx": F.floor(F.col("i") / (n * n))}
-    out = rows.select(*(v.cast("int").alias(k) for k, v in index.items()), *(F.regexp_extract("l", number, i + 1).cast("double").alias(c) for i, c in enumerate("rgb")))
-    return out, n
+    return _single(parse_cubes(raw, []), "no entries")
 
 
 def read_3dl(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    """A .3dl file as (r_idx, g_idx, b_idx, r, g, b) and its size: a line of mesh points, then whole numbers, blue
-    fastest, up to the largest value of 10, 12 or 16 bits that they need."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "l"))
-    number = r"^\s*([0-9]+)\s+([0-9]+)\s+([0-9]+)\s*$"
-    rows = lines.filter(F.col("l").rlike(number)).select("n", *(F.regexp_extract("l", number, i + 1).cast("int").alias(c) for i, c in enumerate("rgb")))
-    count, top = rows.agg(F.count("*"), F.max(F.greatest("r", "g", "b"))).first()
-    n = round(count ** (1 / 3))
-    if n < 2 or n**3 != count:
+    """One .3dl file as (r_idx, g_idx, b_idx, r, g, b) and its size."""
+    raw = spark.read.text(path, wholetext=True)
+    count, top = _entries(raw, [], _WHOLE).agg(F.count("*"), F.max(F.greatest(*(F.col(c).cast("int") for c in "rgb")))).first()
+    if count < 8 or round(count ** (1 / 3)) ** 3 != count:
         raise ValueError(f"{count} entries are no cube")
-    scale = next((float((1 << bits) - 1) for bits in (10, 12, 16) if top < 1 << bits), None)
-    if scale is None:
+    if top >= 1 << 16:
         raise ValueError(f"{top} is more than 16 bits hold")
-    placed = rows.withColumn("i", F.row_number().over(Window.orderBy("n")) - 1)  # at most 65**3 lines
-    index = {"r_idx": F.floor(F.col("i") / (n * n)), "g_idx": F.floor(F.col("i") / n) % n, "b_idx": F.col("i") % n}
-    return placed.select(*(v.cast("int").alias(k) for k, v in index.items()), *((F.col(c) / scale).alias(c) for c in "rgb")), n
+    return _single(parse_3dls(raw, []), "no entries")
 
 
 def read_projects(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,11 +61,10 @@ def gap_counts(rows: DataFrame, key: str, t: str, gap_us: int) -> DataFrame:
 
     def count(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, gaps, last = state.get if state.exists else (0, 0, None)
-        times = pd.concat([f[t] for f in frames]).sort_values()
-        for now in times.astype("datetime64[us]").astype("int64"):
-            gaps += last is not None and now - last > gap_us
-            last = now if last is None else max(last, now)
-        n += len(times)
+        times = np.sort(np.concatenate([f[t].to_numpy("datetime64[us]").view(np.int64) for f in frames]))
+        reached = np.maximum.accumulate(np.concatenate(([times[0] if last is None else last], times)))
+        gaps += int((times - reached[:-1] > gap_us).sum())
+        n, last = n + len(times), int(reached[-1])
         state.update((n, gaps, last))
         yield pd.DataFrame({key: [k[0]], "n": [n], "gaps": [gaps]})
 

@@ -204,3 +204,16 @@ def test_locks_and_batches(spark):
     assert Counter(map(tuple, same.collect())) == Counter(clips)
     with pytest.raises(ValueError):
         run([], on_error="ignore")
+
+
+def test_checks_and_points(spark):
+    from framelake.operators import checks, select
+
+    steps = [(1, "speed", {"factor": 0.05}), (2, "speed", {"factor": 1.0}), (3, "eq", {"contrast": 3.5, "tint": -2.0, "brightness": 0.0}), (4, "fade_in", {"duration": 0.0}), (5, "loudness_normalize", {"target_lufs": 0.0, "lra": 60.0}), (6, "gblur", {"sigma": float("nan")}), (7, "unknown", {"x": -1.0}), (8, "crop", {})]
+    got = checks.faults(spark.createDataFrame(steps, "step_id long, kind string, params map<string,double>"), ["step_id"])
+    assert {(r.step_id, r.param) for r in got.collect()} == {(1, "factor"), (3, "contrast"), (3, "tint"), (4, "duration"), (5, "target_lufs"), (5, "lra"), (6, "sigma")}
+    frames = spark.createDataFrame([(1, 10), (1, 20)], "s long, t long").withColumn("f", timeline.F.col("t"))
+    at = lambda t: spark.createDataFrame([(1, t)], "s long, t long")
+    assert select.points(at(11), frames, ["s"], "t", ["f"]).first().f == 20
+    with pytest.raises(Exception, match="no frame at 21"):
+        select.points(at(21), frames, ["s"], "t", ["f"]).collect()
