@@ -5,12 +5,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..folders import shared_folder
 from ..functions import blend as fb
 from ..operators import editlog, even
-from ..sources import pcm
+from ..sources import metadata, pcm
 from ..streaming import playlist
 from . import media
 from .media import CLIPS, DAY_US, NUMBERED, PIXELS, SAMPLES, byte
@@ -159,3 +160,36 @@ def islands_one_stream(spark, d):
     s = media.samples(spark, d).withColumn("stream", F.lit(0))
     found = even.islands(s, ["stream"], ["t_us", "event_id"], F.col("value") >= 20, per_task=1000)
     return found.groupBy(F.col("island").cast("long").alias("island")).agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+
+
+_MARKED = f"""{SAMPLES}, m AS (SELECT stream_id, t_us // 1000 AS start_ms, 'a=b; #' || event_id || CASE WHEN event_id % 2 = 0 THEN chr(10) || chr(92) || 'x' ELSE '' END AS title, event_id FROM samples WHERE event_id % 5 = 0),
+c AS (SELECT *, row_number() OVER w AS number, coalesce(lead(start_ms) OVER w, start_ms + 1000) AS end_ms FROM m WINDOW w AS (PARTITION BY stream_id ORDER BY start_ms, event_id))"""
+
+
+def _metadata(spark, d):
+    """A metadata file and an attachment a stream, written and read again: (stream_id, tags, chapters, attachment)."""
+    s = media.samples(spark, d).filter("event_id % 5 = 0")
+    title = F.concat(F.lit("a=b; #"), F.col("event_id").cast("string"), F.when(F.col("event_id") % 2 == 0, F.lit("\n\\x")).otherwise(""))
+    w = Window.partitionBy("stream_id").orderBy("start_ms", "event_id")
+    marks = s.select("stream_id", F.floor(F.col("t_us") / 1000).alias("start_ms"), "event_id", title.alias("title"))
+    marks = marks.withColumn("end_ms", F.coalesce(F.lead("start_ms").over(w), F.col("start_ms") + 1000))
+    files = marks.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "event_id", "end_ms", "title"))).alias("c"))
+    tags = F.create_map(F.lit("title"), F.concat(F.lit("no. #"), F.col("stream_id").cast("string")), F.lit("empty"), F.lit(None).cast("string"), F.lit("marks"), F.size("c").cast("string"))
+    chapters = F.transform("c", lambda x: F.struct(x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), x["title"].alias("title")))
+    texts = files.select("stream_id", metadata.text(tags, chapters).alias("meta"), F.encode(F.concat(F.lit("font "), F.col("stream_id").cast("string")), "UTF-8").alias("font"))
+    folder = _folder(spark, "metadata")
+    _done(metadata.write(texts, folder, "stream_id", {"meta": ".ffmeta", "font": ".ttf"}))
+    raw = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"(-?\d+)\.\w+$", 1).cast("long").alias("stream_id"), "path", F.decode("content", "UTF-8").alias("value"))
+    fonts = raw.filter(F.col("path").endswith(".ttf")).select("stream_id", F.col("value").alias("attachment"))
+    return metadata.parse(raw.filter(F.col("path").endswith(".ffmeta")), ["stream_id"]).join(fonts, "stream_id")
+
+
+@plans.query("metadata_round_trip", f"WITH {_MARKED} SELECT stream_id, 'no. #' || stream_id AS title, CAST(count(*) AS VARCHAR) AS marks, CAST(2 AS INTEGER) AS n_tags, 'font ' || stream_id AS attachment FROM c GROUP BY stream_id")
+def metadata_round_trip(spark, d):
+    return _metadata(spark, d).select("stream_id", F.col("tags")["title"].alias("title"), F.col("tags")["marks"].alias("marks"), F.size("tags").alias("n_tags"), "attachment")
+
+
+@plans.query("chapters_round_trip", f"WITH {_MARKED} SELECT stream_id, number, start_ms, end_ms, title FROM c")
+def chapters_round_trip(spark, d):
+    each = _metadata(spark, d).select("stream_id", F.posexplode("chapters").alias("i", "c"))
+    return each.select("stream_id", (F.col("i") + 1).cast("long").alias("number"), "c.start_ms", "c.end_ms", "c.title")

@@ -109,7 +109,9 @@ class _Wav:
         for at in range(begin, size, self.range):
             yield Range(path, size, at, min(size, at + self.range))
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no partitions
+            return
         with opened(self.uri, part.path) as f:
             lay = wav_layout(f, part.size)
             frames = (lay.end - lay.begin) // lay.frame
@@ -190,8 +192,8 @@ class PictureReader(ds.DataSourceReader):
         paths = [f.path for f in files(self.uri, (".pgm", ".ppm"))[1]]
         return [ds.InputPartition(paths[i : i + self.per_task]) for i in range(0, len(paths), self.per_task)]
 
-    def read(self, part: ds.InputPartition):
-        for path in part.value:
+    def read(self, part: ds.InputPartition | None):
+        for path in part.value if part else []:
             with opened(self.uri, path) as f:
                 channels, width, height = picture_head(f)
                 row = {"path": path, "width": width, "height": height, "channels": channels}

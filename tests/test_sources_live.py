@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.sources import pcm
+from framelake.sources import metadata, pcm
 from framelake.streaming import playlist
 
 
@@ -64,7 +64,7 @@ def test_wav_reads_only_what_is_asked(spark, folder):
 
 def test_wav_refuses_other_files(spark, tmp_path):
     (tmp_path / "x.wav").write_bytes(b"RIFX....WAVE")
-    with pytest.raises(Exception, match="no samples"):
+    with pytest.raises(Exception, match="RIFF|no samples"):
         pcm.read_wav(spark, str(tmp_path)).collect()
     assert pcm.read_wav(spark, str(tmp_path / "none")).count() == 0
 
@@ -166,3 +166,18 @@ def test_playlist_with_restart(spark, feed, tmp_path):
     left = {(r.k, r.segment - base): r.n for r in spark.read.parquet(folder).collect()}
     assert left == {(1, 5): 2, (1, 6): 1, (2, 0): 1}
 
+
+
+def test_metadata_files(spark):
+    value = ";FFMETADATA1\n# note\ntitle=a\\=b\\\nc\\\\\ntitle=last\nempty=\n; other\n[STREAM]\nx=1\n[CHAPTER]\nTIMEBASE=1/90000\nSTART=90000\nEND=135000\ntitle=one\\;\n[CHAPTER]\nSTART=3000000000\nEND=4000000000"
+    r = metadata.parse(spark.createDataFrame([(1, value), (2, ";FFMETADATA1")], "k long, value string"), ["k"]).orderBy("k").collect()
+    assert r[0].tags == {"title": "last", "empty": ""}
+    assert [tuple(c) for c in r[0].chapters] == [(1000, 1500, "one;"), (3000, 4000, None)]
+    assert r[1].tags == {} and r[1].chapters == []
+    odd = [({"a=b": "x;y#z\\\n\n=", "k": None}, [(0, 5, "t=\n[CHAPTER]\n"), (5, 9, None)]), (None, None), ({}, [])]
+    df = spark.createDataFrame([(i, *o) for i, o in enumerate(odd)], "k long, tags map<string,string>, chapters array<struct<start_ms:long,end_ms:long,title:string>>")
+    back = metadata.parse(df.select("k", metadata.text(F.col("tags"), F.col("chapters")).alias("value")), ["k"]).orderBy("k").collect()
+    assert back[0].tags == {"a=b": "x;y#z\\\n\n="} and [tuple(c) for c in back[0].chapters] == odd[0][1]
+    assert [(b.tags, b.chapters) for b in back[1:]] == [({}, [])] * 2
+    other = metadata.parse(df.select("k", F.lit("x=1").alias("value")), ["k"]).first()
+    assert other.tags is None and other.chapters is None
