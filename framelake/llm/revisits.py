@@ -7,7 +7,8 @@ and the headers that a 304 may update replace the stored ones; all others, the b
 Statuses: full; resolved; mismatch (there is an earlier response but no validator confirms it); orphan (none, or a null
 URL or time). Of full responses of one URL and time the smallest record id counts. Header names are case-folded; of
 names that then clash the one that sorts last counts. Rows are never dropped, repeated rows are resolved alike, and extra
-columns are kept; those named like results are replaced. Null headers are none. An empty table gives an empty result.
+columns are kept; those named like results are replaced. Null headers are none. URLs of any length are read whole and
+compared as they are. An empty table gives an empty result.
 
 The as-of join is two-level, so that no URL's records meet in one task: equal (url, time) pairs are merged first, times
 are cut into ranges by quantiles (more of them, the more records there are), windows run within (url, range), and the last response before each range is carried

@@ -119,8 +119,10 @@ def join_back(rows: DataFrame, found: DataFrame, keys: list[str], copies: str, m
     """``rows`` with the columns of ``found`` (settled; one row a key, with how many ``copies`` of it ``rows`` has), but
     ``copies``. Keys that hold over 1/most of all copies are at most ``most``: they are broadcast, so that none gathers
     in a task; the others are joined by shuffle (``how``: left or inner). Keys are not null."""
-    total = found.agg(F.sum(copies)).first()[0] or 0
-    is_hot = F.col(copies) * most > total
+    total, largest = found.agg(F.sum(copies), F.max(copies)).first()
+    is_hot = F.col(copies) * most > (total or 0)
+    if (largest or 0) * most <= (total or 0):  # nothing to broadcast
+        return rows.join(found.drop(copies), keys, how)
     hot = F.broadcast(found.filter(is_hot).drop(copies))  # fewer than ``most`` rows
     cold = rows.join(hot, keys, "left_anti").join(found.filter(~is_hot).drop(copies), keys, how)
     return rows.join(hot, keys).unionByName(cold)
@@ -149,10 +151,11 @@ def components(edges: DataFrame, most: int = 60, per_task: int = 500_000, hubs_f
         edges = edges.coalesce(tasks)
         both = edges.union(edges.selectExpr("v AS u", "u AS v")).coalesce(tasks)
         least = F.least(F.min("v"), F.first("u")).alias("m")
-        if before[0] < hubs_from:
+        found = None if before[0] < hubs_from else _hubs(both, "u", least, 2 * before[0])
+        if found is None or not found.take(1):
             near = both.join(both.groupBy("u").agg(least), "u")
         else:
-            hubs = F.broadcast(_hubs(both, "u", least, 2 * before[0]))
+            hubs = F.broadcast(found)
             others = both.join(hubs, "u", "left_anti")
             near = others.join(others.groupBy("u").agg(least), "u").unionByName(both.join(hubs, "u"))
         large = near.filter("v > u").selectExpr("v AS u", "m AS v").filter("u <> v").coalesce(tasks)
