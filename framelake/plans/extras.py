@@ -76,7 +76,8 @@ def alpha_matte(spark, d):
 
 
 def _planes(spark, d):
-    e = media.table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.floor(v * 1000).cast("long")).alias("v"))
+    # In single precision, as the SQL has it: a whole number alone would make the product double.
+    e = media.table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.floor(v * F.lit(1000).cast("float")).cast("long")).alias("v"))
     return e.select("vec_id", F.array(F.slice("v", 1, 32), F.slice("v", 33, 32)).alias("planes"), "v")
 
 
