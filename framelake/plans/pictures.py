@@ -368,10 +368,16 @@ def fill_to_aspect(spark, d):
 
 
 def _remapped(name: str, sx: str, sy: str, f) -> None:
-    """Per frame, the sums of what is shown at places weighed by their number."""
+    """Each pixel of each frame."""
     sql = f"""WITH {PIXELS}, s AS (SELECT frame_no, x, y, CAST(round({sx}) AS INTEGER) AS sx, CAST(round({sy}) AS INTEGER) AS sy FROM pixels)
-SELECT s.frame_no, CAST(sum((s.y * 8 + s.x + 1) * {byte('coalesce(p.r, 0.0)')}) AS BIGINT) AS r FROM s LEFT JOIN pixels p ON p.frame_no = s.frame_no AND p.x = s.sx AND p.y = s.sy GROUP BY s.frame_no"""
-    plans.query(name, sql)(lambda spark, d: _placed_sum(f(media.planes(spark, d))))
+SELECT s.frame_no, s.x, s.y, {byte('coalesce(p.r, 0.0)')} AS r FROM s LEFT JOIN pixels p ON p.frame_no = s.frame_no AND p.x = s.sx AND p.y = s.sy"""
+    plans.query(name, sql)(lambda spark, d: _each_pixel(f(media.planes(spark, d))))
+
+
+def _each_pixel(frames, plane="r"):
+    """A row for each pixel of a plane; no shuffle."""
+    at = frames.select("frame_no", "w", F.posexplode(plane).alias("i", "v"))
+    return at.select("frame_no", (F.col("i") % F.col("w")).alias("x"), F.floor(F.col("i") / F.col("w")).cast("int").alias("y"), fb.to_byte(F.col("v")).alias("r"))
 
 
 def _placed_sum(frames, plane="r"):
