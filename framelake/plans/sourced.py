@@ -72,8 +72,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY segment DESC)
 SELECT stream_id, 'add' AS action, segment, n, start, "end" FROM r UNION ALL SELECT stream_id, 'delete', segment, NULL, NULL, NULL FROM r WHERE left_behind > 3""",
 )
 def stream_playlist(spark, d):
-    """A live playlist of three days for each stream, in append mode: the events come in three parts, a second query goes on
-    from the first one's state, and marks at the end flush what is open."""
+    """A live playlist of three days for each stream, in append mode: the events come in three parts, each by a query
+    that goes on from the state of the one before, and marks with the last part flush what is open."""
     return _live(spark, d, 3)
 
 
@@ -90,10 +90,9 @@ def _live(spark, d, keep: int):
     cuts = [lo + (hi - lo) * i // 3 for i in (1, 2)]
     third = F.when(F.unix_micros("t") <= cuts[0], 0).when(F.unix_micros("t") <= cuts[1], 1).otherwise(2)
     marks = events.groupBy("stream_id").agg(F.max("t").alias("t")).withColumn("last", F.lit(True))
-    for parts in ([events.filter(third == 0), events.filter(third == 1)], [events.filter(third == 2), marks]):
-        for part in parts:
-            part.coalesce(1).write.mode("append").parquet(f"{folder}/in")  # a file a part, taken in order
-        rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    for part in (events.filter(third == 0), events.filter(third == 1), events.filter(third == 2).unionByName(marks)):
+        part.write.mode("append").parquet(f"{folder}/in")  # a batch a part; each query goes on from the state before it
+        rows = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
         out = playlist.playlist_events(rows, "stream_id", "t", DAY_US, keep).writeStream.format("parquet").option("path", f"{folder}/out")
         out.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("stream_id", "action", "segment", "n", "start", "end")
