@@ -22,8 +22,8 @@ from pyspark.sql.types import StructType
 
 WAV = "path string, n long, ch int, value double, rate int"
 PICTURE = "path string, width int, height int, channels int, plane binary"
-#: Bytes of a range, and frames decoded at once.
-RANGE, AT_ONCE = 32 << 20, 1 << 16
+#: Bytes of a range and of a task, bytes that a file counts for at least in a task, and frames decoded at once.
+RANGE, SMALL, AT_ONCE = 32 << 20, 256 << 10, 1 << 16
 INT, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
 
 
@@ -99,6 +99,11 @@ class Range(ds.InputPartition):
     end: int
 
 
+@dataclass
+class Ranges(ds.InputPartition):
+    parts: list[Range]
+
+
 class _Wav:
     def __init__(self, options: dict, schema: StructType):
         self.uri, self.names, self.arrow = options["path"], schema.names, None
@@ -109,9 +114,23 @@ class _Wav:
         for at in range(begin, size, self.range):
             yield Range(path, size, at, min(size, at + self.range))
 
-    def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
-        if part is None:  # no partitions
-            return
+    def tasks(self, ranges: Iterator[Range]) -> list[Ranges]:
+        """Small files share a task, so there are as many tasks as the bytes and a share of the files ask for."""
+        out, room = [], 0
+        for r in ranges:
+            weight = max(r.end - r.begin, SMALL)
+            if not out or weight > room:
+                out.append(Ranges([]))
+                room = self.range
+            out[-1].parts.append(r)
+            room -= weight
+        return out
+
+    def read(self, task: Ranges | None) -> Iterator[pa.RecordBatch]:
+        for part in task.parts if task else []:  # none without partitions
+            yield from self._range(part)
+
+    def _range(self, part: Range) -> Iterator[pa.RecordBatch]:
         with opened(self.uri, part.path) as f:
             lay = wav_layout(f, part.size)
             frames = (lay.end - lay.begin) // lay.frame
@@ -151,7 +170,7 @@ class WavReader(_Wav, ds.DataSourceReader):
                 yield f
 
     def partitions(self):
-        return [r for f in files(self.uri, (".wav",))[1] for r in self.ranges(f.path, f.size)]
+        return self.tasks(r for f in files(self.uri, (".wav",))[1] for r in self.ranges(f.path, f.size))
 
 
 class WavStream(_Wav, ds.DataSourceStreamReader):
@@ -164,7 +183,7 @@ class WavStream(_Wav, ds.DataSourceStreamReader):
         return {f.path: f.size for f in files(self.uri, (".wav",))[1]}
 
     def partitions(self, start: dict, end: dict):
-        return [r for path, size in sorted(end.items()) for r in self.ranges(path, size, start.get(path, 0))]
+        return self.tasks(r for path, size in sorted(end.items()) for r in self.ranges(path, size, start.get(path, 0)))
 
 
 class WavSource(ds.DataSource):
