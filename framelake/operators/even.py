@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 from ..folders import settle
 
 PER_TASK = 1_000_000
+#: Ranges that a smaller ``per_task`` may ask for: the driver gets samples and a row of each.
+MOST_RANGES = 256
 
 
 def ranged(rows: DataFrame, by: list[str], order: list[str], per_task: int = PER_TASK) -> DataFrame:
-    """``rows`` (settled, as ranges are cut at sampled places) with the number of their range, _part. Equal rows may part."""
-    n = max(1, -(-rows.count() // per_task))
+    """``rows`` (settled, as ranges are cut at sampled places) with the number of their range, _part. Equal rows may part.
+    Past MOST_RANGES ranges grow instead, up to PER_TASK rows."""
+    count = rows.count()
+    n = max(1, min(-(-count // per_task), max(MOST_RANGES, -(-count // PER_TASK))))
     dealt = rows.withColumn("_tie", F.rand(7)).repartitionByRange(n, *by, *order, "_tie")
     return settle(dealt.drop("_tie").withColumn("_part", F.spark_partition_id()))
 
