@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NS = 1_000_000_000
 
@@ -20,12 +24,16 @@ def half_away(numerator: Column, denominator: Column) -> Column:
     return F.when(d != 0, F.signum(n).cast("long") * whole.cast("decimal(38,0)").cast("long"))
 
 
+@F.arrow_udf(T.LongType())
+def _gcd(a: pa.Array, b: pa.Array) -> pa.Array:
+    """The greatest common divisor of each pair of longs; null if one is null."""
+    size = lambda x: np.abs(x.fill_null(0).to_numpy(zero_copy_only=False)).astype(np.uint64)  # noqa: E731  the least long has a size too
+    return pc.if_else(pc.and_(a.is_valid(), b.is_valid()), pa.array(np.gcd(size(a), size(b)).astype(np.int64)), pa.scalar(None, pa.int64()))
+
+
 def reduce_ratio(num: Column, den: Column) -> Column:
-    """A rational in lowest terms with a positive denominator; the greatest common divisor by Euclid's steps in an
-    aggregate (92 are enough for any two longs). Null for a zero denominator."""
-    start = F.struct(F.abs(num).cast("long").alias("a"), F.abs(den).cast("long").alias("b"))
-    step = lambda s, _: F.struct(F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"), F.when(s["b"] == 0, F.lit(0)).otherwise(s["a"] % s["b"]).cast("long").alias("b"))
-    gcd = F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step, lambda s: s["a"])
+    """A rational in lowest terms with a positive denominator. Null for a zero denominator."""
+    gcd = _gcd(num.cast("long"), den.cast("long"))
     sign = F.when(den < 0, -1).otherwise(1)
     return F.when(den != 0, F.struct((sign * F.call_function("div", num.cast("long"), gcd)).cast("long").alias("num"), F.call_function("div", F.abs(den).cast("long"), gcd).alias("den")))
 
@@ -51,7 +59,8 @@ def ratio_inverse(num: Column, den: Column) -> Column:
 
 def _fitting(num: Column, den: Column) -> Column:
     top = F.lit((1 << 63) - 1)
-    return F.when((F.abs(num) <= top) & (F.abs(den) <= top), reduce_ratio(num.cast("long"), den.cast("long")))
+    fits = (F.abs(num) <= top) & (F.abs(den) <= top)
+    return reduce_ratio(F.when(fits, num.cast("long")), F.when(fits, den.cast("long")))
 
 
 def compare_ratios(an: Column, ad: Column, bn: Column, bd: Column) -> Column:
