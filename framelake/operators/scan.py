@@ -11,15 +11,22 @@ of an earlier level is left in double precision. Its blocks begin that much earl
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..folders import settle
+from . import grouped
 
 #: Rows of a block, and blocks of a node of the tree.
 BLOCK, FAN = 1 << 17, 1024
+#: Samples under which a loop is quicker than columns side by side.
+SHORT = 512
 _MAP = "a binary, b binary, first binary"
 
 
@@ -95,23 +102,30 @@ def filtered(
     rows: DataFrame, by: list[str], n: str, begin: Callable[[pd.DataFrame], Affine], run: Callable[[pd.DataFrame, np.ndarray | None], pd.DataFrame], size: int = BLOCK, fan: int = FAN
 ) -> DataFrame:
     """``rows`` as ``run`` gives them, block by block in the order of ``n`` (whole numbers from 0), each from the state that
-    the maps ``begin`` of the blocks before it lead to. Rows are shuffled once: both passes use the same blocks."""
+    the maps ``begin`` of the blocks before it lead to. A stream of one block begins and ends in it: only longer ones have
+    maps."""
     blocks = rows.withColumn("_block", F.floor(F.col(n) / size).cast("long"))
-    keyed, schema, names = blocks.groupBy(*by, "_block"), rows.schema, rows.columns
-    ends = keyed.applyInPandas(lambda pdf: _one(pdf, by, _block=int(pdf["_block"].iloc[0]), **begin(pdf.sort_values(n)).row()), f"{_keys(rows, by)}, _block long, {_MAP}")
+    schema, names = rows.schema, rows.columns
+    # Only streams of several blocks have states to hand on.
+    several = blocks.groupBy(*by).agg(F.min("_block").alias("_first"), F.max("_block").alias("_end")).filter("_first < _end").select(*(F.col(c).alias(f"_of_{c}") for c in by))
+    same = functools.reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by))
+    ends = grouped.apply(blocks.join(several, same, "left_semi"), [*by, "_block"], [n], lambda pdf: _one(pdf, by, _block=int(pdf["_block"].iloc[0]), **begin(pdf).row()), f"{_keys(rows, by)}, _block long, {_MAP}")
+    before = states(settle(ends), by, fan).filter("state IS NOT NULL").withColumn("_row", F.lit(0))
+    blank = {c: F.lit(0 if isinstance(schema[c].dataType, T.NumericType) else None).cast(schema[c].dataType) for c in names if c not in by}
+    both = blocks.withColumns({"state": F.lit(None).cast("binary"), "_row": F.lit(1)}).unionByName(before.withColumns(blank).select(*names, "_block", "state", "_row"))
 
-    def each(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        now = state["state"].iloc[0] if len(state) else None
-        return run(pdf.sort_values(n), None if now is None else np.frombuffer(now))[names]
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        now, own = pdf["state"].iloc[0], pdf[pdf["_row"] == 1]
+        return run(own, None if now is None else np.frombuffer(now))[names]
 
-    return keyed.cogroup(states(ends, by, fan).groupBy(*by, "_block")).applyInPandas(each, schema)
+    return grouped.apply(both, [*by, "_block"], ["_row", n], each, schema)
 
 
 def section(x: np.ndarray, b: np.ndarray, a: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A second-order section from a state of two numbers: columns of about sqrt(n) samples run side by side from rest, then
-    each gets what is left of the state before it."""
-    tall = max(1, int(np.sqrt(len(x))))
-    wide = len(x) // tall
+    each gets what is left of the state before it. Under SHORT samples one follows the other."""
+    tall = int(np.sqrt(len(x))) if len(x) >= SHORT else 0
+    wide = len(x) // tall if tall else 0
     step = np.array([[-a[1], 1.0], [-a[2], 0.0]])
     inputs = x[: tall * wide].reshape(wide, tall).T
     out, left = np.empty((tall, wide)), np.empty((tall, 2))
@@ -128,7 +142,7 @@ def section(x: np.ndarray, b: np.ndarray, a: np.ndarray, state: np.ndarray) -> t
     out += left @ starts
     tail = np.empty(len(x) - tall * wide)
     z = list(state)
-    for i, v in enumerate(x[tall * wide :].tolist()):  # fewer than tall
+    for i, v in enumerate(x[tall * wide :].tolist()):  # fewer than SHORT, or than tall
         tail[i] = y = b[0] * v + z[0]
         z = [b[1] * v - a[1] * y + z[1], b[2] * v - a[2] * y]
     return np.concatenate((out.T.ravel(), tail)), np.array(z)
@@ -182,14 +196,13 @@ def followed(
     dealt = samples.withColumn("_block", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(n)
         mine = (pdf[n] // size == pdf["_block"]).to_numpy()
         if not mine.any():  # only the head of a block that the stream doesn't reach
             return pdf.iloc[:0].drop(columns="_block")
         level = envelope(pdf[of or value].to_numpy(float), attack, release, rate)
         return pdf.assign(**{value: pdf[value].to_numpy(float) * gain(level)})[mine].drop(columns="_block")
 
-    return dealt.groupBy(*by, "_block").applyInPandas(run, samples.schema)
+    return grouped.apply(dealt, [*by, "_block"], [n], run, samples.schema)
 
 
 def trail(frames: DataFrame, weight: float, by: str = "stream_id", n: str = "frame_no", plane: str = "plane", size: int = 256, fan: int = 64) -> DataFrame:
