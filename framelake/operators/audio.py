@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.audio import from_db, pan_gains, to_db
-from . import scan
+from . import grouped, scan
 from .scan import envelope  # noqa: F401
 
 
@@ -282,14 +282,14 @@ def k_weighted(samples: DataFrame, by: list[str], rate: int, *, n: str = "n", va
     dealt = samples.withColumn("_block", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(n)
         x = pdf[value].to_numpy(float)
-        size = 1 << int(len(x) + memory).bit_length()
-        y = np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(taps, size), size)[: len(x)]
+        part = taps[: len(x)]  # later ones reach no sample
+        size = 1 << int(len(x) + len(part)).bit_length()
+        y = np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(part, size), size)[: len(x)]
         pdf = pdf.assign(**{value: y})
         return pdf[pdf[n] // block == pdf["_block"]].drop(columns="_block")
 
-    return dealt.groupBy(*by, "_block").applyInPandas(run, samples.schema)
+    return grouped.apply(dealt, [*by, "_block"], [n], run, samples.schema)
 
 
 def loudness(weighted: DataFrame, by: list[str], t: str, hop: int, value: str = "value") -> DataFrame:
@@ -342,14 +342,13 @@ def true_peak(samples: DataFrame, by: list[str], n: str = "n", value: str = "val
     keys = ", ".join(f"`{c}` {samples.schema[c].dataType.simpleString()}" for c in by)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(n)
         at, start = pdf[n].to_numpy(), int(pdf["_block"].iloc[0]) * block
         # Only where the stream itself begins or ends may taps find nothing.
         x = np.pad(pdf[value].to_numpy(float), ((TAPS - 1) * int(at[0] > start - TAPS), (TAPS - 1) * int(at[-1] < start + block - 1)))
         peak = max((np.abs(np.convolve(x, f[::-1], "valid")).max() for f in filters if len(x) >= TAPS), default=0.0)
         return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "peak": [peak]})
 
-    inner = dealt.groupBy(*by, "_block").applyInPandas(run, f"{keys}, peak double")
+    inner = grouped.apply(dealt, [*by, "_block"], [n], run, f"{keys}, peak double")
     return inner.groupBy(*by).agg(F.max("peak").alias("peak"))
 
 
