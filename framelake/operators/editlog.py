@@ -13,7 +13,9 @@ Kinds and their arguments: move (clip_id, a: offset), move_to_track (clip_id, tr
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..folders import settle
+from . import grouped
 from .timeline import CLIP_EDITS, GROUP_EDITS, RANGES, EditError
 
 EDIT = "seq long, kind string, clip_id long, track_id long, clip_ids array<long>, a long, b long, value double, batch long"
@@ -193,7 +196,7 @@ def apply_log(clips: DataFrame, tracks: DataFrame, edits: DataFrame, on_error: s
     timeline (those of others are batches of their own)."""
     if on_error not in ("raise", "skip"):
         raise ValueError(f"on_error is raise or skip, not {on_error!r}")
-    edits = edits.select(*(c.split(" ")[0] for c in EDIT.split(", ")))
+    edits = settle(edits.select(*(c.split(" ")[0] for c in EDIT.split(", "))))
     ids = F.filter(F.concat(F.array("clip_id"), F.coalesce("clip_ids", F.array().cast("array<bigint>"))), lambda i: i.isNotNull())
     named = settle(edits.select(F.explode(ids).alias("clip_id")).distinct())
     direct = clips.join(named, "clip_id", "left_semi")
@@ -220,20 +223,45 @@ def apply_log(clips: DataFrame, tracks: DataFrame, edits: DataFrame, on_error: s
     part = T.ArrayType(T.StructType([T.StructField("at", T.LongType()), T.StructField("by", T.LongType())]))
     out = T.StructType([*(T.StructField(f.name, f.dataType) for f in clips.schema), T.StructField("_role", T.StringType()), T.StructField("_seq", T.LongType()), T.StructField("_removed", T.BooleanType()), T.StructField("_parts", part), T.StructField("_reason", T.StringType())])
 
-    def fold(log: pa.Table, rows: pa.Table) -> pa.Table:
-        have = rows.to_pylist()
-        own = _Timeline([{c: r[c] for c in names} for r in have if r["_role"] == "clip"], [r for r in have if r["_role"] == "track"], base, width, group_base)
+    spans = pa.list_(pa.struct([("at", pa.int64()), ("by", pa.int64())]))
+    more = [("_role", pa.string()), ("_seq", pa.int64()), ("_removed", pa.bool_()), ("_parts", spans), ("_reason", pa.string())]
+
+    def fold(have: list[dict]) -> list[dict]:
+        log, rows = [r["_edit"] for r in have if r["_edit"] is not None], [r["_state"] for r in have if r["_state"] is not None]
+        own = _Timeline([{c: r[c] for c in names} for r in rows if r["_role"] == "clip"], [r for r in rows if r["_role"] == "track"], base, width, group_base)
         was = set(own.locked)
-        done, refused = _folded(own, log.to_pylist())
+        done, refused = _folded(own, log)
         made = [c | {"_role": "clip"} for c in done.clips.values()]
         made += [{"track_id": t, "_role": "event", "_seq": s, "_removed": gone, "_parts": [{"at": a, "by": b} for a, b in parts]} for s, t, gone, parts in done.events]
         made += [{"track_id": t, "_role": "lock" if t in done.locked else "unlock"} for t in was ^ done.locked]
-        made += [{"_role": "refused", "_seq": s, "_reason": why} for s, why in refused]
-        spans = pa.list_(pa.struct([("at", pa.int64()), ("by", pa.int64())]))
-        more = [("_role", pa.string()), ("_seq", pa.int64()), ("_removed", pa.bool_()), ("_parts", spans), ("_reason", pa.string())]
-        return pa.Table.from_pylist(made, schema=pa.schema([*(rows.schema.field(c) for c in names), *(pa.field(*x) for x in more)]))
-
-    folded = settle(routed.groupBy("_home").cogroup(state.groupBy("_home")).applyInArrow(fold, out))
+        return made + [{"_role": "refused", "_seq": s, "_reason": why} for s, why in refused]
+
+    def plain(column: pa.StructArray) -> list[dict | None]:
+        """A struct column's rows, by whole fields."""
+        fields = [f.name for f in column.type]
+        return [dict(zip(fields, v)) if there else None for there, v in zip(column.is_valid().to_pylist(), zip(*(f.to_pylist() for f in column.flatten())))]
+
+    def folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is None:
+            return
+        kept = first.schema.field("_state").type
+        schema = pa.schema([*(pa.field(c, kept.field(c).type) for c in names), *(pa.field(*x) for x in more)])
+        rows = (row for b in itertools.chain([first], batches) for row in zip(b.column("_home").to_pylist(), plain(b.column("_state")), plain(b.column("_edit"))))
+        made: list[dict] = []
+        for _, timeline in itertools.groupby(rows, lambda row: row[0]):
+            made += fold([{"_state": s, "_edit": e} for _, s, e in timeline])
+            if len(made) >= grouped.TOGETHER:
+                yield from pa.Table.from_pylist(made, schema=schema).to_batches()
+                made = []
+        if made:
+            yield from pa.Table.from_pylist(made, schema=schema).to_batches()
+
+    # Timelines are many and small: they stream through the tasks one after the other.
+    held, log = F.struct(*(c for c in state.columns if c != "_home")), F.struct(*(c for c in routed.columns if c != "_home"))
+    none = lambda df, row: F.lit(None).cast(df.select(row).schema[0].dataType)
+    both = state.select("_home", held.alias("_state"), none(routed, log).alias("_edit")).unionByName(routed.select("_home", none(state, held).alias("_state"), log.alias("_edit")))
+    folded = settle(grouped.dealt(both, ["_home"], []).mapInArrow(folds, out))
     refused = folded.filter("_role = 'refused'").select(F.col("_seq").alias("seq"), F.col("_reason").alias("reason"))
     if on_error == "raise":
         why = refused.orderBy("seq").take(1)

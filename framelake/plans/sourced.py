@@ -126,14 +126,19 @@ def edit_log_refused(spark, d):
 
 
 def _log(spark, d):
-    clips = media.clips(spark, d)
+    """The clips are read many times: they are numbered once and written to the shared folder, without what no edit looks at."""
+    folder = _folder(spark, "clips")
+    media.clips(spark, d).drop("source_kind", "source_path", "transition_ns", "source_ns").write.parquet(folder)
+    clips = spark.read.parquet(folder)
     locks = media.table(spark, d, "orders").select(F.col("o_custkey").alias("timeline_id"), F.col("o_orderkey").alias("track_id"), (F.col("o_orderstatus") == "F").alias("lock"))
     free = clips.filter("group_id IS NULL").join(locks, "track_id")
     t = F.col("track_id")
-    first = free.filter(t % 7 == 0).groupBy("track_id").agg(F.min_by("clip_id", "pos").alias("clip_id")).select((t * 10).alias("seq"), F.lit("ripple_delete").alias("kind"), "clip_id")
-    last = free.filter(t % 7 < 2).groupBy("track_id").agg(F.max_by("clip_id", "pos").alias("clip_id")).select((t * 10 + 1).alias("seq"), F.lit("set_speed").alias("kind"), "clip_id")
+    ends = free.filter(t % 7 < 2).groupBy("track_id").agg(F.min_by("clip_id", "pos").alias("first"), F.max_by("clip_id", "pos").alias("last"))
+    edit = lambda seq, kind, clip: F.struct(seq.alias("seq"), F.lit(kind).alias("kind"), F.col(clip).alias("clip_id"))
+    both = F.array(F.when(t % 7 == 0, edit(t * 10, "ripple_delete", "first")), edit(t * 10 + 1, "set_speed", "last"))
     more = {"track_id": "long", "clip_ids": "array<long>", "a": "long", "b": "long", "batch": "long"}
-    log = first.unionByName(last).withColumns({c: F.lit(None).cast(k) for c, k in more.items()} | {"value": F.lit(2.5)})
+    log = ends.select(F.explode(both).alias("e")).filter("e IS NOT NULL").select("e.*")
+    log = log.withColumns({c: F.lit(None).cast(k) for c, k in more.items()} | {"value": F.lit(2.5)})
     return clips, locks, log
 
 
