@@ -48,7 +48,10 @@ def parse(files: DataFrame, keep: list[str]) -> DataFrame:
     section = lambda a, b: F.slice("_l", a + 1, b - a)  # noqa: E731  lines a .. b - 1, from 0
     is_pair = lambda x: x.rlike(_PAIR) & ~x.rlike("^[;#]")
     key, value = (lambda x: unescaped(F.regexp_extract(x, _PAIR, 1))), (lambda x: unescaped(F.regexp_extract(x, _PAIR, 2)))
-    as_map = lambda ls: F.map_from_entries(F.array_distinct(F.transform(F.filter(ls, is_pair), lambda x: F.struct(key(x).alias("k"), F.element_at(F.transform(F.filter(F.filter(ls, is_pair), lambda y: key(y) == key(x)), value), -1).alias("v")))))
+    pairs = lambda ls: F.transform(F.filter(ls, is_pair), lambda x: F.struct(key(x).alias("k"), value(x).alias("v")))
+    again = lambda p, e, i: F.exists(F.slice(p, i + 2, F.size(p)), lambda o: o["k"] == e["k"])
+    # A line is taken apart once: what is bound to p isn't evaluated again.
+    as_map = lambda ls: F.get(F.transform(F.array(pairs(ls)), lambda p: F.map_from_entries(F.filter(p, lambda e, i: ~again(p, e, i)))), F.lit(0))
     numbers = F.sequence(F.lit(0), F.size("_at") - 2)
     sections = F.when(F.size("_at") > 1, F.transform(numbers, lambda i: section(F.get("_at", i), F.get("_at", i + 1)))).otherwise(F.array().cast("array<array<string>>"))
     maps = F.transform(F.filter(sections, lambda s: F.get(s, F.lit(0)) == "[CHAPTER]"), as_map)
