@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.easing import ease
-from .select import asof
 
 
 def segments(keyframes: DataFrame) -> DataFrame:
@@ -17,21 +16,33 @@ def segments(keyframes: DataFrame) -> DataFrame:
     w = Window.partitionBy(*key).orderBy("ts_ns")
     return kept.select(
         *key, F.col("ts_ns").alias("t0"), F.lead("ts_ns").over(w).alias("t1"), F.col("k.value").alias("v0"), F.lead("k.value").over(w).alias("v1"), "k.easing", "k.x1", "k.y1", "k.x2", "k.y2",
-        F.first("k.value").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("first_value"),
     )
 
 
 def value_at(times: DataFrame, keyframes: DataFrame) -> DataFrame:
     """``times`` (owner_id, prop, ts_ns, ...) with value: the first before any keyframe, the last after all, else eased
-    between two; a keyframe at exactly that time starts its segment. Null for a track without keyframes."""
-    seg = segments(keyframes)
-    fields = ["t0", "t1", "v0", "v1", "easing", "x1", "y1", "x2", "y2"]
-    found = asof(times, seg.withColumn("ts_ns", F.col("t0")), ["owner_id", "prop"], "ts_ns", fields)
-    first = seg.groupBy("owner_id", "prop").agg(F.first("first_value").alias("first_value"))
-    found = found.join(first, ["owner_id", "prop"], "left")
-    u = ease(F.col("easing"), (F.col("ts_ns") - F.col("t0")) / (F.col("t1") - F.col("t0")), *(F.col(c) for c in ("x1", "y1", "x2", "y2")))
-    value = F.when(F.col("t0").isNull(), F.col("first_value")).when(F.col("t1").isNull(), F.col("v0")).otherwise(F.col("v0") + (F.col("v1") - F.col("v0")) * u)
-    return found.withColumn("value", value).drop(*fields, "first_value")
+    between two; a keyframe at exactly that time starts its segment. Null for a track without keyframes. Of equal times the
+    last written keyframe stays; one without owner, property or time belongs to no track. One shuffle and one sort."""
+    key = ["owner_id", "prop"]
+    fields = ["ts_ns", "value", "easing", "x1", "y1", "x2", "y2"]
+    own = [c for c in times.columns if c not in (*key, "ts_ns", "value")]
+    empty = lambda row: F.lit(None).cast(row)
+    rows = times.select(*key, "ts_ns", F.lit(True).alias("_asked"), empty(keyframes.schema["seq"].dataType).alias("_seq"), F.struct(*own).alias("_row"), empty(keyframes.select(F.struct(*fields)).schema[0].dataType).alias("_key"))
+    keys = keyframes.filter("owner_id IS NOT NULL AND prop IS NOT NULL AND ts_ns IS NOT NULL")
+    keys = keys.select(*key, "ts_ns", F.lit(False).alias("_asked"), F.col("seq").alias("_seq"), empty(rows.schema["_row"].dataType).alias("_row"), F.struct(*fields).alias("_key"))
+    # Times and keyframes meet in one order, which both windows share: a keyframe comes before times equal to its own, and
+    # one with another of its own time right after it has been overwritten.
+    w = "PARTITION BY owner_id, prop ORDER BY ts_ns, _asked, _seq"
+    both = rows.unionByName(keys).withColumn("_after", F.expr(f"lead(IF(_asked, NULL, ts_ns)) OVER ({w})"))
+    both = both.withColumn("_key", F.when(F.col("_after").isNull() | (F.col("_after") != F.col("ts_ns")), F.col("_key")))
+    both = both.withColumns({
+        "_from": F.expr(f"last(_key) IGNORE NULLS OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"),
+        "_to": F.expr(f"lead(_key) IGNORE NULLS OVER ({w})"),
+    }).filter("_asked")
+    a, b = F.col("_from"), F.col("_to")
+    u = ease(a["easing"], (F.col("ts_ns") - a["ts_ns"]) / (b["ts_ns"] - a["ts_ns"]), *(a[c] for c in ("x1", "y1", "x2", "y2")))
+    value = F.when(a.isNull(), b["value"]).when(b.isNull(), a["value"]).otherwise(a["value"] + (b["value"] - a["value"]) * u)
+    return both.select(*key, "ts_ns", *(F.col("_row")[c].alias(c) for c in own), value.alias("value"))
 
 
 #: Keyframes of one property that ``animate`` broadcasts at most.

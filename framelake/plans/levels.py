@@ -172,9 +172,10 @@ u AS (SELECT *, (t - t0) * 1.0 / (t1 - t0) AS p FROM j)"""
 
 
 def _tracks(spark, d, easing):
-    rel = select.rebase(media.samples(spark, d), "t_us", ["stream_id"]).select(F.col("stream_id").alias("owner_id"), F.lit("opacity").alias("prop"), F.col("t_us").alias("ts_ns"), "event_id", "event_type", "value")
-    keys = rel.filter("event_type = 'click'").select("owner_id", "prop", "ts_ns", "value", easing.alias("easing"), F.lit(0.25).alias("x1"), F.lit(0.1).alias("y1"), F.lit(0.25).alias("x2"), F.lit(1.0).alias("y2"), F.col("event_id").alias("seq"))
-    return k1.value_at(rel.drop("event_type", "value"), keys).select(F.col("owner_id").alias("stream_id"), "event_id", F.round("value", 6).alias("value"))
+    # Only differences of times count, so they needn't start at 0.
+    times = media.samples(spark, d).select(F.col("stream_id").alias("owner_id"), F.lit("opacity").alias("prop"), F.col("t_us").alias("ts_ns"), "event_id", "event_type", "value")
+    keys = times.filter("event_type = 'click'").select("owner_id", "prop", "ts_ns", "value", easing.alias("easing"), F.lit(0.25).alias("x1"), F.lit(0.1).alias("y1"), F.lit(0.25).alias("x2"), F.lit(1.0).alias("y2"), F.col("event_id").alias("seq"))
+    return k1.value_at(times.drop("event_type", "value"), keys).select(F.col("owner_id").alias("stream_id"), "event_id", F.round("value", 6).alias("value"))
 
 
 def _curve(u: str) -> str:
