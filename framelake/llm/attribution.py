@@ -20,30 +20,65 @@ n_crossing) are replaced.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .bpe import Codec, _shared, codec
+from .bpe import CACHED_CHARS, Codec, _shared, codec
 from .shared import spread
 
 RULES = ("first", "last", "split")
+#: Pieces that a worker remembers, twice as many at most, and characters of texts that are attributed at once.
+REMEMBERED, AT_ONCE = 200_000, 1 << 18
 _OUT = [("section", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("n_tokens", pa.float64()), ("n_crossing", pa.int64())]
 
 
-def token_spans(own: Codec, sizes: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Character spans of a text's tokens."""
-    ids = np.array(own.encode(text), np.int64)
-    if not len(ids):
-        return ids, ids
-    stop = np.cumsum(sizes[ids])
-    if text.isascii():
-        return np.concatenate(([0], stop[:-1])), stop
-    char = np.cumsum(np.frombuffer(text.encode(), np.uint8) & 0xC0 != 0x80) - 1
-    return char[np.concatenate(([0], stop[:-1]))], char[stop - 1] + 1
+class _Lengths(dict):
+    """The byte lengths of each piece's tokens, as bytes of 32-bit numbers; filled as pieces are asked for. Where too many
+    are remembered, those not asked for since the last time go."""
+
+    def __init__(self, own: Codec):
+        self.own, self.size, self.older = own, list(map(len, own.bytes_of)), {}
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.older.get(piece)
+        if got is None:
+            got = array("I", map(self.size.__getitem__, self.own.encode_bytes(piece.encode()))).tobytes()
+        if len(piece) <= CACHED_CHARS:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = got
+        return got
+
+
+@lru_cache(1)
+def lengths(own: Codec) -> _Lengths:
+    """One for each worker, with what it remembers."""
+    return _Lengths(own)
+
+
+def token_spans(known: _Lengths, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Character spans of the tokens of many texts as if these were one, then each text's first token and first character
+    (and where the last one ends)."""
+    coded = [b"".join([b"".join(map(known.__getitem__, run)) for run in known.own.pieces(text)]) for text in texts]
+    first = np.cumsum([0, *(len(x) >> 2 for x in coded)])
+    size = np.frombuffer(b"".join(coded), np.uint32).astype(np.int64)
+    whole = "".join(texts)
+    base = np.cumsum([0, *map(len, texts)])
+    byte = base if whole.isascii() else np.cumsum([0, *(len(x.encode()) for x in texts)])
+    total = np.concatenate(([0], np.cumsum(size)))
+    stop = total[1:] + np.repeat(byte[:-1] - total[first[:-1]], np.diff(first))
+    start = stop - size
+    if byte is base:
+        return start, stop, first, base
+    char = np.cumsum(np.frombuffer(whole.encode(), np.uint8) & 0xC0 != 0x80) - 1
+    return char[start], char[stop - 1] + 1, first, base
 
 
 def cut(text: str, separator: re.Pattern) -> tuple[np.ndarray, np.ndarray]:
@@ -91,23 +126,39 @@ def attribute_tokens(
     shared, by = _shared(docs, ranks_path, pattern), re.compile(separator)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(*shared.value)
-        sizes = np.array([len(b) for b in own.bytes_of], np.int64)
+        known = lengths(codec(*shared.value))
         for batch in batches:
-            parts, counts = [], []
             column = batch.column(batch.schema.get_field_index(text))
             given = batch.column(batch.schema.get_field_index(sections)) if sections else None
-            for i, value in enumerate(column):
-                body = value.as_py() or ""
-                start, stop = token_spans(own, sizes, body)
+            parts, counts, texts = [], [], []
+
+            def settle(upto: int) -> None:
+                """Attributes the tokens of the texts gathered, which end before row ``upto``."""
+                start, stop, first, base = token_spans(known, texts)
                 if given is None:
-                    lo, hi = cut(body, by)
+                    bounds = [cut(body, by) for body in texts]
                 else:
-                    rows = given[i].as_py() or []
-                    lo, hi = (np.array([(x or {}).get(f) or 0 for x in rows], np.int64) for f in ("start", "end"))
-                n, crossing = attribute(start, stop, lo, hi, rule)
-                parts.append((np.arange(len(lo)), lo, hi, n, crossing))
-                counts.append(len(lo))
+                    rows = [given[i].as_py() or [] for i in range(upto - len(texts), upto)]
+                    bounds = [tuple(np.array([(x or {}).get(f) or 0 for x in own], np.int64) for f in ("start", "end")) for own in rows]
+                sizes = [len(lo) for lo, _ in bounds]
+                lo, hi = (np.concatenate(x) for x in zip(*bounds))
+                if rule == "split":  # shares are added up from a text's own start, so that their rounding stays
+                    got = [attribute(start[i:j] - at, stop[i:j] - at, *own, rule) for own, i, j, at in zip(bounds, first, first[1:], base)]
+                    n, crossing = (np.concatenate(x) for x in zip(*got))
+                else:  # sections end with their text
+                    at, end = np.repeat(base[:-1], sizes), np.repeat(base[1:], sizes)
+                    n, crossing = attribute(start, stop, np.clip(lo, 0, end - at) + at, np.clip(hi, 0, end - at) + at, rule)
+                parts.append((np.concatenate([np.arange(k) for k in sizes]), lo, hi, n, crossing))
+                counts.extend(sizes)
+                texts.clear()
+
+            size = 0
+            for i, value in enumerate(column):
+                texts.append(value.as_py() or "")
+                size += len(texts[-1])
+                if size >= AT_ONCE or i == len(column) - 1:
+                    settle(i + 1)
+                    size = 0
             rows = np.repeat(np.arange(len(counts)), counts)
             kept = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in names], names=names).take(pa.array(rows)) if names else None
             flat = [pa.array(np.concatenate([p[j] for p in parts]), kind) if parts else pa.array([], kind) for j, (_, kind) in enumerate(_OUT)]

@@ -776,3 +776,15 @@ def test_quality_fit_is_the_same_however_rows_are_dealt(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
     a, b = (quality.train(x, labels, max_positives=40, max_unlabelled=60) for x in (docs, docs.repartition(3, "n_chars")))
     assert (a.weight == b.weight).all() and (a.bias, a.prior) == (b.bias, b.prior)
+
+
+def test_attribution_takes_texts_together_and_keeps_what_recurs(monkeypatch):
+    with open(RANKS, "rb") as f:
+        own = bpe.Codec(bpe.read_ranks(f.read()), public_tokenizers.PATTERN, "")
+    known, fresh, encode = attribution._Lengths(own), [], own.encode_bytes
+    monkeypatch.setattr(attribution, "REMEMBERED", 3)
+    monkeypatch.setattr(own, "encode_bytes", lambda data: fresh.append(data) or encode(data))
+    for i in range(40):  # one piece recurs among others that don't
+        start, stop, first, base = attribution.token_spans(known, ["né", "", f"né{'x' * (i + 1)} né"])
+        assert base.tolist() == [0, 2, 2, 2 + 2 + i + 1 + 3] and first[1] == first[2] and stop[-1] == base[-1] and (start < stop).all()
+    assert fresh.count(" né".encode()) == 1
