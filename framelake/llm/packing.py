@@ -26,14 +26,16 @@ from .shared import settle, small_batches, spread
 
 #: Tasks whose left-overs meet in one group.
 FAN = 16
-#: Words that a worker remembers, and the longest of them in characters.
+#: Words that a worker remembers, and the longest of them in bytes.
 MOST_WORDS, LONGEST_WORD = 800_000, 64
-#: Characters of texts that are taken apart at once, and words that are encoded at once.
+#: Bytes of texts that are taken apart at once, and words that are encoded at once.
 SLICE, AT_ONCE = 1 << 20, 4096
 
-_SPACE = re.compile(r"[ \t-\r]+")
+_SPACE = re.compile(rb"[ \t-\r]")
 #: How the tokenizer parts lower-case ASCII words, and how it marks a piece's last token: fixed values of its file.
 _PIECE, END = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"), "</w>"
+#: A lower-cased word of letters that no normalising changes (Latin, Cyrillic), and what ASCII marks follow: a piece each.
+_PARTED = re.compile(r"^(?:([a-zß-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįıĵķĺļľłńņňōŏőœŕŗřśŝşšţťŧũūŭůűųŵŷźżžа-я]++)([!-/:-@\[-`{-~]*+)|.+)$", re.M)
 RESULT = ["start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
@@ -50,63 +52,86 @@ class Encoder:
         # Tokens that end a piece of a word; where words lie in a text of many is told by counting them.
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(END)]] = True
-        self.known: dict[str, bytes] = {}
-
-    def _fresh(self, words: list[str]) -> dict[str, bytes]:
-        """Many words are encoded as one text; those whose pieces can't be told beforehand, each alone."""
+        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _joined(self, texts: list[str], pieces: list[int]) -> list[bytes] | None:
+        """Many texts encoded as one, each of so many pieces at least; None if there are more."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(texts)], add_special_tokens=False)[0].ids, "<u4")
+        at, last = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(pieces)
+        if len(at) != last[-1]:  # every piece has one end at least, so equal sums are equal throughout
+            return None
+        data, ends = ids.tobytes(), (4 * at[last - 1]).tolist()
+        return [data[i:j] for i, j in zip([0, *ends], ends)]
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _odd(self, words: list[str]) -> list[bytes]:
+        """Those whose pieces can't be told beforehand are encoded each alone."""
         pieces = [1 if w.isalpha() else len(_PIECE.findall(w.lower())) if w.isascii() else 0 for w in words]
         if not self.special_as_text:
             pieces = [0 if "<|" in w else k for w, k in zip(words, pieces)]
-        many = [(w, k) for w, k in zip(words, pieces) if k]
-        out, alone = {}, [w for w, k in zip(words, pieces) if not k]
-        if many:
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([w for w, _ in many])], add_special_tokens=False)[0].ids, "<u4")
-            at = np.flatnonzero(self.ends[ids]) + 1
-            last = np.cumsum([k for _, k in many])
-            if len(at) == last[-1]:  # every piece has one end at least, so equal sums are equal throughout
-                data, ends = ids.tobytes(), (4 * at[last - 1]).tolist()
-                out = {w: data[i:j] for (w, _), i, j in zip(many, [0, *ends], ends)}
-            else:
-                alone = words
-        alone = [w for w in alone if w not in out]
-        if alone:
-            out.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)))
+        many, alone = [w for w, k in zip(words, pieces) if k], [w for w, k in zip(words, pieces) if not k]
+        got = self._joined(many, [k for k in pieces if k]) if many else []
+        if got is None:
+            return self._alone(words)
+        out = dict(zip([*many, *alone], [*got, *self._alone(alone)]))
+        return [out[w] for w in words]
+
+    def _fresh(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Many words are encoded as one text. Most are letters and a mark or two, whose ids follow each other; letters
+        recur with other marks and in capitals, so parts are remembered too."""
+        text = b"\n".join(words).decode()
+        parted = _PARTED.findall(text.lower())
+        need = list({p for pair in parted for p in pair}.difference(self.parts, ("",)))
+        if need:
+            self.parts.update(zip(need, self._joined(need, [1] * len(need)) or self._alone(need)))
+        out = {w: self.parts[a] + self.parts[b] if b else self.parts[a] for w, (a, b) in zip(words, parted) if a}
+        if len(out) < len(words):
+            odd = [(w, x) for w, x, (a, _) in zip(words, text.split("\n"), parted) if not a]
+            out.update(zip([w for w, _ in odd], self._odd([x for _, x in odd])))
+        for p in need:
+            if len(p) > LONGEST_WORD:
+                del self.parts[p]
         return out
 
-    def _ids(self, lists: list[list[str]]) -> list[bytes]:
+    def _ids(self, lists: list[list[bytes]]) -> list[bytes]:
         """The ids of each list of words."""
-        words = set().union(*lists)
-        new = list(words.difference(self.known))
-        if len(self.known) + len(new) > MOST_WORDS:
-            self.known, new = {}, list(words)
+        found = [list(map(self.known.get, x)) for x in lists]
+        gaps = [(x, y, [i for i, ids in enumerate(y) if ids is None]) for x, y in zip(lists, found) if None in y]
+        new, fresh = list({x[i] for x, _, at in gaps for i in at}), {}
+        if max(len(self.known), len(self.parts)) + len(new) > MOST_WORDS:
+            self.known, self.parts = {}, {}
         for i in range(0, len(new), AT_ONCE):
-            self.known.update(self._fresh(new[i : i + AT_ONCE]))
-        out = [b"".join(map(self.known.__getitem__, x)) for x in lists]
-        if max(map(len, new), default=0) > LONGEST_WORD:
-            self.known = {w: x for w, x in self.known.items() if len(w) <= LONGEST_WORD}
-        return out
+            fresh.update(self._fresh(new[i : i + AT_ONCE]))
+        for x, y, at in gaps:
+            for i in at:
+                y[i] = fresh[x[i]]
+        self.known.update((w, ids) for w, ids in fresh.items() if len(w) <= LONGEST_WORD)
+        return [b"".join(y) for y in found]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         lists, size = [], 0
-        for text in texts:
+        for text in map(str.encode, texts):
             if len(text) > SLICE:
                 yield from (np.frombuffer(x, "<u4") for x in self._ids(lists))
                 yield np.frombuffer(b"".join(self._ids([x])[0] for x in self._slices(text)), "<u4")
                 lists, size = [], 0
                 continue
-            lists.append(_SPACE.split(text))
+            lists.append(text.split())  # of bytes: at ASCII white space only
             size += len(text)
             if size > SLICE:
                 yield from (np.frombuffer(x, "<u4") for x in self._ids(lists))
                 lists, size = [], 0
         yield from (np.frombuffer(x, "<u4") for x in self._ids(lists))
 
-    def _slices(self, text: str) -> Iterator[list[str]]:
+    def _slices(self, text: bytes) -> Iterator[list[bytes]]:
         at = 0
         while at < len(text):
             space = _SPACE.search(text, at + SLICE)
             upto = space.start() if space else len(text)
-            yield _SPACE.split(text[at:upto])
+            yield text[at:upto].split()
             at = upto
 
 

@@ -145,6 +145,31 @@ def test_words_are_encoded_alone_as_in_the_text(spark, monkeypatch):
     assert [x.tolist() for x in encoder.encode(texts)] == [plain.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_letters_recur_with_other_marks_and_in_capitals(monkeypatch):
+    encoder, plain, seen = packing.Encoder(WORDS, False), Tokenizer.from_file(WORDS), []
+
+    class Watched:
+        def encode_batch_fast(self, texts, **options):
+            seen.extend(texts)
+            return plain.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Watched()
+    text = "wortel, Wortel. WORTEL!? Größe größe; wortel's Жук жук..."
+    assert [x.tolist() for x in encoder.encode([text])] == [plain.encode(text, add_special_tokens=False).ids]
+    assert Counter(re.findall(r"\w{3,}", " ".join(seen))) == {"wortel": 2, "größe": 1, "жук": 1}  # once more with 's
+    seen.clear()
+    assert [x.tolist() for x in encoder.encode(["WORTEL. größe?!"])] == [plain.encode("WORTEL. größe?!", add_special_tokens=False).ids]
+    assert seen == ["?!"] or seen == []
+
+
+def test_letters_and_marks_of_all_kinds():
+    encoder, plain = packing.Encoder(WORDS, False), Tokenizer.from_file(WORDS)
+    text = " ".join(w for c in (*range(33, 0x590), *range(0x1E00, 0x2200), *range(0xFB00, 0xFB50)) for w in (f"{chr(c)}", f"n{chr(c)}.", f"{chr(c)}A!\"", f"ä{chr(c)}я'"))
+    words = text.split(" ")
+    assert [x.tolist() for x in encoder.encode(words)] == [x.ids for x in plain.encode_batch(words, add_special_tokens=False)]
+    assert next(encoder.encode([text])).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_query(spark):
     rows = registered.op12_packing(spark, SF).collect()
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
